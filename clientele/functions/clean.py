@@ -63,7 +63,15 @@ def to_number(c: Column | str) -> Column:
 
 def clean_numbers(df: DataFrame, cols: Sequence[str] = ("TotalCharges", "MonthlyCharges", "Tenure", "tenure")) -> DataFrame:
     """PRJ-1 over the usual charge/tenure columns that are present."""
-    return df.withColumns({c: to_number(c) for c in cols if c in df.columns})
+    out = {}
+    for c in cols:
+        if c not in df.columns:
+            continue
+        if is_numeric(df, c):
+            out[c] = F.coalesce(nan_to_null(df, c).cast("double"), F.lit(0.0))
+        else:
+            out[c] = to_number(c)
+    return df.withColumns(out)
 
 
 def churn_flag(df: DataFrame, col: str = "Churn") -> Column:
@@ -114,7 +122,8 @@ def risk_band(p: Column | str) -> Column:
 def clean_text(c: Column | str) -> Column:
     """PRJ-8: NULL -> ''; lower case; keep only a-z and white space."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.regexp_replace(F.lower(F.coalesce(c.cast("string"), F.lit(""))), r"(?U)[^a-z\s]", "")
+    # Python's Unicode \s also holds the separators U+001C..U+001F; Java's does not.
+    return F.regexp_replace(F.lower(F.coalesce(c.cast("string"), F.lit(""))), r"(?U)[^a-z\s\x{1c}-\x{1f}]", "")
 
 
 def is_blank(c: Column | str) -> Column:

@@ -1,6 +1,6 @@
 """Named queries over the driver's tables and their SQL twins."""
 
-from . import basic  # noqa: F401  (registers queries)
+from . import basic, cleaning  # noqa: F401  (register queries)
 from .oracle import ORACLE
 from .registry import QUERIES
 

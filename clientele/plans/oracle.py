@@ -109,3 +109,77 @@ register("persona_rfm", """select *,
          when Recency < 30 then 'Cross-sell Recommendation' when Recency > 90 then 'Automated Drip Campaign'
          else 'Weekly Update' end as Next_Best_Action
   from rfm""", ["rfm"])
+
+# ---- cleaning and rule personas -------------------------------------------------
+register("clean_charges", """select customerID,
+    coalesce(cast(Tenure as double), 0) as Tenure, coalesce(cast(MonthlyCharges as double), 0) as MonthlyCharges,
+    coalesce(try_cast(trim(TotalCharges) as double), 0) as TotalCharges from churn_customers""", ["churn_customers"])
+register("churn_flag", """select customerID, Churn,
+    case when Churn in ('Yes', 'TRUE', '1') then 1 else 0 end as churn_flag from churn_customers""", ["churn_customers"])
+register("spending_ordinal", """select CustomerID, Spending_Score,
+    case Spending_Score when 'Low' then 1.0 when 'Average' then 2.0 when 'High' then 3.0 else 1.0 end
+      as Spending_Score_Num from demographics""", ["demographics"])
+register("encode_categories", """select customerID,
+    dense_rank() over (order by coalesce(Segment, 'nan')) - 1 as Segment,
+    dense_rank() over (order by coalesce(Contract, 'nan')) - 1 as Contract,
+    dense_rank() over (order by coalesce(Support, 'nan')) - 1 as Support
+  from churn_customers""", ["churn_customers"])
+register("align_features", """select customerID,
+    coalesce(cast(Tenure as double), 0) as Tenure, coalesce(cast(MonthlyCharges as double), 0) as MonthlyCharges,
+    coalesce(try_cast(trim(TotalCharges) as double), 0) as TotalCharges, 0.0 as Discount
+  from churn_customers""", ["churn_customers"])
+register("risk_band", """select customerID, probability,
+    case when probability > -0.1 and probability <= 0.4 then 'Low'
+         when probability > 0.4 and probability <= 0.7 then 'Medium'
+         when probability > 0.7 and probability <= 1.1 then 'High' end as Risk_Group
+  from rule_score""", ["rule_score"])
+CLEAN_TEXT_SQL = r"""regexp_replace(lower(coalesce({c}, '')), '[^a-z\t\n\x0b\f\r \x{{1c}}-\x{{1f}}\x{{85}}\p{{Z}}]', '', 'g')"""
+register("clean_text", f"""select ReviewID,
+    case when ReviewBody is null or trim(ReviewBody) = '' then '' else {CLEAN_TEXT_SQL.format(c='ReviewBody')} end
+      as Clean_Text from reviews""", ["reviews"])
+register("persona_demographic", """select CustomerID, Age, Family_Size, Spending_Score_Num, Persona,
+    case when contains(Persona, 'Solo') and contains(Persona, 'Gen Z') then 'Trend & FOMO'
+         when contains(Persona, 'Fam') and contains(Persona, 'Saver') then 'Value Bundles'
+         when contains(Persona, 'Senior') then 'Trust & Loyalty'
+         when contains(Persona, 'Spender') then 'Exclusivity' else 'Standard' end as Strategy,
+    case when contains(Persona, 'Solo') and contains(Persona, 'Gen Z') then 'Push: ''Trending Now'''
+         when contains(Persona, 'Fam') and contains(Persona, 'Saver') then 'Email: ''Buy 2 Get 1'''
+         when contains(Persona, 'Senior') then 'Mail: Loyalty Club'
+         when contains(Persona, 'Spender') then 'Invite: VIP Early Access' else 'Newsletter' end as Next_Best_Action
+  from (select *, concat_ws(' / ',
+          case when Family_Size <= 1.5 then 'Solo' when Family_Size <= 3.5 then 'Small Fam' else 'Large Fam' end,
+          case when Age < 30 then 'Gen Z' when Age < 50 then 'Pro' else 'Senior' end,
+          case when Spending_Score_Num > 2.5 then 'Spender' when Spending_Score_Num < 1.5 then 'Saver' end) as Persona
+        from (select CustomerID, Age, Family_Size,
+                case Spending_Score when 'Low' then 1.0 when 'Average' then 2.0 when 'High' then 3.0 else 1.0 end
+                  as Spending_Score_Num from demographics))""", ["demographics"])
+register("persona_churn", """select customerID, probability,
+    case when probability > 0.8 then 'Flight Risk (Critical)' when probability > 0.5 then 'At Risk'
+         when probability < 0.2 then 'Loyalist' else 'Neutral' end as Persona,
+    case when probability > 0.8 then 'Immediate Intervention' when probability > 0.5 then 'Value Reinforcement'
+         when probability < 0.2 then 'Advocacy' else 'Monitor' end as Strategy,
+    case when probability > 0.8 then 'Call: Offer 20% Retention Discount'
+         when probability > 0.5 then 'Email: Highlight Premium Features'
+         when probability < 0.2 then 'Ask for Referral' else 'No Action' end as Next_Best_Action
+  from rule_score""", ["rule_score"])
+register("persona_geo", """select Route, Traffic, OverallRating,
+    case when Traffic > 50 and OverallRating < 4 then 'High Vol / Low Sat' when Traffic > 50 then 'Flagship Route'
+         when Traffic < 10 then 'Niche / Low Volume' else 'Standard Route' end as Persona,
+    case when Traffic > 50 and OverallRating < 4 then 'Operational Fix' when Traffic > 50 then 'Maximize Yield'
+         when Traffic < 10 then 'Efficiency Check' else 'Growth' end as Strategy,
+    case when Traffic > 50 and OverallRating < 4 then 'Audit Ground Staff & Delays'
+         when Traffic > 50 then 'Increase Business Class Prices'
+         when Traffic < 10 then 'Evaluate Route Profitability' else 'Seasonal Promotion' end as Next_Best_Action
+  from (select Route, count(*) as Traffic, round(avg(OverallRating), 6) as OverallRating from routes group by Route)""",
+         ["routes"])
+register("persona_geo_value", """select Route, Value,
+    case when Value > 1000 then 'Power Region' when Value < 0 then 'Detractor Zone' else 'Key Location' end as Persona,
+    case when Value > 1000 then 'Logistics Priority' when Value < 0 then 'Quality Control' else 'Maintain' end as Strategy,
+    case when Value > 1000 then 'Scale support operations' when Value < 0 then 'Investigate local reviews'
+         else 'Monitor Metrics' end as Next_Best_Action
+  from (select Route, round(avg(Amount - 150000.0), 6) as Value from routes group by Route)""", ["routes"])
+register("segment_heuristic", """select *,
+    case when Monetary > 1000 and Recency < 30 then 1 when Recency > 90 then 2 else 3 end as Segment_Id,
+    case when Monetary > 1000 and Recency < 30 then 'Champion (Heuristic)' when Recency > 90 then 'Lost (Heuristic)'
+         else 'Standard (Heuristic)' end as Segment_Name
+  from rfm""", ["rfm"])
