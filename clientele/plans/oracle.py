@@ -183,3 +183,122 @@ register("segment_heuristic", """select *,
     case when Monetary > 1000 and Recency < 30 then 'Champion (Heuristic)' when Recency > 90 then 'Lost (Heuristic)'
          else 'Standard (Heuristic)' end as Segment_Name
   from rfm""", ["rfm"])
+
+# ---- segment statistics, narratives, churn reports, customer views -------------------
+CTES["segments"] = """select CustomerID, Recency, Frequency, Monetary,
+    case when d0 = least(d0, d1, d2, d3) then 0 when d1 = least(d0, d1, d2, d3) then 1
+         when d2 = least(d0, d1, d2, d3) then 2 else 3 end as Cluster
+  from (select *, power(rz + 1.0, 2) + power(fz - 1.0, 2) + power(mz - 1.0, 2) as d0,
+               power(rz - 1.0, 2) + power(fz + 1.0, 2) + power(mz + 1.0, 2) as d1,
+               power(rz, 2) + power(fz, 2) + power(mz, 2) as d2,
+               power(rz - 2.0, 2) + power(fz, 2) + power(mz, 2) as d3
+        from (select *, (Recency - avg(Recency) over ()) / stddev_samp(Recency) over () as rz,
+                     (Frequency - avg(Frequency) over ()) / stddev_samp(Frequency) over () as fz,
+                     (Monetary - avg(Monetary) over ()) / stddev_samp(Monetary) over () as mz from rfm))"""
+DEPS["segments"] = ["rfm"]
+CTES["cleaned"] = """select customerID, Segment, Contract, Support,
+    coalesce(cast(Tenure as double), 0) as Tenure, coalesce(cast(MonthlyCharges as double), 0) as MonthlyCharges,
+    coalesce(try_cast(trim(TotalCharges) as double), 0) as TotalCharges, Churn from churn_customers"""
+DEPS["cleaned"] = ["churn_customers"]
+CTES["banded"] = """select *, case when probability > -0.1 and probability <= 0.4 then 'Low'
+         when probability > 0.4 and probability <= 0.7 then 'Medium'
+         when probability > 0.7 and probability <= 1.1 then 'High' end as Risk_Group from rule_score"""
+DEPS["banded"] = ["rule_score"]
+
+
+def tenths_sql(num: str, den: str) -> str:
+    t = f"floor(({num} * 2000 + {den}) / ({den} * 2))"
+    return f"(cast(floor({t} / 10) as bigint)::varchar || '.' || (cast({t} as bigint) % 10)::varchar)"
+
+
+register("nearest_centroid", "select * from segments", ["segments"])
+register("segment_profile", """select Cluster, count(*) as size, round(avg(Recency), 6) as Recency,
+    round(avg(Frequency), 6) as Frequency, round(avg(Monetary), 6) as Monetary from segments group by Cluster""",
+         ["segments"])
+register("segment_sizes", """select Cluster, customers, round(customers / sum(customers) over (), 6) as share,
+    row_number() over (order by customers desc, Cluster) as size_rank
+  from (select Cluster, count(*) as customers from segments group by Cluster)""", ["segments"])
+register("segment_labels", f"""select s.CustomerID, s.Cluster, concat_ws(' ',
+      case when p.r < 30 then 'Active' when p.r > 90 then 'Lost' else 'Regular' end,
+      case when p.m > q.q3 then 'Whale' when p.m < q.q1 then 'LowVal' else 'MidVal' end) as Cluster_Label
+  from segments s join (select Cluster, avg(Recency) r, avg(Monetary) m from segments group by Cluster) p
+    on s.Cluster = p.Cluster,
+    ({quantile_sql('segments', 'Monetary', {'q1': 0.25, 'q3': 0.75})}) q""", ["segments"])
+register("segment_narrative", f"""select Cluster, size, adjectives,
+    '**Segment Overview:** This group represents **' || {tenths_sql('size', 'total')} || '%** of your customer base ('
+      || size::varchar || ' users). They are predominantly **' || adjectives || '** customers.' as summary,
+    case when adjectives = 'budget-conscious' then 'Strategy: Target with bulk discounts, bundles, or seasonal sales.'
+         else 'Strategy: Maintain engagement with regular newsletters.' end as action
+  from (select Cluster, count(*) as size, (select count(*) from segments) as total,
+          case when avg(Monetary) > (select avg(Monetary) from segments) * 1.2 then 'high-value'
+               when avg(Monetary) < (select avg(Monetary) from segments) * 0.8 then 'budget-conscious'
+               else 'average-spending' end as adjectives
+        from segments group by Cluster)""", ["segments"])
+
+
+def _long_sql(src: str, id_col: str, metrics: list[str], extra: str = "") -> str:
+    complete = " and ".join(f"{m} is not null" for m in metrics)
+    return " union all ".join(
+        f"select {id_col},{extra} '{m}' as metric, cast({m} as double) as value, ({complete}) as complete from {src}"
+        for m in metrics)
+
+
+register("customer_vs_segment", f"""select CustomerID, Cluster, metric, value,
+    round(avg(value) over (partition by Cluster, metric), 6) as segment_avg,
+    round(avg(value) over (partition by metric), 6) as global_avg
+  from ({_long_sql('segments', 'CustomerID', ['Recency', 'Frequency', 'Monetary'], ' Cluster,')})""", ["segments"])
+register("percentile_profile", f"""select CustomerID, metric, value,
+    round(case when complete then (rank() over (partition by metric, complete order by value)
+              + (count(*) over (partition by metric, complete, value) - 1) / 2.0)
+              / count(*) over (partition by metric, complete) * 100 else 50.0 end, 6) as percentile
+  from ({_long_sql('rfm', 'CustomerID', ['Recency', 'Frequency', 'Monetary'])})""", ["rfm"])
+register("customer_index", """select distinct cast(customerID as varchar) as customer_id from churn_customers
+  where customerID is not null order by 1 limit 5000""", ["churn_customers"])
+register("churn_kpis", """select round(avg(probability), 6) as avg_probability,
+    count_if(Risk_Group = 'High') as high_risk_count,
+    round(count_if(Risk_Group = 'High') / count(*), 6) as high_risk_share,
+    cast(sum(case when Risk_Group = 'High' then cast(MonthlyCharges as decimal(18,2)) end) as double) as revenue_at_risk
+  from banded""", ["banded"])
+register("risk_histogram", """select Risk_Group, bin, count(*) as customers, bin / 20 as bin_low, (bin + 1) / 20 as bin_high
+  from (select Risk_Group, cast(least(floor(probability * 20), 19) as bigint) as bin from banded)
+  group by Risk_Group, bin""", ["banded"])
+register("churn_headline", f"""select high_risk, total, round(r, 6) as high_risk_pct,
+    case when r > 30 then '⚠️ **Critical Alert:** ' || rt || '% of your customers are High Risk. Immediate retention campaigns required.'
+         when r > 15 then '⚠️ **Warning:** Churn risk is elevated (' || rt || '%). Investigate ''Contract'' and ''Support'' issues.'
+         else '✅ **Healthy:** Only ' || rt || '% of customers are High Risk. Focus on acquisition.' end as headline
+  from (select *, case when total > 0 then high_risk * 100.0 / total else 0.0 end as r,
+          case when total > 0 then {tenths_sql('high_risk', 'total')} else '0.0' end as rt
+        from (select count_if(Risk_Group = 'High') as high_risk, count(Risk_Group) as total from banded))""",
+         ["banded"])
+register("safest_option", """select feature, option as best_option, round(rate, 6) as churn_rate
+  from (select *, count(*) over (partition by feature) as nn,
+               row_number() over (partition by feature order by rate, option) as rk
+        from (select feature, option, avg(y) as rate from (
+                select 'Segment' as feature, Segment as option, y from cc union all
+                select 'Contract', Contract, y from cc union all
+                select 'Support', Support, y from cc) where option is not null group by feature, option))
+  where rk = 1 and nn > 1""".replace(
+    "from cc", "from (select *, case when Churn in ('Yes', 'TRUE', '1') then 1 else 0 end as y from churn_customers)"),
+    ["churn_customers"])
+
+
+def _mode_sql(src: str, c: str) -> str:
+    return (f"(select v from (select {c} as v, count(*) as n from {src} where {c} is not null group by 1) "
+            f"order by n desc, v limit 1)")
+
+
+register("typical_customer", "select " + ", ".join(
+    [f"(select round(q, 6) from ({quantile_sql('cleaned', c, {'q': 0.5})})) as {c}"
+     for c in ("Tenure", "MonthlyCharges", "TotalCharges")]
+    + [f"{_mode_sql('cleaned', c)} as {c}" for c in ("Segment", "Contract", "Support")]), ["cleaned"])
+register("driver_direction", " union all ".join(
+    [f"""select {i} as rank, '{c}' as Feature, round(corr({c}, probability), 6) as correlation,
+         case when corr({c}, probability) > 0 then 'Increases Risk 🔴' else 'Decreases Risk 🟢' end as Impact
+       from (select *, 1.0 / (1.0 + Tenure / 12.0) as probability from cleaned)"""
+     for i, c in enumerate(("Tenure", "MonthlyCharges", "TotalCharges"))]
+    + ["select 3, 'Contract', cast(null as double), 'Key Risk Driver ⚠️'"]), ["cleaned"])
+register("class_balance", """select negatives, positives,
+    case when positives > 0 then negatives / positives else 1.0 end as pos_weight
+  from (select count_if(y = 0) as negatives, count_if(y = 1) as positives
+        from (select case when Churn in ('Yes', 'TRUE', '1') then 1 else 0 end as y from churn_customers))""",
+         ["churn_customers"])
