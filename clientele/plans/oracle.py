@@ -302,3 +302,84 @@ register("class_balance", """select negatives, positives,
   from (select count_if(y = 0) as negatives, count_if(y = 1) as positives
         from (select case when Churn in ('Yes', 'TRUE', '1') then 1 else 0 end as y from churn_customers))""",
          ["churn_customers"])
+
+# ---- locations ----------------------------------------------------------------------
+from ..sources.dimensions import gazetteer_rows, iata_rows  # noqa: E402
+
+
+def _values(rows, cols):
+    def lit(v):
+        if isinstance(v, str):
+            return "'" + v.replace("'", "''") + "'"
+        return repr(v)
+    body = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
+    return f"select * from (values {body}) as t({', '.join(cols)})"
+
+
+CTES["gaz"] = _values(gazetteer_rows(), ["ord", "key", "lat", "lon", "iso3"])
+CTES["iata"] = _values(iata_rows(), ["code", "city"])
+_STRIP = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+_ROUTE = r"(?i)^(.*?)(?:\s+to\s+|-|\s+via\s+)"
+_v = _STRIP.format(x="cast(Route as varchar)")
+CTES["routes_o"] = f"""select *, case when v is null or v = '' or lower(v) = 'nan' then null
+    when regexp_matches(v, '{_ROUTE}') then {_STRIP.format(x=f"regexp_extract(v, '{_ROUTE}', 1)")} else v end as o
+  from (select *, {_v} as v from routes)"""
+DEPS["routes_o"] = ["routes"]
+_w = r"regexp_replace(o, '(?i)\b(airport|intl|international|hub|city|ft|fort)\b', '', 'g')"
+_w = rf"regexp_replace({_w}, '\(.*?\)', '', 'g')"
+_w = f"regexp_replace({_w}, ',.*', '')"
+_w = f"lower({_STRIP.format(x=f'translate({_w}, ' + chr(39) + 'İüãé' + chr(39) + ', ' + chr(39) + 'Iuae' + chr(39) + ')')})"
+CTES["cleaned_routes"] = f"""select r.* exclude (v, o), i.iata_city,
+    case when i.iata_city is not null then i.iata_city else {_w} end as clean_loc
+  from routes_o r left join (select code, lower(city) as iata_city from iata) i
+    on length(r.o) = 3 and upper(r.o) = i.code"""
+DEPS["cleaned_routes"] = ["routes_o", "iata"]
+INITCAP = "array_to_string(list_transform(string_split(lower({x}), ' '), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ')"
+CTES["dloc"] = "select distinct clean_loc as city from cleaned_routes where clean_loc is not null and clean_loc <> ''"
+DEPS["dloc"] = ["cleaned_routes"]
+SUBSTRING_SQL = """select city, key from (select d.city, g.key, row_number() over (partition by d.city order by g.ord) rn
+  from {src} d join gaz g on contains(d.city, g.key)) where rn = 1"""
+FUZZY_SQL = """select city, key, score from (select *, row_number() over (partition by city order by score desc, key desc) rn
+  from (select d.city, g.key, 1.0 - levenshtein(d.city, g.key) / greatest(length(d.city), length(g.key)) as score
+        from {src} d join gaz g on abs(length(d.city) - length(g.key)) <= 0.25 * greatest(length(d.city), length(g.key))))
+  where rn = 1 and score >= 0.75"""
+CTES["t1"] = "select d.city, g.key, 'exact' as match_tier from dloc d join gaz g on d.city = g.key"
+DEPS["t1"] = ["dloc", "gaz"]
+CTES["t2"] = SUBSTRING_SQL.format(src="(select * from dloc where city not in (select city from t1))").replace(
+    "select city, key from", "select city, key, 'substring' as match_tier from")
+DEPS["t2"] = ["t1"]
+CTES["t3"] = FUZZY_SQL.format(
+    src="(select * from dloc where city not in (select city from t1) and city not in (select city from t2))").replace(
+    "select city, key, score from", "select city, key, 'fuzzy' as match_tier from")
+DEPS["t3"] = ["t2"]
+CTES["resolved"] = f"""select c.TripID, c.Route, c.Amount, c.clean_loc, g.lat, g.lon, g.iso3,
+    case when h.match_tier is not null then h.match_tier when c.clean_loc is not null and c.clean_loc <> '' then 'none'
+    end as match_tier, {INITCAP.format(x='c.clean_loc')} as Mapped_Location
+  from cleaned_routes c left join (select * from t1 union all select * from t2 union all select * from t3) h
+    on c.clean_loc = h.city left join gaz g on h.key = g.key"""
+DEPS["resolved"] = ["t3"]
+
+register("clean_location", f"""select TripID, Route, clean_loc, {INITCAP.format(x='clean_loc')} as Mapped_Location
+  from cleaned_routes""", ["cleaned_routes"])
+register("geo_iata", "select TripID, Route, iata_city from cleaned_routes", ["cleaned_routes"])
+register("geo_exact", """select c.TripID, c.clean_loc, g.key, g.lat, g.lon from cleaned_routes c
+  left join gaz g on c.clean_loc = g.key""", ["cleaned_routes", "gaz"])
+register("geo_substring", SUBSTRING_SQL.format(src="dloc"), ["dloc", "gaz"])
+register("geo_fuzzy", FUZZY_SQL.format(src="dloc").replace("select city, key, score from",
+                                                            "select city, key, round(score, 6) as score from"),
+         ["dloc", "gaz"])
+register("geo_resolve", """select TripID, Route, clean_loc, lat, lon, iso3, match_tier, Mapped_Location
+  from resolved""", ["resolved"])
+register("geo_unmatched", """select Mapped_Location, count(*) as Count from resolved
+  where lat is null and length(Mapped_Location) > 0 group by Mapped_Location""", ["resolved"])
+register("geo_frequency", """select TripID, Mapped_Location,
+    case when Mapped_Location is not null then count(*) over (partition by Mapped_Location) end as Frequency
+  from resolved""", ["resolved"])
+register("geo_quality", r"""select (select count(*) from routes) as total_rows,
+    (select count(*) from resolved where lat is not null) as mapped,
+    greatest((select count(*) from resolved where lat is null) - e.empty, 0) as unmatched, e.empty
+  from (select count_if(Route is null or regexp_replace(Route, '^\s+|\s+$', '', 'g') in ('', 'nan')) as empty
+        from routes) e""", ["resolved"])
+register("top_locations", """select Mapped_Location, round(avg(Amount), 6) as avg_Amount from resolved
+  where lat is not null group by Mapped_Location order by avg(Amount) desc nulls last, Mapped_Location limit 10""",
+         ["resolved"])
