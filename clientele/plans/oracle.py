@@ -383,3 +383,38 @@ register("geo_quality", r"""select (select count(*) from routes) as total_rows,
 register("top_locations", """select Mapped_Location, round(avg(Amount), 6) as avg_Amount from resolved
   where lat is not null group by Mapped_Location order by avg(Amount) desc nulls last, Mapped_Location limit 10""",
          ["resolved"])
+
+# ---- sentiment ----------------------------------------------------------------------
+_NEG, _UP, _DOWN = "('aint', 'arent', 'cannot', 'cant', 'couldnt', 'darent', 'didnt', 'doesnt', 'dont', 'hadnt', 'hasnt', 'havent', 'isnt', 'mightnt', 'mustnt', 'neednt', 'neither', 'never', 'no', 'none', 'nope', 'nor', 'not', 'nothing', 'nowhere', 'oughtnt', 'shant', 'shouldnt', 'wasnt', 'werent', 'without', 'wont', 'wouldnt', 'rarely', 'seldom', 'despite')", "('absolutely', 'amazingly', 'awfully', 'completely', 'considerably', 'decidedly', 'deeply', 'enormously', 'entirely', 'especially', 'exceptionally', 'extremely', 'fabulously', 'fully', 'greatly', 'highly', 'hugely', 'incredibly', 'intensely', 'majorly', 'more', 'most', 'particularly', 'purely', 'quite', 'really', 'remarkably', 'so', 'substantially', 'thoroughly', 'totally', 'tremendously', 'unbelievably', 'unusually', 'utterly', 'very')", "('almost', 'barely', 'hardly', 'kinda', 'less', 'little', 'marginally', 'occasionally', 'partly', 'scarcely', 'slightly', 'somewhat', 'sorta')"
+
+
+def _boost_sql(p: str, d: float) -> str:
+    return (f"(case when {p} in {_UP} then 0.293 when {p} in {_DOWN} then -0.293 else 0.0 end) "
+            f"* (case when valence < 0 then -1.0 else 1.0 end) * {d}")
+
+
+CTES["scored_reviews"] = f"""select r.*, case when r.ReviewBody is null or trim(r.ReviewBody) = '' then 0.0
+    else round(coalesce(s.raw / sqrt(s.raw * s.raw + 15.0), 0.0), 4) end as Sentiment_Score
+  from reviews r left join (
+    select ReviewID, sum((valence + {_boost_sql('p1', 1.0)} + {_boost_sql('p2', 0.95)} + {_boost_sql('p3', 0.9)})
+                         * power(-0.74, (coalesce(p1 in {_NEG}, false)::int + coalesce(p2 in {_NEG}, false)::int
+                                          + coalesce(p3 in {_NEG}, false)::int))) as raw
+    from (select *, lag(tok, 1) over w as p1, lag(tok, 2) over w as p2, lag(tok, 3) over w as p3
+          from (select ReviewID, unnest(arr) as tok, unnest(range(1, len(arr) + 1)) as pos
+                from (select ReviewID, list_filter(regexp_split_to_array(
+                        regexp_replace(lower(ReviewBody), '[''’]', '', 'g'), '[^a-z]+'), lambda x: x <> '') as arr
+                      from reviews where not (ReviewBody is null or trim(ReviewBody) = '')))
+          window w as (partition by ReviewID order by pos)) t
+    join test_lexicon l on t.tok = l.token
+    group by ReviewID) s on r.ReviewID = s.ReviewID"""
+DEPS["scored_reviews"] = ["reviews", "test_lexicon"]
+_LABEL = ("case when Sentiment_Score >= 0.05 then 'Positive' when Sentiment_Score <= -0.05 then 'Negative' "
+          "else 'Neutral' end")
+register("sentiment_score", f"""select ReviewID, lang, source, Sentiment_Score, {_LABEL} as Sentiment_Label
+  from scored_reviews""", ["scored_reviews"])
+register("sentiment_shares", f"""select count(*) as total, round(avg(p), 6) as positive_share,
+    round(avg(n), 6) as negative_share, round(1.0 - avg(p) - avg(n), 6) as neutral_share
+  from (select ({_LABEL} = 'Positive')::int as p, ({_LABEL} = 'Negative')::int as n from scored_reviews)""",
+         ["scored_reviews"])
+register("sentiment_by_group", f"""select lang, {_LABEL} as Sentiment_Label, count(*) as count
+  from scored_reviews group by all""", ["scored_reviews"])
