@@ -418,3 +418,77 @@ register("sentiment_shares", f"""select count(*) as total, round(avg(p), 6) as p
          ["scored_reviews"])
 register("sentiment_by_group", f"""select lang, {_LABEL} as Sentiment_Label, count(*) as count
   from scored_reviews group by all""", ["scored_reviews"])
+
+# ---- profiling ------------------------------------------------------------------------
+from ..operators.profile import evaluate_capabilities, evaluate_readiness  # noqa: E402
+
+# Schemas of the derived inputs (name, kind), as FIXTURES.md defines them.
+FIXTURE_COLUMNS = {
+    "churn_customers": [("customerID", "numeric"), ("Segment", "string"), ("Contract", "string"),
+                        ("Support", "string"), ("Tenure", "numeric"), ("MonthlyCharges", "numeric"),
+                        ("TotalCharges", "string"), ("Churn", "string")],
+    "demographics": [("CustomerID", "numeric"), ("Age", "numeric"), ("Spending_Score", "string"),
+                     ("Family_Size", "numeric"), ("Profession", "string")],
+    "transactions": [("CustomerID", "numeric"), ("InvoiceDate", "datetime"), ("TotalAmount", "numeric")],
+    "reviews": [("ReviewID", "numeric"), ("ReviewBody", "string"), ("lang", "string"), ("source", "string")],
+    "routes": [("TripID", "numeric"), ("CustomerID", "numeric"), ("Amount", "numeric"),
+               ("OverallRating", "numeric"), ("Route", "string")],
+}
+
+
+def _sql_lit(v, t):
+    if v is None:
+        return f"cast(null as {t})"
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    return "'" + str(v).replace("'", "''") + "'"
+
+
+def _readiness_sql(table):
+    sels = []
+    for r in evaluate_readiness(FIXTURE_COLUMNS[table]):
+        src = r["source_column"]
+        nulls = f"(select count(*) from {table} where {src} is null)" if src else "cast(null as bigint)"
+        bad = (f"(select count(*) from {table} where {src} is not null and "
+               f"try_cast(trim(cast({src} as varchar)) as double) is null)"
+               if src and r["expected_type"] == "numeric" else "cast(null as bigint)")
+        meta = ", ".join(f"{_sql_lit(r[k], 'varchar' if k not in ('type_ok', 'ready', 'module_ready') else 'boolean')} as {k}"
+                         for k in ("module", "flavor", "standard_column", "source_column", "expected_type",
+                                   "type_ok", "ready", "module_ready", "chosen_flavor"))
+        sels.append(f"select '{table}' as table_name, {meta}, (select count(*) from {table}) as rows, "
+                    f"{nulls} as nulls, {bad} as non_numeric")
+    return " union all ".join(sels)
+
+
+def _capability_sql(table):
+    sels = []
+    for r in evaluate_capabilities(FIXTURE_COLUMNS[table]):
+        src = r["evidence_column"]
+        v = f"(select count({src}) from {table})" if src else "cast(null as bigint)"
+        sels.append(f"select '{table}' as table_name, '{r['rule_set']}' as rule_set, '{r['capability']}' as capability, "
+                    f"{_sql_lit(r['detected'], 'boolean')} as detected, {_sql_lit(src, 'varchar')} as evidence_column, "
+                    f"(select count(*) from {table}) as rows, {v} as evidence_non_null")
+    return " union all ".join(sels)
+
+
+_PROFILED = list(FIXTURE_COLUMNS)
+register("readiness_report", " union all ".join(_readiness_sql(t) for t in _PROFILED), _PROFILED)
+register("capability_report", " union all ".join(_capability_sql(t) for t in _PROFILED), _PROFILED)
+
+
+def _groupable_sql(table, cols):
+    return " union all ".join(
+        f"select '{table}' as table_name, '{c}' as column_name, count(distinct {c}) as distinct_values from {table} "
+        f"having count(distinct {c}) < 50" for c in cols)
+
+
+register("groupable_columns", _groupable_sql("reviews", ["ReviewID", "lang", "source"]) + " union all "
+         + _groupable_sql("churn_customers", [c for c, _ in FIXTURE_COLUMNS["churn_customers"]]),
+         ["reviews", "churn_customers"])
+register("column_domains", " union all ".join(
+    [f"""select '{c}' as column_name, 'numeric' as kind, min({c}) as min_value, max({c}) as max_value,
+          max({c}) * 1.2 as slider_max, cast(null as bigint) as distinct_values, cast(null as varchar) as "values"
+        from cleaned""" for c in ("Tenure", "MonthlyCharges", "TotalCharges")]
+    + [f"""select '{c}', 'category', null, null, null, count(*), string_agg(v, '|' order by v)
+        from (select distinct {c} as v from cleaned where {c} is not null)""" for c in ("Segment", "Contract", "Support")]),
+    ["cleaned"])
