@@ -492,3 +492,20 @@ register("column_domains", " union all ".join(
     + [f"""select '{c}', 'category', null, null, null, count(*), string_agg(v, '|' order by v)
         from (select distinct {c} as v from cleaned where {c} is not null)""" for c in ("Segment", "Contract", "Support")]),
     ["cleaned"])
+
+# ---- models (value-checkable parts) -----------------------------------------------------
+CTES["sil_stats"] = """select Cluster, count(*) as n, sum(cast(Recency as double)) as sr,
+    sum(cast(Frequency as double)) as sf, sum(Monetary) as sm,
+    sum(cast(Recency as double) * Recency + cast(Frequency as double) * Frequency + Monetary * Monetary) as q
+  from segments group by Cluster"""
+DEPS["sil_stats"] = ["segments"]
+CTES["sil_pd"] = """select p.CustomerID, p.Cluster as pc, s.Cluster as sc, s.n,
+    s.n * (cast(p.Recency as double) * p.Recency + cast(p.Frequency as double) * p.Frequency + p.Monetary * p.Monetary)
+    - 2 * (p.Recency * s.sr + p.Frequency * s.sf + p.Monetary * s.sm) + s.q as d
+  from segments p, sil_stats s"""
+DEPS["sil_pd"] = ["sil_stats"]
+register("silhouette", """select round(avg(case when na <= 1 then 0.0 else (b - a) / greatest(a, b) end), 6) as silhouette
+  from (select CustomerID, max(case when sc = pc then n end) as na,
+               max(case when sc = pc and n > 1 then d / (n - 1) end) as a,
+               min(case when sc <> pc then d / n end) as b
+        from sil_pd group by CustomerID)""", ["sil_pd"])
