@@ -39,3 +39,89 @@ def q_silhouette(spark, sf_dir):
 def q_segment_rules(spark, sf_dir):
     mode, out, feats = segment(fx.transactions(spark, sf_dir), k=4, restarts=SEGMENT_RESTARTS)
     return segment_rules(out, feats)
+
+
+# --- churn and value models -------------------------------------------------------------
+from ..functions.clean import clean_numbers  # noqa: E402
+from ..operators.churn_model import (attribute, directional_importance, expand_scenarios, score_churn,  # noqa: E402
+                                     score_scenarios, score_value, train_churn, train_value)
+from ..operators.churn_stats import typical_customer  # noqa: E402
+
+# Boosting rounds of the registered queries (the operator default is 100, as the
+# reference); queries use fewer so that a round of checks stays short.
+CHURN_ROUNDS = 20
+VALUE_ROUNDS = 20
+# Fixed what-if scenarios of the scenario queries (absolute overrides).
+SCENARIOS = [
+    {"scenario_id": "two_year_contract", "Contract": "Two year"},
+    {"scenario_id": "with_support", "Support": "Yes"},
+    {"scenario_id": "tenure_48", "Tenure": 48.0},
+    {"scenario_id": "charges_50k", "MonthlyCharges": 50000.0},
+]
+_CACHE: dict = {}
+
+
+def churn_model(spark, sf_dir):
+    key = ("churn", id(spark), sf_dir, CHURN_ROUNDS)
+    if key not in _CACHE:
+        _CACHE[key] = train_churn(fx.churn_customers(spark, sf_dir), max_iter=CHURN_ROUNDS)
+    return _CACHE[key]
+
+
+def value_model(spark, sf_dir):
+    key = ("value", id(spark), sf_dir, VALUE_ROUNDS)
+    if key not in _CACHE:
+        _CACHE[key] = train_value(fx.churn_customers(spark, sf_dir), max_iter=VALUE_ROUNDS)
+    return _CACHE[key]
+
+
+@query("churn_train_accuracy")
+def q_churn_train_accuracy(spark, sf_dir):
+    return churn_model(spark, sf_dir)[1]
+
+
+@query("churn_scores")
+def q_churn_scores(spark, sf_dir):
+    fitted, _ = churn_model(spark, sf_dir)
+    return score_churn(fitted, fx.churn_customers(spark, sf_dir)).select(
+        "customerID", "Churn_Probability", "Risk_Group")
+
+
+@query("churn_drivers")
+def q_churn_drivers(spark, sf_dir):
+    fitted, _ = churn_model(spark, sf_dir)
+    scored = score_churn(fitted, fx.churn_customers(spark, sf_dir))
+    return directional_importance(fitted, scored)
+
+
+@query("scenario_grid")
+def q_scenario_grid(spark, sf_dir):
+    c = clean_numbers(fx.churn_customers(spark, sf_dir))
+    return expand_scenarios(c, SCENARIOS, "customerID").select(
+        "customerID", "scenario_id", "Contract", "Support", "Tenure", "MonthlyCharges")
+
+
+@query("churn_scenarios")
+def q_churn_scenarios(spark, sf_dir):
+    fitted, _ = churn_model(spark, sf_dir)
+    return score_scenarios(fitted, fx.churn_customers(spark, sf_dir), SCENARIOS)
+
+
+@query("churn_attribution")
+def q_churn_attribution(spark, sf_dir):
+    fitted, _ = churn_model(spark, sf_dir)
+    cust = fx.churn_customers(spark, sf_dir)
+    typ = typical_customer(clean_numbers(cust))
+    neutral = {f: typ.select(f).scalar() for f in fitted.features if f in typ.columns}
+    return attribute(fitted, cust, neutral)
+
+
+@query("value_model")
+def q_value_model(spark, sf_dir):
+    return value_model(spark, sf_dir)[1]
+
+
+@query("value_scores")
+def q_value_scores(spark, sf_dir):
+    fitted, _ = value_model(spark, sf_dir)
+    return score_value(fitted, fx.churn_customers(spark, sf_dir)).select("customerID", "Predicted_Value")

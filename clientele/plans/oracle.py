@@ -509,3 +509,7 @@ register("silhouette", """select round(avg(case when na <= 1 then 0.0 else (b -
                max(case when sc = pc and n > 1 then d / (n - 1) end) as a,
                min(case when sc <> pc then d / n end) as b
         from sil_pd group by CustomerID)""", ["sil_pd"])
+
+register("scenario_grid", """select customerID, s.scenario_id, coalesce(s.c, Contract) as Contract,
+    coalesce(s.su, Support) as Support, coalesce(s.t, Tenure) as Tenure, coalesce(s.mc, MonthlyCharges) as MonthlyCharges
+  from cleaned, (select 'base' as scenario_id, cast(null as varchar) as c, cast(null as varchar) as su, cast(null as double) as t, cast(null as double) as mc union all select 'two_year_contract' as scenario_id, 'Two year' as c, cast(null as varchar) as su, cast(null as double) as t, cast(null as double) as mc union all select 'with_support' as scenario_id, cast(null as varchar) as c, 'Yes' as su, cast(null as double) as t, cast(null as double) as mc union all select 'tenure_48' as scenario_id, cast(null as varchar) as c, cast(null as varchar) as su, cast(48.0 as double) as t, cast(null as double) as mc union all select 'charges_50k' as scenario_id, cast(null as varchar) as c, cast(null as varchar) as su, cast(null as double) as t, cast(50000.0 as double) as mc) s""", ["cleaned"])
