@@ -125,3 +125,11 @@ def q_value_model(spark, sf_dir):
 def q_value_scores(spark, sf_dir):
     fitted, _ = value_model(spark, sf_dir)
     return score_value(fitted, fx.churn_customers(spark, sf_dir)).select("customerID", "Predicted_Value")
+
+
+@query("customer_sample")
+def q_customer_sample(spark, sf_dir):
+    """TOP-4: the repeatable 1,000-customer sample the k sweep can run on."""
+    from ..operators.rfm import rfm
+    from ..operators.segment_model import sample_rows
+    return sample_rows(rfm(fx.transactions(spark, sf_dir)), "CustomerID", 1000)

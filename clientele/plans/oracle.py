@@ -513,3 +513,14 @@ register("silhouette", """select round(avg(case when na <= 1 then 0.0 else (b -
 register("scenario_grid", """select customerID, s.scenario_id, coalesce(s.c, Contract) as Contract,
     coalesce(s.su, Support) as Support, coalesce(s.t, Tenure) as Tenure, coalesce(s.mc, MonthlyCharges) as MonthlyCharges
   from cleaned, (select 'base' as scenario_id, cast(null as varchar) as c, cast(null as varchar) as su, cast(null as double) as t, cast(null as double) as mc union all select 'two_year_contract' as scenario_id, 'Two year' as c, cast(null as varchar) as su, cast(null as double) as t, cast(null as double) as mc union all select 'with_support' as scenario_id, cast(null as varchar) as c, 'Yes' as su, cast(null as double) as t, cast(null as double) as mc union all select 'tenure_48' as scenario_id, cast(null as varchar) as c, cast(null as varchar) as su, cast(48.0 as double) as t, cast(null as double) as mc union all select 'charges_50k' as scenario_id, cast(null as varchar) as c, cast(null as varchar) as su, cast(null as double) as t, cast(50000.0 as double) as mc) s""", ["cleaned"])
+
+_STOP = "('a', 'about', 'after', 'all', 'also', 'an', 'and', 'any', 'are', 'as', 'at', 'be', 'been', 'but', 'by', 'can', 'could', 'did', 'do', 'does', 'for', 'from', 'had', 'has', 'have', 'he', 'her', 'his', 'how', 'i', 'if', 'in', 'into', 'is', 'it', 'its', 'just', 'me', 'more', 'my', 'no', 'not', 'of', 'on', 'one', 'only', 'or', 'our', 'out', 'so', 'some', 'than', 'that', 'the', 'their', 'them', 'then', 'there', 'these', 'they', 'this', 'to', 'up', 'us', 'very', 'was', 'we', 'were', 'what', 'when', 'which', 'who', 'will', 'with', 'would', 'you', 'your')"
+register("vocabulary", f"""select term, count(*) as doc_freq
+  from (select distinct d, unnest(t) as term from (
+          select row_number() over () as d, regexp_extract_all({CLEAN_TEXT_SQL.format(c='ReviewBody')}, '\\w\\w+') as t
+          from reviews where ReviewBody is not null and trim(ReviewBody) <> ''
+            and length({CLEAN_TEXT_SQL.format(c='ReviewBody')}) > 2))
+  where term not in {_STOP}
+  group by term
+  having count(*) >= 2 and count(*) <= 0.95 * (select count(*) from reviews where ReviewBody is not null
+    and trim(ReviewBody) <> '' and length({CLEAN_TEXT_SQL.format(c='ReviewBody')}) > 2)""", ["reviews"])
