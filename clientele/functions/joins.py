@@ -1,16 +1,28 @@
-"""Join helpers."""
+"""Join helpers.
+
+Broadcast policy:
+* fixed dimensions (gazetteer, airport codes, lexicons passed in by the user)
+  are broadcast by hint after ``dimension`` has checked their row count
+  (cheap: they are small tables, usually local data);
+* tables whose size follows the data (per-location results, a lexicon
+  derived from the corpus) get no hint: Catalyst broadcasts them only when
+  their estimated size is below ``spark.sql.autoBroadcastJoinThreshold``, and
+  AQE re-checks the measured size of the materialised side at run time;
+* tables bounded by construction (k clusters, n buckets, a few scenarios)
+  are broadcast by hint.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows a dimension may hold to be broadcast; beyond it Spark shuffles both sides
-# (and AQE may still switch to a broadcast at run time).
-BROADCAST_MAX_ROWS = 2_000_000
+DIMENSION_MAX_ROWS = 1_000_000
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after checking its size; otherwise leave the join to a shuffle."""
+def dimension(df: DataFrame, max_rows: int = DIMENSION_MAX_ROWS, name: str = "dimension") -> DataFrame:
+    """Broadcast a reference table after checking that it is one (<= max_rows rows)."""
     n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    if n > max_rows:
+        raise ValueError(f"{name} has more than {max_rows} rows; pass a dimension-sized table")
+    return F.broadcast(df)

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.joins import broadcast_if_small
+from ..functions.joins import dimension
+
 
 # Patterns of the location clean-up.
 ROUTE_PATTERN = r"(?iU)^(.*?)(?:\s+to\s+|-|\s+via\s+)"
@@ -42,7 +43,9 @@ def clean_location(df: DataFrame, col: str, iata: DataFrame, out: str = "clean_l
     v = F.when(v.isNull() | (v == "") | (F.lower(v) == "nan"), F.lit(None).cast("string")).otherwise(v)
     origin = F.when(v.rlike(ROUTE_PATTERN), _strip(F.regexp_extract(v, ROUTE_PATTERN, 1))).otherwise(v)
     staged = df.withColumn("__o", origin)
-    codes = broadcast_if_small(iata.select(F.col("code").alias("__code"), F.lower("city").alias("__iata_city")))
+    # one row per three-letter code: at most 26^3 rows, so always safe to broadcast
+    codes = F.broadcast(iata.where(F.length("code") == 3)
+                        .groupBy(F.upper("code").alias("__code")).agg(F.max(F.lower("city")).alias("__iata_city")))
     j = staged.join(codes, (F.length("__o") == 3) & (F.upper("__o") == F.col("__code")), "left")
     w = F.regexp_replace(F.col("__o"), NOISE_PATTERN, "")
     w = F.regexp_replace(w, PAREN_PATTERN, "")
@@ -106,11 +109,16 @@ def analyze_locations(df: DataFrame, col: str, gaz: DataFrame, iata: DataFrame,
 
     The per-location table has one row per distinct location; it is broadcast
     when its size checks out, else joined by a shuffle (AQE splits a hot key).
+    The gazetteer must be dimension-sized (checked once).
     """
+    gaz = dimension(gaz, name="gazetteer")
     cleaned = clean_location(df, col, iata)
     res = resolve_locations(distinct_locations(cleaned), gaz, fuzzy)
     res = res.select(F.col("city").alias("clean_loc"), "lat", "lon", "iso3", "match_tier")
-    out = cleaned.join(broadcast_if_small(res), "clean_loc", "left")
+    # one row per distinct location: grows with the data, so no hint; the
+    # planner / AQE broadcast it when its measured size allows, else a shuffle
+    # join (AQE splits a location that holds a large share of the rows)
+    out = cleaned.join(res, "clean_loc", "left")
     tier = F.when(F.col("match_tier").isNotNull(), F.col("match_tier")) \
             .when(F.col("clean_loc").isNotNull() & (F.col("clean_loc") != ""), "none")
     return out.withColumns({"match_tier": tier, "Mapped_Location": F.initcap("clean_loc")})
@@ -127,7 +135,7 @@ def location_frequency(geo: DataFrame, loc: str = "Mapped_Location") -> DataFram
     """JOIN-9: each row's location frequency, by a grouped count joined back
     (no window holding a whole hot location in one task)."""
     freq = geo.where(F.col(loc).isNotNull()).groupBy(loc).agg(F.count(F.lit(1)).alias("Frequency"))
-    return geo.join(broadcast_if_small(freq), loc, "left")
+    return geo.join(freq, loc, "left")
 
 
 def geo_quality(raw: DataFrame, geo: DataFrame, col: str) -> DataFrame:

@@ -9,6 +9,7 @@ sums, so they are linear in the rows: no pairwise distances are ever formed.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
@@ -50,15 +51,20 @@ def scaling_pipeline(features: Sequence[str]) -> Pipeline:
         StandardScaler(inputCol="__raw", outputCol="features", withMean=True, withStd=True)])
 
 
-def fit_kmeans(scaled: DataFrame, k: int, restarts: int = 10, seed: int = 42, max_iter: int = 20):
-    """Best of ``restarts`` k-means fits by training cost -> (model, cost)."""
-    best = None
-    for r in range(restarts):
+def fit_kmeans(scaled: DataFrame, k: int, restarts: int = 10, seed: int = 42, max_iter: int = 20,
+               parallelism: int = 4):
+    """Best of ``restarts`` k-means fits by training cost -> (model, cost).
+
+    The restarts are independent, so they are submitted as concurrent Spark
+    jobs (the scheduler interleaves their tasks); the lowest cost wins, the
+    lower seed on ties."""
+    def fit(r):
         m = KMeans(k=k, seed=seed + r, maxIter=max_iter, featuresCol="features", predictionCol="__pred").fit(scaled)
-        cost = m.summary.trainingCost
-        if best is None or cost < best[1]:
-            best = (m, cost)
-    return best
+        return r, m, m.summary.trainingCost
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, restarts))) as pool:
+        fits = list(pool.map(fit, range(restarts)))
+    r, m, cost = min(fits, key=lambda t: (t[2], t[0]))
+    return m, cost
 
 
 def _renumber_by_size(pred: DataFrame) -> Column:
