@@ -1,0 +1,32 @@
+"""Streams.
+
+The analyses this library rebuilds are batch analyses; there is no stateful
+streaming operator in them. The row-level operators are plain column
+expressions or stream-static joins against small dimension tables, so they
+apply unchanged to a streaming DataFrame:
+
+* cleaning columns (``clientele.functions.clean``), risk bands, personas
+  (``clientele.operators.rules``);
+* location clean-up (``clientele.operators.geo.clean_location``);
+* scoring with a fitted pipeline (``score_churn``, ``score_value``).
+
+``score_stream`` below wires such a chain to a micro-batch sink.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+
+
+def score_stream(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str,
+                 fmt: str = "parquet", trigger_seconds: int | None = None):
+    """Apply a row-level operator chain to a stream and append to ``sink``.
+
+    ``checkpoint`` must be a shared folder (it holds the stream's progress).
+    """
+    w = transform(stream).writeStream.format(fmt).option("checkpointLocation", checkpoint).outputMode("append")
+    if trigger_seconds:
+        w = w.trigger(processingTime=f"{trigger_seconds} seconds")
+    return w.start(sink)
