@@ -92,8 +92,9 @@ def train_churn(df: DataFrame, id_col: str = "customerID", label: str = "Churn",
     c, nums, cats = prepare(df, id_col)
     y = churn_flag(c, label).cast("double")
     data = c.withColumn("__y", y)
-    bal = data.agg(F.count_if(F.col("__y") == 0).alias("neg"), F.count_if(F.col("__y") == 1).alias("pos"))
-    w = F.when(bal.select("pos").scalar() > 0, bal.select("neg").scalar() / bal.select("pos").scalar()).otherwise(1.0)
+    bal = data.select(F.struct(F.count_if(F.col("__y") == 0).alias("neg"),
+                               F.count_if(F.col("__y") == 1).alias("pos"))).scalar()
+    w = F.when(bal["pos"] > 0, bal["neg"] / bal["pos"]).otherwise(1.0)
     data = data.withColumn("__w", F.when(F.col("__y") == 1, w).otherwise(F.lit(1.0)))
     train = data.where(split_column(id_col, test_pct)).persist(StorageLevel.MEMORY_AND_DISK)
     ensure_checkpoint_dir(df.sparkSession)

@@ -131,12 +131,14 @@ def readiness_report(df: DataFrame, table_name: str) -> DataFrame:
     matched column (rows, nulls, non-null values that do not read as numbers)."""
     rows = evaluate_readiness(column_kinds(df))
     used = sorted({r["source_column"] for r in rows if r["source_column"]})
+    numeric = {r["source_column"] for r in rows if r["source_column"] and r["expected_type"] == "numeric"}
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for i, c in enumerate(used):
         col = F.col(c)
         aggs.append(F.count_if(col.isNull()).alias(f"__n{i}"))
-        aggs.append(F.count_if(col.isNotNull() & F.trim(col.cast("string")).try_cast("double").isNull())
-                    .alias(f"__b{i}"))
+        if c in numeric:
+            aggs.append(F.count_if(col.isNotNull() & F.trim(col.cast("string")).try_cast("double").isNull())
+                        .alias(f"__b{i}"))
     m = df.agg(*aggs)
     structs = []
     for r in rows:

@@ -12,14 +12,13 @@ from .rules import segment_labels
 
 
 def standardise(df: DataFrame, features: Sequence[str], suffix: str = "_z") -> DataFrame:
-    """(x - mean) / sample std per feature; the moments are scalar subqueries
-    (Catalyst merges them into one aggregate pass)."""
-    cols = {}
-    for f in features:
-        mu = df.select(F.avg(F.col(f).cast("double"))).scalar()
-        sd = df.select(F.stddev_samp(F.col(f).cast("double"))).scalar()
-        cols[f + suffix] = (F.col(f).cast("double") - mu) / sd
-    return df.withColumns(cols)
+    """(x - mean) / sample std per feature. All moments come from one aggregate
+    pass, returned as one struct-valued scalar subquery (evaluated once)."""
+    m = df.select(F.struct(*[F.avg(F.col(f).cast("double")).alias(f"mu{i}") for i, f in enumerate(features)],
+                           *[F.stddev_samp(F.col(f).cast("double")).alias(f"sd{i}") for i, f in enumerate(features)])
+                  ).scalar()
+    return df.withColumns({f + suffix: (F.col(f).cast("double") - m[f"mu{i}"]) / m[f"sd{i}"]
+                           for i, f in enumerate(features)})
 
 
 def nearest_centroid(df: DataFrame, features: Sequence[str], centres: Sequence[Sequence[float]],
