@@ -29,6 +29,15 @@ from pyspark.sql import functions as F
 DEFAULT_BUCKETS = 256
 
 
+def _buckets(df: DataFrame, n: int | None) -> int:
+    """Default bucket count: at least 256, and 4 per shuffle partition, so a
+    bucket's running-count window stays a small task as the cluster grows."""
+    if n:
+        return n
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(DEFAULT_BUCKETS, 4 * parts)
+
+
 def _bucket_tree(v: Column, bounds: Sequence[float], lo: int = 0) -> Column:
     """Index of the first bound >= v (0..len(bounds)) as a balanced CASE tree."""
     if not bounds:
@@ -39,8 +48,9 @@ def _bucket_tree(v: Column, bounds: Sequence[float], lo: int = 0) -> Column:
 
 
 def value_ranks(df: DataFrame, value: str, group: str | None = None,
-                n_buckets: int = DEFAULT_BUCKETS, accuracy: int = 10000) -> DataFrame:
+                n_buckets: int | None = None, accuracy: int = 10000) -> DataFrame:
     """(group?, value, cnt, before, n) for every distinct non-null value."""
+    n_buckets = _buckets(df, n_buckets)
     keys = [group] if group else []
     counts = (df.where(F.col(value).isNotNull())
                 .groupBy(*keys, F.col(value).cast("double").alias("__v"))
@@ -76,7 +86,7 @@ def value_ranks(df: DataFrame, value: str, group: str | None = None,
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], group: str | None = None,
-                    names: Sequence[str] | None = None, n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                    names: Sequence[str] | None = None, n_buckets: int | None = None) -> DataFrame:
     """Quantiles with linear interpolation between order statistics (pandas' default).
 
     Returns one row (per group) with one double column per probability.
@@ -104,7 +114,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], group: st
 
 
 def percentile_ranks(df: DataFrame, value: str, group: str | None = None,
-                     n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                     n_buckets: int | None = None) -> DataFrame:
     """(group?, value, pct): average rank of ties / non-null count, in (0, 1]."""
     keys = [group] if group else []
     r = value_ranks(df, value, group, n_buckets)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clean import churn_flag, is_numeric
@@ -47,13 +47,13 @@ def safest_option(df: DataFrame, cols: Sequence[str], label: str = "Churn",
                  .groupBy("feature", "option")
                  .agg(F.avg("__y").alias("churn_rate"), F.count(F.lit(1)).alias("customers"))
                  .where(F.col("customers") >= min_count))
-    # one row per (feature, option): small, so the per-feature windows are cheap
-    w = Window.partitionBy("feature")
-    ranked = rates.withColumns({
-        "__n": F.count(F.lit(1)).over(w),
-        "__rk": F.row_number().over(w.orderBy("churn_rate", "option"))})
-    return ranked.where((F.col("__rk") == 1) & (F.col("__n") > 1)).select(
-        "feature", F.col("option").alias("best_option"), F.round("churn_rate", 6).alias("churn_rate"))
+    # lowest rate per feature (lower option on ties) as a grouped min_by: partial
+    # aggregation, so a column with very many values is not one task
+    best = rates.groupBy("feature").agg(
+        F.count(F.lit(1)).alias("__n"),
+        F.min_by(F.struct("option", "churn_rate"), F.struct("churn_rate", "option")).alias("__b"))
+    return best.where(F.col("__n") > 1).select(
+        "feature", F.col("__b.option").alias("best_option"), F.round("__b.churn_rate", 6).alias("churn_rate"))
 
 
 def typical_customer(df: DataFrame, exclude: Sequence[str] = ("customerID", "Churn")) -> DataFrame:

@@ -134,11 +134,14 @@ def k_sweep(df: DataFrame, ks: Sequence[int] = (2, 3, 4, 5, 6), restarts: int =
     mode, table, feats = detect_mode(df)
     scaled = scaling_pipeline(feats).fit(table).transform(table).persist(StorageLevel.MEMORY_AND_DISK)
     ev = ClusteringEvaluator(featuresCol="features", predictionCol="__pred")
-    rows = []
+
+    def one(k):
+        model, cost = fit_kmeans(scaled, k, restarts, seed, parallelism=2)
+        return int(k), float(ev.evaluate(model.transform(scaled))), float(cost)
     try:
-        for k in ks:
-            model, cost = fit_kmeans(scaled, k, restarts, seed)
-            rows.append((int(k), float(ev.evaluate(model.transform(scaled))), float(cost)))
+        # each k is independent: submit them as concurrent Spark jobs
+        with ThreadPoolExecutor(max_workers=min(len(ks), 4)) as pool:
+            rows = list(pool.map(one, ks))
     finally:
         scaled.unpersist()
     best = max(rows, key=lambda r: r[1])[0]

@@ -117,7 +117,7 @@ register("clean_charges", """select customerID,
 register("churn_flag", """select customerID, Churn,
     case when Churn in ('Yes', 'TRUE', '1') then 1 else 0 end as churn_flag from churn_customers""", ["churn_customers"])
 register("spending_ordinal", """select CustomerID, Spending_Score,
-    case Spending_Score when 'Low' then 1.0 when 'Average' then 2.0 when 'High' then 3.0 else 1.0 end
+    cast(case Spending_Score when 'Low' then 1 when 'Average' then 2 when 'High' then 3 else 1 end as double)
       as Spending_Score_Num from demographics""", ["demographics"])
 register("encode_categories", """select customerID,
     dense_rank() over (order by coalesce(Segment, 'nan')) - 1 as Segment,
@@ -126,7 +126,7 @@ register("encode_categories", """select customerID,
   from churn_customers""", ["churn_customers"])
 register("align_features", """select customerID,
     coalesce(cast(Tenure as double), 0) as Tenure, coalesce(cast(MonthlyCharges as double), 0) as MonthlyCharges,
-    coalesce(try_cast(trim(TotalCharges) as double), 0) as TotalCharges, 0.0 as Discount
+    coalesce(try_cast(trim(TotalCharges) as double), 0) as TotalCharges, cast(0 as double) as Discount
   from churn_customers""", ["churn_customers"])
 register("risk_band", """select customerID, probability,
     case when probability > -0.1 and probability <= 0.4 then 'Low'
@@ -151,7 +151,7 @@ register("persona_demographic", """select CustomerID, Age, Family_Size, Spending
           case when Age < 30 then 'Gen Z' when Age < 50 then 'Pro' else 'Senior' end,
           case when Spending_Score_Num > 2.5 then 'Spender' when Spending_Score_Num < 1.5 then 'Saver' end) as Persona
         from (select CustomerID, Age, Family_Size,
-                case Spending_Score when 'Low' then 1.0 when 'Average' then 2.0 when 'High' then 3.0 else 1.0 end
+                cast(case Spending_Score when 'Low' then 1 when 'Average' then 2 when 'High' then 3 else 1 end as double)
                   as Spending_Score_Num from demographics))""", ["demographics"])
 register("persona_churn", """select customerID, probability,
     case when probability > 0.8 then 'Flight Risk (Critical)' when probability > 0.5 then 'At Risk'
@@ -216,7 +216,7 @@ register("segment_profile", """select Cluster, count(*) as size, round(avg(Recen
     round(avg(Frequency), 6) as Frequency, round(avg(Monetary), 6) as Monetary from segments group by Cluster""",
          ["segments"])
 register("segment_sizes", """select Cluster, customers, round(customers / sum(customers) over (), 6) as share,
-    row_number() over (order by customers desc, Cluster) as size_rank
+    cast(row_number() over (order by customers desc, Cluster) as integer) as size_rank
   from (select Cluster, count(*) as customers from segments group by Cluster)""", ["segments"])
 register("segment_labels", f"""select s.CustomerID, s.Cluster, concat_ws(' ',
       case when p.r < 30 then 'Active' when p.r > 90 then 'Lost' else 'Regular' end,
@@ -255,7 +255,7 @@ register("percentile_profile", f"""select CustomerID, metric, value,
 register("customer_index", """select distinct cast(customerID as varchar) as customer_id from churn_customers
   where customerID is not null order by 1 limit 5000""", ["churn_customers"])
 register("churn_kpis", """select round(avg(probability), 6) as avg_probability,
-    count_if(Risk_Group = 'High') as high_risk_count,
+    cast(count_if(Risk_Group = 'High') as bigint) as high_risk_count,
     round(count_if(Risk_Group = 'High') / count(*), 6) as high_risk_share,
     cast(sum(case when Risk_Group = 'High' then cast(MonthlyCharges as decimal(18,2)) end) as double) as revenue_at_risk
   from banded""", ["banded"])
@@ -268,7 +268,7 @@ register("churn_headline", f"""select high_risk, total, round(r, 6) as high_risk
          else '✅ **Healthy:** Only ' || rt || '% of customers are High Risk. Focus on acquisition.' end as headline
   from (select *, case when total > 0 then high_risk * 100.0 / total else 0.0 end as r,
           case when total > 0 then {tenths_sql('high_risk', 'total')} else '0.0' end as rt
-        from (select count_if(Risk_Group = 'High') as high_risk, count(Risk_Group) as total from banded))""",
+        from (select cast(count_if(Risk_Group = 'High') as bigint) as high_risk, count(Risk_Group) as total from banded))""",
          ["banded"])
 register("safest_option", """select feature, option as best_option, round(rate, 6) as churn_rate
   from (select *, count(*) over (partition by feature) as nn,
@@ -299,7 +299,7 @@ register("driver_direction", " union all ".join(
     + ["select 3, 'Contract', cast(null as double), 'Key Risk Driver ⚠️'"]), ["cleaned"])
 register("class_balance", """select negatives, positives,
     case when positives > 0 then negatives / positives else 1.0 end as pos_weight
-  from (select count_if(y = 0) as negatives, count_if(y = 1) as positives
+  from (select cast(count_if(y = 0) as bigint) as negatives, cast(count_if(y = 1) as bigint) as positives
         from (select case when Churn in ('Yes', 'TRUE', '1') then 1 else 0 end as y from churn_customers))""",
          ["churn_customers"])
 
@@ -316,7 +316,8 @@ def _values(rows, cols):
     return f"select * from (values {body}) as t({', '.join(cols)})"
 
 
-CTES["gaz"] = _values(gazetteer_rows(), ["ord", "key", "lat", "lon", "iso3"])
+CTES["gaz"] = ("select cast(ord as integer) as ord, key, cast(lat as double) as lat, cast(lon as double) as lon, iso3 "
+               f"from ({_values(gazetteer_rows(), ['ord', 'key', 'lat', 'lon', 'iso3'])})")
 CTES["iata"] = _values(iata_rows(), ["code", "city"])
 _STRIP = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
 _ROUTE = r"(?i)^(.*?)(?:\s+to\s+|-|\s+via\s+)"
@@ -377,7 +378,8 @@ register("geo_frequency", """select TripID, Mapped_Location,
   from resolved""", ["resolved"])
 register("geo_quality", r"""select (select count(*) from routes) as total_rows,
     (select count(*) from resolved where lat is not null) as mapped,
-    greatest((select count(*) from resolved where lat is null) - e.empty, 0) as unmatched, e.empty
+    cast(greatest((select count(*) from resolved where lat is null) - e.empty, 0) as bigint) as unmatched,
+    cast(e.empty as bigint) as empty
   from (select count_if(Route is null or regexp_replace(Route, '^\s+|\s+$', '', 'g') in ('', 'nan')) as empty
         from routes) e""", ["resolved"])
 register("top_locations", """select Mapped_Location, round(avg(Amount), 6) as avg_Amount from resolved

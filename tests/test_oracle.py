@@ -14,9 +14,16 @@ def con():
     return duck(SF)
 
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_sql(spark, con, name):
-    sp = E.queries()[name](spark, SF).toPandas()
+    sdf = E.queries()[name](spark, SF)
+    duck_types = {r[0]: r[1] for r in con.execute(f"describe ({ORACLE[name]})").fetchall()}
+    assert {n: SPARK_TO_DUCK.get(t, t) for n, t in sdf.dtypes} == duck_types
+    sp = sdf.toPandas()
     dk = con.execute(ORACLE[name]).df()
     c1, r1 = rows(sp)
     c2, r2 = rows(dk)
