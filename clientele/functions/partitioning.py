@@ -18,3 +18,17 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target)
+
+
+def sized(persisted: DataFrame, rows_per_partition: int = 100_000) -> DataFrame:
+    """Match the partition count of a persisted training table to its size.
+
+    Iterative fits run one job per tree level or pass, each with one task per
+    partition; a small table spread over hundreds of shuffle partitions spends
+    its time scheduling. Counting materialises the cache; ``coalesce`` then
+    merges cached partitions without a shuffle. Large tables keep one
+    partition per ``rows_per_partition`` rows (never more than they had).
+    """
+    n = persisted.count()
+    target = max(1, -(-n // rows_per_partition))
+    return persisted.coalesce(target) if target < persisted.rdd.getNumPartitions() else persisted

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import (churn_flag, clean_numbers, feature_columns, is_numeric, risk_band,
                                to_number)
+from ..functions.partitioning import sized
 from ..session import ensure_checkpoint_dir
 from .churn_stats import IMPACT_DOWN, IMPACT_KEY, IMPACT_UP
 
@@ -98,12 +99,13 @@ def train_churn(df: DataFrame, id_col: str = "customerID", label: str = "Churn",
     data = data.withColumn("__w", F.when(F.col("__y") == 1, w).otherwise(F.lit(1.0)))
     train = data.where(split_column(id_col, test_pct)).persist(StorageLevel.MEMORY_AND_DISK)
     ensure_checkpoint_dir(df.sparkSession)
+    fit_on = sized(train)
     gbt = GBTClassifier(featuresCol="__features", labelCol="__y", weightCol="__w", maxIter=max_iter,
                         maxDepth=max_depth, stepSize=step, seed=seed, predictionCol="__pred",
                         cacheNodeIds=True, checkpointInterval=10, maxBins=64)
     gbt.setProbabilityCol("__prob").setRawPredictionCol("__raw")
     try:
-        model = Pipeline(stages=[*_feature_stages(nums, cats), gbt]).fit(train)
+        model = Pipeline(stages=[*_feature_stages(nums, cats), gbt]).fit(fit_on)
     finally:
         train.unpersist()
     fitted = FittedModel(model, nums, cats, id_col, label)
@@ -235,11 +237,12 @@ def train_value(df: DataFrame, id_col: str = "customerID", max_iter: int = 50, m
     data = c.withColumn("__y", to_number(F.col(target)))
     train = data.where(split_column(id_col, test_pct)).persist(StorageLevel.MEMORY_AND_DISK)
     ensure_checkpoint_dir(df.sparkSession)
+    fit_on = sized(train)
     gbt = GBTRegressor(featuresCol="__features", labelCol="__y", maxIter=max_iter, maxDepth=max_depth,
                        stepSize=step, seed=seed, predictionCol="__pred", cacheNodeIds=True,
                        checkpointInterval=10, maxBins=64)
     try:
-        model = Pipeline(stages=[*_feature_stages(nums, cats), gbt]).fit(train)
+        model = Pipeline(stages=[*_feature_stages(nums, cats), gbt]).fit(fit_on)
     finally:
         train.unpersist()
     fitted = FittedModel(model, nums, cats, id_col, target)

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clean import numeric_columns, spending_ordinal
+from ..functions.partitioning import sized
 from .rfm import monetary_quartiles, rfm
 from .rules import segment_labels
 
@@ -83,7 +84,7 @@ def segment(df: DataFrame, k: int = 4, restarts: int = 10, seed: int = 42) -> tu
     scaler = scaling_pipeline(feats).fit(table)
     scaled = scaler.transform(table).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        model, _ = fit_kmeans(scaled, k, restarts, seed)
+        model, _ = fit_kmeans(sized(scaled), k, restarts, seed)
         pred = model.transform(scaled)
         out = pred.withColumn("Cluster", _renumber_by_size(pred)).drop("__raw", "features", "__pred")
     finally:
@@ -132,7 +133,8 @@ def squared_silhouette(df: DataFrame, features: Sequence[str], cluster: str) ->
 def k_sweep(df: DataFrame, ks: Sequence[int] = (2, 3, 4, 5, 6), restarts: int = 10, seed: int = 42) -> DataFrame:
     """ML-8: silhouette (squared Euclidean, on the full table) per k; best k flagged."""
     mode, table, feats = detect_mode(df)
-    scaled = scaling_pipeline(feats).fit(table).transform(table).persist(StorageLevel.MEMORY_AND_DISK)
+    persisted = scaling_pipeline(feats).fit(table).transform(table).persist(StorageLevel.MEMORY_AND_DISK)
+    scaled = sized(persisted)
     ev = ClusteringEvaluator(featuresCol="features", predictionCol="__pred")
 
     def one(k):
@@ -143,7 +145,7 @@ def k_sweep(df: DataFrame, ks: Sequence[int] = (2, 3, 4, 5, 6), restarts: int =
         with ThreadPoolExecutor(max_workers=min(len(ks), 4)) as pool:
             rows = list(pool.map(one, ks))
     finally:
-        scaled.unpersist()
+        persisted.unpersist()
     best = max(rows, key=lambda r: r[1])[0]
     spark = df.sparkSession
     return spark.createDataFrame([(k, s, c, k == best) for k, s, c in rows],

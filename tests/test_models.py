@@ -114,8 +114,12 @@ def test_topics(spark):
     docs = fx.reviews(spark, "/root/testdata/sf0.001").select("ReviewID", clean_text("ReviewBody").alias("Clean_Text"))
     docs = docs.unionByName(spark.createDataFrame([(-1, "ab"), (-2, None)], "ReviewID long, Clean_Text string"))
     model = fit_topics(docs, k=3, max_iter=3)
-    vocab = set(model.stages[2].vocabulary)
-    assert vocab == {r.term for r in vocabulary(docs).collect()}
+    # the DataFrame vocabulary equals what CountVectorizer would fit, in the same order
+    from pyspark.ml import Pipeline
+    from clientele.operators.topics import topic_pipeline, valid_text
+    cv = Pipeline(stages=topic_pipeline("Clean_Text", k=3).getStages()[:3]).fit(docs.where(valid_text("Clean_Text")))
+    assert set(cv.stages[2].vocabulary) == {r.term for r in vocabulary(docs).collect()}
+    assert set(model.stages[2].vocabulary) == set(cv.stages[2].vocabulary)
     t = assign_topics(model, docs)
     assert t.count() == docs.count()
     ids = {r.Topic_ID for r in t.select("Topic_ID").distinct().collect()}
