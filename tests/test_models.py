@@ -120,6 +120,7 @@ def test_topics(spark):
     cv = Pipeline(stages=topic_pipeline("Clean_Text", k=3).getStages()[:3]).fit(docs.where(valid_text("Clean_Text")))
     assert set(cv.stages[2].vocabulary) == {r.term for r in vocabulary(docs).collect()}
     assert set(model.stages[2].vocabulary) == set(cv.stages[2].vocabulary)
+    assert model.stages[3].vocabSize() == len(cv.stages[2].vocabulary)
     t = assign_topics(model, docs)
     assert t.count() == docs.count()
     ids = {r.Topic_ID for r in t.select("Topic_ID").distinct().collect()}
