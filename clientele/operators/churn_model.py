@@ -137,6 +137,12 @@ def score_churn(fitted: FittedModel, df: DataFrame) -> DataFrame:
     return out.drop(*_internal(out))
 
 
+def score_one(fitted: FittedModel, df: DataFrame, customer_id) -> DataFrame:
+    """ML-3: one customer's probability and band: the batch path behind a filter
+    (the filter reaches the scan, so only that customer's rows are read)."""
+    return score_churn(fitted, df.where(F.col(fitted.id_col).cast("string") == str(customer_id)))
+
+
 def gain_importance(fitted: FittedModel) -> DataFrame:
     """Mean split gain per feature over all trees (the saved node table is read
     back with Spark; internal nodes have a left child)."""

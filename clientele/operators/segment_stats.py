@@ -38,12 +38,17 @@ def nearest_centroid(df: DataFrame, features: Sequence[str], centres: Sequence[S
     return df.withColumn(out, e.cast("int"))
 
 
-def segment_profile(df: DataFrame, cluster: str, features: Sequence[str], digits: int | None = 6) -> DataFrame:
-    """AGG-2: mean of each feature per segment (one small aggregate)."""
+def segment_profile(df: DataFrame, cluster: str, features: Sequence[str], digits: int | None = 6,
+                    half_even: bool = False) -> DataFrame:
+    """AGG-2: mean of each feature per segment (one small aggregate).
+
+    ``digits=1, half_even=True`` gives the display table the personas read
+    (means rounded half to even to one decimal)."""
     aggs = []
     for f in features:
         m = F.avg(F.col(f).cast("double"))
-        aggs.append((F.round(m, digits) if digits is not None else m).alias(f))
+        r = (F.bround(m, digits) if half_even else F.round(m, digits)) if digits is not None else m
+        aggs.append(r.alias(f))
     return df.groupBy(cluster).agg(F.count(F.lit(1)).alias("size"), *aggs)
 
 
