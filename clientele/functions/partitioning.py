@@ -32,3 +32,18 @@ def sized(persisted: DataFrame, rows_per_partition: int = 100_000) -> DataFrame:
     n = persisted.count()
     target = max(1, -(-n // rows_per_partition))
     return persisted.coalesce(target) if target < persisted.rdd.getNumPartitions() else persisted
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute a derived table once and cut its lineage (reliable checkpoint).
+
+    Used where one intermediate feeds several passes (the tiers of the
+    location cascade, the cut points and running counts of the ranking):
+    without it each pass would re-read and re-aggregate the source table,
+    since the copies differ in pushed-down filters and cannot share an
+    exchange. The files go to the shared folder in ``spark.checkpoint.dir``
+    (``session.ensure_checkpoint_dir``) and survive the loss of an executor.
+    """
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

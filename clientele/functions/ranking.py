@@ -26,6 +26,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .partitioning import materialize
+
 DEFAULT_BUCKETS = 256
 
 
@@ -52,9 +54,11 @@ def value_ranks(df: DataFrame, value: str, group: str | None = None,
     """(group?, value, cnt, before, n) for every distinct non-null value."""
     n_buckets = _buckets(df, n_buckets)
     keys = [group] if group else []
-    counts = (df.where(F.col(value).isNotNull())
-                .groupBy(*keys, F.col(value).cast("double").alias("__v"))
-                .agg(F.count(F.lit(1)).alias("cnt")))
+    # one row per distinct value; it feeds the cut points, the bucket totals and
+    # the running counts, so it is computed once (the source is read once)
+    counts = materialize(df.where(F.col(value).isNotNull())
+                         .groupBy(*keys, F.col(value).cast("double").alias("__v"))
+                         .agg(F.count(F.lit(1)).alias("cnt")))
     probs = [i / n_buckets for i in range(1, n_buckets)]
     cuts = counts.groupBy(*keys).agg(F.percentile_approx("__v", probs, accuracy).alias("cuts"))
     # Bounded: one array of n_buckets-1 doubles per group.

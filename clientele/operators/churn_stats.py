@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clean import churn_flag, is_numeric
+from ..functions.partitioning import materialize
 from ..functions.ranking import exact_quantiles, modes
 
 # Driver direction texts.
@@ -63,6 +64,8 @@ def typical_customer(df: DataFrame, exclude: Sequence[str] = ("customerID", "Chu
     cols = [c for c in df.columns if c.lower() not in ex]
     nums = [c for c in cols if is_numeric(df, c)]
     cats = [c for c in cols if c not in nums]
+    # medians and modes read the input several times: compute it once
+    df = materialize(df.select(*cols))
     out = {}
     if nums:
         long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("f"), F.col(c).cast("double").alias("v"))

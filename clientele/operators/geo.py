@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.joins import dimension
+from ..functions.partitioning import materialize
 
 
 # Patterns of the location clean-up.
@@ -113,7 +114,9 @@ def analyze_locations(df: DataFrame, col: str, gaz: DataFrame, iata: DataFrame,
     """
     gaz = dimension(gaz, name="gazetteer")
     cleaned = clean_location(df, col, iata)
-    res = resolve_locations(distinct_locations(cleaned), gaz, fuzzy)
+    # the distinct locations feed every tier and the anti-joins between them:
+    # computed once, so the source is read twice in all (here and for the rows)
+    res = resolve_locations(materialize(distinct_locations(cleaned)), gaz, fuzzy)
     res = res.select(F.col("city").alias("clean_loc"), "lat", "lon", "iso3", "match_tier")
     # one row per distinct location: grows with the data, so no hint; the
     # planner / AQE broadcast it when its measured size allows, else a shuffle

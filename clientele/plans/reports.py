@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.clean import clean_numbers, risk_band
+from ..functions.partitioning import materialize
 from ..operators.churn_stats import (churn_kpis, class_balance, driver_direction, risk_histogram,
                                      safest_option, typical_customer)
 from ..operators.customer import customer_index, customer_vs_segment, percentile_profile
@@ -22,7 +23,8 @@ RFM_CENTRES = [(-1.0, 1.0, 1.0), (1.0, -1.0, -1.0), (0.0, 0.0, 0.0), (2.0, 0.0,
 
 
 def rfm_segments(spark, sf_dir):
-    r = rfm(fx.transactions(spark, sf_dir))
+    # the RFM table feeds the moments, the assignment and the later statistics
+    r = materialize(rfm(fx.transactions(spark, sf_dir)))
     z = standardise(r, RFM_FEATURES)
     seg = nearest_centroid(z, [f + "_z" for f in RFM_FEATURES], RFM_CENTRES)
     return seg.select("CustomerID", *RFM_FEATURES, "Cluster")

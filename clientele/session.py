@@ -18,6 +18,8 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # 64 MB scan splits keep a task's input well inside executor memory at any size.
     "spark.sql.files.maxPartitionBytes": str(64 * 1024 * 1024),
+    # remove checkpoint files of intermediates once they are no longer referenced
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
