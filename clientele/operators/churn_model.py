@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from ..functions.clean import (churn_flag, clean_numbers, feature_columns, is_numeric, risk_band,
                                to_number)
 from ..functions.partitioning import sized
+from ..functions.scalars import row_values
 from ..session import ensure_checkpoint_dir
 from .churn_stats import IMPACT_DOWN, IMPACT_KEY, IMPACT_UP
 
@@ -162,10 +163,11 @@ def directional_importance(fitted: FittedModel, scored: DataFrame, top: int = 5)
     sign of its correlation with the churn probability."""
     imp = gain_importance(fitted).orderBy(F.desc("Importance"), "Feature").limit(top)
     nums = [f for f in fitted.numeric if f in scored.columns]
-    corr = scored.agg(*[F.corr(F.col(f).cast("double"), F.col("Churn_Probability")).alias(f) for f in nums])
+    corr = row_values(scored.agg(*[F.corr(F.col(f).cast("double"), F.col("Churn_Probability")).alias(f)
+                                   for f in nums])) if nums else {}
     c = None
     for f in nums:
-        v = corr.select(f).scalar()
+        v = corr[f]
         c = F.when(F.col("Feature") == f, v) if c is None else c.when(F.col("Feature") == f, v)
     c = c if c is not None else F.lit(None).cast("double")
     impact = (F.when(F.col("Feature").isin(nums), F.when(~F.isnan(c) & (c > 0), IMPACT_UP).otherwise(IMPACT_DOWN))

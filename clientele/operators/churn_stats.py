@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.clean import churn_flag, is_numeric
 from ..functions.partitioning import materialize
 from ..functions.ranking import exact_quantiles, modes
+from ..functions.scalars import row_values
 
 # Driver direction texts.
 IMPACT_UP, IMPACT_DOWN, IMPACT_KEY = "Increases Risk 🔴", "Decreases Risk 🟢", "Key Risk Driver ⚠️"
@@ -72,14 +73,13 @@ def typical_customer(df: DataFrame, exclude: Sequence[str] = ("customerID", "Chu
                                              for c in nums])).alias("s")).select("s.*")
         med = exact_quantiles(long, "v", [0.5], group="f", names=["median"])
         row = med.groupBy().pivot("f", nums).agg(F.first("median"))
-        for c in nums:
-            out[c] = row.select(F.round(F.col(c), 6)).scalar()
+        vals = row_values(row.select(*[F.round(F.col(c), 6).alias(c) for c in nums]))
+        out.update(vals)
     if cats:
         long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("f"), F.col(c).cast("string").alias("v"))
                                              for c in cats])).alias("s")).select("s.*")
         row = modes(long, "v", group="f").groupBy().pivot("f", cats).agg(F.first("v"))
-        for c in cats:
-            out[c] = row.select(F.col(c)).scalar()
+        out.update(row_values(row, cats))
     # every value is a scalar subquery over a tiny result; one output row
     return df.sparkSession.range(1).select(*[out[c].alias(c) for c in cols])
 
@@ -88,11 +88,12 @@ def driver_direction(scored: DataFrame, drivers: Sequence[str], probability: str
     """AGG-12: sign of corr(feature, probability); non-numeric features are key
     drivers; a correlation that is not above 0 (also NaN) reads as decreasing."""
     nums = [d for d in drivers if d in scored.columns and is_numeric(scored, d)]
-    corr = scored.agg(*[F.corr(F.col(d).cast("double"), F.col(probability)).alias(d) for d in nums]) if nums else None
+    corr = row_values(scored.agg(*[F.corr(F.col(d).cast("double"), F.col(probability)).alias(d)
+                                   for d in nums])) if nums else {}
     rows = []
     for i, d in enumerate(drivers):
         if d in nums:
-            c = corr.select(d).scalar()
+            c = corr[d]
             impact = F.when(~F.isnan(c) & (c > 0), IMPACT_UP).otherwise(IMPACT_DOWN)
             rows.append(F.struct(F.lit(i).alias("rank"), F.lit(d).alias("Feature"),
                                  F.round(c, 6).alias("correlation"), impact.alias("Impact")))

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.joins import dimension
 from ..functions.partitioning import materialize
+from ..functions.scalars import row_values
 
 
 # Patterns of the location clean-up.
@@ -148,7 +149,8 @@ def geo_quality(raw: DataFrame, geo: DataFrame, col: str) -> DataFrame:
                            | (_strip(F.col(col).cast("string")) == "nan")).alias("empty"))
     g = geo.agg(F.count_if(F.col("lat").isNotNull()).alias("mapped"),
                 F.count_if(F.col("lat").isNull()).alias("no_coords"))
-    mapped, no_coords = g.select("mapped").scalar(), g.select("no_coords").scalar()
+    gv = row_values(g)
+    mapped, no_coords = gv["mapped"], gv["no_coords"]
     return r.select("total_rows", mapped.alias("mapped"),
                     F.greatest(no_coords - F.col("empty"), F.lit(0)).alias("unmatched"), "empty")
 

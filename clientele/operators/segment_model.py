@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import numeric_columns, spending_ordinal
 from ..functions.partitioning import sized
+from ..functions.scalars import row_values
 from .rfm import monetary_quartiles, rfm
 from .rules import segment_labels
 
@@ -91,7 +92,8 @@ def segment(df: DataFrame, k: int = 4, restarts: int = 10, seed: int = 42) -> tu
         scaled.unpersist()
     if mode == "rfm":
         q = monetary_quartiles(out)
-        q1, q3 = q.select("q1").scalar(), q.select("q3").scalar()
+        qv = row_values(q)
+        q1, q3 = qv["q1"], qv["q3"]
     else:
         q1 = q3 = None
     summary = out.groupBy("Cluster").agg(*[F.avg(F.col(f).cast("double")).alias(f) for f in feats])

@@ -43,6 +43,7 @@ def q_segment_rules(spark, sf_dir):
 
 # --- churn and value models -------------------------------------------------------------
 from ..functions.clean import clean_numbers  # noqa: E402
+from ..functions.scalars import row_values  # noqa: E402
 from ..operators.churn_model import (attribute, directional_importance, expand_scenarios, score_churn,  # noqa: E402
                                      score_scenarios, score_value, train_churn, train_value)
 from ..operators.churn_stats import typical_customer  # noqa: E402
@@ -112,7 +113,7 @@ def q_churn_attribution(spark, sf_dir):
     fitted, _ = churn_model(spark, sf_dir)
     cust = fx.churn_customers(spark, sf_dir)
     typ = typical_customer(clean_numbers(cust))
-    neutral = {f: typ.select(f).scalar() for f in fitted.features if f in typ.columns}
+    neutral = row_values(typ, [f for f in fitted.features if f in typ.columns])
     return attribute(fitted, cust, neutral)
 
 

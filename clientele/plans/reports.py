@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import clean_numbers, risk_band
 from ..functions.partitioning import materialize
+from ..functions.scalars import row_values
 from ..operators.churn_stats import (churn_kpis, class_balance, driver_direction, risk_histogram,
                                      safest_option, typical_customer)
 from ..operators.customer import customer_index, customer_vs_segment, percentile_profile
@@ -56,8 +57,8 @@ def q_segment_sizes(spark, sf_dir):
 def q_segment_labels(spark, sf_dir):
     seg = rfm_segments(spark, sf_dir)
     q = monetary_quartiles(seg)
-    labels = label_segments(seg, "rfm", "Cluster", RFM_FEATURES,
-                            q1=q.select("q1").scalar(), q3=q.select("q3").scalar())
+    qv = row_values(q)
+    labels = label_segments(seg, "rfm", "Cluster", RFM_FEATURES, q1=qv["q1"], q3=qv["q3"])
     return attach_labels(seg, labels).select("CustomerID", "Cluster", "Cluster_Label")
 
 
