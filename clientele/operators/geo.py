@@ -70,10 +70,17 @@ def exact_tier(cities: DataFrame, gaz: DataFrame) -> DataFrame:
     return cities.join(F.broadcast(gaz.select(F.col("key"), "ord")), F.col("city") == F.col("key")).select("city", "key")
 
 
-def substring_tier(cities: DataFrame, gaz: DataFrame) -> DataFrame:
-    """JOIN-3: the first key (in gazetteer order) contained in the city."""
+def substring_tier(cities: DataFrame, gaz: DataFrame, word_boundary: bool = False) -> DataFrame:
+    """JOIN-3: the first key (in gazetteer order) contained in the city.
+
+    By default any substring counts (so 'lima' hits 'limassol', as in the
+    reference); ``word_boundary=True`` only accepts whole words."""
     g = F.broadcast(gaz.select("key", "ord"))
-    hits = cities.join(g, F.col("city").contains(F.col("key")))
+    if word_boundary:
+        cond = F.concat(F.lit(" "), F.col("city"), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("key"), F.lit(" ")))
+    else:
+        cond = F.col("city").contains(F.col("key"))
+    hits = cities.join(g, cond)
     return hits.groupBy("city").agg(F.min_by("key", "ord").alias("key"))
 
 
@@ -94,18 +101,19 @@ def fuzzy_tier(cities: DataFrame, gaz: DataFrame, cutoff: float = FUZZY_CUTOFF)
     return best.select("city", F.col("b.key").alias("key"), F.col("b.score").alias("score"))
 
 
-def resolve_locations(cities: DataFrame, gaz: DataFrame, fuzzy=fuzzy_tier) -> DataFrame:
+def resolve_locations(cities: DataFrame, gaz: DataFrame, fuzzy=fuzzy_tier, word_boundary: bool = False) -> DataFrame:
     """JOIN-5: exact -> substring -> fuzzy; (city, key, match_tier, lat, lon, iso3)."""
     t1 = exact_tier(cities, gaz).withColumn("match_tier", F.lit("exact"))
     rest1 = cities.join(t1.select("city"), "city", "left_anti")
-    t2 = substring_tier(rest1, gaz).withColumn("match_tier", F.lit("substring"))
+    t2 = substring_tier(rest1, gaz, word_boundary).withColumn("match_tier", F.lit("substring"))
     rest2 = rest1.join(t2.select("city"), "city", "left_anti")
     t3 = fuzzy(rest2, gaz).select("city", "key").withColumn("match_tier", F.lit("fuzzy"))
     hits = t1.unionByName(t2).unionByName(t3)
     return hits.join(F.broadcast(gaz.select("key", "lat", "lon", "iso3")), "key")
 
 
-def analyze_locations(df: DataFrame, col: str, gaz: DataFrame, iata: DataFrame, fuzzy=fuzzy_tier) -> DataFrame:
+def analyze_locations(df: DataFrame, col: str, gaz: DataFrame, iata: DataFrame, fuzzy=fuzzy_tier,
+                      word_boundary: bool = False) -> DataFrame:
     """Rows + lat, lon, iso3, match_tier ('none' when not found) and
     Mapped_Location (title case of the cleaned text).
 
@@ -117,7 +125,7 @@ def analyze_locations(df: DataFrame, col: str, gaz: DataFrame, iata: DataFrame,
     cleaned = clean_location(df, col, iata)
     # the distinct locations feed every tier and the anti-joins between them:
     # computed once, so the source is read twice in all (here and for the rows)
-    res = resolve_locations(materialize(distinct_locations(cleaned)), gaz, fuzzy)
+    res = resolve_locations(materialize(distinct_locations(cleaned)), gaz, fuzzy, word_boundary)
     res = res.select(F.col("city").alias("clean_loc"), "lat", "lon", "iso3", "match_tier")
     # one row per distinct location: grows with the data, so no hint; the
     # planner / AQE broadcast it when its measured size allows, else a shuffle
