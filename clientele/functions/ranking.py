@@ -29,15 +29,17 @@ from pyspark.sql import functions as F
 from .partitioning import materialize
 
 DEFAULT_BUCKETS = 256
+MAX_BUCKETS = 1024
 
 
 def _buckets(df: DataFrame, n: int | None) -> int:
-    """Default bucket count: at least 256, and 4 per shuffle partition, so a
-    bucket's running-count window stays a small task as the cluster grows."""
+    """Default bucket count: 4 per shuffle partition, between 256 and 1,024, so
+    a bucket's running-count window stays a small task as the cluster grows
+    while the CASE tree (about 2 x buckets nodes per group) stays compact."""
     if n:
         return n
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(DEFAULT_BUCKETS, 4 * parts)
+    return min(MAX_BUCKETS, max(DEFAULT_BUCKETS, 4 * parts))
 
 
 def _bucket_tree(v: Column, bounds: Sequence[float], lo: int = 0) -> Column:

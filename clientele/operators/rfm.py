@@ -25,9 +25,10 @@ def rfm(tx: DataFrame, customer: str = "CustomerID", date: str = "InvoiceDate",
                   F.count(F.lit(1)).alias("Frequency"),
                   # decimal sum: exact, so independent of summation order
                   F.sum(F.col(amount).cast("decimal(18,2)")).cast("double").alias("Monetary")))
-    return agg.select(customer,
-                      F.timestamp_diff("DAY", F.col("__last"), snap).alias("Recency"),
-                      "Frequency", "Monetary")
+    # whole days of the difference (24-hour units, as pandas' Timedelta.days);
+    # interval arithmetic on the values themselves, so no session time zone enters
+    days = F.extract(F.lit("DAY"), snap - F.col("__last")).cast("bigint")
+    return agg.select(customer, days.alias("Recency"), "Frequency", "Monetary")
 
 
 def monetary_quartiles(rfm_df: DataFrame, col: str = "Monetary") -> DataFrame:

@@ -54,7 +54,7 @@ def scaling_pipeline(features: Sequence[str]) -> Pipeline:
 
 
 def fit_kmeans(scaled: DataFrame, k: int, restarts: int = 10, seed: int = 42, max_iter: int = 20,
-               parallelism: int = 4):
+               parallelism: int | None = None):
     """Best of ``restarts`` k-means fits by training cost -> (model, cost).
 
     The restarts are independent, so they are submitted as concurrent Spark
@@ -63,6 +63,7 @@ def fit_kmeans(scaled: DataFrame, k: int, restarts: int = 10, seed: int = 42, ma
     def fit(r):
         m = KMeans(k=k, seed=seed + r, maxIter=max_iter, featuresCol="features", predictionCol="__pred").fit(scaled)
         return r, m, m.summary.trainingCost
+    parallelism = parallelism or scaled.sparkSession.sparkContext.defaultParallelism
     with ThreadPoolExecutor(max_workers=max(1, min(parallelism, restarts))) as pool:
         fits = list(pool.map(fit, range(restarts)))
     r, m, cost = min(fits, key=lambda t: (t[2], t[0]))
