@@ -79,10 +79,13 @@ def column_kinds(df: DataFrame) -> list[tuple[str, str]]:
     return out
 
 
-def evaluate_readiness(cols: Sequence[tuple[str, str]]) -> list[dict]:
-    """Rule rows for one table's (name, kind) list; pure metadata."""
+def evaluate_readiness(cols: Sequence[tuple[str, str]], modules: Sequence[str] | None = None) -> list[dict]:
+    """Rule rows for one table's (name, kind) list; pure metadata. ``modules``
+    limits the report to some modules (roles are always included)."""
     rows = []
     for module, flavor, std, pattern, expected in READINESS_RULES:
+        if modules is not None and module not in modules:
+            continue
         src = next((c for c, _ in cols if re.search(pattern, c)), None)
         kind = dict(cols).get(src)
         type_ok = None if src is None else (expected is None or kind == expected)
@@ -126,10 +129,10 @@ _REPORT_META = [("module", "string"), ("flavor", "string"), ("standard_column",
                 ("ready", "boolean"), ("module_ready", "boolean"), ("chosen_flavor", "string")]
 
 
-def readiness_report(df: DataFrame, table_name: str) -> DataFrame:
+def readiness_report(df: DataFrame, table_name: str, modules: Sequence[str] | None = None) -> DataFrame:
     """PRF-1, PRF-2, PRF-7: one row per rule and role, with data measures of the
     matched column (rows, nulls, non-null values that do not read as numbers)."""
-    rows = evaluate_readiness(column_kinds(df))
+    rows = evaluate_readiness(column_kinds(df), modules)
     used = sorted({r["source_column"] for r in rows if r["source_column"]})
     numeric = {r["source_column"] for r in rows if r["source_column"] and r["expected_type"] == "numeric"}
     aggs = [F.count(F.lit(1)).alias("__rows")]
