@@ -70,8 +70,12 @@ def _feature_stages(numeric: Sequence[str], categorical: Sequence[str]) -> list:
     return stages
 
 
+_STAGE_SUFFIXES = ("__num", "__txt", "__code", "__ord")
+
+
 def _internal(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if "__" in c]
+    """Columns the pipeline stages add (never a caller's own column)."""
+    return [c for c in df.columns if c.startswith("__") or c.endswith(_STAGE_SUFFIXES)]
 
 
 def split_column(id_col: str, test_pct: int = 20) -> Column:

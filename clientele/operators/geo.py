@@ -30,7 +30,8 @@ FUZZY_CUTOFF = 0.75
 
 
 def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Python's str.strip(): Unicode white space plus the separators U+001C..U+001F."""
+    return F.regexp_replace(c, r"(?U)^[\s\x{1c}-\x{1f}]+|[\s\x{1c}-\x{1f}]+$", "")
 
 
 def clean_location(df: DataFrame, col: str, iata: DataFrame, out: str = "clean_loc",
@@ -45,9 +46,10 @@ def clean_location(df: DataFrame, col: str, iata: DataFrame, out: str = "clean_l
     v = F.when(v.isNull() | (v == "") | (F.lower(v) == "nan"), F.lit(None).cast("string")).otherwise(v)
     origin = F.when(v.rlike(ROUTE_PATTERN), _strip(F.regexp_extract(v, ROUTE_PATTERN, 1))).otherwise(v)
     staged = df.withColumn("__o", origin)
-    # one row per three-letter code: at most 26^3 rows, so always safe to broadcast
-    codes = F.broadcast(iata.where(F.length("code") == 3)
-                        .groupBy(F.upper("code").alias("__code")).agg(F.max(F.lower("city")).alias("__iata_city")))
+    # one row per three-character code (a dimension: size checked, then broadcast)
+    codes = dimension(iata.where(F.length("code") == 3)
+                      .groupBy(F.upper("code").alias("__code")).agg(F.max(F.lower("city")).alias("__iata_city")),
+                      name="airport codes")
     j = staged.join(codes, (F.length("__o") == 3) & (F.upper("__o") == F.col("__code")), "left")
     w = F.regexp_replace(F.col("__o"), NOISE_PATTERN, "")
     w = F.regexp_replace(w, PAREN_PATTERN, "")
