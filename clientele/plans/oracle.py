@@ -390,25 +390,44 @@ register("top_locations", """select Mapped_Location, round(avg(Amount), 6) as av
 _NEG, _UP, _DOWN = "('aint', 'arent', 'cannot', 'cant', 'couldnt', 'darent', 'didnt', 'doesnt', 'dont', 'hadnt', 'hasnt', 'havent', 'isnt', 'mightnt', 'mustnt', 'neednt', 'neither', 'never', 'no', 'none', 'nope', 'nor', 'not', 'nothing', 'nowhere', 'oughtnt', 'shant', 'shouldnt', 'wasnt', 'werent', 'without', 'wont', 'wouldnt', 'rarely', 'seldom', 'despite')", "('absolutely', 'amazingly', 'awfully', 'completely', 'considerably', 'decidedly', 'deeply', 'enormously', 'entirely', 'especially', 'exceptionally', 'extremely', 'fabulously', 'fully', 'greatly', 'highly', 'hugely', 'incredibly', 'intensely', 'majorly', 'more', 'most', 'particularly', 'purely', 'quite', 'really', 'remarkably', 'so', 'substantially', 'thoroughly', 'totally', 'tremendously', 'unbelievably', 'unusually', 'utterly', 'very')", "('almost', 'barely', 'hardly', 'kinda', 'less', 'little', 'marginally', 'occasionally', 'partly', 'scarcely', 'slightly', 'somewhat', 'sorta')"
 
 
-def _boost_sql(p: str, d: float) -> str:
-    return (f"(case when {p} in {_UP} then 0.293 when {p} in {_DOWN} then -0.293 else 0.0 end) "
-            f"* (case when valence < 0 then -1.0 else 1.0 end) * {d}")
+_BOOSTERS = _UP[:-1] + ", " + _DOWN[1:]
 
 
+def _boost_sql(p: str, c: str, d: float) -> str:
+    sign = "(case when valence < 0 then -1.0 else 1.0 end)"
+    return (f"((case when {p} in {_UP} then 0.293 when {p} in {_DOWN} then -0.293 else 0.0 end) "
+            f"+ (case when {p} in {_BOOSTERS} and cd and coalesce({c}, false) then 0.733 else 0.0 end)) "
+            f"* {sign} * {d}")
+
+
+_NEGS = " + ".join(f"coalesce({p} in {_NEG}, false)::int" for p in ("p1", "p2", "p3"))
+_ADJ = (f"(valence + (case when cd and caps then 0.733 else 0.0 end) * (case when valence < 0 then -1.0 else 1.0 end)"
+        f" + {_boost_sql('p1', 'c1', 1.0)} + {_boost_sql('p2', 'c2', 0.95)} + {_boost_sql('p3', 'c3', 0.9)})"
+        f" * power(-0.74, {_NEGS})"
+        f" * (case when bp > 0 and pos < bp then 0.5 when bp > 0 and pos > bp then 1.5 else 1.0 end)")
+_AMP = ("(least(length(ReviewBody) - length(replace(ReviewBody, '!', '')), 4) * 0.292"
+        " + case when length(ReviewBody) - length(replace(ReviewBody, '?', '')) > 1 then"
+        " case when length(ReviewBody) - length(replace(ReviewBody, '?', '')) <= 3"
+        " then (length(ReviewBody) - length(replace(ReviewBody, '?', ''))) * 0.18 else 0.96 end else 0.0 end)")
 CTES["scored_reviews"] = f"""select r.*, case when r.ReviewBody is null or trim(r.ReviewBody) = '' then 0.0
-    else round(coalesce(s.raw / sqrt(s.raw * s.raw + 15.0), 0.0), 4) end as Sentiment_Score
-  from reviews r left join (
-    select ReviewID, sum((valence + {_boost_sql('p1', 1.0)} + {_boost_sql('p2', 0.95)} + {_boost_sql('p3', 0.9)})
-                         * power(-0.74, (coalesce(p1 in {_NEG}, false)::int + coalesce(p2 in {_NEG}, false)::int
-                                          + coalesce(p3 in {_NEG}, false)::int))) as raw
-    from (select *, lag(tok, 1) over w as p1, lag(tok, 2) over w as p2, lag(tok, 3) over w as p3
-          from (select ReviewID, unnest(arr) as tok, unnest(range(1, len(arr) + 1)) as pos
-                from (select ReviewID, list_filter(regexp_split_to_array(
-                        regexp_replace(lower(ReviewBody), '[''’]', '', 'g'), '[^a-z]+'), lambda x: x <> '') as arr
-                      from reviews where not (ReviewBody is null or trim(ReviewBody) = '')))
-          window w as (partition by ReviewID order by pos)) t
+    else round(ss / sqrt(ss * ss + 15.0), 4) end as Sentiment_Score
+  from (select r.*, case when coalesce(s.raw, 0.0) > 0 then s.raw + {_AMP}
+                         when coalesce(s.raw, 0.0) < 0 then s.raw - {_AMP} else 0.0 end as ss
+        from reviews r left join (
+    select ReviewID, sum({_ADJ}) as raw
+    from (select *, lag(tok, 1) over w as p1, lag(tok, 2) over w as p2, lag(tok, 3) over w as p3,
+                 lag(caps, 1) over w as c1, lag(caps, 2) over w as c2, lag(caps, 3) over w as c3,
+                 bool_or(caps) over d and bool_or(not caps) over d as cd,
+                 coalesce(min(case when tok = 'but' then pos end) over d, 0) as bp
+          from (select ReviewID, raw, lower(raw) as tok, raw = upper(raw) as caps, pos
+                from (select ReviewID, unnest(arr) as raw, unnest(range(1, len(arr) + 1)) as pos
+                      from (select ReviewID, list_filter(regexp_split_to_array(
+                              regexp_replace(ReviewBody, '[''’]', '', 'g'), '[^A-Za-z]+'), lambda x: x <> '') as arr
+                            from reviews where not (ReviewBody is null or trim(ReviewBody) = ''))))
+          window w as (partition by ReviewID order by pos), d as (partition by ReviewID)) t
     join test_lexicon l on t.tok = l.token
-    group by ReviewID) s on r.ReviewID = s.ReviewID"""
+    where t.tok not in {_BOOSTERS}
+    group by ReviewID) s on r.ReviewID = s.ReviewID) r"""
 DEPS["scored_reviews"] = ["reviews", "test_lexicon"]
 _LABEL = ("case when Sentiment_Score >= 0.05 then 'Positive' when Sentiment_Score <= -0.05 then 'Negative' "
           "else 'Neutral' end")
