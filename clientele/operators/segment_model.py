@@ -185,7 +185,8 @@ def segment_rules(segmented: DataFrame, features: Sequence[str], cluster: str =
     """ML-9: a depth-3 tree on the unscaled features predicting the cluster; one
     row per leaf: condition text, predicted cluster, rows reaching it, purity."""
     asm = VectorAssembler(inputCols=list(features), outputCol="__x")
-    dt = DecisionTreeClassifier(featuresCol="__x", labelCol="__y", maxDepth=max_depth, seed=seed)
+    # finer candidate thresholds (128 bins) bring the splits close to exact ones
+    dt = DecisionTreeClassifier(featuresCol="__x", labelCol="__y", maxDepth=max_depth, seed=seed, maxBins=128)
     data = segmented.withColumn("__y", F.col(cluster).cast("double"))
     model = Pipeline(stages=[asm, dt]).fit(data).stages[-1]
     leaves: list = []
