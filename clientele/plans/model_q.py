@@ -63,14 +63,14 @@ _CACHE: dict = {}
 
 
 def churn_model(spark, sf_dir):
-    key = ("churn", id(spark), sf_dir, CHURN_ROUNDS)
+    key = ("churn", spark.sparkContext.applicationId, sf_dir, CHURN_ROUNDS)
     if key not in _CACHE:
         _CACHE[key] = train_churn(fx.churn_customers(spark, sf_dir), max_iter=CHURN_ROUNDS)
     return _CACHE[key]
 
 
 def value_model(spark, sf_dir):
-    key = ("value", id(spark), sf_dir, VALUE_ROUNDS)
+    key = ("value", spark.sparkContext.applicationId, sf_dir, VALUE_ROUNDS)
     if key not in _CACHE:
         _CACHE[key] = train_value(fx.churn_customers(spark, sf_dir), max_iter=VALUE_ROUNDS)
     return _CACHE[key]
