@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.partitioning import spread
 from .io import read_table
 
 MONEY = "decimal(18,2)"
@@ -92,7 +93,7 @@ def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def test_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frequent tokens of the test prose with a formula valence (no real lexicon is installed)."""
-    d = read_table(spark, sf_dir, "documents")
+    d = spread(read_table(spark, sf_dir, "documents").select("text"))
     w = d.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w"))
     freq = w.where(F.length("w") > 3).groupBy("w").count().where(F.col("count") >= 20)
     val = F.length("w") * 7 % 9 - 4
