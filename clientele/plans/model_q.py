@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.segment_model import k_sweep, segment, segment_rules, squared_silhouette
+from ..functions.clean import clean_numbers
+from ..functions.scalars import row_values
+from ..operators.churn_model import (attribute, directional_importance, expand_scenarios, score_churn,
+                                     score_scenarios, score_value, train_churn, train_value)
+from ..operators.churn_stats import typical_customer
+from ..operators.rfm import rfm
+from ..operators.segment_model import k_sweep, sample_rows, segment, segment_rules, squared_silhouette
 from ..sources import fixtures as fx
 from .registry import query
 from .reports import RFM_FEATURES, rfm_segments
@@ -42,11 +48,6 @@ def q_segment_rules(spark, sf_dir):
 
 
 # --- churn and value models -------------------------------------------------------------
-from ..functions.clean import clean_numbers  # noqa: E402
-from ..functions.scalars import row_values  # noqa: E402
-from ..operators.churn_model import (attribute, directional_importance, expand_scenarios, score_churn,  # noqa: E402
-                                     score_scenarios, score_value, train_churn, train_value)
-from ..operators.churn_stats import typical_customer  # noqa: E402
 
 # Boosting rounds of the registered queries (the operator default is 100, as the
 # reference); queries use fewer so that a round of checks stays short.
@@ -131,6 +132,4 @@ def q_value_scores(spark, sf_dir):
 @query("customer_sample")
 def q_customer_sample(spark, sf_dir):
     """TOP-4: the repeatable 1,000-customer sample the k sweep can run on."""
-    from ..operators.rfm import rfm
-    from ..operators.segment_model import sample_rows
     return sample_rows(rfm(fx.transactions(spark, sf_dir)), "CustomerID", 1000)

@@ -6,6 +6,11 @@ prefixes a query body with the CTEs it names.
 
 from __future__ import annotations
 
+from ..operators.profile import evaluate_capabilities, evaluate_readiness
+from ..operators.sentiment import BOOSTERS_DOWN, BOOSTERS_UP, NEGATORS
+from ..operators.topics import STOP_WORDS
+from ..sources.dimensions import gazetteer_rows, iata_rows
+
 # Derived inputs, DuckDB spelling of clientele.sources.fixtures.
 CTES = {
     "transactions": """select o_custkey as CustomerID, o_orderdate as InvoiceDate,
@@ -304,7 +309,6 @@ register("class_balance", """select negatives, positives,
          ["churn_customers"])
 
 # ---- locations ----------------------------------------------------------------------
-from ..sources.dimensions import gazetteer_rows, iata_rows  # noqa: E402
 
 
 def _values(rows, cols):
@@ -387,7 +391,11 @@ register("top_locations", """select Mapped_Location, round(avg(Amount), 6) as av
          ["resolved"])
 
 # ---- sentiment ----------------------------------------------------------------------
-_NEG, _UP, _DOWN = "('aint', 'arent', 'cannot', 'cant', 'couldnt', 'darent', 'didnt', 'doesnt', 'dont', 'hadnt', 'hasnt', 'havent', 'isnt', 'mightnt', 'mustnt', 'neednt', 'neither', 'never', 'no', 'none', 'nope', 'nor', 'not', 'nothing', 'nowhere', 'oughtnt', 'shant', 'shouldnt', 'wasnt', 'werent', 'without', 'wont', 'wouldnt', 'rarely', 'seldom', 'despite')", "('absolutely', 'amazingly', 'awfully', 'completely', 'considerably', 'decidedly', 'deeply', 'enormously', 'entirely', 'especially', 'exceptionally', 'extremely', 'fabulously', 'fully', 'greatly', 'highly', 'hugely', 'incredibly', 'intensely', 'majorly', 'more', 'most', 'particularly', 'purely', 'quite', 'really', 'remarkably', 'so', 'substantially', 'thoroughly', 'totally', 'tremendously', 'unbelievably', 'unusually', 'utterly', 'very')", "('almost', 'barely', 'hardly', 'kinda', 'less', 'little', 'marginally', 'occasionally', 'partly', 'scarcely', 'slightly', 'somewhat', 'sorta')"
+def _sql_list(words) -> str:
+    return "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
+
+
+_NEG, _UP, _DOWN = _sql_list(NEGATORS), _sql_list(BOOSTERS_UP), _sql_list(BOOSTERS_DOWN)
 
 
 _BOOSTERS = _UP[:-1] + ", " + _DOWN[1:]
@@ -441,7 +449,6 @@ register("sentiment_by_group", f"""select lang, {_LABEL} as Sentiment_Label, cou
   from scored_reviews group by all""", ["scored_reviews"])
 
 # ---- profiling ------------------------------------------------------------------------
-from ..operators.profile import evaluate_capabilities, evaluate_readiness  # noqa: E402
 
 # Schemas of the derived inputs (name, kind), as FIXTURES.md defines them.
 FIXTURE_COLUMNS = {
@@ -535,7 +542,7 @@ register("scenario_grid", """select customerID, s.scenario_id, coalesce(s.c, Con
     coalesce(s.su, Support) as Support, coalesce(s.t, Tenure) as Tenure, coalesce(s.mc, MonthlyCharges) as MonthlyCharges
   from cleaned, (select 'base' as scenario_id, cast(null as varchar) as c, cast(null as varchar) as su, cast(null as double) as t, cast(null as double) as mc union all select 'two_year_contract' as scenario_id, 'Two year' as c, cast(null as varchar) as su, cast(null as double) as t, cast(null as double) as mc union all select 'with_support' as scenario_id, cast(null as varchar) as c, 'Yes' as su, cast(null as double) as t, cast(null as double) as mc union all select 'tenure_48' as scenario_id, cast(null as varchar) as c, cast(null as varchar) as su, cast(48.0 as double) as t, cast(null as double) as mc union all select 'charges_50k' as scenario_id, cast(null as varchar) as c, cast(null as varchar) as su, cast(null as double) as t, cast(50000.0 as double) as mc) s""", ["cleaned"])
 
-_STOP = "('a', 'about', 'after', 'all', 'also', 'an', 'and', 'any', 'are', 'as', 'at', 'be', 'been', 'but', 'by', 'can', 'could', 'did', 'do', 'does', 'for', 'from', 'had', 'has', 'have', 'he', 'her', 'his', 'how', 'i', 'if', 'in', 'into', 'is', 'it', 'its', 'just', 'me', 'more', 'my', 'no', 'not', 'of', 'on', 'one', 'only', 'or', 'our', 'out', 'so', 'some', 'than', 'that', 'the', 'their', 'them', 'then', 'there', 'these', 'they', 'this', 'to', 'up', 'us', 'very', 'was', 'we', 'were', 'what', 'when', 'which', 'who', 'will', 'with', 'would', 'you', 'your')"
+_STOP = _sql_list(STOP_WORDS)
 register("vocabulary", f"""select term, count(*) as doc_freq
   from (select distinct d, unnest(t) as term from (
           select row_number() over () as d, regexp_extract_all({CLEAN_TEXT_SQL.format(c='ReviewBody')}, '\\w\\w+') as t
