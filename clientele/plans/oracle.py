@@ -418,7 +418,7 @@ _AMP = ("(least(length(ReviewBody) - length(replace(ReviewBody, '!', '')), 4) *
         " case when length(ReviewBody) - length(replace(ReviewBody, '?', '')) <= 3"
         " then (length(ReviewBody) - length(replace(ReviewBody, '?', ''))) * 0.18 else 0.96 end else 0.0 end)")
 CTES["scored_reviews"] = f"""select r.*, case when r.ReviewBody is null or trim(r.ReviewBody) = '' then 0.0
-    else round(ss / sqrt(ss * ss + 15.0), 4) end as Sentiment_Score
+    else round(ss / sqrt(ss * ss + 15.0), 4) + 0.0 end as Sentiment_Score
   from (select r.*, case when coalesce(s.raw, 0.0) > 0 then s.raw + {_AMP}
                          when coalesce(s.raw, 0.0) < 0 then s.raw - {_AMP} else 0.0 end as ss
         from reviews r left join (
