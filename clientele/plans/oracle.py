@@ -552,3 +552,31 @@ register("vocabulary", f"""select term, count(*) as doc_freq
   group by term
   having count(*) >= 2 and count(*) <= 0.95 * (select count(*) from reviews where ReviewBody is not null
     and trim(ReviewBody) <> '' and length({CLEAN_TEXT_SQL.format(c='ReviewBody')}) > 2)""", ["reviews"])
+
+# ---- demographic segment labels and narratives ---------------------------------------------
+CTES["demo_groups"] = """select *, cast(least(floor((Age - 18) / 20), 2) * 3 + Spending_Score_Num - 1 as integer) as Cluster
+  from (select *, cast(case Spending_Score when 'Low' then 1 when 'Average' then 2 when 'High' then 3 else 1 end
+                       as double) as Spending_Score_Num from demographics)"""
+DEPS["demo_groups"] = ["demographics"]
+register("segment_labels_demographic", """select Cluster, round(a, 6) as Age, round(s, 6) as Spending_Score_Num,
+    round(f, 6) as Family_Size,
+    concat_ws(' ', case when a < 30 then 'Young' when a < 50 then 'Mid-Age' else 'Senior' end,
+              case when s < 1.5 then 'Saver' when s > 2.5 then 'Spender' else 'Standard' end,
+              case when f > 3.5 then '(Fam)' end) as Cluster_Label
+  from (select Cluster, avg(Age) as a, avg(Spending_Score_Num) as s, avg(Family_Size) as f
+        from demo_groups group by Cluster)""", ["demo_groups"])
+register("segment_narrative_demographic", f"""select Cluster, size, adjectives,
+    '**Segment Overview:** This group represents **' || {tenths_sql('size', 'total')} || '%** of your customer base ('
+      || size::varchar || ' users). They are predominantly **' || adjectives || '** customers.' as summary,
+    case when sp = 'high-value' and ag = 'younger'
+           then 'Strategy: Promote trending, premium items on social channels (Instagram/TikTok).'
+         when sp = 'high-value' and ag = 'senior' then 'Strategy: Focus on loyalty rewards and high-touch customer service.'
+         when sp = 'budget-conscious' then 'Strategy: Target with bulk discounts, bundles, or seasonal sales.'
+         else 'Strategy: Maintain engagement with regular newsletters.' end as action
+  from (select *, ag || ', ' || sp as adjectives from (
+          select Cluster, count(*) as size, (select count(*) from demo_groups) as total,
+            case when avg(Age) < 30 then 'younger' when avg(Age) > 50 then 'senior' else 'middle-aged' end as ag,
+            case when avg(Spending_Score_Num) > (select avg(Spending_Score_Num) from demo_groups) * 1.2 then 'high-value'
+                 when avg(Spending_Score_Num) < (select avg(Spending_Score_Num) from demo_groups) * 0.8 then 'budget-conscious'
+                 else 'average-spending' end as sp
+          from demo_groups group by Cluster))""", ["demo_groups"])

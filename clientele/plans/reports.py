@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.clean import clean_numbers, risk_band
+from ..functions.clean import clean_numbers, risk_band, spending_ordinal
 from ..functions.partitioning import materialize
 from ..functions.scalars import row_values
 from ..operators.churn_stats import (churn_kpis, class_balance, driver_direction, risk_histogram,
@@ -118,3 +118,28 @@ def q_driver_direction(spark, sf_dir):
 @query("class_balance")
 def q_class_balance(spark, sf_dir):
     return class_balance(fx.churn_customers(spark, sf_dir))
+
+
+DEMOGRAPHIC_FEATURES = ["Age", "Spending_Score_Num", "Family_Size"]
+
+
+def demographic_groups(spark, sf_dir):
+    """Demographics with a rule group: 3 age bands x 3 spending levels, so the
+    labels and narratives reach every branch (young / middle / senior and
+    saver / standard / spender)."""
+    d = fx.demographics(spark, sf_dir)
+    d = d.withColumn("Spending_Score_Num", spending_ordinal(d))
+    band = F.least(F.floor((F.col("Age") - 18) / 20), F.lit(2))
+    return d.withColumn("Cluster", (band * 3 + F.col("Spending_Score_Num") - 1).cast("int"))
+
+
+@query("segment_labels_demographic")
+def q_segment_labels_demographic(spark, sf_dir):
+    g = demographic_groups(spark, sf_dir)
+    labels = label_segments(g, "demographic", "Cluster", DEMOGRAPHIC_FEATURES)
+    return labels.select("Cluster", *[F.round(f, 6).alias(f) for f in DEMOGRAPHIC_FEATURES], "Cluster_Label")
+
+
+@query("segment_narrative_demographic")
+def q_segment_narrative_demographic(spark, sf_dir):
+    return segment_narrative(demographic_groups(spark, sf_dir), "Cluster", DEMOGRAPHIC_FEATURES)
