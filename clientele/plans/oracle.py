@@ -580,3 +580,20 @@ register("segment_narrative_demographic", f"""select Cluster, size, adjectives,
                  when avg(Spending_Score_Num) < (select avg(Spending_Score_Num) from demo_groups) * 0.8 then 'budget-conscious'
                  else 'average-spending' end as sp
           from demo_groups group by Cluster))""", ["demo_groups"])
+register("persona_segments", """select Cluster, size, Age, Spending_Score_Num, Family_Size, Persona,
+    case when contains(Persona, 'Solo') and contains(Persona, 'Gen Z') then 'Trend & FOMO'
+         when contains(Persona, 'Fam') and contains(Persona, 'Saver') then 'Value Bundles'
+         when contains(Persona, 'Senior') then 'Trust & Loyalty'
+         when contains(Persona, 'Spender') then 'Exclusivity' else 'Standard' end as Strategy,
+    case when contains(Persona, 'Solo') and contains(Persona, 'Gen Z') then 'Push: ''Trending Now'''
+         when contains(Persona, 'Fam') and contains(Persona, 'Saver') then 'Email: ''Buy 2 Get 1'''
+         when contains(Persona, 'Senior') then 'Mail: Loyalty Club'
+         when contains(Persona, 'Spender') then 'Invite: VIP Early Access' else 'Newsletter' end as Next_Best_Action
+  from (select *, concat_ws(' / ',
+          case when Family_Size <= 1.5 then 'Solo' when Family_Size <= 3.5 then 'Small Fam' else 'Large Fam' end,
+          case when Age < 30 then 'Gen Z' when Age < 50 then 'Pro' else 'Senior' end,
+          case when Spending_Score_Num > 2.5 then 'Spender' when Spending_Score_Num < 1.5 then 'Saver' end) as Persona
+        from (select Cluster, count(*) as size, round_even(avg(Age), 1) as Age,
+                     round_even(avg(Spending_Score_Num), 1) as Spending_Score_Num,
+                     round_even(avg(Family_Size), 1) as Family_Size
+              from demo_groups group by Cluster))""", ["demo_groups"])

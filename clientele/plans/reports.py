@@ -11,6 +11,7 @@ from ..operators.churn_stats import (churn_kpis, class_balance, driver_direction
                                      safest_option, typical_customer)
 from ..operators.customer import customer_index, customer_vs_segment, percentile_profile
 from ..operators.narrative import churn_headline, segment_narrative
+from ..operators.rules import apply_personas
 from ..operators.rfm import monetary_quartiles, rfm
 from ..operators.segment_stats import (attach_labels, label_segments, nearest_centroid, segment_profile,
                                        segment_sizes, standardise)
@@ -143,3 +144,12 @@ def q_segment_labels_demographic(spark, sf_dir):
 @query("segment_narrative_demographic")
 def q_segment_narrative_demographic(spark, sf_dir):
     return segment_narrative(demographic_groups(spark, sf_dir), "Cluster", DEMOGRAPHIC_FEATURES)
+
+
+@query("persona_segments")
+def q_persona_segments(spark, sf_dir):
+    """RUL-1/RUL-2 on a segment summary, as the reference applies them: the
+    personas read the means rounded half to even to one decimal (Q-16)."""
+    g = demographic_groups(spark, sf_dir)
+    summary = segment_profile(g, "Cluster", DEMOGRAPHIC_FEATURES, digits=1, half_even=True)
+    return apply_personas(summary, "demographic")
