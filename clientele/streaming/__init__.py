@@ -1,16 +1,13 @@
 """Streams.
 
 The analyses this library rebuilds are batch analyses; there is no stateful
-streaming operator in them. The row-level operators are plain column
-expressions or stream-static joins against small dimension tables, so they
-apply unchanged to a streaming DataFrame:
-
-* cleaning columns (``clientele.functions.clean``), risk bands, personas
-  (``clientele.operators.rules``);
-* location clean-up (``clientele.operators.geo.clean_location``);
-* scoring with a fitted pipeline (``score_churn``, ``score_value``).
-
-``score_stream`` below wires such a chain to a micro-batch sink.
+streaming operator among them. ``score_stream`` applies any operator chain of
+this package to each micro-batch of a stream (``foreachBatch``): inside a
+batch the DataFrame is a plain static one, so aggregating operators
+(sentiment per document, location resolution, model scoring) work unchanged.
+Each batch is written to its own ``epoch=<id>`` folder with overwrite, so a
+batch that is retried after a failure replaces its earlier output instead of
+duplicating it.
 """
 
 from __future__ import annotations
@@ -22,11 +19,13 @@ from pyspark.sql import DataFrame
 
 def score_stream(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str,
                  fmt: str = "parquet", trigger_seconds: int | None = None):
-    """Apply a row-level operator chain to a stream and append to ``sink``.
+    """Run ``transform`` on every micro-batch of ``stream`` and write the result
+    under ``sink``. ``checkpoint`` must be a shared folder (it holds the stream's
+    progress)."""
+    def write_batch(batch: DataFrame, epoch_id: int) -> None:
+        transform(batch).write.mode("overwrite").format(fmt).save(f"{sink.rstrip('/')}/epoch={epoch_id}")
 
-    ``checkpoint`` must be a shared folder (it holds the stream's progress).
-    """
-    w = transform(stream).writeStream.format(fmt).option("checkpointLocation", checkpoint).outputMode("append")
+    w = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     if trigger_seconds:
         w = w.trigger(processingTime=f"{trigger_seconds} seconds")
-    return w.start(sink)
+    return w.start()
