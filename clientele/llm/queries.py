@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.io import table_path
-from . import curriculum, line_runs, secret_owners, stream_dedup
+from . import curriculum, line_runs, phrase_index, secret_owners, simple8b, stream_dedup
+from .text import scratch
 
 QUERIES = {}
 
@@ -43,6 +44,13 @@ def op5_line_dedup(spark, sf_dir):
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+@query
+def op6_decontamination(spark, sf_dir):
+    out = phrase_index.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), length=10)
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                      phrase_index.items_sha256(F.col("items")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 @query
 def op7_secret_scan(spark, sf_dir):
     out = secret_owners.scan_secrets(table(spark, sf_dir, "documents"))
@@ -53,3 +61,15 @@ def op7_secret_scan(spark, sf_dir):
     return out.select("doc_id", n("assign"), n("access"), n("hex"), n("owned"), live,
                       F.sha2(secret_owners.joined(base).cast("binary"), 256).alias("base_sha256"),
                       secret_owners.joined(spans).alias("spans"))
+
+
+def tokenizer_file(name="word_bpe_49k.json"):
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@query
+def op10_token_files(spark, sf_dir):
+    folder = scratch(spark, "token-files")
+    simple8b.write_ids(table(spark, sf_dir, "documents"), folder, tokenizer_file(), end_id=1)
+    return simple8b.read_index(spark, folder)
