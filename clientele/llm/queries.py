@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.io import table_path
-from . import curriculum, line_runs, phrase_index, secret_owners, simple8b, stream_dedup
+from . import curriculum, fragment_join, line_runs, phrase_index, secret_owners, simple8b, stream_dedup
 from .text import scratch
 
 QUERIES = {}
@@ -63,6 +63,11 @@ def op7_secret_scan(spark, sf_dir):
                       secret_owners.joined(spans).alias("spans"))
 
 
+@query
+def op8_ngram_jaccard(spark, sf_dir):
+    return fragment_join.jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def tokenizer_file(name="word_bpe_49k.json"):
     import public_tokenizers
     return public_tokenizers.path(name)

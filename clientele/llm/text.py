@@ -91,3 +91,66 @@ def text_chunks(texts, budget: int):
         held += len(t)
     if group:
         yield group
+
+
+_P = np.uint64(0x9E3779B97F4A7C15)
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+SLICE = 1 << 22
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """``(hashes, first bytes)`` of the words (runs of bytes that are no ASCII
+    white space, A-Z lower-cased) of ``data``: 64-bit hashes, the same for the
+    same word anywhere. Works through slices that end at white space."""
+    hashes, firsts, at = [], [], 0
+    while at < len(data):
+        end = len(data)
+        if end - at > SLICE:
+            end = max(data.rfind(c, at, at + SLICE) for c in (b" ", b"\n", b"\t", b"\r")) + 1
+            if end <= at:  # no white space in the whole slice
+                ends = [e for c in (b" ", b"\n", b"\t", b"\r") if (e := data.find(c, at + SLICE)) >= 0]
+                end = min(ends, default=len(data) - 1) + 1
+        b = np.frombuffer(data, np.uint8, end - at, at)
+        inside = ~_BLANK[b]
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
+        starts, stops = edge[::2], edge[1::2]
+        if len(starts):
+            sizes = stops - starts
+            chars = _LOWER[b[inside]].astype(np.uint64)
+            begin = np.cumsum(sizes) - sizes
+            place = np.arange(len(chars)) - np.repeat(begin, sizes)
+            powers = np.cumprod(np.full(int(sizes.max()), _P, np.uint64))
+            h = np.add.reduceat((chars + np.uint64(1)) * powers[place], begin)
+            hashes.append(mix64(h + sizes.astype(np.uint64)))
+            firsts.append(starts + at)
+        at = end
+    if not hashes:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(firsts)
+
+
+_C = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
+
+
+def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the ``k``-word shingles (all, in order); with fewer words the whole sequence as one."""
+    size = min(k, len(words))
+    if not size:
+        return words
+    n = len(words) - size + 1
+    out = np.full(n, np.uint64(size), np.uint64)
+    for j in range(size):
+        out = out + words[j:j + n] * _C[j % 64]
+    return mix64(out)
+
+
+def doc_words(texts: list[str]):
+    """Word hashes of each text of a list, hashed together."""
+    parts = [t.encode() for t in texts]
+    hashes, firsts = word_hashes(b"\n".join(parts))
+    sizes = np.array([len(p) + 1 for p in parts], np.int64)
+    cuts = np.searchsorted(firsts, np.cumsum(sizes))
+    return [hashes[a:z] for a, z in zip([0, *cuts[:-1]], cuts)]
