@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.io import table_path
-from . import curriculum, fragment_join, line_runs, phrase_index, secret_owners, simple8b, stream_dedup
+from . import curriculum, fragment_join, html_main, language_mix, license_dictionaries, line_runs, phrase_index, secret_owners, simple8b, stream_dedup
 from .text import scratch
 
 QUERIES = {}
@@ -24,6 +24,14 @@ def table(spark, sf_dir, name):
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), curriculum.FLAT, ((0.0, 0.5), (1.0, 1.5)))
 
 
+@query
+def op1_language_mixture(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = language_mix.detect(docs.select("doc_id", "text"), language_mix.fit(docs, fit_docs=5000))
+    return out.select("kept.doc_id", language_mix.held_out(F.col("kept.doc_id")).alias("held_out"), "lang_pred", "score",
+                      F.array_join("langs", ",").alias("langs"))
+
+
 @query
 def op2_source_mix(spark, sf_dir):
     """The mix of all documents, in the order of each one's first training position."""
@@ -32,6 +40,11 @@ def op2_source_mix(spark, sf_dir):
     return out.select("doc_id", "size", "source_size", "target", "taken", first).orderBy("first_position", "doc_id")
 
 
+@query
+def op3_html_main_text(spark, sf_dir):
+    return html_main.extract(table(spark, sf_dir, "pages"))
+
+
 @query
 def op4_exact_dedup(spark, sf_dir):
     out = stream_dedup.exact_dedup(spark, table_path(sf_dir, "documents"))
@@ -68,6 +81,16 @@ def op8_ngram_jaccard(spark, sf_dir):
     return fragment_join.jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+@query
+def op9_license_scan(spark, sf_dir):
+    out = license_dictionaries.scan(table(spark, sf_dir, "documents"))
+    spans = F.transform("found", lambda x: F.concat_ws(":", x["license"], x["start"].cast("string"), x["end"].cast("string")))
+    return out.select("doc_id", "n_blocks", F.size("found").cast("long").alias("n_found"),
+                      F.array_join(F.sort_array(F.array_distinct(F.transform("found", lambda x: x["license"]))), ",").alias("licenses"),
+                      F.array_join(spans, ",").alias("spans"),
+                      F.array_max(F.transform("found", lambda x: x["reduction"])).alias("reduction"))
+
+
 def tokenizer_file(name="word_bpe_49k.json"):
     import public_tokenizers
     return public_tokenizers.path(name)
