@@ -51,6 +51,7 @@ def ingest(spark: SparkSession, path: str, state_dir: str, id_col: str = "doc_id
     own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "300")
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")  # no reserved space per store
     own.conf.set("spark.sql.streaming.minBatchesToRetain", "2")
     path = path.rstrip("/")
     # as a glob of itself the path may name a folder or a single file
