@@ -18,11 +18,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def ascii_lower(col: Column) -> Column:
-    """Lower-case A-Z only. ``lower`` is much faster than ``translate`` and does
-    the same where no other character has a lower case: in texts of ASCII,
-    small Latin-1 letters and general punctuation. The rest is translated."""
-    safe = ~col.rlike(r"[^\x00-\x7F\xA0-\xBF\xDF-\xFF\u2010-\u203F]")
-    return F.when(safe, F.lower(col)).otherwise(F.translate(col, UPPER, LOWER))
+    """Lower-case A-Z only. ``lower`` does that for a text of ASCII, which its
+    lengths show at once, and is much faster than ``translate``."""
+    return F.when(F.octet_length(col) == F.length(col), F.lower(col)).otherwise(F.translate(col, UPPER, LOWER))
 
 
 def word_count(col: Column) -> Column:
