@@ -48,7 +48,7 @@ class LineRuns:
         self.settled: list[str] = []
 
     def _write(self, df: DataFrame, partition_by=()) -> str:
-        """A bucketed, sorted run. ``df`` is already dealt by h into the buckets or gets dealt here."""
+        """Write a bucketed, sorted run and return its table's name."""
         name = f"line_run_{uuid.uuid4().hex}"
         writer = df.repartition(self.buckets, "h").write.format("parquet").bucketBy(self.buckets, "h").sortBy("h")
         if partition_by:
@@ -73,15 +73,14 @@ class LineRuns:
             self.levels[level] = []
             level += 1
 
+    def _plain(self, names: list[str]) -> DataFrame:
+        """The rows of several runs, read as plain files (a union of bucketed tables is not co-located)."""
+        return self.spark.read.schema("h string, n long").parquet(*[f"{self.folder}/{name}" for name in names])
+
     def _compact(self, names: list[str]) -> list[str]:
-        runs = None
-        for name in names:
-            t = self.spark.table(name)
-            runs = t if runs is None else runs.unionByName(t)
-        merged = runs.groupBy("h").agg(F.sum("n").alias("n"))
-        merged = self.spark.table(self._write(merged))
-        settled = self._write(merged.filter(F.col("n") >= self.min_docs))
-        self.settled.append(settled)
+        merged = self._plain(names).groupBy("h").agg(F.sum("n").alias("n"))
+        merged = written(merged, "merged-run")
+        self.settled.append(self._write(merged.filter(F.col("n") >= self.min_docs)))
         return [self._write(merged.filter(F.col("n") < self.min_docs))]
 
     def finish(self) -> DataFrame:
@@ -89,11 +88,7 @@ class LineRuns:
         left = [name for level in self.levels for name in level]
         if left:
             self.levels = [[], self._compact(left)]
-        out = None
-        for name in self.settled:
-            t = self.spark.table(name).select("h")
-            out = t if out is None else out.unionByName(t)
-        return out
+        return self._plain(self.settled).select("h")
 
 
 def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, n_batches: int = 4, fanout: int = 4,
