@@ -17,6 +17,11 @@ ID_COLUMNS = ("customerid", "customer_id", "id")
 LABEL_COLUMNS = ("churn",)
 
 
+def strip(c: Column) -> Column:
+    """Python's str.strip(): Unicode white space plus the separators U+001C..U+001F."""
+    return F.regexp_replace(c, r"(?U)^[\s\x{1c}-\x{1f}]+|[\s\x{1c}-\x{1f}]+$", "")
+
+
 def col_or(df: DataFrame, name: str, default) -> Column:
     """Column ``name`` if present (NaN read as NULL), else a literal default."""
     if name in df.columns:
@@ -33,6 +38,17 @@ def nan_to_null(df: DataFrame, name: str) -> Column:
     return c
 
 
+def total(df: DataFrame, name: str, scale: int | None = None, where: Column | None = None) -> Column:
+    """Sum of a column as double, 0 without values. Decimals add up exactly;
+    doubles too if the caller states their decimal places as ``scale``."""
+    c = nan_to_null(df, name) if is_numeric(df, name) else F.col(name).try_cast("double")
+    if scale is not None:
+        c = c.try_cast(f"decimal(38,{scale})")
+    if where is not None:
+        c = F.when(where, c)
+    return F.coalesce(F.sum(c).cast("double"), F.lit(0.0))
+
+
 def is_numeric(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, NUMERIC_TYPES)
 
@@ -55,9 +71,12 @@ def string_columns(df: DataFrame, exclude: Iterable[str] = ()) -> list[str]:
 
 
 def to_number(c: Column | str) -> Column:
-    """PRJ-1: bad or missing number -> 0 (text is trimmed first; NaN -> 0)."""
+    """PRJ-1: bad or missing number -> 0 (text is stripped first; NaN -> 0)."""
     c = F.col(c) if isinstance(c, str) else c
-    v = F.trim(c.cast("string")).try_cast("double")
+    text = strip(c.cast("string"))
+    # plain decimal numbers only: Java also reads suffixes such as "1d"
+    v = F.when(text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), text).try_cast("double")
+    v = F.when(v.isin(float("inf"), float("-inf")), None).otherwise(v)
     return F.coalesce(F.nanvl(v, F.lit(None).cast("double")), F.lit(0.0))
 
 
@@ -128,7 +147,7 @@ def clean_text(c: Column | str) -> Column:
 
 def is_blank(c: Column | str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
-    return c.isNull() | (F.trim(c.cast("string")) == "")
+    return c.isNull() | (strip(c.cast("string")) == "")
 
 
 def sentiment_label(score: Column | str) -> Column:

@@ -6,17 +6,17 @@ work is spread instead:
 
 1. ``groupBy(group, value).count()``: one row per distinct value (partial
    aggregation absorbs hot values, however many rows they hold).
-2. ``percentile_approx`` over the distinct values gives at most
-   ``n_buckets - 1`` cut points per group; these few numbers go to the driver
-   and become a balanced binary CASE tree, so each value's bucket is a
-   codegen'd expression.
-3. Per-bucket totals (at most groups x buckets rows, a proven bound) give
-   each bucket's offset; the running count inside a bucket is a window
-   partitioned by (group, bucket), i.e. spread over ``n_buckets`` tasks.
-
-The result holds, for every distinct value, ``cnt`` (rows with that value),
-``before`` (rows with a smaller value in the group) and ``n`` (rows in the group).
-Values are ranked as doubles.
+2. These rows are dealt out by ranges of (group, value) into the session's
+   shuffle partitions; the partition's number, kept with the rows, is the
+   bucket. The rows are checkpointed, so every later step sees the same buckets.
+3. Bucket totals (at most one row per bucket and group in it) give each
+   bucket's offset; the running count inside a bucket is a window partitioned
+   by (group, bucket).
+
+Nothing is collected, and the plan does not grow with groups or buckets. The
+result holds, for every distinct value, ``cnt`` (rows with that value),
+``before`` (rows with a smaller value in the group) and ``n`` (rows in the
+group). Values are ranked as doubles; NULL and NaN are missing.
 """
 
 from __future__ import annotations
@@ -28,54 +28,19 @@ from pyspark.sql import functions as F
 
 from .partitioning import materialize
 
-DEFAULT_BUCKETS = 256
-MAX_BUCKETS = 1024
 
+def value_ranks(df: DataFrame, value: str, group: str | None = None, n_buckets: int | None = None) -> DataFrame:
+    """(group?, value, cnt, before, n) for every distinct value that is not missing.
 
-def _buckets(df: DataFrame, n: int | None) -> int:
-    """Default bucket count: 4 per shuffle partition, between 256 and 1,024, so
-    a bucket's running-count window stays a small task as the cluster grows
-    while the CASE tree (about 2 x buckets nodes per group) stays compact."""
-    if n:
-        return n
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return min(MAX_BUCKETS, max(DEFAULT_BUCKETS, 4 * parts))
-
-
-def _bucket_tree(v: Column, bounds: Sequence[float], lo: int = 0) -> Column:
-    """Index of the first bound >= v (0..len(bounds)) as a balanced CASE tree."""
-    if not bounds:
-        return F.lit(lo)
-    mid = len(bounds) // 2
-    return F.when(v <= F.lit(bounds[mid]), _bucket_tree(v, bounds[:mid], lo)) \
-            .otherwise(_bucket_tree(v, bounds[mid + 1:], lo + mid + 1))
-
-
-def value_ranks(df: DataFrame, value: str, group: str | None = None,
-                n_buckets: int | None = None, accuracy: int = 10000) -> DataFrame:
-    """(group?, value, cnt, before, n) for every distinct non-null value."""
-    n_buckets = _buckets(df, n_buckets)
+    ``n_buckets``: ranges the values are dealt into (default: the session's
+    shuffle partitions)."""
     keys = [group] if group else []
-    # one row per distinct value; it feeds the cut points, the bucket totals and
-    # the running counts, so it is computed once (the source is read once)
-    counts = materialize(df.where(F.col(value).isNotNull())
-                         .groupBy(*keys, F.col(value).cast("double").alias("__v"))
-                         .agg(F.count(F.lit(1)).alias("cnt")))
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    cuts = counts.groupBy(*keys).agg(F.percentile_approx("__v", probs, accuracy).alias("cuts"))
-    # Bounded: one array of n_buckets-1 doubles per group.
-    cut_rows = cuts.collect()
-    if group:
-        bucket = None
-        for r in cut_rows:
-            tree = _bucket_tree(F.col("__v"), sorted(set(r["cuts"])))
-            cond = F.col(group) == F.lit(r[group])
-            bucket = F.when(cond, tree) if bucket is None else bucket.when(cond, tree)
-        bucket = F.lit(0) if bucket is None else bucket.otherwise(F.lit(0))
-    else:
-        bounds = sorted(set(cut_rows[0]["cuts"])) if cut_rows and cut_rows[0]["cuts"] else []
-        bucket = _bucket_tree(F.col("__v"), bounds)
-    b = counts.withColumn("__b", bucket)
+    v = F.col(value).cast("double")
+    counts = (df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, v.alias("__v"))
+              .agg(F.count(F.lit(1)).alias("cnt")))
+    ranges = [*[F.col(k) for k in keys], F.col("__v")]
+    dealt = counts.repartitionByRange(n_buckets, *ranges) if n_buckets else counts.repartitionByRange(*ranges)
+    b = materialize(dealt.withColumn("__b", F.spark_partition_id()))
     totals = b.groupBy(*keys, "__b").agg(F.sum("cnt").alias("__bt"))
     wg = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     offsets = (totals
@@ -85,8 +50,7 @@ def value_ranks(df: DataFrame, value: str, group: str | None = None,
                .select(*keys, "__b", "__off", "n"))
     wb = Window.partitionBy(*keys, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
     within = b.withColumn("__in", F.coalesce(F.sum("cnt").over(wb), F.lit(0)))
-    # offsets has at most groups x n_buckets rows: safe to broadcast.
-    out = within.join(F.broadcast(offsets), [*keys, "__b"])
+    out = within.join(offsets, [*keys, "__b"])
     return out.select(*keys, F.col("__v").alias(value), "cnt",
                       (F.col("__off") + F.col("__in")).alias("before"), "n")
 
@@ -131,5 +95,7 @@ def percentile_ranks(df: DataFrame, value: str, group: str | None = None,
 def modes(df: DataFrame, value: str, group: str | None = None) -> DataFrame:
     """Most frequent non-null value (lowest on ties), per group; a distributed ``mode``."""
     keys = [group] if group else []
-    c = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"))
+    v = F.col(value)
+    there = v.isNotNull() & ~F.isnan(v) if dict(df.dtypes)[value] in ("double", "float") else v.isNotNull()
+    c = df.where(there).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"))
     return c.groupBy(*keys).agg(F.min_by(F.col(value), F.struct(-F.col("cnt"), F.col(value))).alias(value))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.clean import churn_flag, is_numeric
+from ..functions.clean import ID_COLUMNS, churn_flag, is_numeric, string_columns, total
 from ..functions.partitioning import materialize
 from ..functions.ranking import exact_quantiles, modes
 from ..functions.scalars import row_values
@@ -17,14 +17,15 @@ IMPACT_UP, IMPACT_DOWN, IMPACT_KEY = "Increases Risk 🔴", "Decreases Risk 🟢
 
 
 def churn_kpis(scored: DataFrame, probability: str = "probability", band: str = "Risk_Group",
-               revenue: str | None = "MonthlyCharges") -> DataFrame:
-    """AGG-8: mean probability, High count and share, revenue held by High rows."""
+               revenue: str | None = "MonthlyCharges", scale: int | None = None) -> DataFrame:
+    """AGG-8: mean probability, High count and share, revenue held by High rows
+    (summed in its own type; ``scale`` as in ``rfm``)."""
     high = F.col(band) == "High"
-    aggs = [F.round(F.avg(probability), 6).alias("avg_probability"),
+    aggs = [F.avg(probability).alias("avg_probability"),
             F.count_if(high).alias("high_risk_count"),
-            F.round(F.count_if(high) / F.count(F.lit(1)), 6).alias("high_risk_share")]
+            F.try_divide(F.count_if(high), F.count(F.lit(1))).alias("high_risk_share")]
     if revenue and revenue in scored.columns:
-        aggs.append(F.sum(F.when(high, F.col(revenue).cast("decimal(18,2)"))).cast("double").alias("revenue_at_risk"))
+        aggs.append(total(scored, revenue, scale, high).alias("revenue_at_risk"))
     return scored.agg(*aggs)
 
 
@@ -37,10 +38,14 @@ def risk_histogram(scored: DataFrame, probability: str = "probability", band: st
                   .withColumns({"bin_low": F.col("bin") / bins, "bin_high": (F.col("bin") + 1) / bins}))
 
 
-def safest_option(df: DataFrame, cols: Sequence[str], label: str = "Churn",
+def safest_option(df: DataFrame, cols: Sequence[str] | None = None, label: str = "Churn",
                   min_count: int = 1) -> DataFrame:
-    """AGG-10: per column, the value with the lowest churn rate (lower value on
-    ties), where the column has at least two values. Nulls are no group."""
+    """AGG-10: per column (default: every text column but ids and the label), the
+    value with the lowest churn rate (lower value on ties), where the column has
+    at least two values. Nulls are no group."""
+    cols = list(cols) if cols is not None else [c for c in string_columns(df, (*ID_COLUMNS, label))]
+    if not cols:
+        return df.sparkSession.createDataFrame([], "feature string, best_option string, churn_rate double")
     y = churn_flag(df, label)
     stack = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("option"))
                                 for c in cols]))
@@ -55,7 +60,7 @@ def safest_option(df: DataFrame, cols: Sequence[str], label: str = "Churn",
         F.count(F.lit(1)).alias("__n"),
         F.min_by(F.struct("option", "churn_rate"), F.struct("churn_rate", "option")).alias("__b"))
     return best.where(F.col("__n") > 1).select(
-        "feature", F.col("__b.option").alias("best_option"), F.round("__b.churn_rate", 6).alias("churn_rate"))
+        "feature", F.col("__b.option").alias("best_option"), F.col("__b.churn_rate").alias("churn_rate"))
 
 
 def typical_customer(df: DataFrame, exclude: Sequence[str] = ("customerID", "Churn")) -> DataFrame:
@@ -73,7 +78,7 @@ def typical_customer(df: DataFrame, exclude: Sequence[str] = ("customerID", "Chu
                                              for c in nums])).alias("s")).select("s.*")
         med = exact_quantiles(long, "v", [0.5], group="f", names=["median"])
         row = med.groupBy().pivot("f", nums).agg(F.first("median"))
-        vals = row_values(row.select(*[F.round(F.col(c), 6).alias(c) for c in nums]))
+        vals = row_values(row.select(*[F.col(c) for c in nums]))
         out.update(vals)
     if cats:
         long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("f"), F.col(c).cast("string").alias("v"))
@@ -96,7 +101,7 @@ def driver_direction(scored: DataFrame, drivers: Sequence[str], probability: str
             c = corr[d]
             impact = F.when(~F.isnan(c) & (c > 0), IMPACT_UP).otherwise(IMPACT_DOWN)
             rows.append(F.struct(F.lit(i).alias("rank"), F.lit(d).alias("Feature"),
-                                 F.round(c, 6).alias("correlation"), impact.alias("Impact")))
+                                 c.alias("correlation"), impact.alias("Impact")))
         else:
             rows.append(F.struct(F.lit(i).alias("rank"), F.lit(d).alias("Feature"),
                                  F.lit(None).cast("double").alias("correlation"), F.lit(IMPACT_KEY).alias("Impact")))

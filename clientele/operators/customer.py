@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.clean import numeric_columns
+from ..functions.clean import nan_to_null, numeric_columns
 from ..functions.ranking import percentile_ranks
 
 # Metrics compared on the customer view, in priority order.
@@ -25,9 +25,9 @@ def profile_metrics(df: DataFrame, id_col: str, cluster: str = "Cluster") -> lis
 def _long(df: DataFrame, id_col: str, metrics: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
     complete = None
     for m in metrics:
-        c = F.col(m).isNotNull()
+        c = nan_to_null(df, m).isNotNull()
         complete = c if complete is None else complete & c
-    s = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
+    s = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), nan_to_null(df, m).cast("double").alias("value"))
                             for m in metrics]))
     return df.select(id_col, *extra, complete.alias("__complete"), s.alias("s")).select(
         id_col, *extra, "__complete", "s.metric", "s.value")
@@ -45,11 +45,11 @@ def percentile_profile(df: DataFrame, id_col: str, metrics: Sequence[str] | None
     ranks = percentile_ranks(long.where("__complete"), "value", group="metric")
     j = long.join(ranks, ["metric", "value"], "left")
     pct = F.when(F.col("__complete"), F.col("pct") * 100).otherwise(F.lit(50.0))
-    return j.select(id_col, "metric", "value", F.round(pct, 6).alias("percentile"))
+    return j.select(id_col, "metric", "value", pct.alias("percentile"))
 
 
 def customer_vs_segment(df: DataFrame, id_col: str, cluster: str,
-                        metrics: Sequence[str] | None = None, digits: int = 6) -> DataFrame:
+                        metrics: Sequence[str] | None = None) -> DataFrame:
     """AGG-17: each customer's metric next to its segment mean and the global mean.
 
     Segment means are one grouped aggregate (k rows, broadcast back); global
@@ -62,11 +62,11 @@ def customer_vs_segment(df: DataFrame, id_col: str, cluster: str,
     # seg has k x metrics rows and glob has one row per metric: bounded, broadcast.
     j = long.join(F.broadcast(seg), [cluster, "metric"], "left").join(F.broadcast(glob), "metric", "left")
     return j.select(id_col, cluster, "metric", "value",
-                    F.round("segment_avg", digits).alias("segment_avg"),
-                    F.round("global_avg", digits).alias("global_avg"))
+                    "segment_avg", "global_avg")
 
 
-def customer_index(df: DataFrame, id_col: str, limit: int = 5000) -> DataFrame:
-    """TOP-3: the first ``limit`` distinct ids as text (ordered by the text)."""
-    return (df.select(F.col(id_col).cast("string").alias("customer_id")).where(F.col("customer_id").isNotNull())
-              .distinct().orderBy("customer_id").limit(limit))
+def customer_index(df: DataFrame, id_col: str, limit: int | None = None) -> DataFrame:
+    """TOP-3: the distinct ids as text, ordered by the text; ``limit`` for the first ones only."""
+    ids = (df.select(F.col(id_col).cast("string").alias("customer_id")).where(F.col("customer_id").isNotNull())
+             .distinct().orderBy("customer_id"))
+    return ids.limit(limit) if limit is not None else ids

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.clean import strip
 from ..functions.joins import dimension
 from ..functions.partitioning import materialize
 from ..functions.scalars import row_values
@@ -29,11 +30,6 @@ ACCENTS_FROM, ACCENTS_TO = "İüãé", "Iuae"
 FUZZY_CUTOFF = 0.75
 
 
-def _strip(c: Column) -> Column:
-    """Python's str.strip(): Unicode white space plus the separators U+001C..U+001F."""
-    return F.regexp_replace(c, r"(?U)^[\s\x{1c}-\x{1f}]+|[\s\x{1c}-\x{1f}]+$", "")
-
-
 def clean_location(df: DataFrame, col: str, iata: DataFrame, out: str = "clean_loc",
                    keep_iata: bool = False) -> DataFrame:
     """PRJ-10 + JOIN-2: add the cleaned location.
@@ -42,9 +38,9 @@ def clean_location(df: DataFrame, col: str, iata: DataFrame, out: str = "clean_l
     airport code becomes its city (and skips the rest) -> drop noise words,
     brackets and everything from the first comma -> fold İüãé -> strip -> lower.
     """
-    v = _strip(F.col(col).cast("string"))
+    v = strip(F.col(col).cast("string"))
     v = F.when(v.isNull() | (v == "") | (F.lower(v) == "nan"), F.lit(None).cast("string")).otherwise(v)
-    origin = F.when(v.rlike(ROUTE_PATTERN), _strip(F.regexp_extract(v, ROUTE_PATTERN, 1))).otherwise(v)
+    origin = F.when(v.rlike(ROUTE_PATTERN), strip(F.regexp_extract(v, ROUTE_PATTERN, 1))).otherwise(v)
     staged = df.withColumn("__o", origin)
     # one row per three-character code (a dimension: size checked, then broadcast)
     codes = dimension(iata.where(F.length("code") == 3)
@@ -54,7 +50,7 @@ def clean_location(df: DataFrame, col: str, iata: DataFrame, out: str = "clean_l
     w = F.regexp_replace(F.col("__o"), NOISE_PATTERN, "")
     w = F.regexp_replace(w, PAREN_PATTERN, "")
     w = F.regexp_replace(w, COMMA_PATTERN, "")
-    w = F.lower(_strip(F.translate(w, ACCENTS_FROM, ACCENTS_TO)))
+    w = F.lower(strip(F.translate(w, ACCENTS_FROM, ACCENTS_TO)))
     res = F.when(F.col("__iata_city").isNotNull(), F.col("__iata_city")).otherwise(w)
     j = j.withColumn(out, res)
     if keep_iata:
@@ -155,8 +151,8 @@ def location_frequency(geo: DataFrame, loc: str = "Mapped_Location") -> DataFram
 def geo_quality(raw: DataFrame, geo: DataFrame, col: str) -> DataFrame:
     """AGG-15: total rows, mapped rows, unmatched (never below 0) and empty rows."""
     r = raw.agg(F.count(F.lit(1)).alias("total_rows"),
-                F.count_if(F.col(col).isNull() | (_strip(F.col(col).cast("string")) == "")
-                           | (_strip(F.col(col).cast("string")) == "nan")).alias("empty"))
+                F.count_if(F.col(col).isNull() | (strip(F.col(col).cast("string")) == "")
+                           | (strip(F.col(col).cast("string")) == "nan")).alias("empty"))
     g = geo.agg(F.count_if(F.col("lat").isNotNull()).alias("mapped"),
                 F.count_if(F.col("lat").isNull()).alias("no_coords"))
     gv = row_values(g)

@@ -81,4 +81,4 @@ def churn_headline(bands: DataFrame, band: str = "Risk_Group") -> DataFrame:
     text = (F.when(r > 30, F.concat(F.lit(H["critical"][0]), rate_txt, F.lit(H["critical"][1])))
              .when(r > 15, F.concat(F.lit(H["warning"][0]), rate_txt, F.lit(H["warning"][1])))
              .otherwise(F.concat(F.lit(H["healthy"][0]), rate_txt, F.lit(H["healthy"][1]))))
-    return s.select("high_risk", "total", F.round(r, 6).alias("high_risk_pct"), text.alias("headline"))
+    return s.select("high_risk", "total", r.alias("high_risk_pct"), text.alias("headline"))

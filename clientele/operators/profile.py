@@ -90,7 +90,7 @@ def evaluate_readiness(cols: Sequence[tuple[str, str]], modules: Sequence[str] |
         kind = dict(cols).get(src)
         type_ok = None if src is None else (expected is None or kind == expected)
         rows.append(dict(module=module, flavor=flavor, standard_column=std, source_column=src,
-                         expected_type=expected, type_ok=type_ok))
+                         expected_type=expected, actual_type=kind, type_ok=type_ok))
     groups: dict[tuple, list[dict]] = {}
     for r in rows:
         groups.setdefault((r["module"], r["flavor"]), []).append(r)
@@ -115,7 +115,8 @@ def evaluate_readiness(cols: Sequence[tuple[str, str]], modules: Sequence[str] |
             names = {c for c, _ in cands}
             src = next((k for k in keys if k in names), None)
         rows.append(dict(module="role", flavor=role, standard_column=role, source_column=src,
-                         expected_type=None, type_ok=None if src is None else True, ready=src is not None,
+                         expected_type=None, actual_type=dict(cols).get(src), type_ok=None if src is None else True,
+                         ready=src is not None,
                          module_ready=src is not None, chosen_flavor=None))
     return rows
 
@@ -125,7 +126,7 @@ def _lit_struct(d: dict, schema: list[tuple[str, str]]):
 
 
 _REPORT_META = [("module", "string"), ("flavor", "string"), ("standard_column", "string"),
-                ("source_column", "string"), ("expected_type", "string"), ("type_ok", "boolean"),
+                ("source_column", "string"), ("expected_type", "string"), ("actual_type", "string"), ("type_ok", "boolean"),
                 ("ready", "boolean"), ("module_ready", "boolean"), ("chosen_flavor", "string")]
 
 
@@ -204,11 +205,9 @@ def groupable_columns(df: DataFrame, table_name: str, exclude: Sequence[str] = (
     return out.where(F.col("distinct_values") < limit).select(F.lit(table_name).alias("table_name"), "*")
 
 
-def column_domains(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
-                   max_values: int = 1000) -> DataFrame:
+def column_domains(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
     """PRF-6: per numeric column min, max and max x 1.2 (slider range); per
-    categorical column its sorted distinct values, when there are at most
-    ``max_values`` of them (else only the count)."""
+    categorical column a row for each distinct value, with their number."""
     parts = []
     if numeric:
         m = df.agg(*[F.min(F.col(c).cast("double")).alias(f"__mn{i}") for i, c in enumerate(numeric)],
@@ -217,7 +216,7 @@ def column_domains(df: DataFrame, numeric: Sequence[str], categorical: Sequence[
                             F.col(f"__mn{i}").alias("min_value"), F.col(f"__mx{i}").alias("max_value"),
                             (F.col(f"__mx{i}") * 1.2).alias("slider_max"),
                             F.lit(None).cast("bigint").alias("distinct_values"),
-                            F.lit(None).cast("string").alias("values"))
+                            F.lit(None).cast("string").alias("value"))
                    for i, c in enumerate(numeric)]
         parts.append(m.select(F.explode(F.array(*structs)).alias("s")).select("s.*"))
     if categorical:
@@ -226,12 +225,11 @@ def column_domains(df: DataFrame, numeric: Sequence[str], categorical: Sequence[
                                              for c in categorical])).alias("s")).select("s.*")
         d = long.where(F.col("v").isNotNull()).distinct()
         n = d.groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_values"))
-        small = d.join(n.where(F.col("distinct_values") <= max_values), "column_name", "left_semi")
-        vals = small.groupBy("column_name").agg(F.array_join(F.array_sort(F.collect_list("v")), "|").alias("values"))
-        cat = n.join(vals, "column_name", "left").select(
+        # n has a row for each column that was named
+        cat = d.join(F.broadcast(n), "column_name").select(
             "column_name", F.lit("category").alias("kind"), F.lit(None).cast("double").alias("min_value"),
             F.lit(None).cast("double").alias("max_value"), F.lit(None).cast("double").alias("slider_max"),
-            "distinct_values", "values")
+            "distinct_values", F.col("v").alias("value"))
         parts.append(cat)
     out = parts[0]
     for p in parts[1:]:

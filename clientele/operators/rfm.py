@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.clean import total
 from ..functions.ranking import exact_quantiles
 
 
 def rfm(tx: DataFrame, customer: str = "CustomerID", date: str = "InvoiceDate",
-        amount: str = "TotalAmount") -> DataFrame:
+        amount: str = "TotalAmount", scale: int | None = None) -> DataFrame:
     """Per customer: Recency (whole days from last purchase to max date + 1 day),
-    Frequency (rows) and Monetary (sum of amount).
+    Frequency (rows) and Monetary (sum of amount; missing and NaN amounts add 0).
+
+    Amounts are summed in their own type. ``scale`` states the decimal places
+    that all amounts have: then the sum is exact, whatever the order.
 
     One hash aggregate on the customer key (partial + final, so a customer with
     a third of all rows costs one partial row per map task). The snapshot is a
@@ -23,8 +27,7 @@ def rfm(tx: DataFrame, customer: str = "CustomerID", date: str = "InvoiceDate",
              .groupBy(customer)
              .agg(F.max(ts).alias("__last"),
                   F.count(F.lit(1)).alias("Frequency"),
-                  # decimal sum: exact, so independent of summation order
-                  F.sum(F.col(amount).cast("decimal(18,2)")).cast("double").alias("Monetary")))
+                  total(tx, amount, scale).alias("Monetary")))
     # whole days of the difference (24-hour units, as pandas' Timedelta.days);
     # interval arithmetic on the values themselves, so no session time zone enters
     days = F.extract(F.lit("DAY"), snap - F.col("__last")).cast("bigint")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.clean import col_or
+from ..functions.clean import col_or, is_numeric
 
 PERSONA_COLS = ("Persona", "Strategy", "Next_Best_Action")
 
@@ -99,7 +99,7 @@ def persona_rfm(df: DataFrame, recency: str = "Recency", monetary: str = "Moneta
 def persona_churn(df: DataFrame, probability: str = "probability", value: str = "Value") -> DataFrame:
     """RUL-4: a numeric ``Value`` <= 1 stands in for the probability."""
     prob = col_or(df, probability, 0.0)
-    if value in df.columns and dict(df.dtypes)[value] in ("int", "bigint", "double", "float", "smallint", "tinyint"):
+    if value in df.columns and is_numeric(df, value):
         v = col_or(df, value, None)
         risk = F.when(v <= 1.0, v).otherwise(prob)
     else:

@@ -127,10 +127,11 @@ def squared_silhouette(df: DataFrame, features: Sequence[str], cluster: str) ->
     staged = df.withColumn("__stats", arr)
     st = F.col("__stats")
     own = F.filter(st, lambda s: s["c"] == F.col(cluster))[0]
-    a = dist(own) / (own["n"] - 1)
+    a = F.try_divide(dist(own), own["n"] - 1)
     others = F.transform(F.filter(st, lambda s: s["c"] != F.col(cluster)), lambda s: dist(s) / s["n"])
     b = F.array_min(others)
-    sil = F.when(own["n"] <= 1, F.lit(0.0)).otherwise((b - a) / F.greatest(a, b))
+    # a point on top of its own and of another cluster's points scores 0
+    sil = F.when(own["n"] <= 1, F.lit(0.0)).otherwise(F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0)))
     return staged.select(sil.alias("__s")).agg(F.avg("__s").alias("silhouette"))
 
 
@@ -215,4 +216,4 @@ def segment_rules(segmented: DataFrame, features: Sequence[str], cluster: str =
     meta = segmented.sparkSession.createDataFrame(texts, "leaf_id int, condition string, predicted_cluster int")
     return meta.join(per_leaf, "leaf_id", "left").select(
         "leaf_id", "condition", "predicted_cluster", F.coalesce("rows", F.lit(0)).alias("rows"),
-        F.round(F.col("__top") / F.col("rows"), 6).alias("purity"))
+        (F.col("__top") / F.col("rows")).alias("purity"))

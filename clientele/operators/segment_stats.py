@@ -8,17 +8,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.clean import nan_to_null
 from .rules import segment_labels
 
 
 def standardise(df: DataFrame, features: Sequence[str], suffix: str = "_z") -> DataFrame:
-    """(x - mean) / sample std per feature. All moments come from one aggregate
+    """(x - mean) / sample std per feature (0 for a constant one; NaN is missing). All moments come from one aggregate
     pass, returned as one struct-valued scalar subquery (evaluated once)."""
-    m = df.select(F.struct(*[F.avg(F.col(f).cast("double")).alias(f"mu{i}") for i, f in enumerate(features)],
-                           *[F.stddev_samp(F.col(f).cast("double")).alias(f"sd{i}") for i, f in enumerate(features)])
+    m = df.select(F.struct(*[F.avg(nan_to_null(df, f).cast("double")).alias(f"mu{i}") for i, f in enumerate(features)],
+                           *[F.stddev_samp(nan_to_null(df, f).cast("double")).alias(f"sd{i}") for i, f in enumerate(features)])
                   ).scalar()
-    return df.withColumns({f + suffix: (F.col(f).cast("double") - m[f"mu{i}"]) / m[f"sd{i}"]
-                           for i, f in enumerate(features)})
+    def z(i, f):
+        d = nan_to_null(df, f).cast("double") - m[f"mu{i}"]
+        return F.when(m[f"sd{i}"] > 0, d / m[f"sd{i}"]).when(d.isNotNull(), 0.0)
+    return df.withColumns({f + suffix: z(i, f) for i, f in enumerate(features)})
 
 
 def nearest_centroid(df: DataFrame, features: Sequence[str], centres: Sequence[Sequence[float]],
@@ -38,7 +41,7 @@ def nearest_centroid(df: DataFrame, features: Sequence[str], centres: Sequence[S
     return df.withColumn(out, e.cast("int"))
 
 
-def segment_profile(df: DataFrame, cluster: str, features: Sequence[str], digits: int | None = 6,
+def segment_profile(df: DataFrame, cluster: str, features: Sequence[str], digits: int | None = None,
                     half_even: bool = False) -> DataFrame:
     """AGG-2: mean of each feature per segment (one small aggregate).
 
@@ -46,7 +49,7 @@ def segment_profile(df: DataFrame, cluster: str, features: Sequence[str], digits
     (means rounded half to even to one decimal)."""
     aggs = []
     for f in features:
-        m = F.avg(F.col(f).cast("double"))
+        m = F.avg(nan_to_null(df, f).cast("double"))
         r = (F.bround(m, digits) if half_even else F.round(m, digits)) if digits is not None else m
         aggs.append(r.alias(f))
     return df.groupBy(cluster).agg(F.count(F.lit(1)).alias("size"), *aggs)
@@ -58,7 +61,7 @@ def segment_sizes(df: DataFrame, cluster: str) -> DataFrame:
     s = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("customers"))
     # s has one row per segment: the unpartitioned window is over a handful of rows.
     w = Window.orderBy(F.desc("customers"), F.asc(cluster))
-    return s.select(cluster, "customers", F.round(F.col("customers") / total, 6).alias("share"),
+    return s.select(cluster, "customers", (F.col("customers") / total).alias("share"),
                     F.row_number().over(w).alias("size_rank"))
 
 

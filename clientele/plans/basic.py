@@ -32,14 +32,14 @@ def q_standardise_columns(spark, sf_dir):
 
 @query("rfm")
 def q_rfm(spark, sf_dir):
-    return rfm(fx.transactions(spark, sf_dir))
+    return rfm(fx.transactions(spark, sf_dir), scale=2)
 
 
 @query("monetary_quartiles")
 def q_monetary_quartiles(spark, sf_dir):
-    return monetary_quartiles(rfm(fx.transactions(spark, sf_dir)))
+    return monetary_quartiles(rfm(fx.transactions(spark, sf_dir), scale=2))
 
 
 @query("persona_rfm")
 def q_persona_rfm(spark, sf_dir):
-    return persona_rfm(rfm(fx.transactions(spark, sf_dir)), big_spend=RFM_BIG_SPEND)
+    return persona_rfm(rfm(fx.transactions(spark, sf_dir), scale=2), big_spend=RFM_BIG_SPEND)

@@ -94,4 +94,4 @@ def q_persona_geo_value(spark, sf_dir):
 
 @query("segment_heuristic")
 def q_segment_heuristic(spark, sf_dir):
-    return segment_heuristic(rfm(fx.transactions(spark, sf_dir)))
+    return segment_heuristic(rfm(fx.transactions(spark, sf_dir), scale=2))

@@ -11,6 +11,7 @@ from ..operators.churn_model import (attribute, directional_importance, expand_s
 from ..operators.churn_stats import typical_customer
 from ..operators.rfm import rfm
 from ..operators.segment_model import k_sweep, sample_rows, segment, segment_rules, squared_silhouette
+from ..operators.segment_stats import standardise
 from ..sources import fixtures as fx
 from .registry import query
 from .reports import RFM_FEATURES, rfm_segments
@@ -32,27 +33,26 @@ def q_segments_demographic(spark, sf_dir):
 
 @query("k_sweep")
 def q_k_sweep(spark, sf_dir):
-    return k_sweep(fx.transactions(spark, sf_dir), restarts=3)
+    return k_sweep(fx.transactions(spark, sf_dir), restarts=SEGMENT_RESTARTS)
 
 
 @query("silhouette")
 def q_silhouette(spark, sf_dir):
-    seg = rfm_segments(spark, sf_dir)
-    return squared_silhouette(seg, RFM_FEATURES, "Cluster").select(F.round("silhouette", 6).alias("silhouette"))
+    seg = standardise(rfm_segments(spark, sf_dir), RFM_FEATURES)
+    return squared_silhouette(seg, [f + "_z" for f in RFM_FEATURES], "Cluster").select(F.round("silhouette", 6).alias("silhouette"))
 
 
 @query("segment_rules")
 def q_segment_rules(spark, sf_dir):
     mode, out, feats = segment(fx.transactions(spark, sf_dir), k=4, restarts=SEGMENT_RESTARTS)
-    return segment_rules(out, feats)
+    return segment_rules(out, feats).withColumn("purity", F.round("purity", 6))
 
 
 # --- churn and value models -------------------------------------------------------------
 
-# Boosting rounds of the registered queries (the operator default is 100, as the
-# reference); queries use fewer so that a round of checks stays short.
-CHURN_ROUNDS = 20
-VALUE_ROUNDS = 20
+# Boosting rounds of the registered queries: the operators' full settings.
+CHURN_ROUNDS = 100
+VALUE_ROUNDS = 50
 # Fixed what-if scenarios of the scenario queries (absolute overrides).
 SCENARIOS = [
     {"scenario_id": "two_year_contract", "Contract": "Two year"},

@@ -6,10 +6,8 @@ prefixes a query body with the CTEs it names.
 
 from __future__ import annotations
 
-from ..operators.profile import evaluate_capabilities, evaluate_readiness
-from ..operators.sentiment import BOOSTERS_DOWN, BOOSTERS_UP, NEGATORS
-from ..operators.topics import STOP_WORDS
 from ..sources.dimensions import gazetteer_rows, iata_rows
+from .expected import BOOSTERS_DOWN, BOOSTERS_UP, CAPABILITIES, NEGATORS, READINESS, STOP_WORDS
 
 # Derived inputs, DuckDB spelling of clientele.sources.fixtures.
 CTES = {
@@ -258,7 +256,7 @@ register("percentile_profile", f"""select CustomerID, metric, value,
               / count(*) over (partition by metric, complete) * 100 else 50.0 end, 6) as percentile
   from ({_long_sql('rfm', 'CustomerID', ['Recency', 'Frequency', 'Monetary'])})""", ["rfm"])
 register("customer_index", """select distinct cast(customerID as varchar) as customer_id from churn_customers
-  where customerID is not null order by 1 limit 5000""", ["churn_customers"])
+  where customerID is not null""", ["churn_customers"])
 register("churn_kpis", """select round(avg(probability), 6) as avg_probability,
     cast(count_if(Risk_Group = 'High') as bigint) as high_risk_count,
     round(count_if(Risk_Group = 'High') / count(*), 6) as high_risk_share,
@@ -472,17 +470,23 @@ def _sql_lit(v, t):
     return "'" + str(v).replace("'", "''") + "'"
 
 
+def _expected(text, keys):
+    value = {"-": None, "yes": True, "no": False}
+    return [dict(zip(keys, (value.get(w, w) for w in line.split()))) for line in text.strip().splitlines()]
+
+
 def _readiness_sql(table):
     sels = []
-    for r in evaluate_readiness(FIXTURE_COLUMNS[table]):
+    keys = ("module", "flavor", "standard_column", "source_column", "expected_type", "actual_type",
+            "type_ok", "ready", "module_ready", "chosen_flavor")
+    for r in _expected(READINESS[table], keys):
         src = r["source_column"]
         nulls = f"(select count(*) from {table} where {src} is null)" if src else "cast(null as bigint)"
         bad = (f"(select count(*) from {table} where {src} is not null and "
                f"try_cast(trim(cast({src} as varchar)) as double) is null)"
                if src and r["expected_type"] == "numeric" else "cast(null as bigint)")
         meta = ", ".join(f"{_sql_lit(r[k], 'varchar' if k not in ('type_ok', 'ready', 'module_ready') else 'boolean')} as {k}"
-                         for k in ("module", "flavor", "standard_column", "source_column", "expected_type",
-                                   "type_ok", "ready", "module_ready", "chosen_flavor"))
+                         for k in keys)
         sels.append(f"select '{table}' as table_name, {meta}, (select count(*) from {table}) as rows, "
                     f"{nulls} as nulls, {bad} as non_numeric")
     return " union all ".join(sels)
@@ -490,7 +494,7 @@ def _readiness_sql(table):
 
 def _capability_sql(table):
     sels = []
-    for r in evaluate_capabilities(FIXTURE_COLUMNS[table]):
+    for r in _expected(CAPABILITIES[table], ("rule_set", "capability", "detected", "evidence_column")):
         src = r["evidence_column"]
         v = f"(select count({src}) from {table})" if src else "cast(null as bigint)"
         sels.append(f"select '{table}' as table_name, '{r['rule_set']}' as rule_set, '{r['capability']}' as capability, "
@@ -515,22 +519,28 @@ register("groupable_columns", _groupable_sql("reviews", ["ReviewID", "lang", "so
          ["reviews", "churn_customers"])
 register("column_domains", " union all ".join(
     [f"""select '{c}' as column_name, 'numeric' as kind, min({c}) as min_value, max({c}) as max_value,
-          max({c}) * 1.2 as slider_max, cast(null as bigint) as distinct_values, cast(null as varchar) as "values"
+          max({c}) * 1.2 as slider_max, cast(null as bigint) as distinct_values, cast(null as varchar) as "value"
         from cleaned""" for c in ("Tenure", "MonthlyCharges", "TotalCharges")]
-    + [f"""select '{c}', 'category', null, null, null, count(*), string_agg(v, '|' order by v)
+    + [f"""select '{c}', 'category', null, null, null, count(*) over (), v
         from (select distinct {c} as v from cleaned where {c} is not null)""" for c in ("Segment", "Contract", "Support")]),
     ["cleaned"])
 
 # ---- models (value-checkable parts) -----------------------------------------------------
+CTES["sil_z"] = """select CustomerID, Cluster,
+    (Recency - avg(Recency) over ()) / stddev_samp(Recency) over () as Recency,
+    (Frequency - avg(Frequency) over ()) / stddev_samp(Frequency) over () as Frequency,
+    (Monetary - avg(Monetary) over ()) / stddev_samp(Monetary) over () as Monetary
+  from segments"""
+DEPS["sil_z"] = ["segments"]
 CTES["sil_stats"] = """select Cluster, count(*) as n, sum(cast(Recency as double)) as sr,
     sum(cast(Frequency as double)) as sf, sum(Monetary) as sm,
     sum(cast(Recency as double) * Recency + cast(Frequency as double) * Frequency + Monetary * Monetary) as q
-  from segments group by Cluster"""
-DEPS["sil_stats"] = ["segments"]
+  from sil_z group by Cluster"""
+DEPS["sil_stats"] = ["sil_z"]
 CTES["sil_pd"] = """select p.CustomerID, p.Cluster as pc, s.Cluster as sc, s.n,
     s.n * (cast(p.Recency as double) * p.Recency + cast(p.Frequency as double) * p.Frequency + p.Monetary * p.Monetary)
     - 2 * (p.Recency * s.sr + p.Frequency * s.sf + p.Monetary * s.sm) + s.q as d
-  from segments p, sil_stats s"""
+  from sil_z p, sil_stats s"""
 DEPS["sil_pd"] = ["sil_stats"]
 register("silhouette", """select round(avg(case when na <= 1 then 0.0 else (b - a) / greatest(a, b) end), 6) as silhouette
   from (select CustomerID, max(case when sc = pc then n end) as na,

@@ -24,9 +24,14 @@ RFM_FEATURES = ["Recency", "Frequency", "Monetary"]
 RFM_CENTRES = [(-1.0, 1.0, 1.0), (1.0, -1.0, -1.0), (0.0, 0.0, 0.0), (2.0, 0.0, 0.0)]
 
 
+def rounded(df, *cols, digits=6):
+    """Display rounding of a registered query (the operators do not round)."""
+    return df.withColumns({c: F.round(c, digits) for c in cols})
+
+
 def rfm_segments(spark, sf_dir):
     # the RFM table feeds the moments, the assignment and the later statistics
-    r = materialize(rfm(fx.transactions(spark, sf_dir)))
+    r = materialize(rfm(fx.transactions(spark, sf_dir), scale=2))
     z = standardise(r, RFM_FEATURES)
     seg = nearest_centroid(z, [f + "_z" for f in RFM_FEATURES], RFM_CENTRES)
     return seg.select("CustomerID", *RFM_FEATURES, "Cluster")
@@ -46,12 +51,12 @@ def q_nearest_centroid(spark, sf_dir):
 
 @query("segment_profile")
 def q_segment_profile(spark, sf_dir):
-    return segment_profile(rfm_segments(spark, sf_dir), "Cluster", RFM_FEATURES)
+    return segment_profile(rfm_segments(spark, sf_dir), "Cluster", RFM_FEATURES, digits=6)
 
 
 @query("segment_sizes")
 def q_segment_sizes(spark, sf_dir):
-    return segment_sizes(rfm_segments(spark, sf_dir), "Cluster")
+    return rounded(segment_sizes(rfm_segments(spark, sf_dir), "Cluster"), "share")
 
 
 @query("segment_labels")
@@ -70,12 +75,13 @@ def q_segment_narrative(spark, sf_dir):
 
 @query("customer_vs_segment")
 def q_customer_vs_segment(spark, sf_dir):
-    return customer_vs_segment(rfm_segments(spark, sf_dir), "CustomerID", "Cluster", RFM_FEATURES)
+    return rounded(customer_vs_segment(rfm_segments(spark, sf_dir), "CustomerID", "Cluster", RFM_FEATURES),
+                   "segment_avg", "global_avg")
 
 
 @query("percentile_profile")
 def q_percentile_profile(spark, sf_dir):
-    return percentile_profile(rfm(fx.transactions(spark, sf_dir)), "CustomerID")
+    return rounded(percentile_profile(rfm(fx.transactions(spark, sf_dir), scale=2), "CustomerID"), "percentile")
 
 
 @query("customer_index")
@@ -86,7 +92,8 @@ def q_customer_index(spark, sf_dir):
 @query("churn_kpis")
 def q_churn_kpis(spark, sf_dir):
     r = fx.rule_score(spark, sf_dir)
-    return churn_kpis(r.withColumn("Risk_Group", risk_band("probability")))
+    return rounded(churn_kpis(r.withColumn("Risk_Group", risk_band("probability")), scale=2),
+                   "avg_probability", "high_risk_share")
 
 
 @query("risk_histogram")
@@ -98,22 +105,24 @@ def q_risk_histogram(spark, sf_dir):
 @query("churn_headline")
 def q_churn_headline(spark, sf_dir):
     r = fx.rule_score(spark, sf_dir)
-    return churn_headline(r.withColumn("Risk_Group", risk_band("probability")))
+    return rounded(churn_headline(r.withColumn("Risk_Group", risk_band("probability"))), "high_risk_pct")
 
 
 @query("safest_option")
 def q_safest_option(spark, sf_dir):
-    return safest_option(fx.churn_customers(spark, sf_dir), ["Segment", "Contract", "Support"])
+    return rounded(safest_option(fx.churn_customers(spark, sf_dir), ["Segment", "Contract", "Support"]), "churn_rate")
 
 
 @query("typical_customer")
 def q_typical_customer(spark, sf_dir):
-    return typical_customer(clean_numbers(fx.churn_customers(spark, sf_dir)))
+    t = typical_customer(clean_numbers(fx.churn_customers(spark, sf_dir)))
+    return rounded(t, *[c for c, kind in t.dtypes if kind == "double"])
 
 
 @query("driver_direction")
 def q_driver_direction(spark, sf_dir):
-    return driver_direction(scored_rule(spark, sf_dir), ["Tenure", "MonthlyCharges", "TotalCharges", "Contract"])
+    return rounded(driver_direction(scored_rule(spark, sf_dir), ["Tenure", "MonthlyCharges", "TotalCharges", "Contract"]),
+                   "correlation")
 
 
 @query("class_balance")
