@@ -9,11 +9,14 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Give CPU-heavy per-row work (tokenising long texts) at least one
     partition per core.
 
-    Only repartitions when the input has fewer partitions than the cluster's
-    default parallelism: a large table read from many files already has far
-    more, so at scale this is a no-op and adds no shuffle. Planning the RDD
-    to read its partition count runs no job.
+    Only repartitions a plain scan (with projections and filters) that has
+    fewer partitions than the cluster's default parallelism: a large table read
+    from many files already has far more, so at scale this is a no-op and adds
+    no shuffle. A plan with a shuffle is left as it is (its partitions are the
+    session's); asking it for its partitions would run its stages.
     """
+    if df._jdf.queryExecution().executedPlan().nodeName().startswith("AdaptiveSparkPlan"):
+        return df
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= target:
         return df

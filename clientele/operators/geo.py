@@ -2,21 +2,21 @@
 JOIN-9, AGG-14..16).
 
 Each tier runs on the *distinct* cleaned locations only, and each later tier
-only on what the earlier tiers left (``left_anti``). The gazetteer and the
-airport table are fixed dimensions and are broadcast; the theta joins
-(substring, fuzzy) are broadcast nested-loop joins of the distinct remainder
-against them, always with a join condition. The per-location result joins
-back to the rows once.
+only on what the earlier tiers left (``left_anti``). All tiers are equi-joins:
+the substring tier joins the parts of a location that have the length of a key,
+the fuzzy tiers join character pairs first and score only pairs of texts with
+as many in common as the cutoff demands. So any gazetteer size works, without a
+broadcast hint: the planner broadcasts a side when its measured size allows.
+The per-location result joins back to the rows once; rows without a location
+are kept apart in that join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.clean import strip
-from ..functions.joins import dimension
 from ..functions.partitioning import materialize
 from ..functions.scalars import row_values
 
@@ -42,10 +42,9 @@ def clean_location(df: DataFrame, col: str, iata: DataFrame, out: str = "clean_l
     v = F.when(v.isNull() | (v == "") | (F.lower(v) == "nan"), F.lit(None).cast("string")).otherwise(v)
     origin = F.when(v.rlike(ROUTE_PATTERN), strip(F.regexp_extract(v, ROUTE_PATTERN, 1))).otherwise(v)
     staged = df.withColumn("__o", origin)
-    # one row per three-character code (a dimension: size checked, then broadcast)
-    codes = dimension(iata.where(F.length("code") == 3)
-                      .groupBy(F.upper("code").alias("__code")).agg(F.max(F.lower("city")).alias("__iata_city")),
-                      name="airport codes")
+    # one row per three-character code
+    codes = (iata.where(F.length("code") == 3)
+             .groupBy(F.upper("code").alias("__code")).agg(F.max(F.lower("city")).alias("__iata_city")))
     j = staged.join(codes, (F.length("__o") == 3) & (F.upper("__o") == F.col("__code")), "left")
     w = F.regexp_replace(F.col("__o"), NOISE_PATTERN, "")
     w = F.regexp_replace(w, PAREN_PATTERN, "")
@@ -65,41 +64,108 @@ def distinct_locations(cleaned: DataFrame, loc: str = "clean_loc") -> DataFrame:
 
 def exact_tier(cities: DataFrame, gaz: DataFrame) -> DataFrame:
     """JOIN-1: equal key."""
-    return cities.join(F.broadcast(gaz.select(F.col("key"), "ord")), F.col("city") == F.col("key")).select("city", "key")
+    return cities.join(gaz.select("key", "ord"), F.col("city") == F.col("key")).select("city", "key")
 
 
 def substring_tier(cities: DataFrame, gaz: DataFrame, word_boundary: bool = False) -> DataFrame:
     """JOIN-3: the first key (in gazetteer order) contained in the city.
 
     By default any substring counts (so 'lima' hits 'limassol', as in the
-    reference); ``word_boundary=True`` only accepts whole words."""
-    g = F.broadcast(gaz.select("key", "ord"))
-    if word_boundary:
-        cond = F.concat(F.lit(" "), F.col("city"), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("key"), F.lit(" ")))
-    else:
-        cond = F.col("city").contains(F.col("key"))
-    hits = cities.join(g, cond)
-    return hits.groupBy("city").agg(F.min_by("key", "ord").alias("key"))
+    reference); ``word_boundary=True`` only accepts whole words. The city's
+    parts that have the length of some key are joined to the keys."""
+    pad = (lambda c: F.concat(F.lit(" "), c, F.lit(" "))) if word_boundary else (lambda c: c)
+    keys = gaz.where(F.length("key") > 0).select(pad(F.col("key")).alias("__part"), "key", "ord")
+    lengths = keys.select(F.collect_set(F.length("__part")).alias("l")).scalar()  # at most the longest key's length
+    text = pad(F.col("city"))
+    sizes = cities.select("city", text.alias("__t"), F.explode(lengths).alias("__n")).where(F.col("__n") <= F.length("__t"))
+    parts = sizes.select("city", "__t", "__n", F.explode(F.sequence(F.lit(1), F.length("__t") - F.col("__n") + 1)).alias("__i"))
+    parts = parts.select("city", F.expr("substring(__t, __i, __n)").alias("__part")).distinct()
+    return parts.join(keys, "__part").groupBy("city").agg(F.min_by("key", "ord").alias("key"))
 
 
 def levenshtein_similarity(a: Column, b: Column) -> Column:
     return F.lit(1.0) - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
 
 
+def common_subsequence(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence. For up to 60 characters of ``b``
+    the table's row is kept as bits of one number (bit-parallel recurrence of
+    Hyyro, 2004), for longer texts as an array."""
+    chars, n = F.split(b, ""), F.length(b)
+    all_ones = F.call_function("shiftleft", F.lit(1).cast("long"), F.least(n, F.lit(60))) - 1
+
+    def places(x):  # bits of the places in b that hold x
+        return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0).cast("long"), lambda m, i: m.bitwiseOR(
+            F.when(F.get(chars, i) == x, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))))
+    letters = F.array_distinct(F.split(a, ""))
+    masks = F.map_from_arrays(letters, F.transform(letters, places))
+
+    def bits(m):
+        def step(v, x):
+            u = v.bitwiseAND(m[x])
+            return (v + u).bitwiseOR(v - u).bitwiseAND(all_ones)
+        return n - F.bit_count(F.aggregate(F.split(a, ""), all_ones, step))
+    short = F.get(F.transform(F.array(masks), bits), F.lit(0))
+
+    def row(old, x):
+        step = lambda acc, y: F.concat(acc, F.array(
+            F.when(x == y, F.get(old, F.size(acc) - 1) + 1)
+             .otherwise(F.greatest(F.get(old, F.size(acc)), F.get(acc, F.size(acc) - 1)))))
+        return F.aggregate(chars, F.array(F.lit(0)), step)
+    long = F.element_at(F.aggregate(F.split(a, ""), F.array_repeat(F.lit(0), n + 1), row), -1)
+    return F.when((F.length(a) == 0) | (n == 0), 0).when(n <= 60, short).otherwise(long)
+
+
+def sequence_similarity(a: Column, b: Column) -> Column:
+    """2 x longest common subsequence / total length: never below the reference's
+    sequence-matcher ratio, whose matched blocks are one common subsequence."""
+    return F.lit(2.0) * common_subsequence(a, b) / (F.length(a) + F.length(b))
+
+
+def _candidates(cities: DataFrame, gaz: DataFrame, cutoff: float) -> DataFrame:
+    """Pairs (city, key) that can reach ``cutoff`` by either similarity.
+
+    A common subsequence of m of S characters has at most S - 2m + 1 runs, so
+    the texts share at least 3m - S - 1 character pairs; where that is no pair
+    at all (short texts, or a cutoff up to 2/3) one character is enough. The
+    pairs are counted with their repetitions, so none is missed."""
+    slack = 1.5 * cutoff - 1
+    short = 2 / slack if slack > 0 else float(1 << 30)  # up to this total length a single character counts
+
+    def grams(df, col):
+        n = F.length(col)
+        pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(F.col(col), i, F.lit(2)))
+        single = F.when(n <= short, F.array_distinct(F.split(F.col(col), ""))).otherwise(F.array().cast("array<string>"))
+        return df.where(n > 0).select(col, F.explode(F.concat(F.filter(pairs, lambda g: F.length(g) == 2), single)).alias("__g"))
+    total = F.length("city") + F.length("key")
+    need = F.ceil(F.lit(cutoff / 2) * total - 1e-9) * 3 - total - 1
+    both = (grams(cities.select("city"), "city").join(grams(gaz.select("key").distinct(), "key"), "__g")
+            .where(F.lit(2.0) * F.least(F.length("city"), F.length("key")) >= F.lit(cutoff) * total)
+            .groupBy("city", "key").agg(F.count_if(F.length("__g") == 2).alias("__c")))
+    return both.where((need <= 0) | (F.col("__c") >= need)).select("city", "key")
+
+
+def _best(cities: DataFrame, gaz: DataFrame, cutoff: float, similarity) -> DataFrame:
+    scored = _candidates(cities, gaz, cutoff).withColumn("score", similarity(F.col("city"), F.col("key")))
+    # the cutoff applies to the best score, so that each pair is scored once
+    best = scored.groupBy("city").agg(F.max(F.struct("score", "key")).alias("b")).where(F.col("b.score") >= cutoff)
+    return best.select("city", F.col("b.key").alias("key"), F.col("b.score").alias("score"))
+
+
 def fuzzy_tier(cities: DataFrame, gaz: DataFrame, cutoff: float = FUZZY_CUTOFF) -> DataFrame:
     """JOIN-4 (edit distance): the best key with 1 - lev/max(len) >= cutoff; on
-    equal scores the larger key wins. A length window that no match can leave
-    is the join condition, so most pairs never reach the distance."""
-    g = F.broadcast(gaz.select("key"))
-    la, lb = F.length("city"), F.length("key")
-    cond = F.abs(la - lb) <= F.lit(1.0 - cutoff) * F.greatest(la, lb)
-    scored = cities.join(g, cond).withColumn("score", levenshtein_similarity(F.col("city"), F.col("key")))
-    best = scored.where(F.col("score") >= cutoff).groupBy("city").agg(
-        F.max(F.struct("score", "key")).alias("b"))
-    return best.select("city", F.col("b.key").alias("key"), F.col("b.score").alias("score"))
+    equal scores the larger key wins."""
+    return _best(cities, gaz, cutoff, levenshtein_similarity)
 
 
-def resolve_locations(cities: DataFrame, gaz: DataFrame, fuzzy=fuzzy_tier, word_boundary: bool = False) -> DataFrame:
+def fuzzy_tier_ratio(cities: DataFrame, gaz: DataFrame, cutoff: float = FUZZY_CUTOFF) -> DataFrame:
+    """JOIN-4 (common subsequence, the default of the cascade): the best key with
+    2 x LCS / total length >= cutoff; on equal scores the larger key wins. Accepts
+    whatever the reference's measure accepts."""
+    return _best(cities, gaz, cutoff, sequence_similarity)
+
+
+def resolve_locations(cities: DataFrame, gaz: DataFrame, fuzzy=fuzzy_tier_ratio, word_boundary: bool = False) -> DataFrame:
     """JOIN-5: exact -> substring -> fuzzy; (city, key, match_tier, lat, lon, iso3)."""
     t1 = exact_tier(cities, gaz).withColumn("match_tier", F.lit("exact"))
     rest1 = cities.join(t1.select("city"), "city", "left_anti")
@@ -107,28 +173,31 @@ def resolve_locations(cities: DataFrame, gaz: DataFrame, fuzzy=fuzzy_tier, word_
     rest2 = rest1.join(t2.select("city"), "city", "left_anti")
     t3 = fuzzy(rest2, gaz).select("city", "key").withColumn("match_tier", F.lit("fuzzy"))
     hits = t1.unionByName(t2).unionByName(t3)
-    return hits.join(F.broadcast(gaz.select("key", "lat", "lon", "iso3")), "key")
+    return hits.join(gaz.select("key", "lat", "lon", "iso3"), "key")
+
+
+def _spread_missing(loc: str) -> Column:
+    """The location, or for rows without one of 1,024 keys that are no location."""
+    key = F.concat(F.lit("\x00"), (F.monotonically_increasing_id() % 1024).cast("string"))
+    return F.when(F.col(loc) != "", F.col(loc)).otherwise(key)
 
 
-def analyze_locations(df: DataFrame, col: str, gaz: DataFrame, iata: DataFrame, fuzzy=fuzzy_tier,
+def analyze_locations(df: DataFrame, col: str, gaz: DataFrame, iata: DataFrame, fuzzy=fuzzy_tier_ratio,
                       word_boundary: bool = False) -> DataFrame:
     """Rows + lat, lon, iso3, match_tier ('none' when not found) and
     Mapped_Location (title case of the cleaned text).
 
-    The per-location table has one row per distinct location; it is broadcast
-    when its size checks out, else joined by a shuffle (AQE splits a hot key).
-    The gazetteer must be dimension-sized (checked once).
+    The per-location table has one row per distinct location. It grows with the
+    data, so it gets no hint (AQE broadcasts it when its measured size allows,
+    and splits a location that holds a large share of the rows). Rows without a
+    location get keys of their own, spread evenly, that match nothing.
     """
-    gaz = dimension(gaz, name="gazetteer")
     cleaned = clean_location(df, col, iata)
     # the distinct locations feed every tier and the anti-joins between them:
     # computed once, so the source is read twice in all (here and for the rows)
     res = resolve_locations(materialize(distinct_locations(cleaned)), gaz, fuzzy, word_boundary)
-    res = res.select(F.col("city").alias("clean_loc"), "lat", "lon", "iso3", "match_tier")
-    # one row per distinct location: grows with the data, so no hint; the
-    # planner / AQE broadcast it when its measured size allows, else a shuffle
-    # join (AQE splits a location that holds a large share of the rows)
-    out = cleaned.join(res, "clean_loc", "left")
+    res = res.select(F.col("city").alias("__city"), "lat", "lon", "iso3", "match_tier")
+    out = cleaned.withColumn("__k", _spread_missing("clean_loc")).join(res, F.col("__k") == F.col("__city"), "left").drop("__k", "__city")
     tier = F.when(F.col("match_tier").isNotNull(), F.col("match_tier")) \
             .when(F.col("clean_loc").isNotNull() & (F.col("clean_loc") != ""), "none")
     return out.withColumns({"match_tier": tier, "Mapped_Location": F.initcap("clean_loc")})
@@ -144,8 +213,9 @@ def unmatched_locations(geo: DataFrame) -> DataFrame:
 def location_frequency(geo: DataFrame, loc: str = "Mapped_Location") -> DataFrame:
     """JOIN-9: each row's location frequency, by a grouped count joined back
     (no window holding a whole hot location in one task)."""
-    freq = geo.where(F.col(loc).isNotNull()).groupBy(loc).agg(F.count(F.lit(1)).alias("Frequency"))
-    return geo.join(freq, loc, "left")
+    freq = geo.where(F.col(loc).isNotNull()).groupBy(F.col(loc).alias("__l")).agg(F.count(F.lit(1)).alias("Frequency"))
+    keyed = geo.withColumn("__k", F.when(F.col(loc) == "", "").otherwise(_spread_missing(loc)))
+    return keyed.join(freq, F.col("__k") == F.col("__l"), "left").drop("__k", "__l")
 
 
 def geo_quality(raw: DataFrame, geo: DataFrame, col: str) -> DataFrame:
@@ -165,29 +235,3 @@ def top_locations(geo: DataFrame, metric: str, n: int = 10, loc: str = "Mapped_L
     """AGG-14: mean metric per mapped location, the ``n`` largest."""
     m = geo.where(F.col("lat").isNotNull()).groupBy(loc).agg(F.avg(metric).alias("avg_" + metric))
     return m.orderBy(F.desc_nulls_last("avg_" + metric), F.asc(loc)).limit(n)
-
-
-# --- Ratcliff-Obershelp tier (the reference's measure), as an Arrow UDF ----------------
-
-@F.pandas_udf(T.DoubleType())
-def _ratio_udf(candidate, city):  # pragma: no cover - runs on executors
-    import difflib
-
-    import pandas as pd
-    out = []
-    for a, b in zip(candidate, city):
-        # as get_close_matches: the candidate is sequence 1, the looked-up word sequence 2
-        out.append(difflib.SequenceMatcher(None, a, b).ratio() if a is not None and b is not None else None)
-    return pd.Series(out, dtype="float64")
-
-
-def fuzzy_tier_ratio(cities: DataFrame, gaz: DataFrame, cutoff: float = FUZZY_CUTOFF) -> DataFrame:
-    """JOIN-4 (sequence-matcher ratio, as the reference measures it). The same
-    length window (2*min/(la+lb) >= cutoff bounds the ratio) prunes the pairs
-    before the vectorised UDF scores them."""
-    g = F.broadcast(gaz.select("key"))
-    la, lb = F.length("city"), F.length("key")
-    cond = (F.lit(2.0) * F.least(la, lb) / (la + lb)) >= F.lit(cutoff)
-    scored = cities.join(g, cond).withColumn("score", _ratio_udf(F.col("key"), F.col("city")))
-    best = scored.where(F.col("score") >= cutoff).groupBy("city").agg(F.max(F.struct("score", "key")).alias("b"))
-    return best.select("city", F.col("b.key").alias("key"), F.col("b.score").alias("score"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.geo import (analyze_locations, clean_location, distinct_locations, fuzzy_tier,
+from ..operators.geo import (analyze_locations, clean_location, distinct_locations, exact_tier, fuzzy_tier,
                              fuzzy_tier_ratio, geo_quality, location_frequency, substring_tier,
                              top_locations, unmatched_locations)
 from ..sources import fixtures as fx
@@ -34,9 +34,9 @@ def q_geo_iata(spark, sf_dir):
 
 @query("geo_exact")
 def q_geo_exact(spark, sf_dir):
-    g = F.broadcast(gazetteer(spark).select("key", "lat", "lon"))
-    c = _cleaned(spark, sf_dir)
-    return c.join(g, F.col("clean_loc") == F.col("key"), "left").select("TripID", "clean_loc", "key", "lat", "lon")
+    c, gaz = _cleaned(spark, sf_dir), gazetteer(spark)
+    hits = exact_tier(distinct_locations(c), gaz).join(gaz.select("key", "lat", "lon"), "key")
+    return c.join(hits, F.col("clean_loc") == F.col("city"), "left").select("TripID", "clean_loc", "key", "lat", "lon")
 
 
 @query("geo_substring")

@@ -9,6 +9,9 @@ from __future__ import annotations
 from ..sources.dimensions import gazetteer_rows, iata_rows
 from .expected import BOOSTERS_DOWN, BOOSTERS_UP, CAPABILITIES, NEGATORS, READINESS, STOP_WORDS
 
+# Words as written: by white space, stripped of punctuation, without apostrophes.
+TOKENS_SQL = (r"list_filter(list_transform(regexp_split_to_array(regexp_replace({c}, '[''’]', '', 'g'), '\s+'),"
+              r" lambda w: regexp_replace(w, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')), lambda w: w <> '')")
 # Derived inputs, DuckDB spelling of clientele.sources.fixtures.
 CTES = {
     "transactions": """select o_custkey as CustomerID, o_orderdate as InvoiceDate,
@@ -34,14 +37,15 @@ CTES = {
     "reviews": "select doc_id as ReviewID, text as ReviewBody, lang, source from documents",
     "routes": """select o_orderkey as TripID, o_custkey as CustomerID, o_totalprice as Amount,
         cast(1 + o_orderkey % 5 as bigint) as OverallRating,
-        case o_orderkey % 15 when 0 then 'London to Paris' when 1 then 'LHR' when 2 then 'Mnchester'
+        case o_orderkey % 15 when 0 then 'London to Paris' when 1 then 'LHR'
+          when 2 then substr('manchester', 1, (o_orderkey // 15 % 10)::int) || substr('manchester', (o_orderkey // 15 % 10)::int + 2)
           when 3 then 'Manchester Airport' when 4 then 'New York City' when 5 then 'Zürich'
-          when 6 then 'Sao Paulo' when 7 then '' when 8 then null when 9 then 'Atlantis'
+          when 6 then 'Sao Paulo' when 7 then '' when 8 then null when 9 then 'Atlantis ' || (o_orderkey // 15)::varchar
           when 10 then 'St Lucia via Barbados' when 11 then 'Orlando, Florida'
-          when 12 then 'Leeds (LBA)' when 13 then 'Rome-Milan' else 'Greater Dublin Area' end as Route
+          when 12 then 'Leeds (LBA)' when 13 then 'Rome-Milan' else 'Greater Dublin Area ' || (o_orderkey // 15 % 1000)::varchar end as Route
       from orders""",
-    "test_lexicon": """select w as token, cast(length(w)*7 % 9 - 4 as double) as valence
-      from (select w, count(*) n from (select unnest(regexp_split_to_array(lower(text), '[^a-z]+')) w from documents)
+    "test_lexicon": f"""select w as token, cast(length(w)*7 % 9 - 4 as double) as valence
+      from (select w, count(*) n from (select lower(unnest({TOKENS_SQL.format(c='text')})) w from documents)
             where length(w) > 3 group by w having count(*) >= 20)
       where length(w)*7 % 9 - 4 <> 0""",
     "rule_score": """select customerID, Tenure, MonthlyCharges,
@@ -346,12 +350,19 @@ FUZZY_SQL = """select city, key, score from (select *, row_number() over (partit
   from (select d.city, g.key, 1.0 - levenshtein(d.city, g.key) / greatest(length(d.city), length(g.key)) as score
         from {src} d join gaz g on abs(length(d.city) - length(g.key)) <= 0.25 * greatest(length(d.city), length(g.key))))
   where rn = 1 and score >= 0.75"""
+_LCS = ("list_reduce(string_split(city, ''), lambda old, x: list_reduce(range(1, length(key) + 1), lambda acc, j:"
+        " list_append(acc, case when x = substr(key, j, 1) then old[j] + 1 else greatest(old[j + 1], acc[j]) end), [0::bigint]),"
+        " list_transform(range(0, length(key) + 1), lambda i: 0::bigint))[length(key) + 1]")
+RATIO_SQL = f"""select city, key, score from (select *, row_number() over (partition by city order by score desc, key desc) rn
+  from (select city, key, 2.0::double * {_LCS} / (length(city) + length(key)) as score
+        from {{src}} d join gaz g on 2.0 * least(length(d.city), length(g.key)) >= 0.75 * (length(d.city) + length(g.key))))
+  where rn = 1 and score >= 0.75"""
 CTES["t1"] = "select d.city, g.key, 'exact' as match_tier from dloc d join gaz g on d.city = g.key"
 DEPS["t1"] = ["dloc", "gaz"]
 CTES["t2"] = SUBSTRING_SQL.format(src="(select * from dloc where city not in (select city from t1))").replace(
     "select city, key from", "select city, key, 'substring' as match_tier from")
 DEPS["t2"] = ["t1"]
-CTES["t3"] = FUZZY_SQL.format(
+CTES["t3"] = RATIO_SQL.format(
     src="(select * from dloc where city not in (select city from t1) and city not in (select city from t2))").replace(
     "select city, key, score from", "select city, key, 'fuzzy' as match_tier from")
 DEPS["t3"] = ["t2"]
@@ -371,6 +382,9 @@ register("geo_substring", SUBSTRING_SQL.format(src="dloc"), ["dloc", "gaz"])
 register("geo_fuzzy", FUZZY_SQL.format(src="dloc").replace("select city, key, score from",
                                                             "select city, key, round(score, 6) as score from"),
          ["dloc", "gaz"])
+register("geo_fuzzy_ratio", RATIO_SQL.format(src="dloc").replace("select city, key, score from",
+                                                                  "select city, key, round(score, 6) as score from", 1),
+         ["dloc", "gaz"])
 register("geo_resolve", """select TripID, Route, clean_loc, lat, lon, iso3, match_tier, Mapped_Location
   from resolved""", ["resolved"])
 register("geo_unmatched", """select Mapped_Location, count(*) as Count from resolved
@@ -406,9 +420,15 @@ def _boost_sql(p: str, c: str, d: float) -> str:
             f"* {sign} * {d}")
 
 
-_NEGS = " + ".join(f"coalesce({p} in {_NEG}, false)::int" for p in ("p1", "p2", "p3"))
+def _free(p: str) -> str:
+    """A word before, if it has no valence of its own."""
+    return f"(case when {p} not in (select token from test_lexicon) then {p} end)"
+
+
+_NEGS = (" + ".join(f"coalesce({_free(p)} in {_NEG}, false)::int" for p in ("p1", "p2", "p3"))
+         + f" + coalesce({_free('p1')} = 'least' and not coalesce(p2 in ('at', 'very'), false), false)::int")
 _ADJ = (f"(valence + (case when cd and caps then 0.733 else 0.0 end) * (case when valence < 0 then -1.0 else 1.0 end)"
-        f" + {_boost_sql('p1', 'c1', 1.0)} + {_boost_sql('p2', 'c2', 0.95)} + {_boost_sql('p3', 'c3', 0.9)})"
+        f" + {_boost_sql(_free('p1'), 'c1', 1.0)} + {_boost_sql(_free('p2'), 'c2', 0.95)} + {_boost_sql(_free('p3'), 'c3', 0.9)})"
         f" * power(-0.74, {_NEGS})"
         f" * (case when bp > 0 and pos < bp then 0.5 when bp > 0 and pos > bp then 1.5 else 1.0 end)")
 _AMP = ("(least(length(ReviewBody) - length(replace(ReviewBody, '!', '')), 4) * 0.292"
@@ -421,18 +441,17 @@ CTES["scored_reviews"] = f"""select r.*, case when r.ReviewBody is null or trim(
                          when coalesce(s.raw, 0.0) < 0 then s.raw - {_AMP} else 0.0 end as ss
         from reviews r left join (
     select ReviewID, sum({_ADJ}) as raw
-    from (select *, lag(tok, 1) over w as p1, lag(tok, 2) over w as p2, lag(tok, 3) over w as p3,
+    from (select *, lag(tok, 1) over w as p1, lag(tok, 2) over w as p2, lag(tok, 3) over w as p3, lead(tok, 1) over w as n1,
                  lag(caps, 1) over w as c1, lag(caps, 2) over w as c2, lag(caps, 3) over w as c3,
                  bool_or(caps) over d and bool_or(not caps) over d as cd,
                  coalesce(min(case when tok = 'but' then pos end) over d, 0) as bp
-          from (select ReviewID, raw, lower(raw) as tok, raw = upper(raw) as caps, pos
+          from (select ReviewID, raw, lower(raw) as tok, raw = upper(raw) and raw <> lower(raw) as caps, pos
                 from (select ReviewID, unnest(arr) as raw, unnest(range(1, len(arr) + 1)) as pos
-                      from (select ReviewID, list_filter(regexp_split_to_array(
-                              regexp_replace(ReviewBody, '[''’]', '', 'g'), '[^A-Za-z]+'), lambda x: x <> '') as arr
+                      from (select ReviewID, {TOKENS_SQL.format(c='ReviewBody')} as arr
                             from reviews where not (ReviewBody is null or trim(ReviewBody) = ''))))
           window w as (partition by ReviewID order by pos), d as (partition by ReviewID)) t
     join test_lexicon l on t.tok = l.token
-    where t.tok not in {_BOOSTERS}
+    where t.tok not in {_BOOSTERS} and not (t.tok = 'kind' and coalesce(t.n1 = 'of', false))
     group by ReviewID) s on r.ReviewID = s.ReviewID) r"""
 DEPS["scored_reviews"] = ["reviews", "test_lexicon"]
 _LABEL = ("case when Sentiment_Score >= 0.05 then 'Positive' when Sentiment_Score <= -0.05 then 'Negative' "

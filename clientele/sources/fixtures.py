@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.partitioning import spread
+from ..operators.sentiment import raw_tokens
 from .io import read_table
 
 MONEY = "decimal(18,2)"
@@ -67,11 +68,14 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # The route strings of the location fixture, by o_orderkey % 15.
+# The 3rd is replaced by a misspelt name, the 10th and the 15th get a number, so
+# that the distinct places grow with the orders.
 ROUTE_VALUES = [
-    "London to Paris", "LHR", "Mnchester", "Manchester Airport", "New York City", "Zürich",
-    "Sao Paulo", "", None, "Atlantis", "St Lucia via Barbados", "Orlando, Florida",
-    "Leeds (LBA)", "Rome-Milan", "Greater Dublin Area",
+    "London to Paris", "LHR", "", "Manchester Airport", "New York City", "Zürich",
+    "Sao Paulo", "", None, "Atlantis ", "St Lucia via Barbados", "Orlando, Florida",
+    "Leeds (LBA)", "Rome-Milan", "Greater Dublin Area ",
 ]
+MISSPELT = "manchester"
 
 
 def _route_case(key: Column) -> Column:
@@ -85,16 +89,21 @@ def _route_case(key: Column) -> Column:
 def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read_table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
+    n = F.floor(k / 15).cast("bigint")
+    at = (n % len(MISSPELT)).cast("int")
+    one_letter_less = F.concat(F.substring(F.lit(MISSPELT), F.lit(1), at), F.substring(F.lit(MISSPELT), at + 2, F.lit(len(MISSPELT))))
     return o.select(k.alias("TripID"), F.col("o_custkey").alias("CustomerID"),
                     F.col("o_totalprice").alias("Amount"),
                     (1 + k % 5).cast("bigint").alias("OverallRating"),
-                    _route_case(k % 15).alias("Route"))
+                    F.when(k % 15 == 2, one_letter_less).when(k % 15 == 9, F.concat(F.lit(ROUTE_VALUES[9]), n.cast("string")))
+                     .when(k % 15 == 14, F.concat(F.lit(ROUTE_VALUES[14]), (n % 1000).cast("string")))
+                     .otherwise(_route_case(k % 15)).alias("Route"))
 
 
 def test_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frequent tokens of the test prose with a formula valence (no real lexicon is installed)."""
     d = spread(read_table(spark, sf_dir, "documents").select("text"))
-    w = d.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w"))
+    w = d.select(F.explode(F.transform(raw_tokens(F.col("text")), F.lower)).alias("w"))
     freq = w.where(F.length("w") > 3).groupBy("w").count().where(F.col("count") >= 20)
     val = F.length("w") * 7 % 9 - 4
     return freq.where(val != 0).select(F.col("w").alias("token"), val.cast("double").alias("valence"))
