@@ -29,16 +29,10 @@ from pyspark.sql import functions as F
 from .partitioning import materialize
 
 
-def value_ranks(df: DataFrame, value: str, group: str | None = None, n_buckets: int | None = None) -> DataFrame:
-    """(group?, value, cnt, before, n) for every distinct value that is not missing.
-
-    ``n_buckets``: ranges the values are dealt into (default: the session's
-    shuffle partitions)."""
-    keys = [group] if group else []
-    v = F.col(value).cast("double")
-    counts = (df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, v.alias("__v"))
-              .agg(F.count(F.lit(1)).alias("cnt")))
-    ranges = [*[F.col(k) for k in keys], F.col("__v")]
+def running_counts(counts: DataFrame, keys: Sequence[str], value: str, n_buckets: int | None = None) -> DataFrame:
+    """(keys, value, cnt, before, n) from one row ``(keys, value, cnt)`` per distinct value."""
+    keys = list(keys)
+    ranges = [*[F.col(k) for k in keys], F.col(value)]
     dealt = counts.repartitionByRange(n_buckets, *ranges) if n_buckets else counts.repartitionByRange(*ranges)
     b = materialize(dealt.withColumn("__b", F.spark_partition_id()))
     totals = b.groupBy(*keys, "__b").agg(F.sum("cnt").alias("__bt"))
@@ -48,11 +42,22 @@ def value_ranks(df: DataFrame, value: str, group: str | None = None, n_buckets:
                    wg.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
                .withColumn("n", F.sum("__bt").over(wg))
                .select(*keys, "__b", "__off", "n"))
-    wb = Window.partitionBy(*keys, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    wb = Window.partitionBy(*keys, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     within = b.withColumn("__in", F.coalesce(F.sum("cnt").over(wb), F.lit(0)))
     out = within.join(offsets, [*keys, "__b"])
-    return out.select(*keys, F.col("__v").alias(value), "cnt",
-                      (F.col("__off") + F.col("__in")).alias("before"), "n")
+    return out.select(*keys, value, "cnt", (F.col("__off") + F.col("__in")).alias("before"), "n")
+
+
+def value_ranks(df: DataFrame, value: str, group: str | None = None, n_buckets: int | None = None) -> DataFrame:
+    """(group?, value, cnt, before, n) for every distinct value that is not missing.
+
+    ``n_buckets``: ranges the values are dealt into (default: the session's
+    shuffle partitions)."""
+    keys = [group] if group else []
+    v = F.col(value).cast("double")
+    counts = (df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, v.alias("__v"))
+              .agg(F.count(F.lit(1)).alias("cnt")))
+    return running_counts(counts, keys, "__v", n_buckets).withColumnRenamed("__v", value)
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], group: str | None = None,

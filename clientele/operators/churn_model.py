@@ -1,36 +1,38 @@
 """Churn and customer-value models (ML-1..6, ML-12, ML-13, TOP-1, SNK-2).
 
-Encoders and the boosted trees are stages of one ``PipelineModel``, so they are
-saved, loaded and applied together. Categories are label-encoded in sorted
-order (unseen values get the keep code) and enter the trees as ordinal numbers.
-The train/test split is a hash of the id, so it is repeatable and needs no
-shuffle. Boosting is iterative: the training table is persisted (sized to its
-rows) and the running prediction error is checkpointed every 10 rounds to the
-session's checkpoint folder. Node ids are not cached: for these depths passing
-the trees is cheaper (measured).
+A fitted model is the category dictionary (``encode``), the boosted trees with
+their assembler as one ``PipelineModel``, and the feature lists; they are saved
+and loaded together. Categories enter the trees as ordinal numbers, unseen ones
+as -1. The train/test split is a hash of the id, so it is repeatable and needs
+no shuffle. Boosting is iterative: the encoded training table is persisted
+(sized to its rows) and the running prediction error is checkpointed every 10
+rounds to the session's checkpoint folder. Node ids are not cached: for these
+depths passing the trees is cheaper (measured).
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.clean import (churn_flag, clean_numbers, feature_columns, is_numeric, risk_band,
+from ..functions.clean import (churn_flag, clean_numbers, feature_columns, is_numeric, nan_to_null, risk_band,
                                to_number)
-from ..functions.partitioning import sized
+from ..functions.partitioning import materialize, remove_folder, sized
 from ..functions.scalars import row_values
 from ..session import ensure_checkpoint_dir
 from .churn_stats import IMPACT_DOWN, IMPACT_KEY, IMPACT_UP
+from .encode import encode, fit_dictionary
 
 # Candidate target columns of the value model, in priority order.
 VALUE_TARGETS = ["TotalCharges", "Monetary", "Spend", "Sales", "Amount", "LTV"]
@@ -39,42 +41,53 @@ VALUE_TARGETS = ["TotalCharges", "Monetary", "Spend", "Sales", "Amount", "LTV"]
 @dataclass
 class FittedModel:
     model: PipelineModel
+    dictionary: DataFrame
     numeric: list[str]
     categorical: list[str]
     id_col: str
     target: str | None = None
-    extra: dict = field(default_factory=dict)
 
     @property
     def features(self) -> list[str]:
         return self.numeric + self.categorical
 
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Encoded input through the trees (absent features as in ``align``)."""
+        return self.model.transform(_encoded(self.dictionary, align(self, df), self.numeric, self.categorical))
+
     def save(self, path: str) -> None:
-        """SNK-2: the whole pipeline (encoders + trees) in one folder."""
-        self.model.write().overwrite().save(path)
+        """SNK-2: trees, dictionary and feature lists in one folder."""
+        path = path.rstrip("/")
+        self.model.write().overwrite().save(f"{path}/trees")
+        self.dictionary.write.mode("overwrite").parquet(f"{path}/dictionary")
+        facts = json.dumps({"numeric": self.numeric, "categorical": self.categorical, "id_col": self.id_col, "target": self.target})
+        spark = self.dictionary.sparkSession
+        spark.createDataFrame([(facts,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/facts")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> FittedModel:
+        """A saved model, ready to score (also in a new session)."""
+        path = path.rstrip("/")
+        facts = json.loads(spark.read.text(f"{path}/facts").first().value)
+        return cls(PipelineModel.load(f"{path}/trees"), spark.read.parquet(f"{path}/dictionary"), **facts)
+
+
+def _encoded(dictionary: DataFrame, df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
+    out = encode(dictionary, df, categorical, suffix="__code")
+    return out.withColumns({**{f"{c}__num": F.coalesce(nan_to_null(df, c).cast("double"), F.lit(0.0)) for c in numeric},
+                            **{f"{c}__ord": F.col(f"{c}__code").cast("double") for c in categorical}})
 
 
-def _feature_stages(numeric: Sequence[str], categorical: Sequence[str]) -> list:
-    prep = ["*"]
-    prep += [f"CAST(coalesce(CAST(`{c}` AS DOUBLE), 0.0) AS DOUBLE) AS `{c}__num`" for c in numeric]
-    prep += [f"coalesce(CAST(`{c}` AS STRING), 'nan') AS `{c}__txt`" for c in categorical]
-    stages = [SQLTransformer(statement=f"SELECT {', '.join(prep)} FROM __THIS__")]
-    stages += [StringIndexer(inputCol=f"{c}__txt", outputCol=f"{c}__code", stringOrderType="alphabetAsc",
-                             handleInvalid="keep") for c in categorical]
-    if categorical:
-        # a plain cast drops the nominal metadata: codes are ordinal numbers
-        stages.append(SQLTransformer(statement="SELECT *, " + ", ".join(
-            f"CAST(`{c}__code` AS DOUBLE) AS `{c}__ord`" for c in categorical) + " FROM __THIS__"))
-    stages.append(VectorAssembler(inputCols=[f"{c}__num" for c in numeric] + [f"{c}__ord" for c in categorical],
-                                  outputCol="__features", handleInvalid="keep"))
-    return stages
+def _assembler(numeric: Sequence[str], categorical: Sequence[str]) -> VectorAssembler:
+    return VectorAssembler(inputCols=[f"{c}__num" for c in numeric] + [f"{c}__ord" for c in categorical],
+                           outputCol="__features", handleInvalid="keep")
 
 
-_STAGE_SUFFIXES = ("__num", "__txt", "__code", "__ord")
+_STAGE_SUFFIXES = ("__num", "__code", "__ord")
 
 
 def _internal(df: DataFrame) -> list[str]:
-    """Columns the pipeline stages add (never a caller's own column)."""
+    """Columns that scoring adds (never a caller's own column)."""
     return [c for c in df.columns if c.startswith("__") or c.endswith(_STAGE_SUFFIXES)]
 
 
@@ -104,7 +117,8 @@ def train_churn(df: DataFrame, id_col: str = "customerID", label: str = "Churn",
                                F.count_if(F.col("__y") == 1).alias("pos"))).scalar()
     w = F.when(bal["pos"] > 0, bal["neg"] / bal["pos"]).otherwise(1.0)
     data = data.withColumn("__w", F.when(F.col("__y") == 1, w).otherwise(F.lit(1.0)))
-    train = data.where(split_column(id_col, test_pct)).persist(StorageLevel.MEMORY_AND_DISK)
+    dictionary = fit_dictionary(data, cats)
+    train = _encoded(dictionary, data.where(split_column(id_col, test_pct)), nums, cats).persist(StorageLevel.MEMORY_AND_DISK)
     ensure_checkpoint_dir(df.sparkSession)
     fit_on = sized(train)
     gbt = GBTClassifier(featuresCol="__features", labelCol="__y", weightCol="__w", maxIter=max_iter,
@@ -112,12 +126,12 @@ def train_churn(df: DataFrame, id_col: str = "customerID", label: str = "Churn",
                         checkpointInterval=10, maxBins=64)
     gbt.setProbabilityCol("__prob").setRawPredictionCol("__raw")
     try:
-        model = Pipeline(stages=[*_feature_stages(nums, cats), gbt]).fit(fit_on)
+        model = Pipeline(stages=[_assembler(nums, cats), gbt]).fit(fit_on)
     finally:
         train.unpersist()
-    fitted = FittedModel(model, nums, cats, id_col, label)
+    fitted = FittedModel(model, dictionary, nums, cats, id_col, label)
     test = data.where(~split_column(id_col, test_pct))
-    acc = model.transform(test).agg(
+    acc = fitted.transform(test).agg(
         F.count(F.lit(1)).alias("test_rows"),
         F.avg((F.col("__pred") == F.col("__y")).cast("double")).alias("accuracy"))
     return fitted, acc
@@ -137,8 +151,7 @@ def align(fitted: FittedModel, df: DataFrame) -> DataFrame:
 
 def score_churn(fitted: FittedModel, df: DataFrame) -> DataFrame:
     """ML-2 (and ML-3 with a filter first): input + Churn_Probability + Risk_Group."""
-    c = align(fitted, clean_numbers(df))
-    out = fitted.model.transform(c)
+    out = fitted.transform(clean_numbers(df))
     p = vector_to_array(F.col("__prob"))[1]
     out = out.withColumn("Churn_Probability", p).withColumn("Risk_Group", risk_band("Churn_Probability"))
     return out.drop(*_internal(out))
@@ -157,7 +170,8 @@ def gain_importance(fitted: FittedModel) -> DataFrame:
     spark = SparkSession.getActiveSession()
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/clientele-models/{uuid.uuid4().hex}"
     gbt.write().overwrite().save(path)
-    nodes = spark.read.parquet(f"{path}/data").select("nodeData.*").where(F.col("leftChild") >= 0)
+    nodes = materialize(spark.read.parquet(f"{path}/data").select("nodeData.*").where(F.col("leftChild") >= 0))
+    remove_folder(spark, path)
     names = spark.createDataFrame(list(enumerate(fitted.features)), "featureIndex int, Feature string")
     g = nodes.groupBy(F.col("split.featureIndex").alias("featureIndex")).agg(
         F.avg("gain").alias("Importance"), F.count(F.lit(1)).alias("splits"))
@@ -203,9 +217,13 @@ def expand_scenarios(df: DataFrame, scenarios: Sequence[Mapping], id_col: str) -
 
 def score_scenarios(fitted: FittedModel, df: DataFrame, scenarios: Sequence[Mapping]) -> DataFrame:
     """ML-5: probability and band per customer and scenario, with the change
-    against the customer's base row (a window over each customer's few rows)."""
+    against the customer's base row (a window over each customer's few rows).
+    A table without the id column (the typical customer's one row) is one customer."""
     idc = fitted.id_col
-    s = score_churn(fitted, expand_scenarios(clean_numbers(df), scenarios, idc))
+    if idc not in df.columns:
+        df = df.withColumn(idc, F.lit("typical"))
+    # dealt out by customer before each row is multiplied, so the window needs no further shuffle
+    s = score_churn(fitted, expand_scenarios(clean_numbers(df).repartition(idc), scenarios, idc))
     w = Window.partitionBy(idc)
     base_p = F.max(F.when(F.col("scenario_id") == "base", F.col("Churn_Probability"))).over(w)
     base_b = F.max(F.when(F.col("scenario_id") == "base", F.col("Risk_Group"))).over(w)
@@ -221,7 +239,7 @@ def attribute(fitted: FittedModel, df: DataFrame, neutral: Mapping[str, Column])
     its typical value). One copy per feature (a fixed, small multiplier), one
     scoring pass, a window over each customer's own rows to rank."""
     idc = fitted.id_col
-    c = align(fitted, clean_numbers(df))
+    c = align(fitted, clean_numbers(df)).repartition(idc)
     feats = [f for f in fitted.features if f in neutral]
     x = c.withColumn("__f", F.explode(F.array(F.lit("__base"), *[F.lit(f) for f in feats])))
     x = x.withColumns({f: F.when(F.col("__f") == f, neutral[f].cast(dict(c.dtypes)[f])).otherwise(F.col(f))
@@ -249,18 +267,19 @@ def train_value(df: DataFrame, id_col: str = "customerID", max_iter: int = 50, m
         raise ValueError("no value column (one of %s)" % ", ".join(VALUE_TARGETS))
     c, nums, cats = prepare(df, id_col, drop=[target])
     data = c.withColumn("__y", to_number(F.col(target)))
-    train = data.where(split_column(id_col, test_pct)).persist(StorageLevel.MEMORY_AND_DISK)
+    dictionary = fit_dictionary(data, cats)
+    train = _encoded(dictionary, data.where(split_column(id_col, test_pct)), nums, cats).persist(StorageLevel.MEMORY_AND_DISK)
     ensure_checkpoint_dir(df.sparkSession)
     fit_on = sized(train)
     gbt = GBTRegressor(featuresCol="__features", labelCol="__y", maxIter=max_iter, maxDepth=max_depth,
                        stepSize=step, seed=seed, predictionCol="__pred",
                        checkpointInterval=10, maxBins=64)
     try:
-        model = Pipeline(stages=[*_feature_stages(nums, cats), gbt]).fit(fit_on)
+        model = Pipeline(stages=[_assembler(nums, cats), gbt]).fit(fit_on)
     finally:
         train.unpersist()
-    fitted = FittedModel(model, nums, cats, id_col, target)
-    test = model.transform(data.where(~split_column(id_col, test_pct)))
+    fitted = FittedModel(model, dictionary, nums, cats, id_col, target)
+    test = fitted.transform(data.where(~split_column(id_col, test_pct)))
     err = F.col("__pred") - F.col("__y")
     m = test.agg(F.count(F.lit(1)).alias("test_rows"), F.sqrt(F.avg(err * err)).alias("rmse"),
                  F.avg("__y").alias("__mu"), F.sum(err * err).alias("__sse"), F.var_pop("__y").alias("__var"))
@@ -271,6 +290,5 @@ def train_value(df: DataFrame, id_col: str = "customerID", max_iter: int = 50, m
 
 def score_value(fitted: FittedModel, df: DataFrame) -> DataFrame:
     """ML-13: predicted value for every row (errors raise; nothing becomes 0)."""
-    c = align(fitted, clean_numbers(df))
-    out = fitted.model.transform(c).withColumn("Predicted_Value", F.col("__pred"))
+    out = fitted.transform(clean_numbers(df)).withColumn("Predicted_Value", F.col("__pred"))
     return out.drop(*_internal(out))

@@ -1,35 +1,45 @@
-"""Category encoding (PRJ-5) with Spark ML's StringIndexer."""
+"""Category encoding (PRJ-5) with a distributed dictionary.
+
+The dictionary is a table ``(feature, value, code)``: codes are the places of a
+column's distinct values in sorted order. It is ranked by ranges, never
+collected, and joined to encode, so a column of very many values (names,
+addresses) costs a join, not driver memory. A small one is broadcast by its
+measured size. The models and the ``encode_categories`` query share it.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StringIndexer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MISSING = "nan"
-
+from ..functions.partitioning import materialize
+from ..functions.ranking import running_counts
 
-def prepare_categories(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Categories as text; missing reads as the text 'nan' (as the reference encodes it)."""
-    return df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit(MISSING)) for c in cols})
+MISSING = "nan"
 
 
-def category_indexers(cols: Sequence[str], suffix: str = "_code") -> list[StringIndexer]:
-    """Codes follow the sorted distinct values; unseen values go to the keep bucket."""
-    return [StringIndexer(inputCol=c, outputCol=c + suffix, stringOrderType="alphabetAsc",
-                          handleInvalid="keep") for c in cols]
+def category(c: Column) -> Column:
+    """Category as text; missing reads as the text 'nan' (as the reference encodes it)."""
+    return F.coalesce(c.cast("string"), F.lit(MISSING))
 
 
-def fit_encoder(df: DataFrame, cols: Sequence[str], suffix: str = "_code") -> PipelineModel:
-    return Pipeline(stages=category_indexers(cols, suffix)).fit(prepare_categories(df, cols))
+def fit_dictionary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``(feature, value, code)`` for every distinct value of each column."""
+    spark = df.sparkSession
+    if not cols:
+        return spark.createDataFrame([], "feature string, value string, code bigint")
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), category(F.col(c)).alias("value")) for c in cols]))
+    distinct = df.select(pairs.alias("s")).select("s.*").distinct().withColumn("cnt", F.lit(1).cast("bigint"))
+    return materialize(running_counts(distinct, ["feature"], "value")
+                       .select("feature", "value", F.col("before").cast("bigint").alias("code")))
 
 
-def encode(model: PipelineModel, df: DataFrame, cols: Sequence[str], suffix: str = "_code") -> DataFrame:
-    """Apply a fitted encoder; the keep bucket (unseen value) becomes -1."""
-    out = model.transform(prepare_categories(df, cols))
-    sizes = {s.getOutputCol(): len(s.labelsArray[0]) for s in model.stages}
-    return out.withColumns({c + suffix: F.when(F.col(c + suffix) >= sizes[c + suffix], -1)
-                            .otherwise(F.col(c + suffix)).cast("bigint") for c in cols})
+def encode(dictionary: DataFrame, df: DataFrame, cols: Sequence[str], suffix: str = "_code") -> DataFrame:
+    """Add each column's code; a value that the dictionary does not have gets -1."""
+    out = df
+    for i, c in enumerate(cols):
+        codes = dictionary.where(F.col("feature") == c).select(F.col("value").alias(f"__v{i}"), F.col("code").alias(c + suffix))
+        out = out.join(codes, category(F.col(c)) == F.col(f"__v{i}"), "left").drop(f"__v{i}")
+    return out.withColumns({c + suffix: F.coalesce(F.col(c + suffix), F.lit(-1)).cast("bigint") for c in cols}) if cols else out

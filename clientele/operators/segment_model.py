@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clean import numeric_columns, spending_ordinal
-from ..functions.partitioning import sized
+from ..functions.partitioning import materialize, sized
 from ..functions.scalars import row_values
 from .rfm import monetary_quartiles, rfm
 from .rules import segment_labels
@@ -84,6 +84,8 @@ def segment(df: DataFrame, k: int = 4, restarts: int = 10, seed: int = 42) -> tu
     """ML-7: detect mode, scale, cluster (best of restarts), renumber by size,
     label clusters (RUL-6). Returns (mode, table + Cluster + Cluster_Label, features)."""
     mode, table, feats = detect_mode(df)
+    # computed once: the scaler, every fit and the returned plan read this table, not the source
+    table = materialize(table)
     scaler = scaling_pipeline(feats).fit(table)
     scaled = scaler.transform(table).persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -158,8 +160,8 @@ def k_sweep(df: DataFrame, ks: Sequence[int] = (2, 3, 4, 5, 6), restarts: int =
 
 
 def sample_rows(df: DataFrame, key: str, n: int = 1000) -> DataFrame:
-    """TOP-4: a repeatable sample of ``n`` rows (smallest xxhash64 of the key)."""
-    return df.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(n)
+    """TOP-4: a repeatable sample of ``n`` rows (smallest md5 of the key as text)."""
+    return df.orderBy(F.md5(F.col(key).cast("string").cast("binary")), F.col(key)).limit(n)
 
 
 # --- rules that explain clusters (ML-9) ---------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import (align_features, churn_flag, clean_numbers, clean_text, is_blank,
                                risk_band, spending_ordinal, string_columns, feature_columns)
-from ..operators.encode import encode, fit_encoder
+from ..operators.encode import encode, fit_dictionary
 from ..operators.rfm import rfm
 from ..operators.rules import (persona_churn, persona_demographic, persona_geo, segment_heuristic)
 from ..sources import fixtures as fx
@@ -35,8 +35,7 @@ def q_spending_ordinal(spark, sf_dir):
 def q_encode_categories(spark, sf_dir):
     c = clean_numbers(fx.churn_customers(spark, sf_dir))
     cats = string_columns(c.select(*feature_columns(c)))
-    model = fit_encoder(c, cats)
-    out = encode(model, c, cats)
+    out = encode(fit_dictionary(c, cats), c, cats)
     return out.select("customerID", *[F.col(k + "_code").alias(k) for k in cats])
 
 

@@ -41,11 +41,12 @@ def test_missing_label_raises(spark):
 
 
 def test_save_load_same_scores(spark, churn, tmp_path):
-    from pyspark.ml import PipelineModel
     from clientele.operators.churn_model import FittedModel
     cust, fitted, _ = churn
     fitted.save(str(tmp_path / "m"))
-    again = FittedModel(PipelineModel.load(str(tmp_path / "m")), fitted.numeric, fitted.categorical, fitted.id_col)
+    again = FittedModel.load(spark, str(tmp_path / "m"))
+    assert (again.numeric, again.categorical, again.id_col, again.target) == (
+        fitted.numeric, fitted.categorical, fitted.id_col, fitted.target)
     a = score_churn(fitted, cust).select("customerID", "Churn_Probability")
     b = score_churn(again, cust).select("customerID", F.col("Churn_Probability").alias("p2"))
     assert a.join(b, "customerID").where(F.abs(F.col("Churn_Probability") - F.col("p2")) > 1e-12).count() == 0
@@ -55,6 +56,8 @@ def test_unseen_category_and_missing_feature(spark, churn):
     cust, fitted, _ = churn
     odd = cust.limit(3).withColumn("Contract", F.lit("Lifetime")).drop("Support")
     assert score_churn(fitted, odd).count() == 3
+    codes = {r[0] for r in fitted.transform(clean_numbers(odd)).select("Contract__ord").collect()}
+    assert codes == {-1.0}  # below all known codes
 
 
 def test_scenarios_and_attribution(spark, churn):
