@@ -14,8 +14,8 @@ Steps, all over the whole table:
    table holds the heaviest ``HEAVY_MOST`` at most (8 MB), whatever the input;
    a shorter table only makes candidates more, never loses one.
 2. ``signatures``: per row the set's size, its 128-bit digest, the prefix, and
-   a 256-bit parity bitmap, whose differing bits bound the sets' difference.
-   Equal sets are one class from here on; copies are never paired.
+   parity bitmaps (256 bits, and at least two bits an n-gram), whose differing
+   bits bound the sets' difference. Equal sets are one class from here on; copies are never paired.
 3. ``postings``: prefix n-grams that two classes or more share.
 4. Stars: each class is paired with the best class of its postings only, which
    is linear in the postings; the verified links give first components.
@@ -23,6 +23,9 @@ Steps, all over the whole table:
    the size and bitmap bounds, inside the join. A group of thousands of near
    copies is one component by then, so its pairs are never formed.
 6. Components of all links.
+
+Before overlaps are counted, the wide bitmap drops most pairs that cannot be
+similar, so only the sets of likely pairs are read again and moved.
 """
 
 from __future__ import annotations
@@ -35,11 +38,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .text import doc_words, shingle_hashes, text_chunks, written
+from .text import discard, doc_words, shingle_hashes, sweep, text_chunks, written
 
 HEAVY_LEAST, HEAVY_MOST = 32, 1_000_000
 CHUNK, TASK_MOST = 2_000_000, 3_000_000
 FRAGMENTS = 8
+WIDEST = 1 << 20  # bits of the largest bitmap
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -107,7 +111,7 @@ def _sign(shared, k: int, percent: int):
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for group in text_chunks(texts, CHUNK):
-                rows = {c: [] for c in ("doc_id", "n", "digest", "b0", "b1", "b2", "b3", "prefix")}
+                rows = {c: [] for c in ("doc_id", "n", "digest", "b0", "b1", "b2", "b3", "wide", "prefix")}
                 for (i, _), words in zip(group, doc_words([t for _, t in group])):
                     u = np.unique(shingle_hashes(words, k))
                     n = len(u)
@@ -118,15 +122,18 @@ def _sign(shared, k: int, percent: int):
                     if len(prefix) < size:
                         rest, w = u[w > 0], w[w > 0]
                         prefix = np.concatenate([prefix, rest[np.argsort(w, kind="stable")][:size - len(prefix)]])
-                    bits = np.packbits(np.bincount((u & np.uint64(255)).astype(np.int64), minlength=256) & 1).view(np.int64)
-                    for c, v in zip(rows, (ids[i], n, hashlib.blake2b(u.tobytes(), digest_size=16).hexdigest(), *bits.tolist(), _signed(prefix))):
+                    width = min(WIDEST, max(1024, 1 << (2 * n - 1).bit_length() if n else 0))
+                    odd = np.bincount((u & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+                    wide = np.packbits(odd).view(np.int64)
+                    bits = np.packbits(odd.reshape(-1, 256).sum(axis=0) & 1).view(np.int64)
+                    for c, v in zip(rows, (ids[i], n, hashlib.blake2b(u.tobytes(), digest_size=16).hexdigest(), *bits.tolist(), wide, _signed(prefix))):
                         rows[c].append(v)
-                yield pa.RecordBatch.from_pydict({c: pa.array(v, {"doc_id": pa.int64(), "digest": pa.string(), "prefix": pa.list_(pa.int64())}.get(c, pa.int64()))
-                                                  for c, v in rows.items()})
+                kinds = {"digest": pa.string(), "wide": pa.list_(pa.int64()), "prefix": pa.list_(pa.int64())}
+                yield pa.RecordBatch.from_pydict({c: pa.array(v, kinds.get(c, pa.int64())) for c, v in rows.items()})
     return run
 
 
-SIGNATURE = "doc_id long, n long, digest string, b0 long, b1 long, b2 long, b3 long, prefix array<long>"
+SIGNATURE = "doc_id long, n long, digest string, b0 long, b1 long, b2 long, b3 long, wide array<long>, prefix array<long>"
 
 
 def _fragment(shared, k: int):
@@ -161,9 +168,9 @@ def segments(docs: DataFrame, wanted: DataFrame, shared, k: int) -> DataFrame:
     rows = (docs.withColumn("pos", bitmap_position(key, bits)).withColumn("part", F.shiftright("pos", 15))
             .join(parts, "part").filter(bitmap_has()).select("text"))
     found = rows.mapInArrow(_fragment(shared, k), "digest string, f int, seg array<long>")
-    # rows with an equal set and an id that shares a bit give the same segment again
-    found = found.join(wanted.select("digest", "node"), "digest").groupBy("node", "f").agg(F.first("seg").alias("seg"))
-    return written(found, "segments")
+    # rows with an equal set and an id that shares a bit give the same segment again; they are in one partition already
+    found = found.join(wanted.select("digest", "node"), "digest").groupBy("digest", "node", "f").agg(F.first("seg").alias("seg"))
+    return written(found.drop("digest"), "segments")
 
 
 def verify(pairs: DataFrame, segs: DataFrame, percent: int) -> DataFrame:
@@ -175,6 +182,21 @@ def verify(pairs: DataFrame, segs: DataFrame, percent: int) -> DataFrame:
     return total.filter(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b", "o")
 
 
+def likely(pairs: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
+    """The pairs that the wide bitmaps leave possible; a wider one is folded to the other's width."""
+    both = (pairs.join(wide.select(F.col("node").alias("a"), F.col("wide").alias("wa")), "a")
+            .join(wide.select(F.col("node").alias("b"), F.col("wide").alias("wb")), "b"))
+    width = F.least(F.size("wa"), F.size("wb"))
+
+    def folded(w):
+        xor = lambda acc, k: F.zip_with(acc, F.slice(w, k * width + 1, width), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(w) == width, w).otherwise(
+            F.aggregate(F.sequence(F.lit(0), (F.size(w) / width).cast("int") - 1), F.array_repeat(F.lit(0).cast("long"), width), xor))
+    differ = F.aggregate(F.zip_with(folded(F.col("wa")), folded(F.col("wb")), lambda x, y: F.bit_count(x.bitwiseXOR(y))),
+                         F.lit(0), lambda s, x: s + x)
+    return both.filter((100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb"))).drop("wa", "wb")
+
+
 def _bounds(percent: int):
     """Size and bitmap bounds that every similar pair of rows x, y meets."""
     nx, ny = F.col("x.n"), F.col("y.n")
@@ -193,37 +215,48 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     integers, a null id is never the smallest; rows repeated alike are one
     class; no rows give no rows; other columns are ignored.
     """
-    sc = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
+    sc = spark.sparkContext
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     shared = sc.broadcast(heavy(docs, k))
-    signs = written(docs.mapInArrow(_sign(shared, k, percent), SIGNATURE), "signatures")
-    classes = (signs.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("low"), *[F.first(c).alias(c) for c in ("n", "b0", "b1", "b2", "b3", "prefix")])
-               .withColumn("node", F.monotonically_increasing_id()))
-    classes = written(classes, "classes")
-    light = classes.drop("prefix", "digest", "low")
-    lists = classes.select("node", F.explode("prefix").alias("h")).withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("h")))
+    signs = docs.mapInArrow(_sign(shared, k, percent), SIGNATURE).withColumn("rid", F.monotonically_increasing_id())
+    signs = written(signs, "signatures")
+    # a class is known by the smallest row number of its rows
+    firsts = signs.filter("n > 0").groupBy("digest").agg(F.min("rid").alias("node"), F.min("doc_id").alias("low"))
+    firsts = written(firsts, "class-rows")
+    facts = ("n", "b0", "b1", "b2", "b3", "wide")
+    classes = written(firsts.join(signs.select(F.col("rid").alias("node"), *facts), "node"), "classes")
+    light = classes.drop("wide", "digest", "low")
+    lists = signs.select(F.col("rid").alias("node"), "prefix").join(firsts.select("node"), "node", "left_semi")
+    lists = lists.select("node", F.explode("prefix").alias("h")).withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("h")))
     lists = written(lists.filter("c > 1").select("h", "node"), "postings")
+    sweep(spark)
     shared_part = lists.groupBy("node").agg(F.count(F.lit(1)).alias("c"))
     scored = light.join(shared_part, "node").withColumn("score", F.col("c") / F.col("n"))
     lists = written(lists.join(scored.drop("c"), "node"), "scored-postings")
-    best = lists.groupBy("h").agg(F.max(F.struct("score", F.negative("node").alias("key"), "node", "n", "b0", "b1", "b2", "b3")).alias("best"))
-    stars = (lists.alias("x").join(best.select("h", "best.*").drop("key", "score").alias("y"), "h")
+    best = F.max(F.struct("score", F.negative("node").alias("key"), "node", "n", "b0", "b1", "b2", "b3")).over(Window.partitionBy("h"))
+    facts = lambda s: F.struct(*[F.col(f"{s}{c}") for c in ("node", "n", "b0", "b1", "b2", "b3")])
+    stars = (lists.withColumn("best", best).select(facts("").alias("x"), facts("best.").alias("y"))
              .filter((F.col("x.node") != F.col("y.node")) & _bounds(percent))
              .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct())
-    stars = written(stars, "star-pairs")
+    stars = written(likely(stars, classes, percent), "star-pairs")
     names = classes.select("node", "digest", "low")
     ends = lambda p: p.select(F.col("a").alias("node")).unionByName(p.select(F.col("b").alias("node"))).distinct()
-    links = written(verify(stars, segments(docs, names.join(ends(stars), "node"), shared, k), percent), "star-links")
+    segs = segments(docs, names.join(ends(stars), "node"), shared, k)
+    links = written(verify(stars, segs, percent), "star-links")
+    discard(segs, stars)
     roots = components(links)
     placed = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = written(placed.drop("score"), "placed-postings")
     apart = (F.col("x.h") == F.col("y.h")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.node") < F.col("y.node"))
     rest = (placed.alias("x").join(placed.alias("y"), apart & _bounds(percent))
             .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct())
-    rest = written(rest, "rest-pairs")
+    rest = written(likely(rest, classes, percent), "rest-pairs")
     if rest.limit(1).count():
-        more = verify(rest, segments(docs, names.join(ends(rest), "node"), shared, k), percent)
+        segs = segments(docs, names.join(ends(rest), "node"), shared, k)
+        more = verify(rest, segs, percent)
         links = written(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more.select("a", "b")), "all-links")
+        discard(segs, rest)
         roots = components(links)
     member = classes.select("digest", "node", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = member.groupBy("root").agg(F.min("low").alias("component_id"))

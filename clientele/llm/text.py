@@ -3,6 +3,7 @@ in the shared checkpoint folder, a fixed-size bitmap filter, array hashing."""
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -44,6 +45,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps: Spark removes them when the
+    driver's JVM collects their plans, which it is asked to do here."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``written`` that no later step reads."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if ensure_checkpoint_dir(spark).split(":", 1)[-1].strip("/") in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        sweep(spark)
+
+
 def bitmap_of(keys: DataFrame, hex_col: str, bits: int) -> DataFrame:
     """Bitmap of the first hexadecimal digits of ``hex_col``: at most
     2**(bits-15) rows ``(part, bitmap)`` of 4 KB, whatever the input, so it can
@@ -99,11 +118,12 @@ _LOWER[65:91] += 32
 SLICE = 1 << 22
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """``(hashes, first bytes)`` of the words (runs of bytes that are no ASCII
-    white space, A-Z lower-cased) of ``data``: 64-bit hashes, the same for the
-    same word anywhere. Works through slices that end at white space."""
-    hashes, firsts, at = [], [], 0
+def word_hashes(data: bytes, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(hashes, first bytes, sizes)`` of the words (runs of bytes that are no
+    ASCII white space; with ``lower``, A-Z lower-cased) of ``data``: 64-bit
+    hashes, the same for the same word anywhere. Works through slices that end
+    at white space."""
+    hashes, firsts, lengths, at = [], [], [], 0
     while at < len(data):
         end = len(data)
         if end - at > SLICE:
@@ -117,17 +137,18 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         starts, stops = edge[::2], edge[1::2]
         if len(starts):
             sizes = stops - starts
-            chars = _LOWER[b[inside]].astype(np.uint64)
+            chars = (_LOWER[b[inside]] if lower else b[inside]).astype(np.uint64)
             begin = np.cumsum(sizes) - sizes
             place = np.arange(len(chars)) - np.repeat(begin, sizes)
             powers = np.cumprod(np.full(int(sizes.max()), _P, np.uint64))
             h = np.add.reduceat((chars + np.uint64(1)) * powers[place], begin)
             hashes.append(mix64(h + sizes.astype(np.uint64)))
             firsts.append(starts + at)
+            lengths.append(sizes)
         at = end
     if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(hashes), np.concatenate(firsts)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(firsts), np.concatenate(lengths)
 
 
 _C = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
@@ -148,7 +169,7 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
 def doc_words(texts: list[str]):
     """Word hashes of each text of a list, hashed together."""
     parts = [t.encode() for t in texts]
-    hashes, firsts = word_hashes(b"\n".join(parts))
+    hashes, firsts, _ = word_hashes(b"\n".join(parts))
     sizes = np.array([len(p) + 1 for p in parts], np.int64)
     cuts = np.searchsorted(firsts, np.cumsum(sizes))
     return [hashes[a:z] for a, z in zip([0, *cuts[:-1]], cuts)]

@@ -210,10 +210,11 @@ def test_word_hashes_follow_words(texts):
 
 def test_word_hashes_in_slices(monkeypatch):
     data = ("some words " * 50 + "x" * 300 + "\n" + "y z " * 40).encode()
-    want, at = text.word_hashes(data)
+    want, at, size = text.word_hashes(data)
     monkeypatch.setattr(text, "SLICE", 64)
-    got, at2 = text.word_hashes(data)
-    assert (want == got).all() and (at == at2).all()
+    got, at2, size2 = text.word_hashes(data)
+    assert (want == got).all() and (at == at2).all() and (size == size2).all()
+    assert [data[a:a + n] for a, n in zip(at.tolist(), size.tolist())] == data.split()
 
 
 def test_components_of_paths_and_stars(spark):
