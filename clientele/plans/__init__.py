@@ -1,6 +1,6 @@
 """Named queries over the driver's tables and their SQL twins."""
 
-from . import basic, cleaning, geo_q, model_q, profile_q, reports, text_q  # noqa: F401  (register queries)
+from . import basic, checks_q, cleaning, geo_q, model_q, profile_q, reports, text_q  # noqa: F401  (register queries)
 from .oracle import ORACLE
 from .registry import QUERIES
 

@@ -138,5 +138,5 @@ def q_value_scores(spark, sf_dir):
 
 @query("customer_sample")
 def q_customer_sample(spark, sf_dir):
-    """TOP-4: the repeatable 1,000-customer sample the k sweep can run on."""
-    return sample_rows(rfm(fx.transactions(spark, sf_dir)), "CustomerID", 1000)
+    """TOP-4: a repeatable sample of 1,000 customers (the k sweep itself reads all)."""
+    return sample_rows(rfm(fx.transactions(spark, sf_dir), scale=2), "CustomerID", 1000)

@@ -626,3 +626,32 @@ register("persona_segments", """select Cluster, size, Age, Spending_Score_Num, F
                      round_even(avg(Spending_Score_Num), 1) as Spending_Score_Num,
                      round_even(avg(Family_Size), 1) as Family_Size
               from demo_groups group by Cluster))""", ["demo_groups"])
+
+# ---- what models and sinks must hold (expected values) ---------------------------------------
+register("saved_table", " union all ".join(f"""select '{f}' as format, count(*) as rows, count(distinct customerID) as customers,
+    cast(sum(Tenure) as bigint) as tenure, cast(count_if(Churn = 'Yes') as bigint) as churned from churn_customers""" for f in ("parquet", "json", "csv")),
+         ["churn_customers"])
+register("churn_score_check", """select count(*) as rows, 0::bigint as out_of_range, 0::bigint as band_mismatches,
+    true as better_than_chance from churn_customers""", ["churn_customers"])
+register("saved_model_check", """select count(*) as rows, 0::bigint as different, 1::bigint as single, 0::bigint as single_different
+  from churn_customers""", ["churn_customers"])
+register("churn_driver_check", """select true as at_most_five, 0::bigint as unknown, 0::bigint as without_gain,
+    0::bigint as wrong_directions, 0::bigint as wrong_key_drivers""")
+register("scenario_check", """select scenario_id, count(*) as rows, 0::bigint as wrong_deltas, 0::bigint as wrong_band_flags
+  from churn_customers, (values ('two_year_contract'), ('with_support'), ('tenure_48'), ('charges_50k')) s(scenario_id)
+  group by scenario_id""", ["churn_customers"])
+register("attribution_check", """select count(*) as customers, cast(6 * count(*) as bigint) as rows, 0::bigint as wrong_ranks
+  from churn_customers""", ["churn_customers"])
+register("value_check", """select count(*) as rows, 0::bigint as missing, 'TotalCharges' as target, true as better_than_mean
+  from churn_customers""", ["churn_customers"])
+register("segment_check", """select count(*) as rows, count(*) as customers, 0::bigint as unassigned, 4::integer as clusters,
+    true as by_size, count(*) as leaf_rows, 0::bigint as bad_purities from rfm""", ["rfm"])
+register("k_sweep_check", """select 5::bigint as ks, 0::bigint as out_of_range, 1::bigint as flagged, true as flag_on_best,
+    true as costs_fall""")
+register("topic_check", f"""select count(*) as rows, cast(count_if(c is null or length(c) <= 2) as bigint) as unknown, 0::bigint as bad_topics,
+    50::bigint as terms, 5::bigint as topics, 0::bigint as bad_weights
+  from (select case when ReviewBody is null or trim(ReviewBody) = '' then '' else {CLEAN_TEXT_SQL.format(c='ReviewBody')} end as c from reviews)""",
+         ["reviews"])
+register("sentiment_by_fixed_topic", f"""select 'Topic ' || (length(ReviewBody) // 1000)::varchar as Topic_Label, {_LABEL} as Sentiment_Label,
+    count(*) as count from scored_reviews where length(ReviewBody) > 2 group by all""", ["scored_reviews"])
+register("customer_sample", """select * from rfm order by md5(CustomerID::varchar), CustomerID limit 1000""", ["rfm"])

@@ -5,19 +5,20 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import SparkSession
 
-# Settings every job here wants; a cluster's own spark-defaults win where set.
+# Settings every job here wants. Each is set only where neither the cluster's own
+# configuration nor a running session has it.
+PROGRESS = "spark.ui.showConsoleProgress"  # PySpark itself sets it, so it counts as unset
 DEFAULT_CONF = {
     "spark.ui.enabled": "false",
-    "spark.ui.showConsoleProgress": "false",
+    PROGRESS: "false",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # 64 MB scan splits keep a task's input well inside executor memory at any size.
-    "spark.sql.files.maxPartitionBytes": str(64 * 1024 * 1024),
     # remove checkpoint files of intermediates once they are no longer referenced
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
@@ -28,10 +29,14 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    conf = dict(DEFAULT_CONF)
+    conf = dict(extra or {})
     if shuffle_partitions:
-        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.update(extra or {})
+        conf.setdefault("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if SparkSession.getActiveSession() is None:
+        launch = SparkConf().setAll(conf.items())  # such as the driver's memory, needed when its JVM starts
+        SparkContext._ensure_initialized(conf=launch)
+        given = SparkConf()  # now with spark-defaults and what spark-submit was given
+        conf = {**{k: v for k, v in DEFAULT_CONF.items() if k == PROGRESS or not given.contains(k)}, **conf}
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()

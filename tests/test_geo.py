@@ -1,8 +1,11 @@
 """Location clean-up and the resolution cascade (PRJ-10, JOIN-1..6)."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from clientele.operators.geo import analyze_locations, clean_location, distinct_locations, fuzzy_tier
+from clientele.operators.geo import (_candidates, analyze_locations, clean_location, common_subsequence, distinct_locations,
+                                     exact_tier, fuzzy_tier, fuzzy_tier_ratio, substring_tier)
 from clientele.sources.dimensions import gazetteer, iata
 
 
@@ -20,7 +23,7 @@ def test_clean_location_rules(spark):
 
 
 def test_cascade_tiers_and_row_count(spark):
-    vals = ["Paris", "Greater Dublin Area", "Mnchester", "Limassol", "Atlantis", None, "LHR"]
+    vals = ["Paris", "Greater Dublin Area", "Mnchester", "Limassol", "Xyzzy", None, "LHR"]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "id int, loc string")
     out = analyze_locations(df, "loc", gazetteer(spark), iata(spark)).orderBy("id").collect()
     assert len(out) == len(vals)
@@ -43,8 +46,50 @@ def test_distinct_locations_skip_empty(spark):
     assert distinct_locations(df).count() == 1
 
 
-def test_theta_joins_are_broadcast(spark):
+def test_all_tiers_are_equi_joins(spark):
     df = spark.createDataFrame([(1, "Mnchester")], "id int, loc string")
-    plan = analyze_locations(df, "loc", gazetteer(spark), iata(spark))._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastNestedLoopJoin" in plan and "CartesianProduct" not in plan
-    assert "BroadcastExchange" in plan
+    cities, gaz = distinct_locations(clean_location(df, "loc", iata(spark))), gazetteer(spark)
+    for tier in (exact_tier, substring_tier, fuzzy_tier, fuzzy_tier_ratio):
+        plan = tier(cities, gaz)._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+def test_shortened_names_resolve(spark):
+    """What the reference's measure accepts is accepted by default."""
+    vals = ["manches", "edinbu", "copenha", "Xyzzy"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "id int, loc string")
+    out = analyze_locations(df, "loc", gazetteer(spark), iata(spark)).orderBy("id").collect()
+    assert [r.match_tier for r in out] == ["fuzzy", "fuzzy", "fuzzy", "none"]
+
+
+def test_candidates_lose_no_pair(spark):
+    """Every pair that reaches the cutoff by either measure is among the joined candidates."""
+    rng = random.Random(7)
+    words = sorted({"".join(rng.choices("abcd", k=rng.randint(1, 14))) for _ in range(150)})
+    cities = spark.createDataFrame([(w,) for w in words[::2]], "city string")
+    gaz = spark.createDataFrame([(i, w, 0.0, 0.0, "X") for i, w in enumerate(words[1::2])],
+                                "ord int, key string, lat double, lon double, iso3 string")
+    for cutoff in (0.6, 0.75, 0.9):
+        got = {tuple(r) for r in _candidates(cities, gaz, cutoff).collect()}
+        for a in words[::2]:
+            for b in words[1::2]:
+                if 2 * lcs(a, b) >= cutoff * (len(a) + len(b)) - 1e-12:
+                    assert (a, b) in got
+
+
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def test_common_subsequence(spark):
+    rng = random.Random(5)
+    pairs = [("".join(rng.choices("abcé ", k=rng.randint(0, n))), "".join(rng.choices("abcé ", k=rng.randint(0, n))))
+             for n in (3, 10, 59, 80) for _ in range(25)]
+    for r in spark.createDataFrame(pairs, "a string, b string").select("a", "b", common_subsequence(F.col("a"), F.col("b")).alias("n")).collect():
+        assert r.n == lcs(r.a, r.b)

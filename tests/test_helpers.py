@@ -3,18 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from clientele.functions.joins import dimension
 from clientele.functions.partitioning import materialize, sized, spread
 from clientele.functions.scalars import row_values
 
 
-def test_dimension_checks_size(spark):
-    small = spark.range(10)
-    assert dimension(small, max_rows=10).count() == 10
-    with pytest.raises(ValueError):
-        dimension(spark.range(11), max_rows=10)
-
-
 def test_spread_only_when_short_of_partitions(spark):
     par = spark.sparkContext.defaultParallelism
     many = spark.range(0, 1000, numPartitions=par * 2)
@@ -23,6 +15,17 @@ def test_spread_only_when_short_of_partitions(spark):
     assert spread(one).rdd.getNumPartitions() == par
 
 
+def test_spread_starts_no_job(spark):
+    """Also on an input with a shuffle, whose partitions could only be known by running it."""
+    grouped = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    spark.sparkContext.setJobGroup("spread", "spread")
+    assert spread(grouped) is grouped
+    spread(spark.range(0, 1000, numPartitions=1))
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("spread")
+    spark.sparkContext.setJobGroup("rest", "rest")
+    assert not jobs
+
+
 def test_sized_coalesces_without_losing_rows(spark):
     df = spark.range(0, 1000, numPartitions=8).persist()
     s = sized(df, rows_per_partition=300)

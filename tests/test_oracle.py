@@ -33,11 +33,11 @@ def test_query_matches_sql(spark, con, name):
 
 
 def test_every_query_runs_rows_only(spark):
-    """The queries without a SQL twin (models, sampling) run and return rows."""
+    """The queries without a SQL twin (models) run and return rows."""
     for name, fn in E.queries().items():
         if name in ORACLE:
             continue
-        assert fn(spark, SF).count() >= 0, name
+        assert fn(spark, SF).count() > 0, name
 
 
 def test_entry_schema(spark):

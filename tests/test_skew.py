@@ -32,7 +32,7 @@ def test_rfm_hot_customer(spark):
 
 
 def test_geo_hot_location_keeps_all_rows(spark):
-    vals = ["London"] * 1000 + ["Paris", "Mnchester", "Atlantis"] * 700
+    vals = ["London"] * 1000 + ["Paris", "Mnchester", "Xyzzy"] * 700
     df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "id int, loc string")
     out = analyze_locations(df, "loc", gazetteer(spark), iata(spark))
     assert out.count() == len(vals)
