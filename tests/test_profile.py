@@ -1,5 +1,7 @@
 """Profiling rules (PRF-1..7): name matching is metadata, measures are data."""
 
+from pyspark.sql import functions as F
+
 from clientele.operators.profile import (capability_report, column_domains, evaluate_capabilities,
                                          evaluate_readiness, groupable_columns, readiness_report)
 
@@ -64,5 +66,12 @@ def test_groupable_and_domains(spark):
     df = spark.createDataFrame([(i, f"g{i % 3}", float(i)) for i in range(200)], "id int, g string, v double")
     got = {r.column_name: r.distinct_values for r in groupable_columns(df, "t").collect()}
     assert got == {"g": 3}
-    d = {r.column_name: r for r in column_domains(df, ["v"], ["g"], max_values=2).collect()}
-    assert d["v"].slider_max == 199.0 * 1.2 and d["g"].values is None and d["g"].distinct_values == 3
+    d = {(r.column_name, r.value): r for r in column_domains(df, ["v"], ["g"]).collect()}
+    assert d[("v", None)].slider_max == 199.0 * 1.2
+    assert {v for c, v in d if c == "g"} == {"g0", "g1", "g2"} and d[("g", "g1")].distinct_values == 3
+
+
+def test_domains_have_no_cap(spark):
+    df = spark.range(2000).select(F.concat(F.lit("v"), "id").alias("g"))
+    out = column_domains(df, [], ["g"])
+    assert out.count() == 2000 and out.first().distinct_values == 2000
