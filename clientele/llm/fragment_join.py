@@ -41,7 +41,7 @@ from .components import components
 from .text import discard, doc_words, shingle_hashes, sweep, text_chunks, written
 
 HEAVY_LEAST, HEAVY_MOST = 32, 1_000_000
-CHUNK, TASK_MOST = 2_000_000, 3_000_000
+CHUNK, TASK_MOST = 1_000_000, 2_000_000
 FRAGMENTS = 8
 WIDEST = 1 << 20  # bits of the largest bitmap
 

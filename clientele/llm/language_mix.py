@@ -29,7 +29,7 @@ MOST_LANGUAGES = 1000
 SMOOTH = 0.5
 #: Trigrams overlap, so each letter is seen three times; the log likelihood is divided by this.
 OVERLAP = 3.0
-CHUNK = 1_500_000
+CHUNK = 500_000
 
 _LETTERS: list[np.ndarray] = []
 
@@ -184,7 +184,7 @@ def _detect(shared, penalty: float):
     def run(batches):
         model = shared.value
         langs, p = model["langs"], model["p"]
-        chunk = max(100_000, min(CHUNK, 6_000_000 // max(1, len(langs))))
+        chunk = max(50_000, min(CHUNK, 2_000_000 // max(1, len(langs))))
         for batch in batches:
             texts = batch.column(1).to_pylist()
             result = {"lang_pred": [], "score": [], "langs": [], "shares": []}
