@@ -26,12 +26,13 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .text import written
+from .text import word_hashes, written
 
 #: Selector -> (ids in the word, bits each); 0 is a run of zeros, 1 the escape.
 PACK = {0: (240, 0), 1: (1, 64), 2: (60, 1), 3: (30, 2), 4: (20, 3), 5: (15, 4), 6: (12, 5), 7: (10, 6),
@@ -73,7 +74,10 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
             k = min(held, count - held)
             most = np.maximum(most[:, :-k], most[:, k:])
             held += k
-        select[most[:, :BLOCK] <= width] = s
+        fits = most[:, :BLOCK] <= width
+        if not fits[:, :max(1, BLOCK - count)].any():
+            break  # nor do more ids fit in fewer bits (but for the end of a block, where zeros follow)
+        np.copyto(select, np.uint8(s), where=fits)
     sizes = np.full(blocks, BLOCK)
     sizes[-1] = n - (blocks - 1) * BLOCK
     at, active, found = np.zeros(blocks, np.int64), np.arange(blocks), []
@@ -161,65 +165,119 @@ def frames(content: bytes):
         yield part, seq, [None if z else int(d) for d, z in zip(ids, nulls)], lengths.astype(np.int64), unpack(words, first, n, escapes)
 
 
+#: Classes of bytes: letter, punctuation, digit; 0 is any other (0xC3 and what follows it are seen to below).
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[[*range(65, 91), *range(97, 123)]] = 1
+_CLASS[[c for c in range(33, 127) if not chr(c).isalnum() and c != 39]] = 2
+_CLASS[48:58] = 3
+
+
+def piece_starts(b: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Where the class changes, and each digit, in words that have no byte of another class."""
+    kind = _CLASS[b]
+    lead = np.flatnonzero((b[:-1] == 0xC3) & (b[1:] >= 0x80) & (b[1:] != 0x97) & (b[1:] != 0xB7))
+    kind[lead] = kind[lead + 1] = 1  # Latin-1 letters
+    edge = inside & ~np.concatenate([[False], inside[:-1]])
+    starts = np.flatnonzero(edge)
+    out = np.zeros(len(b), bool)
+    if len(starts):
+        other = np.add.reduceat((kind == 0) & inside, starts, dtype=np.int64) > 0
+        plain = inside & ~other[np.maximum(np.cumsum(edge) - 1, 0)]
+        out[1:] = plain[1:] & plain[:-1] & ((kind[1:] != kind[:-1]) | (kind[1:] == 3))
+    return out
+
+
 class Tokens:
-    """Ids of texts by the tokenizers library, remembered by word.
-
-    The tokenizer drops white space and never joins ids over it, nor over a
-    change between letters, ASCII punctuation and digits. So a text is cut at
-    ASCII white space, a word that is not known is cut further into pieces
-    (never next to an apostrophe, a combining mark or an unknown character),
-    and each different piece is encoded by the library once. Texts that could
-    hold a special token are encoded whole. The pieces of many texts go to
-    the library in one call, a special token between them. The memory holds
-    up to ``MOST`` words; words beyond are looked up for their batch only.
+    """Ids of texts by the tokenizers library, remembered by piece.
+
+    For a tokenizer that drops white space and never joins ids over it, nor over
+    a change between letters, ASCII punctuation and digits, a text is cut there
+    (``pieces``; a word with an apostrophe, a combining mark or an unknown
+    character is left whole), and each different piece is encoded once: by the
+    library's model where it is of plain letters, else by its whole pipeline,
+    many pieces in one call with a special token between them. Texts that could
+    hold a special token are encoded whole, and so is every text if a probe
+    shows that the tokenizer is of another kind. The memory holds up to ``MOST``
+    pieces; pieces beyond are looked up for their batch only.
     """
 
-    PIECE = re.compile(rb"(?:[A-Za-z]+|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+(?=[\x00-&(-@\[-`{-\x7f]|\Z)"
-                       rb"|[!-&(-/:-@\[-`{-~]+(?=[\t-\r 0-9A-Za-z]|\Z)|[0-9](?=[\x00-&(-~]|\Z)|[^\t-\r ]+")
-    MOST = 700_000
+    LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" + "".join(map(chr, [*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]))
+    PLAIN = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+    PROBE = ["It's a test, don't: (x) 12 3rd.", "Éa ñb; ÀÇ-é  Straße", "one two\tthree\nfour", "a,b c'd 5%!"]
+    MOST = 600_000
 
     def __init__(self, path: str, between: str = "<|endoftext|>"):
         from tokenizers import Tokenizer
         self.library, self.known = Tokenizer.from_file(path), {}
+        self.model, self.letters = self.library.model, {}
         self.between, self.between_id = between, self.library.token_to_id(between)
+        self.by_word = False
+        try:
+            # each letter as the model gets it from the normaliser and pre-tokenizer
+            for c in self.LETTERS:
+                (mapped, _), = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(c))
+                self.letters[ord(c)] = mapped
+            self.by_word = True
+            probe = [*self.PROBE, *(c + "a" + c for c in self.LETTERS)]
+            self.by_word = self.between_id is not None and self.encode(probe) == [self.whole(t) for t in probe]
+        except (AttributeError, TypeError, ValueError):
+            self.by_word = False
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _pieces(self, pieces: list[bytes]) -> dict[bytes, bytes]:
-        out = {}
-        for k in range(0, len(pieces), 5000):
-            some = pieces[k:k + 5000]
-            joined = self.between.join([p.decode() for p in some])
+    def _pieces(self, pieces) -> dict[bytes, bytes]:
+        out, rest = {}, []
+        for p in pieces:
+            text = p.decode()
+            if self.PLAIN.fullmatch(text):
+                out[p] = struct.pack(f"<{len(t)}I", *[x.id for x in t]) if (t := self.model.tokenize(text.translate(self.letters))) else b""
+            else:
+                rest.append((p, text))
+        for k in range(0, len(rest), 5000):
+            some = rest[k:k + 5000]
+            joined = self.between.join([t for _, t in some])
             ids = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
             cuts = (np.flatnonzero(ids == self.between_id) * 4).tolist()
             data = ids.tobytes()
-            for p, a, z in zip(some, [0, *[c + 4 for c in cuts]], [*cuts, len(data)]):
+            for (p, _), a, z in zip(some, [0, *[c + 4 for c in cuts]], [*cuts, len(data)]):
                 out[p] = data[a:z]
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Per text its ids as little-endian unsigned 32-bit integers."""
-        cut = [None if "<|" in t else t.encode().split() for t in texts]
-        new = set().union(*[c for c in cut if c is not None]).difference(self.known)
-        known, passing = self.known, ()
+    def _lookup(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of different pieces, from memory or else encoded."""
+        out = list(map(self.known.get, pieces))
+        new = [p for p, x in zip(pieces, out) if x is None]
         if new:
-            parts = {w: self.PIECE.findall(w) for w in new}
-            unseen = set().union(*parts.values()).difference(known)
-            ids = self._pieces(list(unseen))
-            found = {w: b"".join([ids[p] if p in ids else known[p] for p in ps]) for w, ps in parts.items()}
-            if len(known) + len(found) + len(ids) <= self.MOST:
-                known.update(ids)
-                known.update(found)
-            else:
-                known.update(found)
-                passing = found
-        get = known.__getitem__
-        out = [b"".join(map(get, c)) if c is not None else self.whole(t) for c, t in zip(cut, texts)]
-        for w in passing:
-            del known[w]
+            found = self._pieces(new)
+            out = [found[p] if x is None else x for p, x in zip(pieces, out)]
+            if len(self.known) + len(found) <= self.MOST:
+                self.known.update(found)
         return out
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Per text its ids as little-endian unsigned 32-bit integers. The pieces of
+        all texts are told apart by 64-bit hashes, each different one is looked
+        up once, and the ids are put together with numpy."""
+        if not self.by_word:
+            return [self.whole(t) for t in texts]
+        # in a text of ASCII the normaliser changes the case only
+        parts = [b"" if "<|" in t else (t.lower() if t.isascii() else t).encode() for t in texts]
+        data = b"\n".join(parts)
+        hashes, firsts, sizes = word_hashes(data, lower=False, cut=piece_starts)
+        code, different = pd.factorize(hashes)
+        one = np.zeros(len(different), np.int64)
+        one[code[::-1]] = np.arange(len(code))[::-1]
+        found = self._lookup([data[a:a + n] for a, n in zip(firsts[one].tolist(), sizes[one].tolist())])
+        count = np.array([len(x) for x in found], np.int64) // 4
+        flat, begin = np.frombuffer(b"".join(found), "<u4"), np.cumsum(count) - count
+        each = count[code]
+        upto = np.cumsum(each)
+        ids = flat[np.repeat(begin[code] - upto + each, each) + np.arange(int(upto[-1]) if len(upto) else 0)]
+        ends = np.searchsorted(firsts, np.cumsum([len(p) + 1 for p in parts]))
+        cuts = np.concatenate([[0], upto])[ends].tolist()
+        return [self.whole(t) if "<|" in t else ids[a:z].tobytes() for t, a, z in zip(texts, [0, *cuts[:-1]], cuts)]
+
 
 _TOKENS: dict[str, Tokens] = {}
 
@@ -229,7 +287,7 @@ def _framed(path: str, end_id: int, chunk: int):
         if path not in _TOKENS:
             _TOKENS[path] = Tokens(path)
         tokens = _TOKENS[path]
-        part, seq, ids, sizes, held, end = TaskContext.get().partitionId(), 0, [], [], [], np.array([end_id], "<u4").tobytes()
+        part, seq, ids, sizes, held, total, end = TaskContext.get().partitionId(), 0, [], [], [], 0, np.array([end_id], "<u4").tobytes()
 
         def out():
             data = np.frombuffer(b"".join(held), "<u4").astype(np.uint64)
@@ -244,9 +302,10 @@ def _framed(path: str, end_id: int, chunk: int):
                     chars += len(texts[upto])
                     upto += 1
                 for d, x in zip(doc_ids[at:upto], tokens.encode(texts[at:upto])):
-                    if ids and sum(sizes) + len(x) // 4 + 1 > FRAME_IDS:
+                    if ids and total + len(x) // 4 + 1 > FRAME_IDS:
                         yield out()
-                        seq, ids, sizes, held = seq + 1, [], [], []
+                        seq, ids, sizes, held, total = seq + 1, [], [], [], 0
+                    total += len(x) // 4 + 1
                     ids.append(d)
                     sizes.append(len(x) // 4 + 1)
                     held.append(x + end)
@@ -257,7 +316,7 @@ def _framed(path: str, end_id: int, chunk: int):
 
 
 def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text",
-              chunk: int = 2_000_000) -> None:
+              chunk: int = 4_000_000) -> None:
     """Encode every text and write the files into ``folder``, ids ascending over
     the files and within them. Documents are dealt out by ranges of (id, hash
     of the text), so an id that many rows repeat is split.

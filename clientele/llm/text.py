@@ -115,14 +115,14 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-SLICE = 1 << 22
+SLICE = 1 << 16  # small enough for the processor caches
 
 
-def word_hashes(data: bytes, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(data: bytes, lower: bool = True, cut=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(hashes, first bytes, sizes)`` of the words (runs of bytes that are no
     ASCII white space; with ``lower``, A-Z lower-cased) of ``data``: 64-bit
-    hashes, the same for the same word anywhere. Works through slices that end
-    at white space."""
+    hashes, the same for the same word anywhere. ``cut(bytes, inside)`` may give
+    more places where a word starts. Works through slices that end at white space."""
     hashes, firsts, lengths, at = [], [], [], 0
     while at < len(data):
         end = len(data)
@@ -133,10 +133,12 @@ def word_hashes(data: bytes, lower: bool = True) -> tuple[np.ndarray, np.ndarray
                 end = min(ends, default=len(data) - 1) + 1
         b = np.frombuffer(data, np.uint8, end - at, at)
         inside = ~_BLANK[b]
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
-        starts, stops = edge[::2], edge[1::2]
+        first = inside & ~np.concatenate([[False], inside[:-1]])
+        if cut is not None:
+            first |= cut(b, inside)
+        starts = np.flatnonzero(first)
         if len(starts):
-            sizes = stops - starts
+            sizes = np.diff(np.append(np.flatnonzero(first[inside]), np.count_nonzero(inside)))
             chars = (_LOWER[b[inside]] if lower else b[inside]).astype(np.uint64)
             begin = np.cumsum(sizes) - sizes
             place = np.arange(len(chars)) - np.repeat(begin, sizes)
