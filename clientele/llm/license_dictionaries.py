@@ -16,6 +16,7 @@ documents share are judged once per process.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from difflib import SequenceMatcher
 from functools import lru_cache
 
@@ -35,6 +36,17 @@ TELLING = re.compile(r".*[0-9]|gpl|lgpl|agpl|gnu|lesser|library|affero|mit|apach
 AROUND, MOST_WORDS, RANKED = 40, 2000, 4
 
 
+def apart(found):
+    """Of ``(license, start, end, ...)``, best first, those that overlap none before them, by start."""
+    starts, out = [], []
+    for f in found:
+        i = bisect_left(starts, f[1])
+        if (i == 0 or out[i - 1][2] <= f[1]) and (i == len(out) or out[i][1] >= f[2]):
+            starts.insert(i, f[1])
+            out.insert(i, f)
+    return out
+
+
 class Templates:
     """Templates prepared for a task: words, telling words, a compressor with the text as raw dictionary."""
 
@@ -59,20 +71,13 @@ class Templates:
         ranked.sort(key=lambda x: (-x[0], x[1]))
         found = []
         present = set(block)
-        # confirmed in the order of rank; a block may hold several notices, so the ranks go on while words are left
+        # the reduction only ranks: in a long block a short dictionary may make the output larger though its notice stands there
         for reduction, name, words, telling in ranked:
-            if reduction <= 0:
-                break
             if not present.issuperset(telling) or len(present.intersection(words)) < (1 - self.max_differences) * len(set(words)):
                 continue
             for first, end, differ in self._places(block, words, telling):
                 found.append((name, first, end, round(reduction, 6), differ))
-        found.sort(key=lambda x: (x[1] - x[2] + x[4], -x[3], x[0], x[1]))  # longest exact wording first
-        out = []
-        for f in found:
-            if all(f[2] <= o[1] or f[1] >= o[2] for o in out):
-                out.append(f)
-        return sorted(out, key=lambda x: x[1])
+        return apart(sorted(found, key=lambda x: (x[1] - x[2] + x[4], -x[3], x[0], x[1])))  # longest exact wording first
 
     def _places(self, block, words, telling):
         """Where the block holds the template: from each place its rarest word has there, aligned word by word."""
@@ -107,7 +112,6 @@ def blocks(text: str, longest: int):
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)  # keep the places
     places = [m.span() for m in WORD.finditer(low)]
     starts = [a for a, _ in places]
-    from bisect import bisect_right
     stretches, reach = [], AROUND + longest
     for m in HIT.finditer(low):
         i = max(0, bisect_right(starts, m.start()) - 1)
@@ -138,12 +142,11 @@ def _scan(rows, max_differences):
                 for words, places in blocks(text.as_py() or "", templates.longest):
                     n += 1
                     for name, first, end, reduction, differ in templates.judge(words):
-                        found.add((places[first][0], places[end - 1][1], name, reduction, differ))
+                        found.add((first - end + differ, -reduction, name, places[first][0], places[end - 1][1], differ))
                 counts.append(n)
-                spans = {}
-                for start, end, name, reduction, differ in sorted(found):  # overlapping blocks repeat a span
-                    spans.setdefault((name, start, end), {"license": name, "start": start, "end": end, "reduction": reduction, "differences": differ})
-                out.append(list(spans.values()))
+                # overlapping blocks repeat a span, or one has it whole and the other cut
+                spans = apart((name, start, end, -less, differ) for _, less, name, start, end, differ in sorted(found))
+                out.append([dict(zip(("license", "start", "end", "reduction", "differences"), x)) for x in spans])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(out, _FOUND)], names=["doc_id", "n_blocks", "found"])
     return run
 

@@ -247,6 +247,40 @@ def test_license_wordings(spark, words, want):
     assert got == {1: want, 2: [], 3: want}
 
 
+def pseudo_prose(n, seed):
+    rng = np.random.default_rng(seed)
+    return [f"{'bcdfghklmnprstvz'[i % 16]}{'aeiou'[i % 5]}w{'qxyjkz'[i % 6]}{i}q" for i in np.minimum(rng.zipf(1.3, n), 5000).tolist()]
+
+
+@pytest.mark.parametrize("every", [2000, 150])
+def test_verbatim_notices_in_long_blocks(every):
+    """Each notice is found in a block of the largest size, where its dictionary makes the compressed block no smaller."""
+    templates = license_dictionaries.Templates(license_dictionaries.NOTICES)
+    negative = 0
+    for k, (name, words, *_) in enumerate(templates.items):
+        block = pseudo_prose(license_dictionaries.MOST_WORDS, k)
+        at = range(100, len(block) - len(words), every)
+        for i in at:
+            block[i:i + len(words)] = words
+        got = templates.judge(tuple(block))
+        assert [(n, a, z, d) for n, a, z, _, d in got] == [(name, i, i + len(words), 0) for i in at]
+        negative += any(x[3] <= 0 for x in got)
+    assert negative > 10
+
+
+def test_notice_at_the_edge_of_blocks(spark):
+    """A notice that one block has cut and the next has whole is one span."""
+    notice = next(t for n, t in license_dictionaries.NOTICES if n == "MIT" and len(t) > 200)
+    words = license_dictionaries.WORD.findall(notice.lower())
+    for cut in (1, 4):
+        before = pseudo_prose(license_dictionaries.MOST_WORDS - len(words) + cut, cut)
+        before[::100] = ["license"] * len(before[::100])
+        text = " ".join(before) + " " + notice + " license" * 200
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        [row] = license_dictionaries.scan(df).collect()
+        assert row.n_blocks > 1 and [(x.license, x.start, x.end, x.differences) for x in row.found] == [("MIT", text.index(notice), text.index(notice) + len(notice), 0)]
+
+
 def test_licenses_odd_cases(spark, docs):
     assert license_dictionaries.scan(docs).count() == len(cases.rows())
     assert license_dictionaries.scan(cases.empty(spark)).count() == 0
