@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from difflib import SequenceMatcher
 from functools import lru_cache
 
 import pyarrow as pa
@@ -36,6 +35,9 @@ TELLING = re.compile(r".*[0-9]|gpl|lgpl|agpl|gnu|lesser|library|affero|mit|apach
 AROUND, MOST_WORDS, RANKED = 40, 2000, 4
 
 
+_telling = lru_cache(maxsize=100_000)(lambda word: bool(TELLING.fullmatch(word)))
+
+
 def apart(found):
     """Of ``(license, start, end, ...)``, best first, those that overlap none before them, by start."""
     starts, out = [], []
@@ -73,34 +75,62 @@ class Templates:
         present = set(block)
         # the reduction only ranks: in a long block a short dictionary may make the output larger though its notice stands there
         for reduction, name, words, telling in ranked:
-            if not present.issuperset(telling) or len(present.intersection(words)) < (1 - self.max_differences) * len(set(words)):
+            if not present.issuperset(telling) or sum(w not in present for w in words) > int(self.max_differences * len(words)):
                 continue
             for first, end, differ in self._places(block, words, telling):
                 found.append((name, first, end, round(reduction, 6), differ))
         return apart(sorted(found, key=lambda x: (x[1] - x[2] + x[4], -x[3], x[0], x[1])))  # longest exact wording first
 
     def _places(self, block, words, telling):
-        """Where the block holds the template: from each place its rarest word has there, aligned word by word."""
-        allowed = int(self.max_differences * len(words))
-        counts = {w: block.count(w) for w in set(words)}
-        anchor = min((w for w in set(words) if counts[w]), key=lambda w: (counts[w], words.index(w)))
-        at, upto = words.index(anchor), 0
-        for i in (i for i, w in enumerate(block) if w == anchor):
-            a, z = max(upto, i - at - allowed), min(len(block), i + len(words) - at + allowed)
-            if i < upto:
-                continue
-            part = block[a:z]
-            same = [m for m in SequenceMatcher(None, part, words, autojunk=False).get_matching_blocks() if m.size]
-            if not same:
-                continue
-            first, end = same[0].a, same[-1].a + same[-1].size
-            equal = sum(m.size for m in same)
-            differ = (len(words) - equal) + (end - first - equal)
-            kept = [w for m in same for w in words[m.b:m.b + m.size] if TELLING.fullmatch(w)]
-            added = [w for k, w in enumerate(part[first:end], first) if not any(m.a <= k < m.a + m.size for m in same) and TELLING.fullmatch(w)]
-            if differ <= allowed and kept == telling and not added:
-                yield a + first, a + end, differ
-                upto = a + end
+        """Where the block holds the template, copies with differences too, overlapping ones among them.
+
+        A copy has at most ``allowed`` differences, so it holds one of any ``allowed + 1`` of the template's words
+        at its place unchanged, and any telling word: from the rarest of these on it is aligned word by word."""
+        allowed, has = int(self.max_differences * len(words)), {w: [] for w in words}
+        for i, w in enumerate(block):
+            if w in has:
+                has[w].append(i)
+        rare = sorted(range(len(words)), key=lambda k: (len(has[words[k]]), k))
+        if not has[words[rare[min(allowed, len(words) - 1)]]]:
+            return
+        anchors = rare[:allowed + 1]
+        told = [k for k in rare if words[k] in telling][:1]
+        if told and len(has[words[told[0]]]) < sum(len(has[words[k]]) for k in anchors):
+            anchors = told
+        whole, fixed, vocabulary = tuple(words), [_telling(w) for w in words], set(words)
+        for at in sorted({i - k for k in anchors for i in has[words[k]]}):
+            if block[max(0, at):at + len(words)] == whole:
+                yield max(0, at), at + len(words), 0
+            elif len(vocabulary.difference(block[max(0, at - allowed):at + len(words) + allowed])) <= allowed:
+                yield from _align(block, words, fixed, at, allowed)
+
+
+def _align(block, words, fixed, at: int, allowed: int):
+    """The copies ``(first, end, differing words)`` with fewest missing and added words of those that start up to ``allowed``
+    words from ``at``: the longest and, if it is another one, the shortest. ``fixed`` words are neither missing nor added."""
+    far = (allowed + 1, 0, 0)
+    found = set()
+    for sign in (1, -1):  # of as many differences the smaller first word and larger end, or the other way
+        # (differences, sign * first word, -sign * end) by the block's words gone through, from at - allowed + k on after k template words
+        row = [(0, sign * j, -sign * j) if 0 <= j <= len(block) else far for j in range(at - allowed, at + allowed + 1)]
+        for k, w in enumerate(words):
+            new = []
+            for d in range(2 * allowed + 1):
+                j = at + k + d - allowed  # the block's word that the template's word k may be
+                best = far
+                if 0 <= j < len(block) and block[j] == w:
+                    best = row[d][:2] + (-sign * (j + 1),)
+                if not fixed[k] and d < 2 * allowed and row[d + 1][0] < allowed:
+                    best = min(best, (row[d + 1][0] + 1,) + row[d + 1][1:])
+                if d and 0 <= j < len(block) and new[d - 1][0] < allowed and not _telling(block[j]):
+                    best = min(best, (new[d - 1][0] + 1,) + new[d - 1][1:])
+                new.append(best)
+            row = new
+            if min(row)[0] > allowed:
+                return
+        differ, first, end = min(row)
+        found.add((sign * first, -sign * end, differ))
+    yield from sorted(x for x in found if x[0] < x[1])
 
 
 def blocks(text: str, longest: int):

@@ -268,6 +268,38 @@ def test_verbatim_notices_in_long_blocks(every):
     assert negative > 10
 
 
+@pytest.mark.parametrize("gap", [0, 5])
+def test_altered_copies_beside_an_intact_one(gap):
+    """A copy with a word left out or changed is found before and behind an intact copy, and alone."""
+    templates = license_dictionaries.Templates(license_dictionaries.NOTICES)
+    prose, n = pseudo_prose(100, 1), 0
+    for name, words, telling, _ in templates.items:
+        allowed, size = int(0.1 * len(words)), len(words)
+        for k in (k for k in range(size) if words[k] not in telling and allowed > 1):
+            left_out = words[:k] + words[k + 1:], 0, size - 1, 1
+            cut = (k == 0), size - (k == size - 1), 1 if k in (0, size - 1) else 2
+            for altered, first, end, differ in [left_out, (words[:k] + ["changedword"] + words[k + 1:], *cut)]:
+                for copies in ([words, altered], [altered, words], [altered], [altered, words, altered]):
+                    block, want = prose[:50], []
+                    for c in copies:
+                        a, z, d = (0, size, 0) if c is words else (first, end, differ)
+                        want.append((name, len(block) + a, len(block) + z, d))
+                        block = block + c + prose[50:50 + gap]
+                    got = templates._judge(tuple(block + prose[50:]))
+                    assert [(m, a, z, d) for m, a, z, _, d in got] == want, (name, k, copies)
+                    n += 1
+    assert n > 1000
+
+
+def test_differences_are_counted_over_all_words():
+    """As many words of a notice may be changed as its differences allow, also if other words stand in it twice."""
+    templates = license_dictionaries.Templates(license_dictionaries.NOTICES)
+    name, words, *_ = next(x for x in templates.items if x[0] == "MIT" and len(x[1]) > 60)
+    once = [k for k, w in enumerate(words) if words.count(w) == 1 and 0 < k < len(words) - 1][::5][:int(0.1 * len(words))]
+    block = pseudo_prose(50, 1) + [w for k, w in enumerate(words) if k not in once] + pseudo_prose(50, 2)
+    assert [(n, a, z, d) for n, a, z, _, d in templates.judge(tuple(block))] == [(name, 50, 50 + len(words) - len(once), len(once))]
+
+
 def test_notice_at_the_edge_of_blocks(spark):
     """A notice that one block has cut and the next has whole is one span."""
     notice = next(t for n, t in license_dictionaries.NOTICES if n == "MIT" and len(t) > 200)
