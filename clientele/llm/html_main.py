@@ -4,11 +4,14 @@ Standard-library parser events, fed in pieces, are turned into lines: one per
 block of text, with its number of characters outside links, the tags since the
 line before, and the elements around it. The text-to-tag ratios of a page's
 lines are smoothed with a Gaussian and split by threshold clustering (two
-means) into content and the rest. The content lines select the regions: the
-``article`` or ``main`` elements that hold some, or else the stretch from the
-first content line to the last. A selected region gives all its lines but
-those of elements that never belong to an article (menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles, reader comments).
+means) into content and the rest. The content lines select the regions by
+their characters: the ``article`` or ``main`` elements that hold some, or the
+stretch of lines outside of them from the first content line to the last if it
+holds more than any of them (articles with less than half of it are teasers
+then). A stretch with at least half of the articles' characters stays beside
+them. A selected region gives all its lines but those of elements that never
+belong to an article (menus, headers, footers, sidebars, notices, adverts,
+forms, scripts, styles, reader comments).
 
 One pass over the pages without a shuffle; a task holds one page's lines.
 """
@@ -193,18 +196,24 @@ def main_text(html: str | None) -> str:
     smoothed = smooth(ratios)
     core = smoothed > threshold(smoothed)
     region = np.array([r for *_, r, _ in page.lines])
-    chosen = set(region[core & (region > 0)].tolist()) or set(region[region > 0].tolist())
-    if chosen:
-        keep = np.isin(region, list(chosen))
+    content = np.bincount(region, np.array([plain for _, plain, *_ in page.lines]) * core)
+    if content[0] > content[1:].max(initial=0):
+        chosen, outside = np.flatnonzero(2 * content >= content[0]), True
     else:
-        where = np.flatnonzero(core & (ratios > 0))
-        first, last = (int(where[0]), int(where[-1])) if len(where) else (0, -1)
-        while first > 0 and page.lines[first - 1][4]:  # headings right above belong to it
+        chosen, outside = np.unique(region[core]), 2 * content[0] >= content.sum() - content[0] and content[0] > 0
+    chosen = chosen[chosen > 0]
+    if not len(chosen) and not outside:
+        chosen = np.unique(region[region > 0])
+    keep = np.isin(region, chosen)
+    if outside:
+        at = np.flatnonzero(region == 0)
+        where = np.flatnonzero((core & (ratios > 0))[at])
+        first, last = int(where[0]), int(where[-1])
+        while first > 0 and page.lines[at[first - 1]][4]:  # headings right above belong to it
             first -= 1
-        while last + 1 < len(page.lines) and page.lines[last + 1][1] > 0:  # so does what goes on without links
+        while last + 1 < len(at) and page.lines[at[last + 1]][1] > 0:  # so does what goes on without links
             last += 1
-        keep = np.zeros(len(page.lines), bool)
-        keep[first:last + 1] = [plain > 0 for _, plain, *_ in page.lines[first:last + 1]]
+        keep[at[first:last + 1]] = [page.lines[i][1] > 0 for i in at[first:last + 1]]
     return "\n\n".join(line[0] for line, k in zip(page.lines, keep) if k)
 
 

@@ -88,6 +88,30 @@ def test_region_without_article():
                                          "Another long paragraph with many words in it that counts.")
 
 
+LONG = [f"Paragraph {i} of the text has a good number of words in it, as many as a reader would expect of one." for i in range(6)]
+TEASER = "<article><h3><a href=/t>Read this too</a></h3><p>A short summary of another story.</p></article>"
+
+
+@pytest.mark.parametrize("at", [0, 3, 6])
+@pytest.mark.parametrize("teaser", [TEASER, TEASER.replace("A short summary of another story.", "<a href=/t>more</a>"), TEASER * 8])
+def test_teaser_articles_beside_text_in_divs(at, teaser):
+    """Before, within and behind the text; with content of their own, with links only, many of them."""
+    parts = [f"<div>{x}</div>" for x in LONG]
+    page = "<div><a href=/>Home</a> <a href=/a>About</a></div><h1>Head</h1>" + "".join(parts[:at]) + teaser + "".join(parts[at:]) + "<p><a href=/n>Next</a></p>"
+    assert html_main.main_text(page) == "\n\n".join(["Head", *LONG])
+
+
+def test_text_within_and_outside_articles():
+    """Posts stay, however short; a part of the text outside of them stays if it is no less than half of theirs, a blurb does not."""
+    parts = [f"<p>{x}</p>" for x in LONG]
+    posts = f"<article>{''.join(parts[:3])}</article><article>{parts[3]}</article>"
+    assert html_main.main_text(posts) == "\n\n".join(LONG[:4])
+    assert html_main.main_text(posts + parts[4]) == "\n\n".join(LONG[:4])
+    assert html_main.main_text(f"<article>{''.join(parts[:3])}</article>" + "".join(parts[3:5])) == "\n\n".join(LONG[:5])
+    assert html_main.main_text("".join(parts[:3]) + f"<article>{''.join(parts[3:5])}</article>" + parts[5]) == "\n\n".join(LONG)
+    assert html_main.main_text("<article><a href=/>only</a></article><p><a href=/>links</a></p>") == "only"
+
+
 def test_pages_of_the_table(spark):
     """The generated pages hold their article in an ``article`` element: its blocks by pattern."""
     import html as H
