@@ -21,7 +21,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import WS_CHARS, ascii_lower, scratch, written
+from .text import WS_CHARS, ascii_lower, discard, scratch, written
 
 
 def line_keys(text: Column, min_chars: int = 1) -> Column:
@@ -81,17 +81,27 @@ class LineRuns:
         merged = self._plain(names).groupBy("h").agg(F.sum("n").alias("n"))
         merged = written(merged, "merged-run")
         self.settled.append(self._write(merged.filter(F.col("n") >= self.min_docs)))
-        return [self._write(merged.filter(F.col("n") < self.min_docs))]
+        rest = self._write(merged.filter(F.col("n") < self.min_docs))
+        self.drop(names)
+        discard(merged)
+        return [rest]
+
+    def drop(self, names: list[str]) -> None:
+        """Let go of tables that no later step reads."""
+        for name in names:
+            discard(self.spark.table(name))
+            self.spark.sql(f"DROP TABLE {name}")
 
     def finish(self) -> DataFrame:
-        """Compact what is left; the settled keys ``h``, each once."""
+        """Compact what is left, but not a single run of a compaction again; the settled keys ``h``, each once
+        (one may have been settled twice, by what runs of higher levels held)."""
         left = [name for level in self.levels for name in level]
-        if left:
+        if len(left) > 1 or self.levels[0]:
             self.levels = [[], self._compact(left)]
-        return self._plain(self.settled).select("h")
+        return self._plain(self.settled).select("h").distinct()
 
 
-def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, n_batches: int = 4, fanout: int = 4,
+def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, n_batches: int = 8, fanout: int = 2,
                         id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
     """Per row ``doc_id, n_lines, n_dropped, kept_text``: lines whose key is found
     in at least ``min_docs`` rows are dropped in every row.
@@ -109,6 +119,7 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     staged = store.stage(rows.select(batch, F.explode(distinct_sorted(line_keys(F.col("text"), min_chars))).alias("h")))
     for k in range(n_batches):
         store.add(spark.table(staged).filter(F.col("batch") == k).select("h", "n"))
+    store.drop([staged])
     settled = store.finish()
     keyed = rows.select("doc_id", "th", F.posexplode(line_keys(F.col("text"), min_chars)).alias("i", "h")).filter("h is not null")
     dropped = (keyed.join(settled, "h", "left_semi").groupBy("doc_id", "th")

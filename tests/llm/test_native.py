@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import cases
-from clientele.llm import curriculum, line_runs, secret_owners, stream_dedup
+from clientele.llm import QUERIES, curriculum, line_runs, secret_owners, stream_dedup, text
 
 LOWER = str.maketrans({c: c.lower() for c in map(chr, range(65, 91))})
 
@@ -119,6 +119,32 @@ def test_line_dedup(docs, min_docs, min_chars):
     assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in out) == want
 
 
+def test_line_dedup_query_meets_settled_runs(spark, monkeypatch):
+    """With the query's own settings later batches hold keys of the settled runs, lose them, and runs rise over several levels."""
+    add, met, lost, levels = line_runs.LineRuns.add, [], [], []
+
+    def watched(self, batch):
+        settled = self._plain(self.settled).select("h").distinct() if self.settled else None
+        met.append(batch.join(settled, "h", "left_semi").count() if settled is not None else 0)
+        n, write = batch.count(), self._write
+        self._write = lambda df, *a: (lost.append(n - df.count()), setattr(self, "_write", write), write(df, *a))[-1]
+        add(self, batch)
+        levels.append(len(self.levels))
+
+    monkeypatch.setattr(line_runs.LineRuns, "add", watched)
+    QUERIES["op5_line_dedup"](spark, "/root/testdata/sf0.01")
+    assert met == lost and sum(x > 0 for x in met) >= len(met) // 2 and max(levels) >= 3
+
+
+def test_settled_keys_are_each_there_once(spark):
+    """Also one that is settled by low levels and then again by the runs of higher ones; single runs are compacted as well."""
+    for batches in ([9, 0, 9, 0, 5, 5], [9, 0, 0, 0, 9, 0, 10, 0], [12], [3]):
+        store = line_runs.LineRuns(spark, text.scratch(spark, "line-runs"), 10, 2, buckets=2)
+        for n in batches:
+            store.add(spark.createDataFrame([("a" * 32, n)] * (n > 0), "h string, n long"))
+        assert [r.h for r in store.finish().collect()] == ["a" * 32] * (sum(batches) >= 10)
+
+
 def spans_of(text):
     out = []
     for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
