@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import cases
 import corpus_pipeline as P
@@ -105,3 +106,11 @@ def test_jaccard_query_matches_brute_force(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = Counter(tuple(r) for r in QUERIES["op8_ngram_jaccard"](spark, SF).collect())
     assert got == brute_components(docs, 4, 85)
+
+
+def test_language_rejects_by_letters_not_by_shares(spark, monkeypatch):
+    """However small the largest share (of many languages), only a text without letters goes."""
+    detect = P.language_mix.detect
+    monkeypatch.setattr(P.language_mix, "detect", lambda *a: detect(*a).withColumn("score", F.least("score", F.lit(0.1))))
+    docs = spark.createDataFrame([(1, "some words of a text", "en"), (2, "ein paar Worte eines Textes", "de"), (3, "12 34 !", "en")], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in P.language(spark, docs, None).collect()} == {1, 2}
