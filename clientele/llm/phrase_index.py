@@ -39,8 +39,8 @@ def words(text: str | None) -> list[bytes]:
     return WORD.findall(text.encode().translate(_LOW)) if text else []
 
 
-def _segment(number: int, docs, vocabulary) -> dict:
-    """One segment; positions count on from document to document with a gap, so no phrase spans two."""
+def _segment(number: int, docs, vocabulary, gap: int = 1) -> dict:
+    """One segment; positions count on from document to document with a gap, so no phrase or proximity match spans two."""
     ids, sizes, term_ids, places, base = [], [], [], [], 0
     terms = dict(vocabulary) if vocabulary is not None else {}
     for doc_id, text in docs:
@@ -56,7 +56,7 @@ def _segment(number: int, docs, vocabulary) -> dict:
             t = t[at]
         term_ids.append(t)
         places.append(at + base)
-        base += len(found) + 1
+        base += len(found) + gap
     t, p = np.concatenate(term_ids), np.concatenate(places)
     order = np.argsort(t, kind="stable")
     t, p = t[order], p[order]
@@ -66,13 +66,13 @@ def _segment(number: int, docs, vocabulary) -> dict:
             "counts": counts.astype("<i8").tobytes(), "positions": p.astype("<i8").tobytes()}
 
 
-def _build(vocabulary, chars: int):
+def _build(vocabulary, chars: int, gap: int):
     def run(batches):
         words_of = vocabulary.value if vocabulary is not None else None
         number, held, docs = TaskContext.get().partitionId() << 32, 0, []
 
         def out():
-            return pa.RecordBatch.from_pylist([_segment(number, docs, words_of)], schema=pa.schema([
+            return pa.RecordBatch.from_pylist([_segment(number, docs, words_of, gap)], schema=pa.schema([
                 ("segment", pa.int64()), ("doc_ids", pa.list_(pa.string())), ("n_words", pa.list_(pa.int64())),
                 ("terms", pa.list_(pa.binary())), ("counts", pa.binary()), ("positions", pa.binary())]))
 
@@ -90,12 +90,13 @@ def _build(vocabulary, chars: int):
 
 
 def build_index(docs: DataFrame, vocabulary=None, id_col: str = "doc_id", text_col: str = "text",
-                segment_chars: int = 4_000_000) -> DataFrame:
+                segment_chars: int = 4_000_000, slop: int = 0) -> DataFrame:
     """Store the postings of all documents (of the terms in ``vocabulary``, a
-    dict term -> number; of every term if None) and return the index table."""
+    dict term -> number; of every term if None) and return the index table, for
+    proximity with ``slop``: two words that are each off by it are ``2 * slop + 1`` places apart."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary) if vocabulary is not None else None
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return written(rows.mapInArrow(_build(shared, segment_chars), SEGMENT), "postings")
+    return written(rows.mapInArrow(_build(shared, segment_chars, 2 * slop + 1), SEGMENT), "postings")
 
 
 def windows(items, length: int) -> dict[tuple, set]:
@@ -147,7 +148,7 @@ def _query(shared, slop: int):
         for batch in batches:
             for row in batch.to_pylist():
                 sizes = np.array(row["n_words"], np.int64)
-                base = np.cumsum(sizes + 1) - sizes - 1
+                base = np.cumsum(sizes + 2 * slop + 1) - sizes - 2 * slop - 1
                 spans, near, items = [[] for _ in sizes], np.zeros(len(sizes), np.int64), [set() for _ in sizes]
                 for q, starts, close in match_segment(row, queries, slop):
                     size = int(queries["lengths"][q])
@@ -155,7 +156,7 @@ def _query(shared, slop: int):
                     for d, s in zip(doc.tolist(), (starts - base[doc]).tolist()):
                         spans[d].append((s, s + size))
                         items[d] |= queries["items"][q]
-                    np.add.at(near, np.searchsorted(base, np.maximum(close, 0), side="right") - 1, 1)
+                    np.add.at(near, np.searchsorted(base, close + slop, side="right") - 1, 1)  # a start may lie before its text
                 yield pa.RecordBatch.from_pydict({
                     "segment": pa.array([row["segment"]] * len(sizes), pa.int64()), "n": pa.array(range(len(sizes)), pa.int64()),
                     "doc_id": pa.array(row["doc_ids"], pa.string()), "n_words": pa.array(sizes, pa.int64()),
@@ -219,7 +220,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 10, slop:
         found = windows([(r.item_id, r.text) for r in some.toLocalIterator()], length)
         if index is None:
             names = {t: i for i, t in enumerate(sorted({t for w in found for t in w}))} if blocks == 1 else None
-            index = build_index(docs, names, id_col, text_col)
+            index = build_index(docs, names, id_col, text_col, slop=slop)
         part = search(index, found, length, slop)
         out = part if out is None else out.unionByName(part)
     if blocks > 1:

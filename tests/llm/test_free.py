@@ -159,6 +159,16 @@ def test_proximity(spark):
     assert got == {1: (0, 1), 2: (3, 0), 3: (0, 0)}
 
 
+@pytest.mark.parametrize("slop", [1, 2])
+def test_proximity_within_one_document(spark, slop):
+    """No match runs over the end of a text, and one that would start before its text counts for this text."""
+    docs = spark.createDataFrame([(1, "x alpha"), (2, "beta gamma"), (3, "x"), (4, "alpha gamma beta")], "doc_id long, text string").coalesce(1)
+    for text, want in (("alpha beta gamma", {4} if slop > 1 else {4}), ("alpha delta", set()), ("beta gamma alpha", set())):
+        bench = spark.createDataFrame([(1, text)], "item_id long, text string")
+        got = {r.doc_id for r in phrase_index.decontaminate(docs, bench, length=3, slop=slop).collect() if r.n_near}
+        assert got == want, (text, got)
+
+
 def test_decontamination_empty(spark, docs):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert {r.n_hit for r in phrase_index.decontaminate(docs, bench).collect()} == {0}
