@@ -1,27 +1,30 @@
 """Jaccard join on word n-grams by vertical partitioning.
 
-The n-grams have one global order: light ones by hash, then the heavy ones by
-frequency class. A set of size n can only reach the similarity with another if
-both share an n-gram among the first ``n - ceil(t n) + 1`` of that order
-(prefix), so the frequent ones, say of a passage that a third of all documents
-share, produce no candidates. For the candidate pairs the order is cut into
-fragments; the overlap in each fragment is counted separately and summed per
-pair. That count is exact (n-grams are compared by 64-bit hashes).
+The n-grams have one global order, rare ones first: by the class of a counter
+that the n-gram shares with others of the same slot, then by hash. A set of
+size n can only reach the similarity with another if both share an n-gram among
+the first ``n - ceil(t n) + 1`` of that order (prefix), so n-grams that many
+documents share, say of a passage, produce no candidates. For the candidate
+pairs the order is cut into fragments; the overlap in each fragment is counted
+separately and summed per pair. That count is exact (n-grams are compared by
+64-bit hashes).
 
 Steps, all over the whole table:
 
-1. ``heavy``: n-grams counted per task, pre-aggregated, summed. The order's
-   table holds the heaviest ``HEAVY_MOST`` at most (8 MB), whatever the input;
-   a shorter table only makes candidates more, never loses one.
+1. ``order_table``: every n-gram is counted in one of ``SLOTS`` counters (16 MB
+   as one byte each, whatever the input). An n-gram's class tells its count from
+   its slot's usual filling, so classes stay useful when slots hold many n-grams;
+   a collision only makes the order worse, never loses a link.
 2. ``signatures``: per row the set's size, its 128-bit digest, the prefix, and
    parity bitmaps (256 bits, and at least two bits an n-gram), whose differing
    bits bound the sets' difference. Equal sets are one class from here on; copies are never paired.
-3. ``postings``: prefix n-grams that two classes or more share.
+3. ``postings``: prefix n-grams, with their places, that two classes or more share.
 4. Stars: each class is paired with the best class of its postings only, which
-   is linear in the postings; the verified links give first components.
+   is linear in the postings; the verified links give first components. Repeated
+   over what is left, each time between different components, while it links.
 5. Rest: pairs of *different* components that share a prefix n-gram and pass
-   the size and bitmap bounds, inside the join. A group of thousands of near
-   copies is one component by then, so its pairs are never formed.
+   the bounds of size, place and bitmap, inside the join. A group of thousands of
+   near copies is one component by then, so its pairs are never formed.
 6. Components of all links.
 
 Before overlaps are counted, the wide bitmap drops most pairs that cannot be
@@ -31,18 +34,22 @@ similar, so only the sets of likely pairs are read again and moved.
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
 from .text import discard, doc_words, shingle_hashes, sweep, text_chunks, written
 
-HEAVY_LEAST, HEAVY_MOST = 32, 1_000_000
-CHUNK, TASK_MOST = 1_000_000, 2_000_000
+CHUNK = 1_000_000
 FRAGMENTS = 8
+SLOT_BITS, SLICE_BITS = 24, 12
+SLOTS, SLICES = 1 << SLOT_BITS, 1 << (SLOT_BITS - SLICE_BITS)
+LINEAR, OCTAVE = 160, 8  # classes above the linear ones, so many for each doubling
 WIDEST = 1 << 20  # bits of the largest bitmap
 
 
@@ -50,59 +57,87 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _rows(rows, names, kinds):
+    """Tuples as record batches of 256 rows (of some kilobytes each)."""
+    rows = iter(rows)
+    while part := list(itertools.islice(rows, 256)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part), kinds)], names=names)
+
+
 def _count(k: int):
-    """Per task the n-grams seen twice or more with their counts; memory is
-    bounded by forgetting single ones when there are very many."""
+    """Per task one counter a slot, as compressed slices."""
     def run(batches):
-        keys, counts, new, held = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
-
-        def merged():
-            fresh, n = np.unique(np.concatenate(new), return_counts=True) if new else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            both = np.concatenate([keys, fresh])
-            order = np.argsort(both, kind="stable")
-            both, weight = both[order], np.concatenate([counts, n])[order]
-            first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, np.int64)
-            weight = np.add.reduceat(weight, first) if len(first) else weight
-            both = both[first]
-            if len(both) > TASK_MOST:
-                both, weight = both[weight > 1], weight[weight > 1]
-            return both, weight
-
+        counts = np.zeros(SLOTS, np.uint32)
         for batch in batches:
             for group in text_chunks(batch.column(0).to_pylist(), CHUNK):
-                for words in doc_words([t for _, t in group]):
-                    new.append(shingle_hashes(words, k))
-                    held += len(new[-1])
-                if held > TASK_MOST:
-                    keys, counts = merged()
-                    new, held = [], 0
-        keys, counts = merged()
-        keep = counts > 1
-        yield pa.RecordBatch.from_pydict({"h": pa.array(_signed(keys[keep])), "c": pa.array(counts[keep])})
+                hashes = [shingle_hashes(words, k) for words in doc_words([t for _, t in group])]
+                np.add.at(counts, _slots(np.concatenate(hashes)), np.uint32(1))
+        pack = zstandard.ZstdCompressor(level=1)
+        small = lambda part: part.astype(np.uint8) if part.max() < 256 else part
+        yield from _rows(((i, pack.compress(small(part).tobytes())) for i, part in enumerate(counts.reshape(SLICES, -1)) if part.any()),
+                         ["slice", "counts"], [pa.int32(), pa.binary()])
     return run
 
 
-def heavy(docs: DataFrame, k: int) -> dict[str, np.ndarray]:
-    """The heavy n-grams (sorted hashes) and their frequency classes, at most ``HEAVY_MOST``."""
-    seen = docs.select("text").mapInArrow(_count(k), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    seen = written(seen.filter(F.col("c") >= HEAVY_LEAST).select("h", F.floor(F.log2("c")).cast("int").alias("w")), "heavy")
-    per_class = sorted(((r.w, r["count"]) for r in seen.groupBy("w").count().collect()), reverse=True)  # 64 rows at most
-    least, total = 64, 0
-    for w, n in per_class:
-        if total + n > HEAVY_MOST:
-            break
-        least, total = w, total + n
-    table = seen.filter(F.col("w") >= least).toPandas()
-    keys = table["h"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    return {"keys": keys[order], "w": table["w"].to_numpy(np.int8)[order]}
+def _add(batches):
+    """The tasks' slices of a partition summed, one row a slice (64-bit counters)."""
+    sums, unpack = {}, zstandard.ZstdDecompressor()
+    for batch in batches:
+        for i, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            raw = unpack.decompress(packed)
+            part = np.frombuffer(raw, np.uint8 if len(raw) == 1 << SLICE_BITS else np.uint32)
+            sums[i] = sums[i] + part if i in sums else part.astype(np.int64)
+    yield from _rows(((i, int(x.sum()), x.tobytes()) for i, x in sums.items()), ["slice", "n", "counts"], [pa.int32(), pa.int64(), pa.binary()])
+
+
+def _classify(usual: float):
+    """Counters as classes of one byte: linear around the slots' usual filling, in steps of an eighth of its
+    deviation, then by octaves. With the n-grams of a class, for the cuts between fragments."""
+    step = max(1, int(usual ** 0.5 / 8))
+    base = max(0, int(usual - 4 * usual ** 0.5))
+
+    def one(i, raw):
+        counts = np.frombuffer(raw, np.int64)
+        above = np.maximum(counts - base, 0) // step
+        far = LINEAR + OCTAVE * np.log2(np.maximum(above, LINEAR) / LINEAR)
+        classes = np.where(above < LINEAR, above, np.minimum(far, 255)).astype(np.uint8)
+        weight = np.bincount(classes, weights=counts, minlength=256)
+        return i, classes.tobytes(), weight.astype(np.float32).tobytes()
+
+    def run(batches):
+        for batch in batches:
+            yield from _rows(map(one, batch.column(0).to_pylist(), batch.column(2).to_pylist()),
+                             ["slice", "classes", "weight"], [pa.int32(), pa.binary(), pa.binary()])
+    return run
+
+
+def order_table(docs: DataFrame, k: int) -> dict[str, np.ndarray]:
+    """The class of every slot (``SLOTS`` bytes) and, per class, the share of all n-grams before it."""
+    parts = docs.select("text").mapInArrow(_count(k), "slice int, counts binary")
+    sums = written(parts.repartition("slice").mapInArrow(_add, "slice int, n long, counts binary"), "counters")
+    total = sums.agg(F.sum("n")).first()[0] or 0
+    table, weight = np.zeros((SLICES, 1 << SLICE_BITS), np.uint8), np.zeros(256)
+    rows = sums.mapInArrow(_classify(total / SLOTS), "slice int, classes binary, weight binary").collect()  # SLICES rows at most
+    for r in rows:
+        table[r.slice] = np.frombuffer(r.classes, np.uint8)
+        weight += np.frombuffer(r.weight, np.float32)
+    discard(sums)
+    return {"classes": table.reshape(-1), "before": np.concatenate([[0], np.cumsum(weight)]) / max(total, 1)}
 
 
-def _weights(u: np.ndarray, order) -> np.ndarray:
-    if not len(order["keys"]) or not len(u):
-        return np.zeros(len(u), np.int8)
-    i = np.minimum(np.searchsorted(order["keys"], u), len(order["keys"]) - 1)
-    return np.where(order["keys"][i] == u, order["w"][i], 0)
+def _classes(u: np.ndarray, order) -> np.ndarray:
+    return order["classes"][_slots(u)]
+
+
+def _cuts(u: np.ndarray, order) -> np.ndarray:
+    """The fragment of each n-gram: equal parts of the global order, class then hash."""
+    w = _classes(u, order).astype(np.int64)
+    place = order["before"][w] + (order["before"][w + 1] - order["before"][w]) * ((u >> np.uint64(11)) / 2.0 ** 53)
+    return np.minimum((place * FRAGMENTS).astype(np.int64), FRAGMENTS - 1)
 
 
 def _sign(shared, k: int, percent: int):
@@ -116,12 +151,7 @@ def _sign(shared, k: int, percent: int):
                     u = np.unique(shingle_hashes(words, k))
                     n = len(u)
                     size = n - -(-percent * n // 100) + 1 if n else 0
-                    w = _weights(u, order)
-                    light = u[w == 0]
-                    prefix = light[:size]
-                    if len(prefix) < size:
-                        rest, w = u[w > 0], w[w > 0]
-                        prefix = np.concatenate([prefix, rest[np.argsort(w, kind="stable")][:size - len(prefix)]])
+                    prefix = u[np.argsort(_classes(u, order), kind="stable")[:size]]
                     width = min(WIDEST, max(1024, 1 << (2 * n - 1).bit_length() if n else 0))
                     odd = np.bincount((u & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
                     wide = np.packbits(odd).view(np.int64)
@@ -146,8 +176,7 @@ def _fragment(shared, k: int):
                 for words in doc_words([t for _, t in group]):
                     u = np.unique(shingle_hashes(words, k))
                     digest = hashlib.blake2b(u.tobytes(), digest_size=16).hexdigest()
-                    # the last fragment holds the heavy n-grams, the others ranges of the light ones' hashes
-                    f = np.where(_weights(u, order) > 0, FRAGMENTS - 1, (u >> np.uint64(32)).astype(np.int64) * (FRAGMENTS - 1) >> 32)
+                    f = _cuts(u, order)
                     for x in np.unique(f).tolist():
                         rows["digest"].append(digest)
                         rows["f"].append(x)
@@ -198,13 +227,44 @@ def likely(pairs: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
 
 
 def _bounds(percent: int):
-    """Size and bitmap bounds that every similar pair of rows x, y meets."""
+    """Bounds of size, bitmap and place that the row of a similar pair x, y at its first common n-gram meets:
+    behind place ``at`` (from 0) a set has no more than ``n - at`` n-grams to share."""
     nx, ny = F.col("x.n"), F.col("y.n")
     differ = sum((F.bit_count(F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}"))) for b in ("b0", "b1", "b2", "b3")), F.lit(0))
     return ((100 * F.least(nx, ny) >= percent * F.greatest(nx, ny))
+            & ((100 + percent) * F.least(nx - F.col("x.at"), ny - F.col("y.at")) >= percent * (nx + ny))
             & ((100 + percent) * differ <= (100 - percent) * (nx + ny)))
 
 
+BITS = ("b0", "b1", "b2", "b3")
+
+
+def _side(prefix: str):
+    return F.struct(*[F.col(f"{prefix}{c}") for c in ("node", "root", "at", "n", *BITS)])
+
+
+def _top(rows: DataFrame, name: str) -> DataFrame:
+    """Per n-gram its best class, as one struct."""
+    facts = F.struct("score", F.negative("node").alias("key"), "node", "root", "at", "n", *BITS)
+    return rows.groupBy("h").agg(F.max(facts).alias(name))
+
+
+def _stars(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs of each class with the best class of each of its postings: the best of all or, for the classes
+    of that one's component, the best of the other components. At most one pair a posting."""
+    first = _top(lists, "t1")
+    rows = lists.join(first, "h")
+    second = _top(rows.filter(F.col("root") != F.col("t1.root")), "t2")
+    rows = rows.join(second, "h").withColumn("o", F.when(F.col("root") != F.col("t1.root"), F.col("t1")).otherwise(F.col("t2")))
+    return _pairs(rows.select(_side("").alias("x"), _side("o.").alias("y")).filter(_bounds(percent)))
+
+
+def _pairs(both: DataFrame) -> DataFrame:
+    first = F.when(F.col("x.node") < F.col("y.node"), F.struct("x", "y")).otherwise(F.struct(F.col("y").alias("x"), F.col("x").alias("y")))
+    p = both.select(first.alias("p"))
+    return p.select(F.col("p.x.node").alias("a"), F.col("p.y.node").alias("b"), F.col("p.x.n").alias("na"), F.col("p.y.n").alias("nb")).distinct()
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row ``doc_id, n_shingles, component_id``.
 
@@ -218,46 +278,62 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     spark = docs.sparkSession
     sc = spark.sparkContext
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    shared = sc.broadcast(heavy(docs, k))
+    shared = sc.broadcast(order_table(docs, k))
     signs = docs.mapInArrow(_sign(shared, k, percent), SIGNATURE).withColumn("rid", F.monotonically_increasing_id())
     signs = written(signs, "signatures")
     # a class is known by the smallest row number of its rows
     firsts = signs.filter("n > 0").groupBy("digest").agg(F.min("rid").alias("node"), F.min("doc_id").alias("low"))
     firsts = written(firsts, "class-rows")
-    facts = ("n", "b0", "b1", "b2", "b3", "wide")
-    classes = written(firsts.join(signs.select(F.col("rid").alias("node"), *facts), "node"), "classes")
-    light = classes.drop("wide", "digest", "low")
+    classes = written(firsts.join(signs.select(F.col("rid").alias("node"), "n", *BITS, "wide"), "node"), "classes")
     lists = signs.select(F.col("rid").alias("node"), "prefix").join(firsts.select("node"), "node", "left_semi")
-    lists = lists.select("node", F.explode("prefix").alias("h")).withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("h")))
-    lists = written(lists.filter("c > 1").select("h", "node"), "postings")
+    lists = lists.select("node", F.posexplode("prefix").alias("at", "h")).withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("h")))
+    lists = written(lists.filter("c > 1").select("h", "node", "at"), "postings")
     sweep(spark)
     shared_part = lists.groupBy("node").agg(F.count(F.lit(1)).alias("c"))
-    scored = light.join(shared_part, "node").withColumn("score", F.col("c") / F.col("n"))
-    lists = written(lists.join(scored.drop("c"), "node"), "scored-postings")
-    best = F.max(F.struct("score", F.negative("node").alias("key"), "node", "n", "b0", "b1", "b2", "b3")).over(Window.partitionBy("h"))
-    facts = lambda s: F.struct(*[F.col(f"{s}{c}") for c in ("node", "n", "b0", "b1", "b2", "b3")])
-    stars = (lists.withColumn("best", best).select(facts("").alias("x"), facts("best.").alias("y"))
-             .filter((F.col("x.node") != F.col("y.node")) & _bounds(percent))
-             .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct())
-    stars = written(likely(stars, classes, percent), "star-pairs")
+    scored = classes.drop("wide", "digest", "low").join(shared_part, "node").withColumn("score", F.col("c") / F.col("n"))
+    lists = written(lists.join(scored.drop("c"), "node").withColumn("root", F.col("node")), "scored-postings")
     names = classes.select("node", "digest", "low")
-    ends = lambda p: p.select(F.col("a").alias("node")).unionByName(p.select(F.col("b").alias("node"))).distinct()
-    segs = segments(docs, names.join(ends(stars), "node"), shared, k)
-    links = written(verify(stars, segs, percent), "star-links")
-    discard(segs, stars)
-    roots = components(links)
-    placed = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = written(placed.drop("score"), "placed-postings")
-    apart = (F.col("x.h") == F.col("y.h")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.node") < F.col("y.node"))
-    rest = (placed.alias("x").join(placed.alias("y"), apart & _bounds(percent))
-            .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct())
-    rest = written(likely(rest, classes, percent), "rest-pairs")
-    if rest.limit(1).count():
-        segs = segments(docs, names.join(ends(rest), "node"), shared, k)
-        more = verify(rest, segs, percent)
-        links = written(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more.select("a", "b")), "all-links")
-        discard(segs, rest)
-        roots = components(links)
+
+    def verified(pairs, name):
+        """The similar ones of the pairs, by their sets; nothing is read where there are none."""
+        pairs = written(likely(pairs, classes, percent), f"{name}-pairs")
+        if not pairs.limit(1).count():
+            return None
+        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        segs = segments(docs, names.join(ends, "node"), shared, k)
+        found = written(verify(pairs, segs, percent).select("a", "b"), f"{name}-links")
+        discard(segs, pairs)
+        return found
+
+    def joined(roots, new):
+        """Components of the links so far, known by each node's root, and new ones."""
+        known = new if roots is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new)
+        return components(known)
+
+    def apart(roots):
+        """The postings with each class's component, where two components or more remain."""
+        placed = lists.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        ends = placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("h")
+        return written(placed.join(ends, "h", "left_semi").select(lists.columns), "placed-postings")
+
+    roots = None
+    while True:  # ends: each turn but the last links a hundredth of the classes at least
+        links = verified(_stars(lists, percent), "star")
+        if links is None:
+            break
+        n_links = links.count()
+        if n_links:
+            roots = joined(roots, links)
+            lists = apart(roots)
+        if 100 * n_links <= lists.select("node").distinct().count():
+            break
+    both = (F.col("x.h") == F.col("y.h")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.node") < F.col("y.node"))
+    rest = lists.alias("x").join(lists.alias("y"), both & _bounds(percent))
+    links = verified(_pairs(rest.select(_side("x.").alias("x"), _side("y.").alias("y"))), "rest")
+    if links is not None:
+        roots = joined(roots, links)
+    if roots is None:
+        roots = classes.select("node", F.col("node").alias("root"))
     member = classes.select("digest", "node", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = member.groupBy("root").agg(F.min("low").alias("component_id"))
     label = member.join(lowest, "root").select("digest", "component_id")

@@ -211,9 +211,8 @@ def test_jaccard_components(docs, k, percent):
     assert Counter(tuple(r) for r in out) == brute_components(cases.rows(), k, percent)
 
 
-def test_jaccard_chains_and_heavy_ngrams(spark, monkeypatch):
+def test_jaccard_chains_and_heavy_ngrams(spark):
     """Near copies of one text with ever more changes, and a passage in all: links by chains only, heavy n-grams last in order."""
-    monkeypatch.setattr(fragment_join, "HEAVY_LEAST", 4)
     rng = np.random.default_rng(3)
     passage = [f"p{i}" for i in range(30)]
     rows, words = [], [f"v{i}" for i in range(120)]
@@ -226,6 +225,17 @@ def test_jaccard_chains_and_heavy_ngrams(spark, monkeypatch):
     assert Counter(tuple(r) for r in out) == brute_components(rows, 3, 80)
 
 
+def test_jaccard_order(spark):
+    """Classes follow the counters; fragments cut the order of class and hash into equal parts."""
+    texts = ["a b c d e f"] * 50 + [f"x{i} y{i} z{i}" for i in range(3000)]
+    order = fragment_join.order_table(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5), 1)
+    assert len(order["classes"]) == fragment_join.SLOTS and order["before"][-1] == pytest.approx(1)
+    common, rare = (np.unique(np.concatenate(text.doc_words(t))) for t in (texts[:1], texts[50:]))
+    assert fragment_join._classes(common, order).min() >= 50 and np.median(fragment_join._classes(rare, order)) == 1
+    cuts = np.concatenate([fragment_join._cuts(x, order) for x in [rare] + [common] * 50])
+    assert set(np.bincount(cuts, minlength=8) > 800) == {True}
+
+
 def test_jaccard_empty(spark):
     assert fragment_join.jaccard_components(cases.empty(spark)).count() == 0
 
