@@ -3,7 +3,27 @@
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BLANK = "(chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 
+def _clusters(rounds: int) -> str:
+    """Rounds of nearest centroids and means rounded down, written out."""
+    near = ("a{0} AS (SELECT vec_id, r, v, (min([d, k]))[2] AS k, (min([d, k]))[1] AS d FROM (SELECT e.vec_id, e.r, e.v, c.k, "
+            "list_sum(list_transform(range(1, 65), lambda i: (e.v[i] - c.v[i]) * (e.v[i] - c.v[i])))::BIGINT AS d FROM e, c{0} c) GROUP BY vec_id, r, v)")
+    mean = ("s{0} AS (SELECT k, list(m ORDER BY i) AS v FROM (SELECT k, i, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS m "
+            "FROM (SELECT k, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{0}) GROUP BY k, i) GROUP BY k),\n"
+            "c{1} AS (SELECT c{0}.k, coalesce(s{0}.v, c{0}.v) AS v FROM c{0} LEFT JOIN s{0} USING (k))")
+    steps = ",\n".join(f"{near.format(i)},\n{mean.format(i, i + 1)}" for i in range(rounds))
+    return f"""
+WITH e AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+      WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+c0 AS (SELECT row_number() OVER (ORDER BY h, v) - 1 AS k, v FROM (SELECT sha256('1:' || vec_id::VARCHAR) AS h, v FROM e ORDER BY h, v LIMIT 16)),
+{steps},
+{near.format(rounds)}
+SELECT vec_id, a.k::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a.k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON a.k = c.k"""
+
+
 ORACLE = {
+    "op12_centroid_clusters": _clusters(3),
     "op2_source_mix": r"""
 WITH d AS (SELECT doc_id, source, md5(doc_id::VARCHAR) AS ord,
                   coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),

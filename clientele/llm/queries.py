@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import functions as F
 
 from ..sources.io import table_path
-from . import curriculum, fragment_join, html_main, language_mix, license_dictionaries, line_runs, phrase_index, secret_owners, simple8b, stream_dedup
+from . import curriculum, fragment_join, html_main, language_mix, license_dictionaries, line_runs, periodic_runs, phrase_index, ptolemaic, secret_owners, simple8b, stream_dedup, toxic_grammar
 from .text import scratch
 
 QUERIES = {}
@@ -101,3 +103,38 @@ def op10_token_files(spark, sf_dir):
     folder = scratch(spark, "token-files")
     simple8b.write_ids(table(spark, sf_dir, "documents"), folder, tokenizer_file(), end_id=1)
     return simple8b.read_index(spark, folder)
+
+
+@query
+def op11_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxic_grammar.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), fit_docs=20_000)
+    out = toxic_grammar.score(docs, model)
+    return out.select("doc_id", toxic_grammar.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_clauses", "best_clause")
+
+
+@query
+def op12_centroid_clusters(spark, sf_dir):
+    out = ptolemaic.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, size=64, scale=64, seed=1)
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", ptolemaic.centroid_sha256(F.col("centroid")).alias("centroid_sha256"))
+
+
+def planted_period(doc_id, n):
+    """One document of ten repeats a block from some word on to its end, by the checksum of its id; a null id does not."""
+    if doc_id is None:
+        return None
+    h = zlib.crc32(str(doc_id).encode())
+    g = h // 10
+    a = g % n
+    return None if h % 10 else (a, 1 + (n - a) // (3 + g % 8))
+
+
+@query
+def op13_periodic_runs(spark, sf_dir):
+    out = periodic_runs.find_runs(table(spark, sf_dir, "documents"), least=12, rewrite=planted_period)
+    line = lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")])
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    out = out.withColumn("best", periodic_runs.longest(F.col("runs")))
+    exponent = F.expr("1000 * best.length div best.period")
+    return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", exponent.alias("exponent_milli"),
+                      F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))

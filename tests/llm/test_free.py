@@ -230,7 +230,7 @@ def test_jaccard_order(spark):
     texts = ["a b c d e f"] * 50 + [f"x{i} y{i} z{i}" for i in range(3000)]
     order = fragment_join.order_table(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5), 1)
     assert len(order["classes"]) == fragment_join.SLOTS and order["before"][-1] == pytest.approx(1)
-    common, rare = (np.unique(np.concatenate(text.doc_words(t))) for t in (texts[:1], texts[50:]))
+    common, rare = (np.unique(text.shingle_hashes(np.concatenate(text.doc_words(t)), 1)) for t in (texts[:1], texts[50:]))
     assert fragment_join._classes(common, order).min() >= 50 and np.median(fragment_join._classes(rare, order)) == 1
     cuts = np.concatenate([fragment_join._cuts(x, order) for x in [rare] + [common] * 50])
     assert set(np.bincount(cuts, minlength=8) > 800) == {True}
