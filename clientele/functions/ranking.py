@@ -104,3 +104,24 @@ def modes(df: DataFrame, value: str, group: str | None = None) -> DataFrame:
     there = v.isNotNull() & ~F.isnan(v) if dict(df.dtypes)[value] in ("double", "float") else v.isNotNull()
     c = df.where(there).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"))
     return c.groupBy(*keys).agg(F.min_by(F.col(value), F.struct(-F.col("cnt"), F.col(value))).alias(value))
+
+
+def running_totals(counts: DataFrame, keys: Sequence[str], value: str, cols: Sequence[str], n_buckets: int | None = None) -> DataFrame:
+    """(keys, value, cols, ``before_<col>``, ``all_<col>``, ``next``) from one row per (keys, value): per column the sum
+    over the group's smaller values and over the whole group, and the next larger value (null at the end). Dealt out by
+    ranges as in ``running_counts``, so a group of any size is spread over the session's partitions."""
+    keys, cols = list(keys), list(cols)
+    ranges = [*[F.col(k) for k in keys], F.col(value)]
+    dealt = counts.repartitionByRange(n_buckets, *ranges) if n_buckets else counts.repartitionByRange(*ranges)
+    b = materialize(dealt.withColumn("__b", F.spark_partition_id()))
+    wg = Window.partitionBy(*keys)
+    behind = wg.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    parts = b.groupBy(*keys, "__b").agg(F.min(value).alias("__first"), *[F.sum(c).alias(f"__t_{c}") for c in cols])
+    parts = parts.select(*keys, "__b", F.lead("__first").over(wg.orderBy("__b")).alias("__later"),
+                         *[F.coalesce(F.sum(f"__t_{c}").over(behind), F.lit(0)).alias(f"__off_{c}") for c in cols],
+                         *[F.sum(f"__t_{c}").over(wg).alias(f"all_{c}") for c in cols])
+    wb = Window.partitionBy(*keys, "__b").orderBy(value)
+    inside = b.withColumns({"__next": F.lead(value).over(wb), **{f"__in_{c}": F.coalesce(F.sum(c).over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) for c in cols}})
+    out = inside.join(parts, [*keys, "__b"])
+    return out.select(*keys, value, *cols, *[(F.col(f"__off_{c}") + F.col(f"__in_{c}")).alias(f"before_{c}") for c in cols],
+                      *[f"all_{c}" for c in cols], F.coalesce("__next", "__later").alias("next"))

@@ -51,9 +51,13 @@ class FittedModel:
     def features(self) -> list[str]:
         return self.numeric + self.categorical
 
+    def encoded(self, df: DataFrame) -> DataFrame:
+        """The input with its features as numbers (absent ones as in ``align``)."""
+        return _encoded(self.dictionary, align(self, df), self.numeric, self.categorical)
+
     def transform(self, df: DataFrame) -> DataFrame:
-        """Encoded input through the trees (absent features as in ``align``)."""
-        return self.model.transform(_encoded(self.dictionary, align(self, df), self.numeric, self.categorical))
+        """Encoded input through the trees."""
+        return self.model.transform(self.encoded(df))
 
     def save(self, path: str) -> None:
         """SNK-2: trees, dictionary and feature lists in one folder."""

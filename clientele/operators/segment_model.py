@@ -2,8 +2,8 @@
 
 k-means runs ``restarts`` times with different seeds on a persisted feature
 table and keeps the lowest training cost (Spark's KMeans has no n_init).
-Silhouettes use the squared-Euclidean form, which needs only per-cluster
-sums, so they are linear in the rows: no pairwise distances are ever formed.
+Over whole tables the silhouette has the squared-Euclidean form, which needs only
+per-cluster sums, so it is linear in the rows; the Euclidean one is for samples.
 """
 
 from __future__ import annotations
@@ -12,11 +12,11 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier
+from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +25,7 @@ from ..functions.partitioning import materialize, sized
 from ..functions.scalars import row_values
 from .rfm import monetary_quartiles, rfm
 from .rules import segment_labels
+from .rules_tree import condition, fit_tree
 
 
 def detect_mode(df: DataFrame) -> tuple[str, DataFrame, list[str]]:
@@ -166,56 +167,55 @@ def sample_rows(df: DataFrame, key: str, n: int = 1000) -> DataFrame:
 
 # --- rules that explain clusters (ML-9) ---------------------------------------------------
 
-def _walk(node, features, path, out):
-    """Collect (condition parts, prediction) per leaf of a fitted JVM tree."""
-    if node.getClass().getSimpleName() == "LeafNode":
-        out.append((list(path), float(node.prediction())))
-        return
-    split = node.split()
-    f = features[split.featureIndex()]
-    if split.getClass().getSimpleName() == "ContinuousSplit":
-        t = float(split.threshold())
-        _walk(node.leftChild(), features, path + [(f, "<=", t)], out)
-        _walk(node.rightChild(), features, path + [(f, ">", t)], out)
-    else:  # categorical split: left holds the listed categories
-        cats = [float(c) for c in split.leftCategories()]
-        _walk(node.leftChild(), features, path + [(f, "in", cats)], out)
-        _walk(node.rightChild(), features, path + [(f, "not in", cats)], out)
-
-
-def segment_rules(segmented: DataFrame, features: Sequence[str], cluster: str = "Cluster",
-                  max_depth: int = 3, seed: int = 42) -> DataFrame:
-    """ML-9: a depth-3 tree on the unscaled features predicting the cluster; one
-    row per leaf: condition text, predicted cluster, rows reaching it, purity."""
-    asm = VectorAssembler(inputCols=list(features), outputCol="__x")
-    # finer candidate thresholds (128 bins) bring the splits close to exact ones
-    dt = DecisionTreeClassifier(featuresCol="__x", labelCol="__y", maxDepth=max_depth, seed=seed, maxBins=128)
-    data = segmented.withColumn("__y", F.col(cluster).cast("double"))
-    model = Pipeline(stages=[asm, dt]).fit(data).stages[-1]
-    leaves: list = []
-    _walk(model._java_obj.rootNode(), list(features), [], leaves)  # at most 2^depth leaves
-    leaf = None
-    texts = []
-    for i, (path, pred) in enumerate(leaves):
-        cond = F.lit(True)
-        parts = []
-        for f, op, v in path:
-            c = F.col(f).cast("double")
-            if op == "<=":
-                cond, txt = cond & (c <= v), f"{f} <= {v:.4f}"
-            elif op == ">":
-                cond, txt = cond & (c > v), f"{f} > {v:.4f}"
-            elif op == "in":
-                cond, txt = cond & c.isin(v), f"{f} in {v}"
-            else:
-                cond, txt = cond & ~c.isin(v), f"{f} not in {v}"
-            parts.append(txt)
-        texts.append((i, " AND ".join(parts) or "TRUE", int(pred)))
-        leaf = F.when(cond, i) if leaf is None else leaf.when(cond, i)
-    tagged = segmented.select(leaf.alias("leaf_id"), F.col(cluster).alias("__c"))
-    counts = tagged.groupBy("leaf_id", "__c").agg(F.count(F.lit(1)).alias("n"))
-    per_leaf = counts.groupBy("leaf_id").agg(F.sum("n").alias("rows"), F.max("n").alias("__top"))
-    meta = segmented.sparkSession.createDataFrame(texts, "leaf_id int, condition string, predicted_cluster int")
-    return meta.join(per_leaf, "leaf_id", "left").select(
-        "leaf_id", "condition", "predicted_cluster", F.coalesce("rows", F.lit(0)).alias("rows"),
-        (F.col("__top") / F.col("rows")).alias("purity"))
+def segment_rules(segmented: DataFrame, features: Sequence[str], cluster: str = "Cluster", max_depth: int = 3) -> DataFrame:
+    """ML-9: an exact depth-3 tree on the unscaled features predicting the cluster (``rules_tree``); one row per leaf,
+    from left to right: condition text, predicted cluster, rows reaching it, purity."""
+    nodes, names = fit_tree(segmented, features, cluster, max_depth)
+    leaves = sorted((n for n in nodes if n.feature is None), key=lambda n: (n.id << (max_depth - n.depth)))
+    rows = [(i, condition(n.path), int(names[n.top]), n.rows, n.counts[n.top] / n.rows) for i, n in enumerate(leaves)]
+    return segmented.sparkSession.createDataFrame(rows, "leaf_id int, condition string, predicted_cluster int, rows long, purity double")
+
+
+# --- Euclidean silhouette on a sample (ML-8) ----------------------------------------------
+
+def euclidean_silhouette(df: DataFrame, features: Sequence[str], cluster: str, key: str, n: int | None = 1000, blocks: int = 10) -> DataFrame:
+    """ML-8: mean silhouette with Euclidean distances over a repeatable sample of ``n`` rows (TOP-4; None: all rows).
+
+    Distances need pairs, so the sample is cut into ``blocks`` by a hash of the key: every row meets every block once
+    (a join on the block's number), the block's members are summed per cluster in the same stage, and a row's sums of
+    all blocks are added up. One number per row and cluster is kept, never a table of pairs. A row alone in its cluster
+    scores 0, as does one with no distance at all. One row: ``silhouette, rows, clusters`` (null silhouette with fewer
+    than two clusters).
+    """
+    rows = df if n is None else sample_rows(df, key, n)
+    x = F.array(*[F.col(f).cast("double") for f in features])
+    rows = materialize(rows.select(F.col(cluster).alias("c"), x.alias("x"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("b")).withColumn("u", F.monotonically_increasing_id()))
+    sizes = rows.groupBy("c").agg(F.count(F.lit(1)).alias("size"))
+    members = rows.select("b", F.col("c").alias("oc"), F.col("x").alias("ox"))
+    meets = rows.select("u", "c", "x", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b")).join(members, "b")
+    square = sum(((F.get("x", F.lit(i)) - F.get("ox", F.lit(i))) * (F.get("x", F.lit(i)) - F.get("ox", F.lit(i))) for i in range(len(features))), F.lit(0.0))
+    per = meets.groupBy("u", "c", "oc").agg(F.sum(F.sqrt(square)).alias("d")).join(F.broadcast(sizes.withColumnRenamed("c", "oc")), "oc")  # k rows
+    own = F.col("c") == F.col("oc")
+    a = F.max(F.when(own, F.try_divide(F.col("d"), F.col("size") - 1)))  # its own distance is 0
+    b = F.min(F.when(~own, F.col("d") / F.col("size")))
+    one = per.groupBy("u").agg(a.alias("a"), b.alias("b"))
+    score = F.when(F.col("a").isNull(), F.lit(0.0)).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
+    facts = row_values(sizes.agg(F.count(F.lit(1)).alias("clusters")))
+    return one.agg(F.avg(score).alias("s"), F.count(F.lit(1)).alias("rows")).select(
+        F.when(facts["clusters"] >= 2, F.col("s")).alias("silhouette"), "rows", facts["clusters"].alias("clusters"))
+
+
+def k_sweep_sample(df: DataFrame, key: str, ks: Sequence[int] = (2, 3, 4, 5, 6), n: int = 1000, restarts: int = 10, seed: int = 42) -> DataFrame:
+    """ML-8 as the reference does it: the sample alone is scaled and clustered for each k and judged by the Euclidean
+    silhouette; the best k is flagged (the smaller one of equals)."""
+    _, table, feats = detect_mode(df)
+    sample = materialize(sample_rows(table, key, n))
+    scaled = materialize(scaling_pipeline(feats).fit(sample).transform(sample).withColumn("__z", vector_to_array("features")))
+    z = [f"__z{i}" for i in range(len(feats))]
+    rows = []
+    for k in ks:
+        model, cost = fit_kmeans(scaled, k, restarts, seed)
+        placed = model.transform(scaled).select(key, "__pred", *[F.get("__z", F.lit(i)).alias(c) for i, c in enumerate(z)])
+        rows.append((int(k), euclidean_silhouette(placed, z, "__pred", key, n=None).first().silhouette, float(cost)))
+    best = max(rows, key=lambda r: (r[1] is not None, r[1] or 0.0, -r[0]))[0]
+    return df.sparkSession.createDataFrame([(k, s, c, k == best) for k, s, c in rows], "k int, silhouette double, training_cost double, best boolean")
