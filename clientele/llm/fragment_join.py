@@ -11,7 +11,7 @@ separately and summed per pair. That count is exact (n-grams are compared by
 
 Steps, all over the whole table:
 
-1. ``order_table``: every n-gram is counted in one of ``SLOTS`` counters (16 MB
+1. ``order_table``: every n-gram is counted in one of ``SLOTS`` counters (8 MB
    as one byte each, whatever the input). An n-gram's class tells its count from
    its slot's usual filling, so classes stay useful when slots hold many n-grams;
    a collision only makes the order worse, never loses a link.
@@ -21,7 +21,8 @@ Steps, all over the whole table:
 3. ``postings``: prefix n-grams, with their places, that two classes or more share.
 4. Stars: each class is paired with the best class of its postings only, which
    is linear in the postings; the verified links give first components. Repeated
-   over what is left, each time between different components, while it links.
+   between different components while the next step would be far larger than the
+   postings and this one still links.
 5. Rest: pairs of *different* components that share a prefix n-gram and pass
    the bounds of size, place and bitmap, inside the join. A group of thousands of
    near copies is one component by then, so its pairs are never formed.
@@ -47,8 +48,10 @@ from .text import discard, doc_words, shingle_hashes, sweep, text_chunks, writte
 
 CHUNK = 1_000_000
 FRAGMENTS = 8
-SLOT_BITS, SLICE_BITS = 24, 12
+PAIRS_A_POSTING = 20  # pairs that a posting may stand for in the last join before another star step is tried
+SLOT_BITS, SLICE_BITS = 23, 12
 SLOTS, SLICES = 1 << SLOT_BITS, 1 << (SLOT_BITS - SLICE_BITS)
+MOST_A_TASK = (1 << 16) - 1  # a task's counters stop there
 LINEAR, OCTAVE = 160, 8  # classes above the linear ones, so many for each doubling
 WIDEST = 1 << 20  # bits of the largest bitmap
 
@@ -71,11 +74,12 @@ def _rows(rows, names, kinds):
 def _count(k: int):
     """Per task one counter a slot, as compressed slices."""
     def run(batches):
-        counts = np.zeros(SLOTS, np.uint32)
+        counts = np.zeros(SLOTS, np.uint16)
         for batch in batches:
             for group in text_chunks(batch.column(0).to_pylist(), CHUNK):
                 hashes = [shingle_hashes(words, k) for words in doc_words([t for _, t in group])]
-                np.add.at(counts, _slots(np.concatenate(hashes)), np.uint32(1))
+                at, n = np.unique(_slots(np.concatenate(hashes)), return_counts=True)
+                counts[at] = np.minimum(counts[at] + n, MOST_A_TASK)
         pack = zstandard.ZstdCompressor(level=1)
         small = lambda part: part.astype(np.uint8) if part.max() < 256 else part
         yield from _rows(((i, pack.compress(small(part).tobytes())) for i, part in enumerate(counts.reshape(SLICES, -1)) if part.any()),
@@ -89,7 +93,7 @@ def _add(batches):
     for batch in batches:
         for i, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             raw = unpack.decompress(packed)
-            part = np.frombuffer(raw, np.uint8 if len(raw) == 1 << SLICE_BITS else np.uint32)
+            part = np.frombuffer(raw, np.uint8 if len(raw) == 1 << SLICE_BITS else np.uint16)
             sums[i] = sums[i] + part if i in sums else part.astype(np.int64)
     yield from _rows(((i, int(x.sum()), x.tobytes()) for i, x in sums.items()), ["slice", "n", "counts"], [pa.int32(), pa.int64(), pa.binary()])
 
@@ -249,9 +253,16 @@ def _top(rows: DataFrame, name: str) -> DataFrame:
     return rows.groupBy("h").agg(F.max(facts).alias(name))
 
 
+def _first_stars(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs of each class with the best class of each of its postings."""
+    facts = F.struct("score", F.negative("node").alias("key"), "node", "root", "at", "n", *BITS)
+    rows = lists.withColumn("o", F.max(facts).over(Window.partitionBy("h"))).filter(F.col("o.node") != F.col("node"))
+    return _pairs(rows.select(_side("").alias("x"), _side("o.").alias("y")).filter(_bounds(percent)))
+
+
 def _stars(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs of each class with the best class of each of its postings: the best of all or, for the classes
-    of that one's component, the best of the other components. At most one pair a posting."""
+    """The same between components: the best of all or, for the classes of that one's component, the best
+    of the other components. At most one pair a posting."""
     first = _top(lists, "t1")
     rows = lists.join(first, "h")
     second = _top(rows.filter(F.col("root") != F.col("t1.root")), "t2")
@@ -311,22 +322,21 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
         return components(known)
 
     def apart(roots):
-        """The postings with each class's component, where two components or more remain."""
+        """The postings with each class's component, where two components or more remain; how many pairs they hold."""
         placed = lists.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        ends = placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("h")
-        return written(placed.join(ends, "h", "left_semi").select(lists.columns), "placed-postings")
+        sizes = placed.groupBy("h", "root").agg(F.count(F.lit(1)).cast("double").alias("m")).groupBy("h").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("own"))
+        sizes = sizes.filter("all * all > own").select("h", ((F.col("all") * F.col("all") - F.col("own")) / 2).alias("held"), "all")
+        out = written(placed.join(sizes, "h").select(*lists.columns, (F.col("held") / F.col("all")).alias("held")), "placed-postings")
+        return out.drop("held"), out.agg(F.sum("held")).first()[0] or 0
 
-    roots = None
-    while True:  # ends: each turn but the last links a hundredth of the classes at least
-        links = verified(_stars(lists, percent), "star")
-        if links is None:
-            break
-        n_links = links.count()
-        if n_links:
-            roots = joined(roots, links)
-            lists = apart(roots)
-        if 100 * n_links <= lists.select("node").distinct().count():
+    roots, links = None, verified(_first_stars(lists, percent), "star")
+    while links is not None and (n_links := links.count()):
+        roots = joined(roots, links)
+        lists, held = apart(roots)
+        n_lists = lists.count()
+        if held <= PAIRS_A_POSTING * n_lists or 100 * n_links <= n_lists:
             break
+        links = verified(_stars(lists, percent), "star")
     both = (F.col("x.h") == F.col("y.h")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.node") < F.col("y.node"))
     rest = lists.alias("x").join(lists.alias("y"), both & _bounds(percent))
     links = verified(_pairs(rest.select(_side("x.").alias("x"), _side("y.").alias("y"))), "rest")
