@@ -2,11 +2,12 @@
 JOIN-9, AGG-14..16).
 
 Each tier runs on the *distinct* cleaned locations only, and each later tier
-only on what the earlier tiers left (``left_anti``). All tiers are equi-joins:
-the substring tier joins the parts of a location that have the length of a key,
-the fuzzy tiers join character pairs first and score only pairs of texts with
-as many in common as the cutoff demands. So any gazetteer size works, without a
-broadcast hint: the planner broadcasts a side when its measured size allows.
+only on what the earlier tiers left (``left_anti``). All tiers are equi-joins on
+indexes of the gazetteer (``similarity``): the substring tier joins three
+characters that anchor a key, the fuzzy tiers join pairs of rare characters and
+measure only pairs of texts with as many characters in common as the cutoff
+demands. So any gazetteer size works, without a broadcast hint: the planner
+broadcasts a side when its measured size allows.
 The per-location result joins back to the rows once; rows without a location
 are kept apart in that join.
 """
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.clean import strip
 from ..functions.partitioning import materialize
 from ..functions.scalars import row_values
+from .similarity import candidate_pairs, contained_keys, matching_ratio
 
 
 # Patterns of the location clean-up.
@@ -71,16 +73,13 @@ def substring_tier(cities: DataFrame, gaz: DataFrame, word_boundary: bool = Fals
     """JOIN-3: the first key (in gazetteer order) contained in the city.
 
     By default any substring counts (so 'lima' hits 'limassol', as in the
-    reference); ``word_boundary=True`` only accepts whole words. The city's
-    parts that have the length of some key are joined to the keys."""
+    reference); ``word_boundary=True`` only accepts whole words. Keys are found
+    by their rarest three characters (``similarity.contained_keys``)."""
     pad = (lambda c: F.concat(F.lit(" "), c, F.lit(" "))) if word_boundary else (lambda c: c)
-    keys = gaz.where(F.length("key") > 0).select(pad(F.col("key")).alias("__part"), "key", "ord")
-    lengths = keys.select(F.collect_set(F.length("__part")).alias("l")).scalar()  # at most the longest key's length
-    text = pad(F.col("city"))
-    sizes = cities.select("city", text.alias("__t"), F.explode(lengths).alias("__n")).where(F.col("__n") <= F.length("__t"))
-    parts = sizes.select("city", "__t", "__n", F.explode(F.sequence(F.lit(1), F.length("__t") - F.col("__n") + 1)).alias("__i"))
-    parts = parts.select("city", F.expr("substring(__t, __i, __n)").alias("__part")).distinct()
-    return parts.join(keys, "__part").groupBy("city").agg(F.min_by("key", "ord").alias("key"))
+    keys = gaz.where(F.length("key") > 0).select(pad(F.col("key")).alias("part"), "key", "ord")
+    texts = cities.select(pad(F.col("city")).alias("text"), "city").distinct()
+    found = contained_keys(texts.select("text"), keys).groupBy("text").agg(F.min_by("key", "ord").alias("key"))
+    return texts.join(found, "text").select("city", "key")
 
 
 def levenshtein_similarity(a: Column, b: Column) -> Column:
@@ -122,31 +121,7 @@ def sequence_similarity(a: Column, b: Column) -> Column:
     return F.lit(2.0) * common_subsequence(a, b) / (F.length(a) + F.length(b))
 
 
-def _candidates(cities: DataFrame, gaz: DataFrame, cutoff: float) -> DataFrame:
-    """Pairs (city, key) that can reach ``cutoff`` by either similarity.
-
-    A common subsequence of m of S characters has at most S - 2m + 1 runs, so
-    the texts share at least 3m - S - 1 character pairs; where that is no pair
-    at all (short texts, or a cutoff up to 2/3) one character is enough. The
-    pairs are counted with their repetitions, so none is missed."""
-    slack = 1.5 * cutoff - 1
-    short = 2 / slack if slack > 0 else float(1 << 30)  # up to this total length a single character counts
-
-    def grams(df, col):
-        n = F.length(col)
-        pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(F.col(col), i, F.lit(2)))
-        single = F.when(n <= short, F.array_distinct(F.split(F.col(col), ""))).otherwise(F.array().cast("array<string>"))
-        return df.where(n > 0).select(col, F.explode(F.concat(F.filter(pairs, lambda g: F.length(g) == 2), single)).alias("__g"))
-    total = F.length("city") + F.length("key")
-    need = F.ceil(F.lit(cutoff / 2) * total - 1e-9) * 3 - total - 1
-    both = (grams(cities.select("city"), "city").join(grams(gaz.select("key").distinct(), "key"), "__g")
-            .where(F.lit(2.0) * F.least(F.length("city"), F.length("key")) >= F.lit(cutoff) * total)
-            .groupBy("city", "key").agg(F.count_if(F.length("__g") == 2).alias("__c")))
-    return both.where((need <= 0) | (F.col("__c") >= need)).select("city", "key")
-
-
-def _best(cities: DataFrame, gaz: DataFrame, cutoff: float, similarity) -> DataFrame:
-    scored = _candidates(cities, gaz, cutoff).withColumn("score", similarity(F.col("city"), F.col("key")))
+def _best(scored: DataFrame, cutoff: float) -> DataFrame:
     # the cutoff applies to the best score, so that each pair is scored once
     best = scored.groupBy("city").agg(F.max(F.struct("score", "key")).alias("b")).where(F.col("b.score") >= cutoff)
     return best.select("city", F.col("b.key").alias("key"), F.col("b.score").alias("score"))
@@ -155,14 +130,17 @@ def _best(cities: DataFrame, gaz: DataFrame, cutoff: float, similarity) -> DataF
 def fuzzy_tier(cities: DataFrame, gaz: DataFrame, cutoff: float = FUZZY_CUTOFF) -> DataFrame:
     """JOIN-4 (edit distance): the best key with 1 - lev/max(len) >= cutoff; on
     equal scores the larger key wins."""
-    return _best(cities, gaz, cutoff, levenshtein_similarity)
+    pairs = candidate_pairs(cities, gaz, cutoff)
+    return _best(pairs.withColumn("score", levenshtein_similarity(F.col("city"), F.col("key"))), cutoff)
 
 
 def fuzzy_tier_ratio(cities: DataFrame, gaz: DataFrame, cutoff: float = FUZZY_CUTOFF) -> DataFrame:
-    """JOIN-4 (common subsequence, the default of the cascade): the best key with
-    2 x LCS / total length >= cutoff; on equal scores the larger key wins. Accepts
-    whatever the reference's measure accepts."""
-    return _best(cities, gaz, cutoff, sequence_similarity)
+    """JOIN-4 (matching blocks, the default of the cascade): the best key by the reference's own measure,
+    the sequence-matcher ratio with the key as first and the city as second text; on equal scores the
+    larger key wins. Only pairs whose longest common subsequence, which no ratio exceeds, reaches the
+    cutoff are measured."""
+    pairs = candidate_pairs(cities, gaz, cutoff).where(sequence_similarity(F.col("city"), F.col("key")) >= cutoff - 1e-9)
+    return _best(pairs.withColumn("score", matching_ratio(F.col("key"), F.col("city"))), cutoff)
 
 
 def resolve_locations(cities: DataFrame, gaz: DataFrame, fuzzy=fuzzy_tier_ratio, word_boundary: bool = False) -> DataFrame:

@@ -69,7 +69,9 @@ def q_geo_unmatched(spark, sf_dir):
 
 @query("geo_frequency")
 def q_geo_frequency(spark, sf_dir):
-    return location_frequency(_resolved(spark, sf_dir)).select("TripID", "Mapped_Location", "Frequency")
+    """JOIN-9: the name counted is that of the cleaned location, so nothing needs to be resolved."""
+    named = _cleaned(spark, sf_dir).withColumn("Mapped_Location", F.initcap("clean_loc"))
+    return location_frequency(named).select("TripID", "Mapped_Location", "Frequency")
 
 
 @query("geo_quality")

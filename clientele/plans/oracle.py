@@ -353,9 +353,19 @@ FUZZY_SQL = """select city, key, score from (select *, row_number() over (partit
 _LCS = ("list_reduce(string_split(city, ''), lambda old, x: list_reduce(range(1, length(key) + 1), lambda acc, j:"
         " list_append(acc, case when x = substr(key, j, 1) then old[j] + 1 else greatest(old[j + 1], acc[j]) end), [0::bigint]),"
         " list_transform(range(0, length(key) + 1), lambda i: 0::bigint))[length(key) + 1]")
+# The longest common block of parts of key and city (earliest in the key, then in the city), then left and right of it.
+_SAME = "list_max(list_filter(range(0, least(ahi - i, bhi - j) + 1), lambda l: substr(key, i + 1, l) = substr(city, j + 1, l)))"
+_BLOCK = ("list_max(flatten(list_transform(range(alo, ahi), lambda i: list_transform(range(blo, bhi), lambda j: "
+          "{{'k': " + _SAME + ", 'i': -i, 'j': -j}}))))")
 RATIO_SQL = f"""select city, key, score from (select *, row_number() over (partition by city order by score desc, key desc) rn
-  from (select city, key, 2.0::double * {_LCS} / (length(city) + length(key)) as score
-        from {{src}} d join gaz g on 2.0 * least(length(d.city), length(g.key)) >= 0.75 * (length(d.city) + length(g.key))))
+  from (with recursive pairs as (select city, key, 2.0::double * {_LCS} / (length(city) + length(key)) as most
+        from {{src}} d join gaz g on 2.0 * least(length(d.city), length(g.key)) >= 0.75 * (length(d.city) + length(g.key))),
+      whole as (select city, key, 0::bigint as alo, length(key)::bigint as ahi, 0::bigint as blo, length(city)::bigint as bhi from pairs where most >= 0.75),
+      blocks as (select *, {_BLOCK} as m from whole
+        union all
+        select *, {_BLOCK} as m from (select city, key, unnest([alo, m.k - m.i]) as alo, unnest([-m.i, ahi]) as ahi,
+            unnest([blo, m.k - m.j]) as blo, unnest([-m.j, bhi]) as bhi from blocks where m.k > 0) where alo < ahi and blo < bhi)
+      select city, key, 2.0::double * sum(m.k)::double / (length(city) + length(key)) as score from blocks group by city, key))
   where rn = 1 and score >= 0.75"""
 CTES["t1"] = "select d.city, g.key, 'exact' as match_tier from dloc d join gaz g on d.city = g.key"
 DEPS["t1"] = ["dloc", "gaz"]
