@@ -164,6 +164,48 @@ def test_secrets(docs):
     assert owned == {(53, 5, 24)}  # the bare value of a key that document 52 assigns
 
 
+def brute_secrets(rows, max_owners=2, max_repos=4):
+    """Per row its spans with owners, repositories and live, by looking every value up in all texts."""
+    bare, wide = r"[A-Za-z0-9_-]{16,}", r"[A-Za-z0-9+/_.=-]{15,}[A-Za-z0-9+/_=-]"
+    held, found = defaultdict(set), []
+    for row, (i, t, source) in enumerate(rows):
+        t = t or ""
+        mine = [(a, place, kind, z, t[a:z]) for a, place, kind, z in spans_of(t)]
+        mine = [(a, p, k, z, re.fullmatch(r"(?is).*?[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", v)[1] if k == "assign" else v) for a, p, k, z, v in mine]
+        for pattern, edge in ((bare, "[A-Za-z0-9_-]"), (wide, "[A-Za-z0-9+/_.=-]")):
+            for m in re.finditer(f"(?<!{edge})" + pattern, t):
+                if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and (pattern == bare or re.search("[+/.=]", m[0])):
+                    mine.append((m.start(), 3, "owned", m.end(), m[0]))
+        found.append([(a, p, k, z, v.rstrip(".")) for a, p, k, z, v in mine])
+        for _, _, k, _, v in found[-1]:
+            held[v].add((source, t, k != "owned"))
+    out = []
+    for (i, t, _), mine in zip(rows, found):
+        spans = []
+        for a, p, k, z, v in mine:
+            owners, repos = len({s for s, _, _ in held[v]}), len({(s, x) for s, x, _ in held[v]})
+            look = len(set(v)) >= 8 and re.search("[A-Za-z]", v) and re.search("[0-9]", v) and not re.search(secret_owners.PLACEHOLDERS, v)
+            live = bool(look) and owners <= max_owners and repos <= max_repos
+            if k != "owned" or (live and any(b for _, _, b in held[v]) and not any(a < y and x < z for x, _, kk, y, _ in mine if kk != "owned")):
+                spans.append((a, p, k, z, owners, repos, live))
+        out.append((i, tuple(sorted(spans))))
+    return Counter(out)
+
+
+def test_ownership_is_brute_force(spark):
+    """Owners, repositories, live and owned spans; values longer than a prefix could tell, in all alphabets, copies of a document."""
+    late = "A" * 300 + "b1c2d3e4f5g6"
+    rows = [(1, f"token = {late}", "s1"), (2, f"see {late} here", "s2"), (3, "secret: ab+/Zz9.Qw8=Er7Ty6 end", "s1"), (4, "key ab+/Zz9.Qw8=Er7Ty6.", "s3"),
+            (5, "x=Zz9Qw8Er7Ty6Ui5Po4 and Zz9Qw8Er7Ty6Ui5Po4", "s1"), (6, "password: Zz9Qw8Er7Ty6Ui5Po4.", "s1"), (7, None, "s1"), (8, "", None)]
+    rows += [(20 + i, "api_key=Copied9Qw8Er7Ty6Ui5 stands here", "s4") for i in range(9)] + [(40, "bare Copied9Qw8Er7Ty6Ui5", "s4")]
+    rows += [(50 + i, f"token=Wide9Qw8Er7Ty6Ui5Po{i % 2} in {i}", f"s{i}") for i in range(8)] + [(70, "Wide9Qw8Er7Ty6Ui5Po1", "s1"), (71, "a" * 40 + " token=example1A2b3C4d5E6f", None)]
+    out = secret_owners.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()
+    got = Counter((r.doc_id, tuple((s.start, s.place - 1, s.kind, s.end, s.owners, s.repos, s.live) for s in r.spans or [])) for r in out)
+    assert got == brute_secrets(rows)
+    by = {r.doc_id: [s.kind for s in r.spans or []] for r in out}
+    assert by[2] == ["owned"] and by[4] == ["owned"] and by[5] == ["owned"] * 2 and by[40] == ["owned"] and by[70] == []
+
+
 def test_widely_copied_secret_is_no_live_one(spark):
     rows = [(i, "token = Zz9Qw8Er7Ty6Ui5Po4", f"s{i}") for i in range(6)] + [(9, "see Zz9Qw8Er7Ty6Ui5Po4", "s9")]
     out = secret_owners.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
