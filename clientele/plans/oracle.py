@@ -7,11 +7,12 @@ prefixes a query body with the CTEs it names.
 from __future__ import annotations
 
 from ..sources.dimensions import gazetteer_rows, iata_rows
-from .expected import BOOSTERS_DOWN, BOOSTERS_UP, CAPABILITIES, NEGATORS, READINESS, STOP_WORDS
+from .expected import BOOSTERS_DOWN, BOOSTERS_UP, CAPABILITIES, EMOTICONS, LEXICON_EXTRAS, NEGATORS, READINESS, STOP_WORDS
 
 # Words as written: by white space, stripped of punctuation, without apostrophes.
 TOKENS_SQL = (r"list_filter(list_transform(regexp_split_to_array(regexp_replace({c}, '[''’]', '', 'g'), '\s+'),"
-              r" lambda w: regexp_replace(w, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')), lambda w: w <> '')")
+              r" lambda w: case when lower(w) in (" + ", ".join(f"'{e}'" for e in EMOTICONS) + r") then w"
+              r" else regexp_replace(w, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g') end), lambda w: w <> '')")
 # Derived inputs, DuckDB spelling of clientele.sources.fixtures.
 CTES = {
     "transactions": """select o_custkey as CustomerID, o_orderdate as InvoiceDate,
@@ -47,7 +48,8 @@ CTES = {
     "test_lexicon": f"""select w as token, cast(length(w)*7 % 9 - 4 as double) as valence
       from (select w, count(*) n from (select lower(unnest({TOKENS_SQL.format(c='text')})) w from documents)
             where length(w) > 3 group by w having count(*) >= 20)
-      where length(w)*7 % 9 - 4 <> 0""",
+      where length(w)*7 % 9 - 4 <> 0
+      union all select * from (values {", ".join(f"('{t}', {v}::double)" for t, v in LEXICON_EXTRAS.items())})""",
     "rule_score": """select customerID, Tenure, MonthlyCharges,
         cast(1 as double)/(cast(1 as double) + cast(Tenure as double)/cast(12 as double)) as probability
       from churn_customers""",
@@ -421,6 +423,7 @@ _NEG, _UP, _DOWN = _sql_list(NEGATORS), _sql_list(BOOSTERS_UP), _sql_list(BOOSTE
 
 
 _BOOSTERS = _UP[:-1] + ", " + _DOWN[1:]
+_PHRASES = {n: _sql_list(p for p in [*LEXICON_EXTRAS, *BOOSTERS_DOWN] if len(p.split()) == n) for n in (2, 3)}
 
 
 def _boost_sql(p: str, c: str, d: float) -> str:
@@ -455,13 +458,22 @@ CTES["scored_reviews"] = f"""select r.*, case when r.ReviewBody is null or trim(
                  lag(caps, 1) over w as c1, lag(caps, 2) over w as c2, lag(caps, 3) over w as c3,
                  bool_or(caps) over d and bool_or(not caps) over d as cd,
                  coalesce(min(case when tok = 'but' then pos end) over d, 0) as bp
-          from (select ReviewID, raw, lower(raw) as tok, raw = upper(raw) and raw <> lower(raw) as caps, pos
-                from (select ReviewID, unnest(arr) as raw, unnest(range(1, len(arr) + 1)) as pos
-                      from (select ReviewID, {TOKENS_SQL.format(c='ReviewBody')} as arr
-                            from reviews where not (ReviewBody is null or trim(ReviewBody) = ''))))
+          from (select ReviewID, raw, lower(raw) as tok, raw = upper(raw) and raw <> lower(raw) as caps,
+                       row_number() over (partition by ReviewID order by spot) as pos
+                from (select ReviewID, spot, case kept when 3 then raw || ' ' || r1 || ' ' || r2 when 2 then raw || ' ' || r1 else raw end as raw,
+                             coalesce(lag(kept, 1) over v, 0) > 1 or coalesce(lag(kept, 2) over v, 0) > 2 as gone
+                      from (select *, case when coalesce(lag(words, 1) over v, 0) > 1 or coalesce(lag(words, 2) over v, 0) > 2 then 0 else words end as kept
+                            from (select *, case when lower(raw || ' ' || r1 || ' ' || r2) in {_PHRASES[3]} then 3
+                                                 when lower(raw || ' ' || r1) in {_PHRASES[2]} then 2 else 0 end as words
+                                  from (select *, lead(raw, 1) over v as r1, lead(raw, 2) over v as r2
+                                        from (select ReviewID, unnest(arr) as raw, unnest(range(1, len(arr) + 1)) as spot
+                                              from (select ReviewID, {TOKENS_SQL.format(c='ReviewBody')} as arr
+                                                    from reviews where not (ReviewBody is null or trim(ReviewBody) = '')))
+                                        window v as (partition by ReviewID order by spot))) window v as (partition by ReviewID order by spot))
+                      window v as (partition by ReviewID order by spot)) where not gone)
           window w as (partition by ReviewID order by pos), d as (partition by ReviewID)) t
     join test_lexicon l on t.tok = l.token
-    where t.tok not in {_BOOSTERS} and not (t.tok = 'kind' and coalesce(t.n1 = 'of', false))
+    where t.tok not in {_BOOSTERS}
     group by ReviewID) s on r.ReviewID = s.ReviewID) r"""
 DEPS["scored_reviews"] = ["reviews", "test_lexicon"]
 _LABEL = ("case when Sentiment_Score >= 0.05 then 'Positive' when Sentiment_Score <= -0.05 then 'Negative' "

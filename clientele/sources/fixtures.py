@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.partitioning import spread
+from ..functions.partitioning import materialize, spread
 from ..operators.sentiment import raw_tokens
 from .io import read_table
 
@@ -100,13 +100,18 @@ def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
                      .otherwise(_route_case(k % 15)).alias("Route"))
 
 
+# Phrases and emoticons of the test lexicon.
+LEXICON_EXTRAS = [("of the", 1.5), ("the and the", -2.5), ("the and", 0.5), ("de la", -1.0), ("et de la", 2.0), ("in the that", 1.0), (":)", 2.0), (":(", -1.9)]
+
+
 def test_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frequent tokens of the test prose with a formula valence (no real lexicon is installed)."""
+    """Frequent tokens of the test prose with a formula valence (no real lexicon is installed), and a few phrases. Computed once."""
     d = spread(read_table(spark, sf_dir, "documents").select("text"))
     w = d.select(F.explode(F.transform(raw_tokens(F.col("text")), F.lower)).alias("w"))
     freq = w.where(F.length("w") > 3).groupBy("w").count().where(F.col("count") >= 20)
     val = F.length("w") * 7 % 9 - 4
-    return freq.where(val != 0).select(F.col("w").alias("token"), val.cast("double").alias("valence"))
+    words = freq.where(val != 0).select(F.col("w").alias("token"), val.cast("double").alias("valence"))
+    return materialize(words.unionByName(spark.createDataFrame(LEXICON_EXTRAS, "token string, valence double")))
 
 
 def rule_score(spark: SparkSession, sf_dir: str) -> DataFrame:
