@@ -40,11 +40,11 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .text import discard, doc_words, shingle_hashes, sweep, text_chunks, written
+from .text import discard, doc_words, row_mark, shingle_hashes, sweep, text_chunks, without, written
 
 CHUNK = 1_000_000
 FRAGMENTS = 8
@@ -144,7 +144,7 @@ def _cuts(u: np.ndarray, order) -> np.ndarray:
     return np.minimum((place * FRAGMENTS).astype(np.int64), FRAGMENTS - 1)
 
 
-def _sign(shared, k: int, percent: int):
+def _sign(shared, k: int, percent: int, marked: bool):
     def run(batches):
         order = shared.value
         for batch in batches:
@@ -163,7 +163,10 @@ def _sign(shared, k: int, percent: int):
                     for c, v in zip(rows, (ids[i], n, hashlib.blake2b(u.tobytes(), digest_size=16).hexdigest(), *bits.tolist(), wide, _signed(prefix))):
                         rows[c].append(v)
                 kinds = {"digest": pa.string(), "wide": pa.list_(pa.int64()), "prefix": pa.list_(pa.int64())}
-                yield pa.RecordBatch.from_pydict({c: pa.array(v, kinds.get(c, pa.int64())) for c, v in rows.items()})
+                out = {c: pa.array(v, kinds.get(c, pa.int64())) for c, v in rows.items()}
+                if marked:
+                    out["mark"] = batch.column(2).take(pa.array([i for i, _ in group]))
+                yield pa.RecordBatch.from_pydict(out)
     return run
 
 
@@ -276,8 +279,10 @@ def _pairs(both: DataFrame) -> DataFrame:
     return p.select(F.col("p.x.node").alias("a"), F.col("p.y.node").alias("b"), F.col("p.x.n").alias("na"), F.col("p.y.n").alias("nb")).distinct()
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row ``doc_id, n_shingles, component_id``.
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
+                       mark: Column | None = None) -> DataFrame:
+    """Per row ``doc_id, n_shingles, component_id`` and, with a string column ``mark``, ``root`` and ``mark``: the
+    component's number (null for an empty set), also where ids are repeated, and that column.
 
     Two rows link when ``100 * intersection >= percent * union`` of their sets
     of ``k``-word n-grams; ``component_id`` is the smallest id reachable.
@@ -288,9 +293,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    more = [] if mark is None else [mark.alias("mark")]
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *more)
     shared = sc.broadcast(order_table(docs, k))
-    signs = docs.mapInArrow(_sign(shared, k, percent), SIGNATURE).withColumn("rid", F.monotonically_increasing_id())
+    signs = docs.mapInArrow(_sign(shared, k, percent, mark is not None), SIGNATURE + ", mark string" * len(more)).withColumn("rid", F.monotonically_increasing_id())
     signs = written(signs, "signatures")
     # a class is known by the smallest row number of its rows
     firsts = signs.filter("n > 0").groupBy("digest").agg(F.min("rid").alias("node"), F.min("doc_id").alias("low"))
@@ -346,7 +352,20 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
         roots = classes.select("node", F.col("node").alias("root"))
     member = classes.select("digest", "node", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = member.groupBy("root").agg(F.min("low").alias("component_id"))
-    label = member.join(lowest, "root").select("digest", "component_id")
-    out = signs.select("doc_id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest"))
-    empty = out.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return out.filter("n > 0").join(label, "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(empty)
+    label = member.join(lowest, "root").select("digest", "component_id", "root")
+    more = ["mark"] * len(more)
+    out = signs.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("digest")).alias("digest"), *more)
+    empty = out.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root"), *more)
+    out = out.filter("n_shingles > 0").join(label, "digest").select("doc_id", "n_shingles", "component_id", "root", *more).unionByName(empty)
+    return out if more else out.drop("root")
+
+
+def near_duplicate_rows(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component of ``jaccard_components``: that of the smallest id (null last), of rows with one id the
+    one of the smallest digest, of rows that share id and text the smallest. Rows with an empty set all stay."""
+    mark = row_mark(F.col(id_col), F.col(text_col))
+    groups = jaccard_components(docs, k, percent, id_col, text_col, mark).filter("root is not null")
+    keys = written(groups.groupBy("root", "doc_id", "mark").agg(F.count(F.lit(1)).alias("c")), "marked-classes")
+    first = keys.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark"))["mark"].alias("first"))
+    judged = keys.join(first, "root").select("mark", (F.col("mark") == F.col("first")).alias("keep"), "c").filter("not keep or c > 1")
+    return without(docs, judged.select("mark", "keep"), mark)

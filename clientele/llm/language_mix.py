@@ -41,9 +41,9 @@ def letters() -> np.ndarray:
     return _LETTERS[0]
 
 
-def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def trigrams(texts: list[str], padded: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(document, bucket, count)`` of the lower-cased letter trigrams, words padded by a blank; sorted."""
-    low = [f" {t.lower()} " for t in texts]
+    low = [f" {t.lower()} " for t in texts] if padded else texts
     keys = []
     docs = np.repeat(np.arange(len(low)), [len(t) for t in low])
     codes = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), "<u4")
@@ -63,21 +63,17 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _slices(text: str):
-    """A long text in pieces that end at white space where there is some."""
-    at = 0
-    while at < len(text):
-        end = min(len(text), at + CHUNK)
-        if end < len(text) and (cut := text.rfind(" ", at, end)) > at:
-            end = cut
-        yield text[at:end]
-        at = end
+    """A long text, lower-cased and padded, in pieces that share two characters: each three in a row are in one piece."""
+    low = f" {text.lower()} "
+    for at in range(0, max(len(low) - 2, 1), CHUNK):
+        yield low[at:at + CHUNK + 2]
 
 
 def _grams(group: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if len(group) == 1 and len(group[0]) > CHUNK:
         total = np.zeros(BUCKETS, np.int64)
         for piece in _slices(group[0]):
-            _, g, c = trigrams([piece])
+            _, g, c = trigrams([piece], padded=False)
             total[g] += c
         g = np.flatnonzero(total)
         return np.zeros(len(g), np.int64), g, total[g]
@@ -104,6 +100,43 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
+def _chosen(docs: DataFrame, fit_docs: int, id_col: str, text_col: str, lang_col: str):
+    """The documents learned from (``lang, text``), and the numbers of labelled ones per language."""
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
+    sizes = rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages are labelled")
+    if not sizes:
+        return None, []
+    share = docs.sparkSession.createDataFrame([(r.lang, min(1.0, fit_docs / r["count"])) for r in sizes], "lang string, share double")
+    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return rows.join(F.broadcast(share), "lang").filter(draw < F.col("share")).select("lang", "text"), sizes
+
+
+def length_class(n):
+    """Texts are compared with others of about as many trigrams: whole logarithms to base 2."""
+    return np.floor(np.log2(np.maximum(n, 1))).astype(int)
+
+
+def with_floor(model: dict, docs: DataFrame, fit_docs: int = 5000, margin: float = 0.5, id_col: str = "doc_id",
+               text_col: str = "text", lang_col: str = "lang") -> dict:
+    """The model with the least fit it accepts per length class: that of the worst learning document of the class or a
+    shorter one, less ``margin`` (nats a trigram). Texts in a language that was not learned fit far worse, mixtures of
+    learned ones do not. Classes longer than any learned document have the floor of the longest."""
+    chosen, _ = _chosen(docs, fit_docs, id_col, text_col, lang_col)
+    if not model["langs"]:
+        return model
+    found = detect(chosen.select("text"), model).select("fit", "n_trigrams").filter("n_trigrams > 0")
+    least = found.groupBy(F.floor(F.log2("n_trigrams")).cast("int").alias("k")).agg(F.min("fit").alias("f")).collect()  # some 30 rows
+    floor = np.full(64, np.inf)
+    for r in least:
+        floor[r.k] = r.f
+    # a longer class may not be stricter where it has few documents: its floor is that of the worst up to it
+    floor = np.minimum.accumulate(floor)
+    return {**model, "floor": np.where(np.isinf(floor), -np.inf, floor) - margin}
+
+
 def fit(docs: DataFrame, fit_docs: int = 5000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict:
     """Learn the trigram distributions: ``{"langs": sorted names, "p": buckets x languages,
     "prior": logarithms of the languages' shares of the labelled documents}``.
@@ -113,17 +146,10 @@ def fit(docs: DataFrame, fit_docs: int = 5000, id_col: str = "doc_id", text_col:
     id, so reruns agree). Rows that are held out or have a null language,
     text or id are not learned from.
     """
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
-    sizes = rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages are labelled")
+    chosen, sizes = _chosen(docs, fit_docs, id_col, text_col, lang_col)
     langs = sorted(r.lang for r in sizes)
     if not langs:
         return {"langs": [], "p": np.zeros((BUCKETS, 0)), "prior": np.zeros(0)}
-    share = docs.sparkSession.createDataFrame([(r.lang, min(1.0, fit_docs / r["count"])) for r in sizes], "lang string, share double")
-    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = rows.join(F.broadcast(share), "lang").filter(draw < F.col("share")).select("lang", "text")
     counts = chosen.mapInArrow(_learn, "lang string, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c")).toPandas()
     table = np.zeros((BUCKETS, len(langs)))
     table[counts["g"], np.searchsorted(langs, counts["lang"].to_numpy(str))] = counts["c"]
@@ -132,8 +158,9 @@ def fit(docs: DataFrame, fit_docs: int = 5000, id_col: str = "doc_id", text_col:
 
 
 def shares(d: np.ndarray, g: np.ndarray, c: np.ndarray, n_docs: int, p: np.ndarray, penalty: float,
-           prior: np.ndarray | float = 0.0, rounds: int = 25) -> np.ndarray:
-    """``documents x languages`` shares of the chosen language sets; zeros for a document without trigrams."""
+           prior: np.ndarray | float = 0.0, rounds: int = 25, fits: np.ndarray | None = None) -> np.ndarray:
+    """``documents x languages`` shares of the chosen language sets; zeros for a document without trigrams.
+    ``fits`` (documents x 2) takes the log likelihood per trigram of the chosen mixture and the number of trigrams."""
     out = np.zeros((n_docs, p.shape[1]))
     if not len(d) or not p.shape[1]:
         return out
@@ -177,6 +204,8 @@ def shares(d: np.ndarray, g: np.ndarray, c: np.ndarray, n_docs: int, p: np.ndarr
         if not len(active):
             break
     out[ids] = pi
+    if fits is not None:
+        fits[ids, 0], fits[ids, 1] = ll / n, n
     return out
 
 
@@ -187,26 +216,35 @@ def _detect(shared, penalty: float):
         chunk = max(50_000, min(CHUNK, 2_000_000 // max(1, len(langs))))
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            result = {"lang_pred": [], "score": [], "langs": [], "shares": []}
+            result = {"lang_pred": [], "score": [], "langs": [], "shares": [], "fit": [], "n_trigrams": [], "fits": []}
+            floor = model.get("floor")
             for group in text_chunks(texts, chunk):
                 d, g, c = _grams([t for _, t in group])
-                for row in shares(d, g, c, len(group), p, penalty, model["prior"]):
+                fits = np.zeros((len(group), 2))
+                for row in shares(d, g, c, len(group), p, penalty, model["prior"], fits=fits):
                     order = [int(i) for i in np.argsort(-row, kind="stable") if row[i] > 0]
                     result["lang_pred"].append(langs[order[0]] if order else "und")
                     result["score"].append(round(float(row[order[0]]), 6) if order else 0.0)
                     result["langs"].append([langs[i] for i in order])
                     result["shares"].append([round(float(row[i]), 6) for i in order])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(result["lang_pred"], pa.string()), pa.array(result["score"], pa.float64()),
-                                              pa.array(result["langs"], pa.list_(pa.string())), pa.array(result["shares"], pa.list_(pa.float64()))],
-                                             names=["kept", "lang_pred", "score", "langs", "shares"])
+                n = fits[:, 1].astype(np.int64)
+                result["fit"] += [float(f) if k else None for f, k in zip(fits[:, 0], n)]
+                result["n_trigrams"] += n.tolist()
+                result["fits"] += ((n > 0) & (True if floor is None else fits[:, 0] >= floor[length_class(n)])).tolist()
+            kinds = {"lang_pred": pa.string(), "score": pa.float64(), "langs": pa.list_(pa.string()), "shares": pa.list_(pa.float64()),
+                     "fit": pa.float64(), "n_trigrams": pa.int64(), "fits": pa.bool_()}
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(result[c], k) for c, k in kinds.items()]], names=["kept", *kinds])
     return run
 
 
 def detect(docs: DataFrame, model: dict, penalty: float = 4.0, text_col: str = "text") -> DataFrame:
-    """Per row ``kept`` (a struct of all input columns), ``lang_pred, score, langs, shares``.
+    """Per row ``kept`` (a struct of all input columns), ``lang_pred, score, langs, shares, fit, n_trigrams, fits``.
 
     ``langs`` and ``shares`` are the language set with its proportions, largest
-    first; ``lang_pred`` and ``score`` are the first of them. Defined cases: a
+    first; ``lang_pred`` and ``score`` are the first of them. ``fit`` is the log
+    likelihood per trigram of that mixture (null without trigrams); ``fits`` tells
+    whether it reaches the model's floor (``with_floor``; without one, whether there
+    are trigrams). Defined cases: a
     text that is null or has no letters, or a model without languages, gives
     ``und``, score 0 and empty lists; equal shares are ordered by name; rows
     repeated alike give equal rows; no rows give no rows.
@@ -214,4 +252,4 @@ def detect(docs: DataFrame, model: dict, penalty: float = 4.0, text_col: str = "
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept"), F.col(text_col).cast("string").alias("text"))
     kept = rows.schema["kept"].dataType.simpleString()
-    return rows.mapInArrow(_detect(shared, penalty), f"kept {kept}, lang_pred string, score double, langs array<string>, shares array<double>")
+    return rows.mapInArrow(_detect(shared, penalty), f"kept {kept}, lang_pred string, score double, langs array<string>, shares array<double>, fit double, n_trigrams long, fits boolean")

@@ -76,10 +76,34 @@ def bitmap_position(hex_col: Column, bits: int) -> Column:
     return F.shiftright(F.conv(F.substring(hex_col, 1, 8), 16, 10).cast("long"), 32 - bits)
 
 
-def bitmap_has() -> Column:
+def bitmap_has(pos: str = "pos", bitmap: str = "bitmap") -> Column:
     """Whether the bit of column ``pos`` is set in column ``bitmap`` (false for null)."""
-    byte = F.conv(F.hex(F.expr("substring(bitmap, cast(((pos & 32767) >> 3) + 1 as int), 1)")), 16, 10).cast("int")
-    return F.coalesce(byte.bitwiseAND(F.expr("1 << cast(pos & 7 as int)")) != 0, F.lit(False))
+    byte = F.conv(F.hex(F.expr(f"substring({bitmap}, cast((({pos} & 32767) >> 3) + 1 as int), 1)")), 16, 10).cast("int")
+    return F.coalesce(byte.bitwiseAND(F.expr(f"1 << cast({pos} & 7 as int)")) != 0, F.lit(False))
+
+
+def row_mark(id_col: Column, text_col: Column) -> Column:
+    """Digest of a row's id and text (a null id differs from any other)."""
+    return F.md5(F.concat(F.coalesce(id_col.cast("string"), F.lit("-")), F.lit("\n"), F.coalesce(text_col.cast("string"), F.lit(""))))
+
+
+def without(docs: DataFrame, judged: DataFrame, mark: Column) -> DataFrame:
+    """The rows of ``docs`` whose ``mark`` is not in ``judged (mark, keep)``, and one row of each mark that is kept there.
+
+    A fixed-size bitmap of the judged marks (4 MB at most) tells most rows apart, so only the others, and no text
+    of the rows that simply stay, are shuffled. One row of equal marks is the smallest, by a plain aggregate."""
+    judged = written(judged, "judged-rows")
+    bits = min(25, max(15, int(np.ceil(np.log2(max(judged.count(), 1) * 16)))))
+    parts = F.broadcast(bitmap_of(judged, "mark", bits).withColumnsRenamed({"part": "__part", "bitmap": "__bits"}))
+    pos = bitmap_position(F.col("__mark"), bits)
+    rows = docs.withColumn("__mark", mark).withColumn("__pos", pos).withColumn("__part", F.shiftright("__pos", 15)).join(parts, "__part", "left")
+    hit = bitmap_has("__pos", "__bits")
+    clear = rows.filter(~hit).select(docs.columns)
+    doubt = rows.filter(hit).select("__mark", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    doubt = doubt.join(judged.select(F.col("mark").alias("__mark"), F.col("keep").alias("__keep")), "__mark", "left").filter(F.coalesce("__keep", F.lit(True)))
+    free = doubt.filter("__keep is null").select("__row.*")
+    one = doubt.filter("__keep").groupBy("__mark").agg(F.min("__row").alias("__row")).select("__row.*")
+    return clear.unionByName(free).unionByName(one)
 
 
 # ---- vectorised hashing of the words of a batch of texts (numpy) ----
