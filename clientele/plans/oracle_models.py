@@ -1,11 +1,11 @@
-"""DuckDB twins of ``explain_q``: Shapley values by their definition, a tree level by level, pairwise silhouettes."""
+"""DuckDB twins of ``explain_q``: Shapley values by their definition, a tree level by level, pairwise silhouettes; rounds of topic EM."""
 
 from __future__ import annotations
 
 import itertools
 import math
 
-from .oracle import register
+from .oracle import CLEAN_TEXT_SQL, _STOP, register
 
 # The trees of explain_q.FIXED_TREES, stated once more: (feature, threshold, below, above) or a leaf's value.
 _T, _M, _S = "t", "m", "s"
@@ -97,3 +97,46 @@ register("silhouette_exact", """select * from (with z as (select CustomerID as i
           from d join n on n.c = d.oc group by id)
   select round(case when (select count(*) from n) >= 2 then avg(coalesce(case when own is null then 0.0 when greatest(own, other) = 0 then 0.0
       else (other - own) / greatest(own, other) end, 0.0)) end, 6) as silhouette, count(*) as rows, (select count(*) from n) as clusters from s)""", ["segments"])
+
+
+def _topics_sql(k: int, rounds: int, alpha: float, beta: float) -> str:
+    ks = range(k)
+    steps = [f"""r as (select ReviewID, {CLEAN_TEXT_SQL.format(c='ReviewBody')} as c from reviews where not (ReviewBody is null or trim(ReviewBody) = ''))""",
+             r"w as (select ReviewID as doc, unnest(regexp_extract_all(c, '\w\w+')) as term from r where length(c) > 2)",
+             f"c0 as (select doc, term, count(*)::double as n from w where term not in {_STOP} group by doc, term)",
+             "kept as (select term from c0 group by term having count(*) >= 2 and count(*) <= 0.95 * (select count(*) from r where length(c) > 2))",
+             "c as (select * from c0 where term in (select term from kept))",
+             f"s0 as (select term, {', '.join(f'0.5::double + (' + chr(39) + '0x' + chr(39) + f' || substr(md5(term || {chr(39)}:{j}{chr(39)}), 1, 4))::int / 65536.0::double as w{j}' for j in ks)} from kept)",
+             f"q0 as (select distinct doc, {', '.join(f'1.0::double / {k} as q{j}' for j in ks)} from c)"]
+    for r in range(rounds):
+        p = ", ".join(f"(w{j} + {beta}::double) / ((select sum(w{j}) from s{r}) + (select count(*) from s{r}) * {beta}::double) as p{j}" for j in ks)
+        steps += [f"p{r} as materialized (select term, {p} from s{r})",
+                  f"x{r} as materialized (select doc, term, n, {', '.join(f'p{j} * q{j} as x{j}' for j in ks)} from c join p{r} using (term) join q{r} using (doc))",
+                  f"z{r} as materialized (select doc, term, n, {' + '.join(f'x{j}' for j in ks)} as s, {', '.join(f'x{j}' for j in ks)} from x{r})",
+                  f"s{r + 1} as materialized (select term, {', '.join(f'sum(n * x{j} / s) as w{j}' for j in ks)} from z{r} group by term)",
+                  f"q{r + 1} as materialized (select doc, {', '.join(f'(sum(n * x{j} / s) + {alpha}::double) / (sum(n) + {k} * {alpha}::double) as q{j}' for j in ks)} from z{r} group by doc)",
+                  f"t{r} as (select {r} as round, (select sum(n * ln(s)) from z{r}) + {beta}::double * (select sum({' + '.join(f'ln(p{j})' for j in ks)}) from p{r})"
+                  f" + {alpha}::double * (select sum({' + '.join(f'ln(q{j})' for j in ks)}) from q{r}) as v)"]
+    p = ", ".join(f"(w{j} + {beta}::double) / ((select sum(w{j}) from s{rounds}) + (select count(*) from s{rounds}) * {beta}::double) as p{j}" for j in ks)
+    steps += [f"p{rounds} as (select term, {p} from s{rounds})"]
+    return ", ".join(steps)
+
+
+_EM = _topics_sql(3, 3, 0.1, 0.01)
+register("topic_em_trace", f"""select * from (with {_EM} select round::int as round, round(v, 3) as log_posterior, false as fell
+  from (select * from t0 union all select * from t1 union all select * from t2))""", ["reviews"])
+register("topic_em_terms", f"""select * from (with {_EM} select topic, cast(rank as int) as rank, term, round(weight, 9) as weight from (
+    select *, row_number() over (partition by topic order by weight desc, term) as rank
+    from ({' union all '.join(f"select 'Topic {j + 1}' as topic, term, p{j} as weight from p3" for j in range(3))})) where rank <= 10)""", ["reviews"])
+
+register("quarantined_records", """select format, count_if(customerID % 10 <> 0)::bigint as good, sum(case when customerID % 10 <> 0 then Tenure end)::bigint as tenure,
+    sum(case when customerID % 10 <> 0 then customerID end)::bigint as ids, count_if(customerID % 10 = 0)::bigint as quarantined
+  from churn_customers, (select unnest(['csv', 'json']) as format) group by format""", ["churn_customers"])
+register("resolution_store", """select h.city, h.key, h.match_tier, g.lat, g.lon
+  from (select * from t1 union all select * from t2 union all select * from t3) h join gaz g on h.key = g.key""", ["t3"])
+_COLUMNS = {"customerID": "n", "Segment": "t", "Contract": "t", "Support": "t", "Tenure": "n", "MonthlyCharges": "n", "TotalCharges": "t", "Churn": "t"}
+register("merged_profile", " union all ".join(
+    f"""select '{c}' as column_name, count(*) as row_count, (count(*) - count({c}))::bigint as nulls, {f'min({c})::double' if k == 'n' else 'null::double'} as least,
+    {f'max({c})::double' if k == 'n' else 'null::double'} as most, {f'min({c})' if k == 't' else 'null::varchar'} as least_text,
+    {f'max({c})' if k == 't' else 'null::varchar'} as most_text, case when count(distinct {c}) <= 20 then count(distinct {c}) end as distinct_values from churn_customers"""
+    for c, k in _COLUMNS.items()), ["churn_customers"])
