@@ -21,6 +21,7 @@ half file, and any store that Spark reaches can hold them. A frame has about
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
 import zlib
@@ -206,10 +207,14 @@ class Tokens:
     PROBE = ["It's a test, don't: (x) 12 3rd.", "Éa ñb; ÀÇ-é  Straße", "one two\tthree\nfour", "a,b c'd 5%!"]
     MOST = 600_000
 
-    def __init__(self, path: str, between: str = "<|endoftext|>"):
+    def __init__(self, path: str | None = None, between: str = "<|endoftext|>", content: str | None = None):
+        """Of the tokenizer file at ``path`` or with the given content."""
         from tokenizers import Tokenizer
-        self.library, self.known = Tokenizer.from_file(path), {}
+        self.library, self.known = Tokenizer.from_str(content) if content else Tokenizer.from_file(path), {}
         self.model, self.letters = self.library.model, {}
+        # the first two characters of every added token, in either case: where they stand, one might
+        added = [t.content[:2] for t in self.library.get_added_tokens_decoder().values()]
+        self.marks = sorted({x for a in added if a for x in (a, a.lower(), a.upper())})
         self.between, self.between_id = between, self.library.token_to_id(between)
         self.by_word = False
         try:
@@ -262,7 +267,8 @@ class Tokens:
         if not self.by_word:
             return [self.whole(t) for t in texts]
         # in a text of ASCII the normaliser changes the case only
-        parts = [b"" if "<|" in t else (t.lower() if t.isascii() else t).encode() for t in texts]
+        apart = [any(m in t for m in self.marks) for t in texts]
+        parts = [b"" if x else (t.lower() if t.isascii() else t).encode() for x, t in zip(apart, texts)]
         data = b"\n".join(parts)
         hashes, firsts, sizes = word_hashes(data, lower=False, cut=piece_starts)
         code, different = pd.factorize(hashes)
@@ -276,17 +282,17 @@ class Tokens:
         ids = flat[np.repeat(begin[code] - upto + each, each) + np.arange(int(upto[-1]) if len(upto) else 0)]
         ends = np.searchsorted(firsts, np.cumsum([len(p) + 1 for p in parts]))
         cuts = np.concatenate([[0], upto])[ends].tolist()
-        return [self.whole(t) if "<|" in t else ids[a:z].tobytes() for t, a, z in zip(texts, [0, *cuts[:-1]], cuts)]
+        return [self.whole(t) if x else ids[a:z].tobytes() for x, t, a, z in zip(apart, texts, [0, *cuts[:-1]], cuts)]
 
 
 _TOKENS: dict[str, Tokens] = {}
 
 
-def _framed(path: str, end_id: int, chunk: int):
+def _framed(shared, name: str, end_id: int, chunk: int):
     def run(batches):
-        if path not in _TOKENS:
-            _TOKENS[path] = Tokens(path)
-        tokens = _TOKENS[path]
+        if name not in _TOKENS:
+            _TOKENS[name] = Tokens(content=shared.value)
+        tokens = _TOKENS[name]
         part, seq, ids, sizes, held, total, end = TaskContext.get().partitionId(), 0, [], [], [], 0, np.array([end_id], "<u4").tobytes()
 
         def out():
@@ -323,12 +329,16 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, id_
 
     Defined cases: a null text counts as empty (only the end id); null ids come
     first; equal ids are ordered by their texts; no rows give no frames; ids
-    must be integers; other columns are ignored.
+    must be integers; other columns are ignored. The tokenizer's file is read by
+    the driver and sent to the tasks, whose machines need not have it.
     """
+    with open(tokenizer, encoding="utf-8") as f:
+        content = f.read()
+    shared, name = docs.sparkSession.sparkContext.broadcast(content), hashlib.sha256(content.encode()).hexdigest()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))
     rows = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
-    out = rows.mapInArrow(_framed(tokenizer, end_id, chunk), "frame binary")
+    out = rows.mapInArrow(_framed(shared, name, end_id, chunk), "frame binary")
     (out.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "none")
      .option("maxRecordsPerFile", FRAMES_PER_FILE).text(folder))
 
