@@ -27,7 +27,7 @@ def test_no_cartesian_products(spark):
     """No registered query plans a cross product or a nested loop (those that fit models or write first are tested in test_models)."""
     from clientele.plans import QUERIES
     slow = ("churn_", "value_", "segment_check", "segments", "k_sweep", "topic", "saved_", "scenario_check", "attribution", "sentiment_by_topic",
-            "segment_rules")
+            "segment_rules", "shapley_check")
     for name, fn in QUERIES.items():
         if name.startswith(slow) and not name.startswith(("churn_flag", "churn_kpis", "churn_headline")):
             continue
