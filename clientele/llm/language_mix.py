@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -209,15 +210,19 @@ def shares(d: np.ndarray, g: np.ndarray, c: np.ndarray, n_docs: int, p: np.ndarr
     return out
 
 
-def _detect(shared, penalty: float):
+ROWS = 1000  # rows of a batch worked on at once: their texts, not those of the whole batch, are held as Python strings
+
+
+def _detect(shared, penalty: float, place: int):
     def run(batches):
         model = shared.value
-        langs, p = model["langs"], model["p"]
+        langs, p, floor = model["langs"], model["p"], model.get("floor")
         chunk = max(50_000, min(CHUNK, 2_000_000 // max(1, len(langs))))
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            result = {"lang_pred": [], "score": [], "langs": [], "shares": [], "fit": [], "n_trigrams": [], "fits": []}
-            floor = model.get("floor")
+        kinds = {"lang_pred": pa.string(), "score": pa.float64(), "langs": pa.list_(pa.string()), "shares": pa.list_(pa.float64()),
+                 "fit": pa.float64(), "n_trigrams": pa.int64(), "fits": pa.bool_()}
+        for part in (batch.slice(at, ROWS) for batch in batches for at in range(0, batch.num_rows, ROWS)):
+            texts = pc.struct_field(part.column(0), [place]).cast(pa.string()).to_pylist()
+            result = {c: [] for c in kinds}
             for group in text_chunks(texts, chunk):
                 d, g, c = _grams([t for _, t in group])
                 fits = np.zeros((len(group), 2))
@@ -231,9 +236,7 @@ def _detect(shared, penalty: float):
                 result["fit"] += [float(f) if k else None for f, k in zip(fits[:, 0], n)]
                 result["n_trigrams"] += n.tolist()
                 result["fits"] += ((n > 0) & (True if floor is None else fits[:, 0] >= floor[length_class(n)])).tolist()
-            kinds = {"lang_pred": pa.string(), "score": pa.float64(), "langs": pa.list_(pa.string()), "shares": pa.list_(pa.float64()),
-                     "fit": pa.float64(), "n_trigrams": pa.int64(), "fits": pa.bool_()}
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(result[c], k) for c, k in kinds.items()]], names=["kept", *kinds])
+            yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(result[c], k) for c, k in kinds.items()]], names=["kept", *kinds])
     return run
 
 
@@ -250,6 +253,6 @@ def detect(docs: DataFrame, model: dict, penalty: float = 4.0, text_col: str = "
     repeated alike give equal rows; no rows give no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept"))
     kept = rows.schema["kept"].dataType.simpleString()
-    return rows.mapInArrow(_detect(shared, penalty), f"kept {kept}, lang_pred string, score double, langs array<string>, shares array<double>, fit double, n_trigrams long, fits boolean")
+    return rows.mapInArrow(_detect(shared, penalty, docs.columns.index(text_col)), f"kept {kept}, lang_pred string, score double, langs array<string>, shares array<double>, fit double, n_trigrams long, fits boolean")
