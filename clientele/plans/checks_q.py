@@ -12,12 +12,12 @@ from ..functions.partitioning import remove_folder
 from ..functions.scalars import row_values
 from ..operators.churn_model import (FittedModel, attribute, directional_importance, score_churn, score_one, score_scenarios, score_value)
 from ..operators.churn_stats import typical_customer
-from ..operators.segment_model import k_sweep, segment, segment_rules
+from ..operators.segment_model import segment_rules
 from ..operators.topics import assign_topics, describe_topics
 from ..session import ensure_checkpoint_dir
 from ..sources import fixtures as fx
 from ..sources.io import load_table, save_table
-from .model_q import SCENARIOS, SEGMENT_RESTARTS, churn_model, value_model
+from .model_q import SCENARIOS, churn_model, segmented, swept, value_model
 from .registry import query
 from .text_q import TOPIC_K, cleaned_reviews, scored_reviews, topic_model
 
@@ -125,7 +125,7 @@ def q_value_check(spark, sf_dir):
 @query("segment_check")
 def q_segment_check(spark, sf_dir):
     """ML-7, ML-9: one of four clusters per customer, numbered by size; the rules' leaves hold the whole table."""
-    _, out, feats = segment(fx.transactions(spark, sf_dir), k=4, restarts=SEGMENT_RESTARTS)
+    _, out, feats = segmented(spark, sf_dir)
     sizes = out.groupBy("Cluster").agg(F.count(F.lit(1)).alias("n"))
     s = row_values(sizes.agg(F.sort_array(F.collect_list(F.struct("Cluster", "n"))).alias("by_id")))["by_id"]
     leaves = row_values(segment_rules(out, feats).agg(F.sum("rows").alias("rows"), _n((F.col("purity") < 0) | (F.col("purity") > 1)).alias("bad")))
@@ -139,7 +139,7 @@ def q_segment_check(spark, sf_dir):
 @query("k_sweep_check")
 def q_k_sweep_check(spark, sf_dir):
     """ML-8: one row per k, silhouettes in [-1, 1], the best one flagged, costs that fall with k."""
-    s = k_sweep(fx.transactions(spark, sf_dir), restarts=SEGMENT_RESTARTS)
+    s = swept(spark, sf_dir)
     best = F.max(F.struct("silhouette", (-F.col("k")).alias("k")))
     order = F.sort_array(F.collect_list(F.struct("k", "training_cost")))
     t = s.agg(F.count(F.lit(1)).alias("ks"), _n(F.abs("silhouette") > 1).alias("out_of_range"), _n(F.col("best")).alias("flagged"),

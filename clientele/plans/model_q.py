@@ -19,9 +19,33 @@ from .reports import RFM_FEATURES, rfm_segments
 SEGMENT_RESTARTS = 10
 
 
+_CACHE: dict = {}
+
+
+def fingerprint(df):
+    """Row count and sum of row hashes: data rewritten at the same path gives another key."""
+    return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first())
+
+
+def fitted_once(kind, df, fit):
+    """What ``fit`` gives for this data in this session; models are fitted once however many queries use them."""
+    key = (kind, df.sparkSession.sparkContext.applicationId, fingerprint(df))
+    if key not in _CACHE:
+        _CACHE[key] = fit(df)
+    return _CACHE[key]
+
+
+def segmented(spark, sf_dir):
+    return fitted_once("segments", fx.transactions(spark, sf_dir), lambda df: segment(df, k=4, restarts=SEGMENT_RESTARTS))
+
+
+def swept(spark, sf_dir):
+    return fitted_once("k_sweep", fx.transactions(spark, sf_dir), lambda df: k_sweep(df, restarts=SEGMENT_RESTARTS))
+
+
 @query("segments")
 def q_segments(spark, sf_dir):
-    mode, out, feats = segment(fx.transactions(spark, sf_dir), k=4, restarts=SEGMENT_RESTARTS)
+    mode, out, feats = segmented(spark, sf_dir)
     return out.select("CustomerID", *feats, "Cluster", "Cluster_Label")
 
 
@@ -33,7 +57,7 @@ def q_segments_demographic(spark, sf_dir):
 
 @query("k_sweep")
 def q_k_sweep(spark, sf_dir):
-    return k_sweep(fx.transactions(spark, sf_dir), restarts=SEGMENT_RESTARTS)
+    return swept(spark, sf_dir)
 
 
 @query("silhouette")
@@ -44,7 +68,7 @@ def q_silhouette(spark, sf_dir):
 
 @query("segment_rules")
 def q_segment_rules(spark, sf_dir):
-    mode, out, feats = segment(fx.transactions(spark, sf_dir), k=4, restarts=SEGMENT_RESTARTS)
+    mode, out, feats = segmented(spark, sf_dir)
     return segment_rules(out, feats).withColumn("purity", F.round("purity", 6))
 
 
@@ -60,28 +84,14 @@ SCENARIOS = [
     {"scenario_id": "tenure_48", "Tenure": 48.0},
     {"scenario_id": "charges_50k", "MonthlyCharges": 50000.0},
 ]
-_CACHE: dict = {}
-
-
-def fingerprint(df):
-    """Row count and sum of row hashes: data rewritten at the same path gives another key."""
-    return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first())
 
 
 def churn_model(spark, sf_dir):
-    df = fx.churn_customers(spark, sf_dir)
-    key = ("churn", spark.sparkContext.applicationId, fingerprint(df), CHURN_ROUNDS)
-    if key not in _CACHE:
-        _CACHE[key] = train_churn(df, max_iter=CHURN_ROUNDS)
-    return _CACHE[key]
+    return fitted_once(("churn", CHURN_ROUNDS), fx.churn_customers(spark, sf_dir), lambda df: train_churn(df, max_iter=CHURN_ROUNDS))
 
 
 def value_model(spark, sf_dir):
-    df = fx.churn_customers(spark, sf_dir)
-    key = ("value", spark.sparkContext.applicationId, fingerprint(df), VALUE_ROUNDS)
-    if key not in _CACHE:
-        _CACHE[key] = train_value(df, max_iter=VALUE_ROUNDS)
-    return _CACHE[key]
+    return fitted_once(("value", VALUE_ROUNDS), fx.churn_customers(spark, sf_dir), lambda df: train_value(df, max_iter=VALUE_ROUNDS))
 
 
 @query("churn_train_accuracy")
