@@ -198,7 +198,7 @@ def _united(starts, ends):
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 10, slop: int = 1, block_windows: int = 500_000,
-                  id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+                  segment_chars: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Per document ``doc_id, n_words, starts, ends, n_hit, items, n_near``.
 
     ``starts`` and ``ends`` are the united spans of words inside an occurrence
@@ -220,7 +220,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 10, slop:
         found = windows([(r.item_id, r.text) for r in some.toLocalIterator()], length)
         if index is None:
             names = {t: i for i, t in enumerate(sorted({t for w in found for t in w}))} if blocks == 1 else None
-            index = build_index(docs, names, id_col, text_col, slop=slop)
+            index = build_index(docs, names, id_col, text_col, segment_chars, slop)
         part = search(index, found, length, slop)
         out = part if out is None else out.unionByName(part)
     if blocks > 1:
