@@ -83,8 +83,10 @@ def bitmap_has(pos: str = "pos", bitmap: str = "bitmap") -> Column:
 
 
 def row_mark(id_col: Column, text_col: Column) -> Column:
-    """Digest of a row's id and text (a null id differs from any other)."""
-    return F.md5(F.concat(F.coalesce(id_col.cast("string"), F.lit("-")), F.lit("\n"), F.coalesce(text_col.cast("string"), F.lit(""))))
+    """Digest of a row's id and text: 32 hexadecimal digits of two 64-bit hashes, made without copies of the text
+    (a null id differs from any other, a null text counts as empty)."""
+    parts = [id_col.isNull(), id_col, F.coalesce(text_col.cast("string"), F.lit(""))]
+    return F.concat(*[F.lpad(F.lower(F.hex(F.xxhash64(*p))), 16, "0") for p in (parts, parts[::-1])])
 
 
 def without(docs: DataFrame, judged: DataFrame, mark: Column) -> DataFrame:
