@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import text_chunks
+from .text import text_chunks, written
 
 # Token classes and their words in English, French, German and Spanish.
 OTHER, INSULT, HARM, TARGET, NEGATION, REPORT, INTENT, QUOTE, BREAK, STOP = range(10)
@@ -218,7 +218,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = 20_000, least_docs:
     share = min(1.0, fit_docs / max(marked.count(), 1))
     marked = marked.filter(F.pmod(F.xxhash64("label_id"), F.lit(1 << 30)) < int(share * (1 << 30))).distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("label_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.join(marked, "label_id").select("text", "toxic")
+    # some fit_docs rows of two numbers; the texts found are written once for the three passes over them
+    rows = written(rows.join(F.broadcast(marked), "label_id").select("text", "toxic"), "labelled-texts")
     found = learn_stems(rows, least_docs, least_odds, least_gain)
     if not found:
         return {"stems": {}, "weights": None}
