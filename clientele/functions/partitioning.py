@@ -29,11 +29,14 @@ def sized(persisted: DataFrame, rows_per_partition: int = 100_000) -> DataFrame:
     Iterative fits run one job per tree level or pass, each with one task per
     partition; a small table spread over hundreds of shuffle partitions spends
     its time scheduling. Counting materialises the cache; ``coalesce`` then
-    merges cached partitions without a shuffle. Large tables keep one
-    partition per ``rows_per_partition`` rows (never more than they had).
+    merges cached partitions without a shuffle. Larger tables get one
+    partition per ``rows_per_partition`` rows, at most two a core (and never
+    more than they had): every task of a pass reports to the driver, so what
+    the driver receives in thousands of passes must not grow with the rows.
     """
     n = persisted.count()
-    target = max(1, -(-n // rows_per_partition))
+    most = 2 * persisted.sparkSession.sparkContext.defaultParallelism
+    target = max(1, min(-(-n // rows_per_partition), most))
     return persisted.coalesce(target) if target < persisted.rdd.getNumPartitions() else persisted
 
 
