@@ -9,8 +9,8 @@ length. As the log likelihood is concave in the shares, the gradient bounds
 the possible gain, so most documents need no iteration.
 
 The model is ``languages x BUCKETS`` numbers (half a megabyte a language),
-learned on at most about ``fit_docs`` documents a language and sent to the
-tasks. All documents are scored, whole, in one pass without a shuffle; a task
+learned on all labelled documents or on about ``fit_docs`` a language, and sent
+to the tasks. All documents are scored, whole, in one pass without a shuffle; a task
 holds a slice of text of bounded size.
 """
 
@@ -101,7 +101,7 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
-def _chosen(docs: DataFrame, fit_docs: int, id_col: str, text_col: str, lang_col: str):
+def _chosen(docs: DataFrame, fit_docs: int | None, id_col: str, text_col: str, lang_col: str):
     """The documents learned from (``lang, text``), and the numbers of labelled ones per language."""
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
@@ -110,6 +110,8 @@ def _chosen(docs: DataFrame, fit_docs: int, id_col: str, text_col: str, lang_col
         raise ValueError(f"more than {MOST_LANGUAGES} languages are labelled")
     if not sizes:
         return None, []
+    if fit_docs is None:
+        return rows.select("lang", "text"), sizes
     share = docs.sparkSession.createDataFrame([(r.lang, min(1.0, fit_docs / r["count"])) for r in sizes], "lang string, share double")
     draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return rows.join(F.broadcast(share), "lang").filter(draw < F.col("share")).select("lang", "text"), sizes
@@ -120,7 +122,7 @@ def length_class(n):
     return np.floor(np.log2(np.maximum(n, 1))).astype(int)
 
 
-def with_floor(model: dict, docs: DataFrame, fit_docs: int = 5000, margin: float = 0.5, id_col: str = "doc_id",
+def with_floor(model: dict, docs: DataFrame, fit_docs: int | None = 5000, margin: float = 0.5, id_col: str = "doc_id",
                text_col: str = "text", lang_col: str = "lang") -> dict:
     """The model with the least fit it accepts per length class: that of the worst learning document of the class or a
     shorter one, less ``margin`` (nats a trigram). Texts in a language that was not learned fit far worse, mixtures of
@@ -138,13 +140,13 @@ def with_floor(model: dict, docs: DataFrame, fit_docs: int = 5000, margin: float
     return {**model, "floor": np.where(np.isinf(floor), -np.inf, floor) - margin}
 
 
-def fit(docs: DataFrame, fit_docs: int = 5000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict:
+def fit(docs: DataFrame, fit_docs: int | None = 5000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict:
     """Learn the trigram distributions: ``{"langs": sorted names, "p": buckets x languages,
     "prior": logarithms of the languages' shares of the labelled documents}``.
 
     ``fit_docs`` bounds the labelled documents used per language: with more,
     each is used with the probability that gives this number (by a hash of its
-    id, so reruns agree). Rows that are held out or have a null language,
+    id, so reruns agree); None uses them all. Rows that are held out or have a null language,
     text or id are not learned from.
     """
     chosen, sizes = _chosen(docs, fit_docs, id_col, text_col, lang_col)

@@ -17,8 +17,9 @@ from clientele.llm.text import row_mark, scratch, without
 
 def language(spark, docs, sf_dir):
     """Rejected documents go: those without letters, and those that no mixture of the learned languages explains as well
-    as it explains the worst learning document of about their length. Texts in several languages stay."""
-    model = language_mix.with_floor(language_mix.fit(docs, fit_docs=5000), docs, fit_docs=5000)
+    as it explains the worst learning document of about their length. Texts in several languages stay. Model and floor
+    are learned from all labelled documents that are not held out."""
+    model = language_mix.with_floor(language_mix.fit(docs, fit_docs=None), docs, fit_docs=None)
     return language_mix.detect(docs, model).filter("fits").select("kept.*")
 
 
