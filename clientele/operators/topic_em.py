@@ -1,12 +1,13 @@
 """Topics whose vocabulary stays a table (ML-10, ML-11, TOP-2): mixture of topics by
-expectation-maximisation, as joins and pre-aggregated sums over (document, term).
+expectation-maximisation over documents in blocks (``bags``).
 
 The model is two tables: ``phi (term, p)``, each term's probability in every topic, and
-``theta (doc, q)``, each document's topic shares. A round joins the counts with both,
-splits every count over the topics and sums the parts per term and per document in one
-aggregation (a term that stands in all documents costs each task one row). Both tables
-are checkpointed each round, so the plan does not grow. The driver sees one number a
-round and, when topics are described, the terms shown.
+``theta (doc, q)``, each document's topic shares. A round joins ``phi`` to the blocks' lists
+of terms, splits every count over the topics inside the block and adds up the parts per
+term; a document's shares stay with its block. Counts are dealt out by block once, so a
+round moves one row per block and term. ``phi`` and the shares are checkpointed each round,
+so the plan does not grow. The driver sees one number a round and, when topics are
+described, the terms shown.
 
 With pseudo counts ``alpha`` for a document's topics and ``beta`` for a topic's terms
 (Dirichlet priors), no round lowers the log posterior; ``trace`` has it per round.
@@ -16,11 +17,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.partitioning import materialize, spread
 from ..functions.scalars import row_values
+from .bags import Bags, by_document, fit_round, frequencies, make_bags, numbered, run_step
 from .topics import MAX_DF, MIN_DF, TOKEN_PATTERN, stop_words, valid_text
 
 
@@ -34,15 +37,28 @@ class TopicTables:
     trace: list[float] = field(default_factory=list)
 
 
-def term_counts(df: DataFrame, id_col: str, text_col: str = "Clean_Text") -> DataFrame:
-    """``doc, term, n``: counts of the terms kept (no stop words, in two documents at least, in at most 95 % of them)."""
+@dataclass
+class TermCounts:
+    """Counts of the terms kept, per document: the documents in blocks and the table ``kept (term)``."""
+    bags: Bags
+    kept: DataFrame
+
+
+def term_counts(df: DataFrame, id_col: str, text_col: str = "Clean_Text") -> TermCounts:
+    """Counts of the terms kept (no stop words, in two documents at least, in at most 95 % of them), per document."""
     docs = spread(df.where(valid_text(text_col)).select(F.col(id_col).alias("doc"), F.col(text_col).alias("__x")))
-    words = docs.select("doc", F.regexp_extract_all("__x", F.lit(TOKEN_PATTERN), 0).alias("__t"))
-    n = docs.agg(F.count_distinct("doc")).scalar()
-    counts = materialize(words.select("doc", F.explode("__t").alias("term")).where(~F.col("term").isin(stop_words()))
-                         .groupBy("doc", "term").agg(F.count(F.lit(1)).alias("n")))
-    kept = counts.groupBy("term").agg(F.count(F.lit(1)).alias("__df")).where((F.col("__df") >= MIN_DF) & (F.col("__df") <= F.lit(MAX_DF) * n))
-    return counts.join(kept.select("term"), "term", "left_semi").select("doc", "term", "n")
+    words = F.regexp_extract_all("__x", F.lit(TOKEN_PATTERN), 0)
+    bags = make_bags(docs.select("doc", words.alias("terms"), F.lit(None).cast("array<double>").alias("n"), "__x"), F.length("__x"))
+    kept = frequencies(bags).where((F.col("doc_freq") >= MIN_DF) & (F.col("doc_freq") <= F.lit(MAX_DF) * bags.n_docs) & ~F.col("term").isin(stop_words()))
+    return TermCounts(bags, materialize(kept.select("term")))
+
+
+def of_table(counts: DataFrame) -> TermCounts:
+    """The same from a table ``doc, term, n``, all of whose terms are kept."""
+    rows = counts.where("n is not null and term is not null").groupBy("doc").agg(F.collect_list(F.struct("term", F.col("n").cast("double").alias("n"))).alias("z"))
+    rows = materialize(rows.select("doc", F.col("z.term").alias("terms"), F.col("z.n").alias("n")))
+    bags = make_bags(rows, F.size("terms") * 8)
+    return TermCounts(bags, materialize(frequencies(bags).select("term")))
 
 
 def first_weight(term: str, topic: int) -> F.Column:
@@ -51,49 +67,54 @@ def first_weight(term: str, topic: int) -> F.Column:
     return F.lit(0.5) + F.conv(digits, 16, 10).cast("double") / 65536
 
 
-def _phi(sums: DataFrame, k: int, beta: float) -> DataFrame:
+def _phi(sums: DataFrame, key: str, k: int, beta: float) -> DataFrame:
     """Terms' probabilities from their summed parts ``w0...``."""
     total = row_values(sums.agg(F.count(F.lit(1)).alias("v"), *[F.sum(f"w{j}").alias(f"t{j}") for j in range(k)]))
-    return sums.select("term", F.array(*[(F.col(f"w{j}") + beta) / (total[f"t{j}"] + total["v"] * beta) for j in range(k)]).alias("p"))
-
-
-def _theta(sums: DataFrame, k: int, alpha: float) -> DataFrame:
-    size = sum((F.col(f"w{j}") for j in range(1, k)), F.col("w0"))
-    return sums.select("doc", F.array(*[(F.col(f"w{j}") + alpha) / (size + k * alpha) for j in range(k)]).alias("q"))
-
-
-def _parts(counts: DataFrame, phi: DataFrame, theta: DataFrame, k: int) -> DataFrame:
-    """``doc, term, w0..., ll``: every count split over the topics, and its share of the log likelihood."""
-    x = counts.join(phi, "term").join(theta, "doc").select("doc", "term", "n", *[(F.get("p", F.lit(j)) * F.get("q", F.lit(j))).alias(f"x{j}") for j in range(k)])
-    x = x.withColumn("s", sum((F.col(f"x{j}") for j in range(1, k)), F.col("x0")))
-    return x.select("doc", "term", *[(F.col("n") * F.col(f"x{j}") / F.col("s")).alias(f"w{j}") for j in range(k)], (F.col("n") * F.log("s")).alias("ll"))
-
-
-def _prior(table: DataFrame, col: str, weight: float) -> float:
-    total = table.agg(F.sum(F.aggregate(col, F.lit(0.0), lambda a, x: a + F.log(x)))).first()[0]
-    return weight * (total or 0.0)
-
-
-def fit_topic_em(counts: DataFrame, k: int = 5, rounds: int = 10, alpha: float = 0.1, beta: float = 0.01) -> TopicTables:
-    """ML-10: ``rounds`` rounds over ``counts (doc, term, n)``. No counts give empty tables."""
-    counts = materialize(counts.select("doc", "term", F.col("n").cast("double").alias("n")))
+    return sums.select(key, *[((F.col(f"w{j}") + beta) / (total[f"t{j}"] + total["v"] * beta)).alias(f"p{j}") for j in range(k)])
+
+
+def _em_step(k: int, alpha: float, rounds: int = 1):
+    """Rounds over one block: its documents' new shares, the log likelihood and the shares' logarithms before the last round, the parts per slot."""
+    def step(n_docs, doc, slot, n, p, q):
+        q = np.full((n_docs, k), 1.0 / k) if q is None else q
+        some = np.bincount(doc, minlength=n_docs) > 0
+        size = np.bincount(doc, n, n_docs)
+        mine = p[slot]
+        for _ in range(rounds):
+            x = mine * q[doc]
+            s = x.sum(axis=1)
+            values = [float((n * np.log(s)).sum()), float(np.log(q[some]).sum())]
+            x *= (n / s)[:, None]
+            q = np.stack([np.bincount(doc, x[:, j], n_docs) for j in range(k)], axis=1)
+            q = (q + alpha) / (size + k * alpha)[:, None]
+        q[~some] = np.nan
+        return q, values, np.stack([np.bincount(slot, x[:, j], len(p)) for j in range(k)], axis=1)
+    return step
+
+
+def fit_topic_em(counts: TermCounts | DataFrame, k: int = 5, rounds: int = 10, alpha: float = 0.1, beta: float = 0.01) -> TopicTables:
+    """ML-10: ``rounds`` rounds over the counts (of ``term_counts``, or a table ``doc, term, n``). No counts give empty tables."""
+    counts = counts if isinstance(counts, TermCounts) else of_table(counts)
+    bags = counts.bags
+    terms, words = numbered(bags, counts.kept)
     weights = [first_weight("term", j) for j in range(k)]
-    phi = materialize(_phi(counts.select("term").distinct().select("term", *[w.alias(f"w{j}") for j, w in enumerate(weights)]), k, beta))
-    theta = materialize(counts.select("doc").distinct().select("doc", F.array_repeat(F.lit(1.0 / k), k).alias("q")))
-    out = TopicTables(phi, theta, k, alpha, beta)
-    names = [f"w{j}" for j in range(k)]
+    phi = materialize(_phi(terms.select("t", *[w.alias(f"w{j}") for j, w in enumerate(weights)]), "t", k, beta))
+    state, trace = None, []
     for _ in range(rounds):
-        parts = _parts(counts, out.phi, out.theta, k)
-        kind = dict(counts.dtypes)["doc"]
-        sides = F.array(F.struct("doc", F.lit(None).cast("string").alias("term"), F.col("ll").alias("ll")),
-                        F.struct(F.lit(None).cast(kind).alias("doc"), "term", F.lit(0.0).alias("ll")))
-        both = parts.select(F.explode(sides).alias("to"), *names).select("to.doc", "to.term", "to.ll", *names)
-        sums = materialize(both.groupBy("doc", "term").agg(*[F.sum(w).alias(w) for w in names], F.sum("ll").alias("ll")))
-        seen = sums.agg(F.sum("ll")).first()[0] or 0.0
-        out.trace.append(seen + _prior(out.phi, "p", beta) + _prior(out.theta, "q", alpha))
-        out.phi = materialize(_phi(sums.where("term is not null"), k, beta))
-        out.theta = materialize(_theta(sums.where("term is null"), k, alpha))
-    return out
+        logs = phi.agg(F.coalesce(F.sum(sum((F.log(f"p{j}") for j in range(1, k)), F.log("p0"))), F.lit(0.0))).first()[0]
+        sums, (seen, shares) = fit_round(bags, words, phi, state, k, _em_step(k, alpha), 2)
+        trace.append(seen + beta * logs + alpha * shares)
+        phi = materialize(_phi(sums.where("t is not null"), "t", k, beta))
+        state = sums.where("block is not null").select("block", "q")
+    if state is None:
+        placed = words.join(phi, "t")
+        state = materialize(run_step(bags, placed, None, k, lambda n_docs, doc, *_: (np.where(np.bincount(doc, minlength=n_docs)[:, None] > 0, 1.0 / k, np.nan) * np.ones(k), [], None))
+                            .where("block is not null").select("block", "q"))
+    theta = materialize(by_document(bags, state, k))
+    named = materialize(phi.join(terms, "t").select("term", F.array(*[f"p{j}" for j in range(k)]).alias("p")))
+    words.unpersist()
+    bags.release()
+    return TopicTables(named, theta, k, alpha, beta, trace)
 
 
 def topic_terms(model: TopicTables, n_terms: int = 10) -> DataFrame:
@@ -109,13 +130,15 @@ def topic_terms(model: TopicTables, n_terms: int = 10) -> DataFrame:
     return out
 
 
-def infer_topics(model: TopicTables, counts: DataFrame, rounds: int = 10) -> DataFrame:
-    """``doc, q``: topic shares of documents with the terms' probabilities fixed; documents without a known term are absent."""
-    counts = materialize(counts.select("doc", "term", F.col("n").cast("double").alias("n")).join(model.phi.select("term"), "term", "left_semi"))
-    theta = materialize(counts.select("doc").distinct().select("doc", F.array_repeat(F.lit(1.0 / model.k), model.k).alias("q")))
-    for _ in range(rounds):
-        sums = _parts(counts, model.phi, theta, model.k).groupBy("doc").agg(*[F.sum(f"w{j}").alias(f"w{j}") for j in range(model.k)])
-        theta = materialize(_theta(sums, model.k, model.alpha))
+def infer_topics(model: TopicTables, counts: TermCounts | DataFrame, rounds: int = 10) -> DataFrame:
+    """``doc, q``: topic shares of documents with the terms' probabilities fixed; documents without a known term are absent.
+    All rounds run inside a block, in one pass."""
+    counts = counts if isinstance(counts, TermCounts) else of_table(counts)
+    known = model.phi.join(counts.kept, "term", "left_semi").select("term", *[F.get("p", F.lit(j)).alias(f"p{j}") for j in range(model.k)])
+    placed = counts.bags.words.join(known, "term").select("block", "slot", F.lit(0).cast("long").alias("t"), *[f"p{j}" for j in range(model.k)])
+    state = run_step(counts.bags, placed, None, model.k, _em_step(model.k, model.alpha, rounds)).where("block is not null").select("block", "q")
+    theta = materialize(by_document(counts.bags, state, model.k))
+    counts.bags.release()
     return theta
 
 
