@@ -15,9 +15,11 @@ nodes gives it exactly. A leaf's path has at most as many features as the tree i
 deep, whatever the table's width.
 
 The model's node table becomes a *leaf-path table* (tree, leaf, interval and share
-per feature), at most trees x 2^depth rows; it travels as one array. Each row is
-multiplied by the leaves inside one stage and summed per row and feature by a plain
-aggregate. No Python function sees a row, and no pairs are formed.
+per feature), at most trees x 2^depth rows; it travels as one array. What a row gets
+depends only on its *cell*: the places of its features among the trees' thresholds.
+Each different cell is multiplied by the leaves inside one stage and summed per cell
+and feature by a plain aggregate, and the rows are joined to their cell's result. No
+Python function sees a row, and no pairs are formed.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ from ..functions.partitioning import materialize, remove_folder
 from ..session import ensure_checkpoint_dir
 from .churn_model import FittedModel
 
+CELLS_PER_TASK = 2000
 NODES = "tree int, id int, left int, right int, feature int, threshold double, value double, cover double"
 
 
@@ -109,6 +112,31 @@ def with_covers(nodes: DataFrame, rows: DataFrame, x: str) -> DataFrame:
     return nodes.drop("cover").join(counts, ["tree", "id"], "left").withColumn("cover", F.coalesce("n", F.lit(0.0))).drop("n")
 
 
+def by_cells(rows: DataFrame, x: str, n_features: int, leaves: DataFrame, keep: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(rows with their cell, the different cells, the leaves with conditions on cells)``.
+
+    A cell says, per feature, how many of the trees' thresholds are below the row's value (-1 if it meets no condition:
+    missing, not a number, minus infinity). Rows of one cell meet the same conditions of every leaf. ``x > threshold``
+    holds exactly where the row's number is larger than the threshold's own."""
+    inf = float("inf")
+    ends = leaves.select(F.explode("conds").alias("c")).select("c.feature", F.explode(F.array("c.low", "c.high")).alias("t")).where(F.abs("t") < inf)
+    cuts = ends.groupBy("feature").agg(F.array_sort(F.collect_set("t")).alias("ts")).agg(F.map_from_entries(F.collect_list(F.struct("feature", "ts"))).alias("m"))
+    every = F.transform(F.sequence(F.lit(0), F.lit(max(n_features, 1) - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.array().cast("array<double>")))
+    cuts = materialize(cuts.select(every.alias("cuts"))).scalar()
+
+    def place(value, k):
+        return F.size(F.filter(F.get("__cuts", k), lambda t: t < value)).cast("double")
+    cell = [F.when((F.get(x, F.lit(k)) > -inf) & (F.get(x, F.lit(k)) <= inf), place(F.get(x, F.lit(k)), F.lit(k))).otherwise(-1.0) for k in range(n_features)]
+    placed = materialize(rows.withColumn("__cuts", cuts).select(*keep, F.array(*cell).cast("array<double>").alias("__cell")))
+
+    def moved(c):
+        low = F.when(c["low"] == -inf, -0.5).otherwise(place(c["low"], c["feature"]))
+        high = F.when(c["high"] == inf, inf).otherwise(place(c["high"], c["feature"]))
+        return F.struct(c["feature"].alias("feature"), low.alias("low"), high.alias("high"), c["share"].alias("share"))
+    return placed, materialize(placed.select("__cell").distinct()), materialize(
+        leaves.withColumn("__cuts", cuts).withColumn("conds", F.transform("conds", moved)).drop("__cuts"))
+
+
 def shapley(rows: DataFrame, x: str, names: Sequence[str], nodes: DataFrame, keep: Sequence[str]) -> DataFrame:
     """Per row and feature ``keep..., base_value, score, feature, contribution, rank``.
 
@@ -117,20 +145,22 @@ def shapley(rows: DataFrame, x: str, names: Sequence[str], nodes: DataFrame, kee
     row's features by the size of their contribution, equal ones by name. Rows are told apart whatever their ``keep``
     columns say, so repeated ids give a result each; a missing value in ``x`` meets no condition.
     """
-    leaves = materialize(node_paths(nodes).filter("leaf").select("value", "conds"))
+    placed, cells, leaves = by_cells(rows, x, len(names), materialize(node_paths(nodes).filter("leaf").select("tree", "id", "value", "conds")), keep)
     slots = max(1, leaves.agg(F.max(F.size("conds"))).first()[0] or 0)
     # a feature that every row meets and that has share 1 changes nothing: all paths get the same number of places
     idle = F.struct(F.lit(0).alias("feature"), F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"), F.lit(1.0).alias("share"))
     filled = F.concat("conds", F.array_repeat(idle, F.lit(slots) - F.size("conds")))
-    table = leaves.select(F.collect_list(F.struct("value", filled.alias("c"), F.size("conds").alias("n"))).alias("a")).scalar()
+    # in the trees' order, so that sums round alike in every run
+    table = leaves.select(F.sort_array(F.collect_list(F.struct("tree", "id", "value", filled.alias("c"), F.size("conds").alias("n")))).alias("a")).scalar()
     base = leaves.agg(F.sum(F.aggregate("conds", F.col("value"), lambda a, c: a * c["share"])).alias("b")).scalar()
     points, weights = np.polynomial.legendre.leggauss((slots + 1) // 2)
     points, weights = ((points + 1) / 2).tolist(), (weights / 2).tolist()
 
-    each = rows.select(F.monotonically_increasing_id().alias("__u"), *keep, F.col(x).alias("__x")).withColumn("__l", F.explode(table))
+    # a cell meets all leaves: many tasks however few bytes the cells have
+    each = cells.repartition(max(1, -(-cells.count() // CELLS_PER_TASK)), "__cell").withColumn("__l", F.explode(table))
     cond = [F.get("__l.c", F.lit(j)) for j in range(slots)]
-    met = [(F.lit(j) >= F.col("__l.n")) | F.coalesce(_meets(F.col("__x"), c), F.lit(False)) for j, c in enumerate(cond)]
-    each = each.select("__u", *keep, F.col("__l.value").alias("v"), *[c["feature"].alias(f"f{j}") for j, c in enumerate(cond)],
+    met = [(F.lit(j) >= F.col("__l.n")) | F.coalesce(_meets(F.col("__cell"), c), F.lit(False)) for j, c in enumerate(cond)]
+    each = each.select("__cell", F.col("__l.value").alias("v"), *[c["feature"].alias(f"f{j}") for j, c in enumerate(cond)],
                        *[c["share"].alias(f"z{j}") for j, c in enumerate(cond)], *[m.cast("double").alias(f"o{j}") for j, m in enumerate(met)])
     mixed = [F.col(f"z{j}") * F.lit(1 - t) + F.col(f"o{j}") * F.lit(t) for t in points for j in range(slots)]
     each = each.select("*", *[m.alias(f"g{q}") for q, m in enumerate(mixed)])
@@ -142,13 +172,14 @@ def shapley(rows: DataFrame, x: str, names: Sequence[str], nodes: DataFrame, kee
         return out
     part = [F.col("v") * (F.col(f"o{j}") - F.col(f"z{j}")) * sum(
         (F.lit(w) * product(F.col(f"g{q * slots + i}") for i in range(slots) if i != j) for q, w in enumerate(weights)), F.lit(0.0)) for j in range(slots)]
-    each = each.select("__u", *keep, (F.col("v") * product(F.col(f"o{j}") for j in range(slots))).alias("s"),
+    each = each.select("__cell", (F.col("v") * product(F.col(f"o{j}") for j in range(slots))).alias("s"),
                        *[F.col(f"f{j}") for j in range(slots)], *[p.alias(f"p{j}") for j, p in enumerate(part)])
     of = lambda k: sum((F.when(F.col(f"f{j}") == k, F.col(f"p{j}")).otherwise(0.0) for j in range(slots)), F.lit(0.0))
-    total = each.groupBy("__u", *keep).agg(F.sum("s").alias("score"), *[F.sum(of(k)).alias(f"c{k}") for k in range(len(names))])
+    total = each.groupBy("__cell").agg(F.sum("s").alias("score"), *[F.sum(of(k)).alias(f"c{k}") for k in range(len(names))])
     ranked = F.array_sort(F.array(*[F.struct((-F.abs(F.col(f"c{k}"))).alias("size"), F.lit(n).alias("feature"), F.col(f"c{k}").alias("contribution"))
                                     for k, n in enumerate(names)]))
-    out = total.withColumn("base_value", base).select(*keep, "base_value", "score", F.posexplode(ranked).alias("rank", "r"))
+    out = placed.join(total.select("__cell", "score", ranked.alias("__ranked")), "__cell").withColumn("base_value", base)
+    out = out.select(*keep, "base_value", "score", F.posexplode("__ranked").alias("rank", "r"))
     return out.select(*keep, "base_value", "score", F.col("r.feature").alias("feature"), F.col("r.contribution").alias("contribution"), (F.col("rank") + 1).alias("rank"))
 
 

@@ -57,7 +57,8 @@ def q_shapley_check(spark, sf_dir):
         else:
             own, near = fitted.transform(clean_numbers(df)).select(F.col("customerID").alias("id"), F.col("__pred").alias("own")), F.col("score")
         j = per.join(own, F.col("customerID") == F.col("id"))
-        size = F.greatest(F.lit(1.0), F.abs("score"), F.abs("own"))
+        # scores near 0 are the base value less about as much: what the sums round by is measured against both
+        size = F.greatest(F.lit(1.0), F.abs("score"), F.abs("own"), F.abs("base"))
         part = j.agg(F.lit(name).alias("model"), F.count(F.lit(1)).alias("customers"), F.count_if(F.col("n") != len(fitted.features)).alias("features_missing"),
                      F.count_if(F.abs(F.col("all") - (F.col("score") - F.col("base"))) > 1e-9 * size).alias("wrong_sums"),
                      F.count_if(F.abs(near - F.col("own")) > 1e-9 * size).alias("wrong_scores"), F.count_distinct(F.round("base", 6)).alias("base_values"))

@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from clientele.functions.clean import clean_numbers
-from clientele.operators.attribution import NODES, explain, node_table, shapley, with_covers
+from clientele.operators.attribution import NODES, by_cells, explain, node_paths, node_table, shapley, with_covers
 from clientele.operators.churn_model import train_churn, train_value
 from clientele.sources import fixtures as fx
 
@@ -94,3 +94,22 @@ def test_chosen_population_and_odd_rows(spark):
     missing = shapley(spark.createDataFrame([(1, [None, 0.2, 1.0])], "k int, x array<double>"), "x", ["a", "b", "idle"], covered, ["k"])
     assert missing.count() == 3
     assert shapley(rows.limit(0), "x", ["a", "b", "idle"], covered, ["k"]).count() == 0
+
+
+def test_rows_of_one_cell_are_worked_out_once(spark):
+    """400 different rows over three thresholds fall into a few cells, and each still gets its own exact result."""
+    nodes = spark.createDataFrame(TREES, NODES)
+    rng = np.random.default_rng(2)
+    odd = [[None, 0.2, 1.0], [float("nan"), 0.7, 2.0], [3.0, 0.5, 3.0], [1.0, None, 4.0], [float("-inf"), 0.1, 5.0], [float("inf"), 0.1, 5.0]]
+    people = [(i, [float(rng.random() * 5), float(rng.random()), float(i)]) for i in range(400)] + [(1000 + i, x) for i, x in enumerate(odd)]
+    rows = spark.createDataFrame(people, "k int, x array<double>")
+    covered = with_covers(nodes, rows, "x")
+    leaves = node_paths(covered).filter("leaf")
+    placed, cells, _ = by_cells(rows, "x", 3, leaves, ["k"])
+    assert placed.count() == 406 and cells.count() <= 4 * 3  # (1.0, 3.0 and missing) x (0.5 and missing) x none
+    table, got = covered.collect(), {}
+    for r in shapley(rows, "x", ["a", "b", "idle"], covered, ["k"]).collect():
+        got.setdefault(r.k, {})[r.feature] = r.contribution
+    assert len(got) == 406
+    for k, x in people[:400:20] + [(1002, odd[2]), (1005, odd[5])]:
+        assert [got[k][f] for f in ("a", "b", "idle")] == pytest.approx(brute(table, x, 3)[0], abs=1e-9)
