@@ -146,7 +146,8 @@ def _query(shared, slop: int):
     def run(batches):
         queries = shared.value
         for batch in batches:
-            for row in batch.to_pylist():
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]  # one segment at a time as Python objects
                 sizes = np.array(row["n_words"], np.int64)
                 base = np.cumsum(sizes + 2 * slop + 1) - sizes - 2 * slop - 1
                 spans, near, items = [[] for _ in sizes], np.zeros(len(sizes), np.int64), [set() for _ in sizes]

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .text import word_hashes, written
+from .text import word_hashes, small_batches, written
 
 #: Selector -> (ids in the word, bits each); 0 is a run of zeros, 1 the escape.
 PACK = {0: (240, 0), 1: (1, 64), 2: (60, 1), 3: (30, 2), 4: (20, 3), 5: (15, 4), 6: (12, 5), 7: (10, 6),
@@ -339,8 +339,9 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, id_
     rows = rows.withColumn("h", F.xxhash64("text"))
     rows = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     out = rows.mapInArrow(_framed(shared, name, end_id, chunk), "frame binary")
-    (out.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "none")
-     .option("maxRecordsPerFile", FRAMES_PER_FILE).text(folder))
+    with small_batches(docs.sparkSession):
+        (out.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "none")
+         .option("maxRecordsPerFile", FRAMES_PER_FILE).text(folder))
 
 
 def _decoded(batches):

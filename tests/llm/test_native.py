@@ -220,3 +220,18 @@ def test_empty_tables(spark, tmp_path):
     assert line_runs.drop_repeated_lines(docs).count() == 0
     assert secret_owners.scan_secrets(docs).count() == 0
     assert stream_dedup.exact_dedup(spark, written(docs, tmp_path)).count() == 0
+
+
+def test_python_functions_get_long_texts_in_small_batches(spark):
+    """40 MB of text reach a function of a written table a few megabytes at a time; the session keeps its settings."""
+    import pyarrow as pa
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"b": [batch.nbytes], "n": [batch.num_rows]})
+    before = spark.conf.get(key, None)
+    rows = spark.range(4000, numPartitions=1).select(F.repeat(F.lit("ten chars "), 1000).alias("t"))
+    got = text.written(rows.mapInArrow(sizes, "b long, n long"), "sizes").agg(F.max("b").alias("b"), F.sum("n").alias("n")).first()
+    assert got.n == 4000 and got.b < 2 * text.BATCH_BYTES
+    assert spark.conf.get(key, None) == before
